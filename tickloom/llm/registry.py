@@ -5,11 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, pu_quality
+from tickloom.llm import bpe, decontaminate, licenses, mcd, path_tree, pii, pu_quality, secrets_forest
 from tickloom.llm.common import table
 
 
+def op1_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text of documents: counts, a digest of the base spans, and all spans."""
+    return pii.span_digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the robust verdict on every text of documents."""
+    return mcd.quality_rules(table(spark, sf_dir, "documents")).drop("distance")
+
+
+def op4_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents with every test item found in it."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text of documents, learned from the positive labels that aren't held out."""
     return pu_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -20,8 +36,35 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), result="digests")
 
 
+def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every url of pages."""
+    return path_tree.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every text of documents, and the spans that the forest takes for secrets."""
+    found = secrets_forest.scan_secrets(table(spark, sf_dir, "documents"))
+    secret = F.filter("findings", lambda f: f["is_secret"])
+    spans = F.array_join(F.transform(secret, lambda f: F.concat_ws(":", f["a"].cast("string"), f["b"].cast("string"))), ",")
+    return found.select("doc_id", "n_candidates", F.size(secret).cast("long").alias("n_secrets"), spans.alias("spans"))
+
+
+def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every text of documents, as family:start:end, and the number of unsure ones."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    known = F.filter("findings", lambda f: f["family"] != "unknown")
+    spans = F.array_join(F.transform(known, lambda f: F.concat_ws(":", f["family"], f["a"].cast("string"), f["b"].cast("string"))), ",")
+    return found.select("doc_id", F.size(known).cast("long").alias("n_licenses"), (F.size("findings") - F.size(known)).cast("long").alias("n_unknown"), spans.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sanitise": op1_sanitise,
+    "op3_mcd_rules": op3_mcd_rules,
+    "op4_bm25_leaks": op4_bm25_leaks,
     "op5_pu_quality": op5_pu_quality,
     "op6_bpe": op6_bpe,
+    "op8_path_templates": op8_path_templates,
+    "op9_secret_forest": op9_secret_forest,
+    "op10_license_paragraphs": op10_license_paragraphs,
 }
 ORACLES: dict[str, str] = {}

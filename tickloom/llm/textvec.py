@@ -91,3 +91,14 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int = 5) -> list[np.ndarra
         else:
             out.append(ngram_hashes(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out
+
+
+_PLAIN = _LOWER.copy()
+for _k in range(128):
+    if not chr(_k).isalnum() and _k not in (10, 13):
+        _PLAIN[_k] = 0x20
+
+
+def plain(data: np.ndarray) -> np.ndarray:
+    """The bytes in lower case (A-Z only) and with ASCII punctuation as spaces; positions stay, and so do line ends."""
+    return _PLAIN[data]
