@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, licenses, mcd, path_tree, pii, pu_quality, secrets_forest
+from tickloom.llm import bpe, decontaminate, licenses, line_runs, mcd, path_tree, pii, pu_quality, secrets_forest
 from tickloom.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), result="digests")
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank lines of every text of documents, and which of its lines are later copies of a repeated run."""
+    found = line_runs.repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda p: p.cast("string")), ",").alias("removed"))
+
+
 def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every url of pages."""
     return path_tree.url_verdicts(table(spark, sf_dir, "pages"))
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bm25_leaks": op4_bm25_leaks,
     "op5_pu_quality": op5_pu_quality,
     "op6_bpe": op6_bpe,
+    "op7_line_runs": op7_line_runs,
     "op8_path_templates": op8_path_templates,
     "op9_secret_forest": op9_secret_forest,
     "op10_license_paragraphs": op10_license_paragraphs,
