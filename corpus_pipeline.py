@@ -1,22 +1,46 @@
-"""A training corpus in five stages: keep good texts, cut repeated lines, keep one of each group of near copies, drop benchmark leaks, count tokens."""
+"""A training corpus in five stages: keep good texts, cut repeated lines, keep one of each group of near copies, drop benchmark leaks, count tokens.
+
+Each stage reads what the one before it stored, so its own intermediate tables in the shared folder can go as soon as the next begins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, pu_quality
-from tickloom.llm.common import table, written
+from tickloom.llm import bpe, decontaminate, jaccard, line_runs, pu_quality
+from tickloom.llm.common import release, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
     return pu_quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those left without a line go."""
+    release()
+    return line_runs.drop_repeated_lines(docs, chars_col="n_chars")
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    release()
+    return jaccard.keep_one(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    release()
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    release()
     return bpe.encode_documents(docs, result="digests")
 
 
-STAGES = [("quality", quality), ("encode", encode)]
+STAGES = [("quality", quality), ("lines", lines), ("copies", copies), ("leaks", leaks), ("encode", encode)]
 #: The first stage learns its weights, which SQL cannot express.
 ORACLE_SQL = None
 
@@ -24,5 +48,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 _tables: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,19 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, and survives the loss of executors."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, and survives the loss of executors.
+
+    keep: release() leaves it until the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append((spark, path))
+    (_kept if keep else _tables).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
     """Delete every table made by written() so far. Call it once results built on them are stored."""
-    while _tables:
-        spark, path = _tables.pop()
+    _delete(_tables)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -48,7 +55,7 @@ def release() -> None:
             return
 
 
-atexit.register(release)
+atexit.register(lambda: _delete(_tables) or _delete(_kept))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, licenses, line_runs, mcd, path_tree, pii, pu_quality, secrets_forest
+from tickloom.llm import bpe, decontaminate, jaccard, licenses, line_runs, mcd, path_tree, pii, pu_quality, secrets_forest
 from tickloom.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of near copies of every text of documents."""
+    return jaccard.near_copies(table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the robust verdict on every text of documents."""
     return mcd.quality_rules(table(spark, sf_dir, "documents")).drop("distance")
@@ -65,6 +70,7 @@ def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sanitise": op1_sanitise,
+    "op2_shingle_join": op2_shingle_join,
     "op3_mcd_rules": op3_mcd_rules,
     "op4_bm25_leaks": op4_bm25_leaks,
     "op5_pu_quality": op5_pu_quality,
