@@ -1 +1 @@
-
+"""Expressions over ordered series."""

@@ -1 +1 @@
-
+"""Operators over series tables (token_id, datetime, seq, price)."""

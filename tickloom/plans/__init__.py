@@ -1 +1 @@
-
+"""Whole pipelines over series, and the registered queries."""

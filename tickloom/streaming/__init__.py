@@ -1 +1 @@
-
+"""Series as streams."""
