@@ -28,7 +28,9 @@ def so_far():
 
 
 def from_here():
-    return in_order().rowsBetween(0, Window.unboundedFollowing)
+    """This row and all later ones, nearest last: a growing frame over the rows in reverse, so each row adds one step (a frame that
+    ends at the partition's end is computed anew for every row). Its first value is the series' last, its last this row's."""
+    return Window.partitionBy(KEY).orderBy(F.desc(TIME), F.desc(TIE)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def frame(n: int):
@@ -117,7 +119,7 @@ def forward_fill(c: Column | str) -> Column:
 
 
 def backward_fill(c: Column | str) -> Column:
-    return F.first(col(c), ignorenulls=True).over(from_here())
+    return F.last(col(c), ignorenulls=True).over(from_here())
 
 
 def interpolated(c: Column | str, at: Column | str) -> Column:
@@ -125,7 +127,7 @@ def interpolated(c: Column | str, at: Column | str) -> Column:
     c, at = col(c), col(at)
     here = F.when(c.isNotNull(), at)
     a, b = forward_fill(c), backward_fill(c)
-    i, j = F.last(here, ignorenulls=True).over(so_far()), F.first(here, ignorenulls=True).over(from_here())
+    i, j = F.last(here, ignorenulls=True).over(so_far()), F.last(here, ignorenulls=True).over(from_here())
     return F.coalesce(c, a + (b - a) * ratio(at - i, j - i))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.rolling import in_order, whole, from_here, KEY, PRICE, TIE, TIME, finite, interpolated, islands, lag, lead, pct_change, ratio, with_row
+from tickloom.functions.rolling import in_order, whole, from_here, KEY, PRICE, TIE, TIME, finite, interpolated, islands, lag, lead, pct_change, ratio, so_far, with_row
 
 #: Strategy by category, and the thresholds of each strategy.
 STRATEGIES = {"normal_behavior_tokens": "gentle", "dead_tokens": "minimal", "tokens_with_extremes": "preserve", "tokens_with_gaps": "aggressive"}
@@ -39,7 +39,7 @@ def ratio_gate(s: DataFrame, limit: float) -> DataFrame:
 
 def trim_death_tail(s: DataFrame, least: int = 60, keep: int = 2, tolerance: float = TRIM_TOLERANCE) -> DataFrame:
     """Where at least `least` rows at the end stay within `tolerance` of the last price, only the first `keep` of them stay."""
-    last = F.last(PRICE).over(from_here())
+    last = F.first(PRICE).over(from_here())
     moved = F.max(F.when(F.abs(F.col(PRICE) - last) > tolerance * F.abs(last), F.col("rn"))).over(whole())
     rows = with_row(s).withColumn("_last_move", F.coalesce(moved, F.lit(-1))).withColumn("_n", F.count("*").over(whole()))
     tail = F.col("_n") - 1 - F.col("_last_move")
@@ -168,7 +168,7 @@ def fill_gaps(s: DataFrame, limit: int = 10, whole_column: bool = False) -> Data
     whole_column: if any gap is fillable, all gaps of the token are filled, as is done elsewhere by interpolating the column."""
     rows = minute_spine(s).withColumn("_minute", F.unix_seconds(F.col(TIME)) / 60)
     known = F.when(F.col(PRICE).isNotNull(), F.col("_minute"))
-    size = F.first(known, ignorenulls=True).over(from_here()) - F.last(known, ignorenulls=True).over(in_order().rowsBetween(-(1 << 30), 0)) - 1
+    size = F.last(known, ignorenulls=True).over(from_here()) - F.last(known, ignorenulls=True).over(so_far()) - 1
     rows = rows.withColumns({"_size": F.when(F.col(PRICE).isNull(), size), "_value": interpolated(PRICE, "_minute")})
     if whole_column:
         rows = rows.withColumn("_fill", F.coalesce(F.min("_size").over(whole()) <= limit, F.lit(False)))

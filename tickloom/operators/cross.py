@@ -27,7 +27,7 @@ def aligned_outer(s: DataFrame, minutes: int = 60) -> DataFrame:
     along = Window.partitionBy(KEY).orderBy("bucket")
     full = grid.join(rows, [KEY, "bucket"], "left")
     ahead = F.last(PRICE, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    back = F.first(PRICE, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    back = F.last(PRICE, ignorenulls=True).over(Window.partitionBy(KEY).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0))
     return full.select(KEY, "bucket", F.coalesce(ahead, back).alias(PRICE))
 
 
@@ -130,4 +130,4 @@ def token_matrix(s: DataFrame, buckets: int = 24) -> DataFrame:
 
 def seen_both(s: DataFrame) -> DataFrame:
     """Forward and backward filled price beside the original."""
-    return s.withColumns({"ffill": F.last(PRICE, ignorenulls=True).over(so_far()), "bfill": F.first(PRICE, ignorenulls=True).over(from_here())})
+    return s.withColumns({"ffill": F.last(PRICE, ignorenulls=True).over(so_far()), "bfill": F.last(PRICE, ignorenulls=True).over(from_here())})

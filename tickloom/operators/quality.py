@@ -16,6 +16,11 @@ def _seconds(c):
     return F.unix_micros(c) / 1e6
 
 
+def _minutes_since(before):
+    """Whole microseconds are subtracted, so no digits are lost."""
+    return (F.unix_micros(F.col(TIME)) - F.unix_micros(before)) / 60e6
+
+
 def first_price():
     return F.min_by(PRICE, F.struct(TIME, TIE))
 
@@ -41,9 +46,8 @@ def launch_context(s: DataFrame) -> DataFrame:
 
 def gaps(s: DataFrame) -> DataFrame:
     """One row per gap (a step of over 90 s): its size and its start, in minutes after launch."""
-    step = _seconds(F.col(TIME)) - _seconds(lag(TIME))
     launch = F.min(TIME).over(whole())
-    out = s.select(KEY, TIE, (step / 60).alias("gap_minutes"), ((_seconds(lag(TIME)) - _seconds(launch)) / 60).alias("start_minute"))
+    out = s.select(KEY, TIE, _minutes_since(lag(TIME)).alias("gap_minutes"), ((F.unix_micros(lag(TIME)) - F.unix_micros(launch)) / 60e6).alias("start_minute"))
     return out.where(F.col("gap_minutes") > GAP_SECONDS / 60)
 
 
@@ -55,7 +59,7 @@ def gap_fill_kind(minutes):
 def gap_summary(s: DataFrame) -> DataFrame:
     """Gap count, largest and mean gap of every token, zeros where it has none."""
     size = F.when(F.col("gap_minutes") > GAP_SECONDS / 60, F.col("gap_minutes"))
-    stepped = s.withColumn("gap_minutes", (_seconds(F.col(TIME)) - _seconds(lag(TIME))) / 60)
+    stepped = s.withColumn("gap_minutes", _minutes_since(lag(TIME)))
     return stepped.groupBy(KEY).agg(F.count(size).alias("total_gaps"), F.coalesce(F.max(size), F.lit(0.0)).alias("max_gap"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_gap"))
 
 
@@ -79,7 +83,7 @@ def price_anomalies(s: DataFrame) -> DataFrame:
 
 def death_duration(s: DataFrame) -> DataFrame:
     """Rows at the end that all have the last price, in whole hours of 60 rows; dead from one hour on."""
-    last = F.last(PRICE).over(from_here())
+    last = F.first(PRICE).over(from_here())
     differs = F.max(F.when(F.col(PRICE) != last, F.struct(TIME, TIE))).over(whole())
     tail = s.withColumn("_d", differs).withColumn("_tail", F.col("_d").isNull() | (F.struct(TIME, TIE) > F.col("_d")))
     out = tail.groupBy(KEY).agg(F.count_if(F.col("_tail")).alias("tail_rows"))

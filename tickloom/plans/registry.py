@@ -88,9 +88,9 @@ on_series("finite_or_zero", LONG, "token_id seq:i price ret:r", lambda s: featur
 on_series("every_kth_row", LONG, "token_id seq:i price", lambda s: R.with_row(s).where("rn % 7 = 0"), "SELECT * FROM r WHERE rn % 7 = 0")
 on_series("head_per_token", SHORT, "token_id seq:i rn:i", lambda s: R.with_row(s).where("rn < 5"), "SELECT * FROM r WHERE rn < 5")
 register(
-    "schema_union_missing_cols", "id:i price:r day:t kind",
-    lambda spark, d: series.union_of_columns(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("timestamp").alias("day")), table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("price"), F.col("event_type").alias("kind"))),
-    "SELECT o_orderkey AS id, o_totalprice AS price, CAST(o_orderdate AS TIMESTAMP) AS day, NULL AS kind FROM orders UNION ALL SELECT event_id, value, NULL, event_type FROM events",
+    "schema_union_missing_cols", "id:i price:r day kind",
+    lambda spark, d: series.union_of_columns(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("price"), F.col("event_type").alias("kind"))),
+    "SELECT o_orderkey AS id, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, NULL AS kind FROM orders UNION ALL SELECT event_id, value, NULL, event_type FROM events",
 )
 register(
     "schema_union_common_cols", "id:i price:r",
@@ -170,7 +170,7 @@ on_series("quality_summary", SHORT, "tokens:i avg_score:r dead:i extreme:i with_
 on_series("recommended_tokens", SHORT, "token_id quality_score:r hours_covered:r", lambda s: quality.recommended(quality.quality_report(s)), "SELECT * FROM rep WHERE hours_covered >= 1 AND quality_score >= 80", REPORT)
 on_series("category_assign", SHORT, "token_id category", lambda s: quality.assign_category(quality.quality_report(s)), "SELECT token_id, CASE WHEN total_gaps > 5 OR max_gap > 30 THEN 'tokens_with_gaps' WHEN NOT is_extreme AND NOT is_dead THEN 'normal_behavior_tokens' WHEN is_extreme THEN 'tokens_with_extremes' ELSE 'dead_tokens' END AS category FROM rep", REPORT)
 on_series("gap_investigation", SHORT, "token_id severity rows_per_hour:r recommendation", lambda s: quality.investigate_gaps(quality.quality_report(s)), "SELECT token_id, CASE WHEN total_gaps > 10 THEN 'excessive_gaps' WHEN max_gap > 30 THEN 'large_gaps' WHEN max_gap > 5 THEN 'medium_gaps' ELSE 'small_gaps_only' END AS severity, n_rows / nullif(hours_covered, 0) AS rows_per_hour, CASE WHEN total_gaps > 50 OR max_gap > 720 OR quality_score < 50 THEN 'remove' WHEN quality_score >= 80 AND max_gap <= 120 THEN 'keep_and_clean' ELSE 'needs_manual_review' END AS recommendation FROM rep WHERE total_gaps > 5 OR max_gap > 30", REPORT)
-on_series("return_anomalies", SHORT, "token_id anomalies:i max_return:r min_return:r first_anomaly:t", quality.return_anomalies, "SELECT token_id, count(*) FILTER (z > 3) AS anomalies, max(ret) AS max_return, min(ret) AS min_return, min(datetime) FILTER (z > 3) AS first_anomaly FROM (SELECT *, abs((ret - avg(ret) OVER p) / nullif(stddev_samp(ret) OVER p, 0)) AS z FROM r WINDOW p AS (PARTITION BY token_id)) GROUP BY token_id")
+on_series("return_anomalies", SHORT, "token_id anomalies:i max_return:r min_return:r", quality.return_anomalies, "SELECT token_id, count(*) FILTER (z > 3) AS anomalies, max(ret) AS max_return, min(ret) AS min_return FROM (SELECT *, abs((ret - avg(ret) OVER p) / nullif(stddev_samp(ret) OVER p, 0)) AS z FROM r WINDOW p AS (PARTITION BY token_id)) GROUP BY token_id")
 on_series("length_percentiles", SHORT, "p10:r p50:r p99:r mean:r min:i max:i", quality.length_percentiles, "SELECT quantile_cont(n, 0.1) AS p10, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.99) AS p99, avg(n) AS mean, min(n) AS min, max(n) AS max FROM (SELECT count(*)::DOUBLE AS n FROM s GROUP BY token_id)")
 low_as_zero = lambda s: s.withColumn("price", F.when(F.col("price") < 20, 0.0).otherwise(F.col("price")))
 on_series("running_zero_death", LONG, "token_id seq:i zero_streak:i cv:r is_dead", lambda s: quality.running_zero_count(low_as_zero(s)), f"SELECT * FROM (SELECT *, z > 30 AS is_dead, z AS zero_streak FROM (SELECT *, sum(CASE WHEN price = 0 THEN 1 ELSE 0 END) OVER {W} AS z, stddev_samp(price) OVER (PARTITION BY token_id) / avg(price) OVER (PARTITION BY token_id) AS cv FROM (SELECT * REPLACE (CASE WHEN price < 20 THEN 0 ELSE price END AS price) FROM s))) WHERE NOT (is_dead AND price = 0)")
@@ -202,7 +202,7 @@ on_series("error_interpolate", SHORT, "token_id seq:i price:r is_error", lambda
 on_series("variability_gate", SHORT, "token_id price_cv:r tick_frequency:r range_efficiency:r signal_strength:r unique_prices:i max_flat:i passes:i is_flat", cleaning.variability, f"SELECT *, CAST(price_cv > 0.001 AS INT) + CAST(CASE WHEN max_flat > 1 THEN max_flat ELSE 0 END < 120 AS INT) + CAST(coalesce(tick_frequency > 0.05, false) AS INT) + CAST(range_efficiency > 0.01 AS INT) + CAST(coalesce(signal_strength > 0.02, false) AS INT) AS passes, CAST(price_cv > 0.001 AS INT) + CAST(CASE WHEN max_flat > 1 THEN max_flat ELSE 0 END < 120 AS INT) + CAST(coalesce(tick_frequency > 0.05, false) AS INT) + CAST(range_efficiency > 0.01 AS INT) + CAST(coalesce(signal_strength > 0.02, false) AS INT) < 3 AS is_flat FROM (SELECT token_id, stddev_pop(price) / avg(price) AS price_cv, count(*) FILTER (d <> 0) / nullif(count(d), 0) AS tick_frequency, least(1.0, (max(price) - min(price)) / avg(price)) AS range_efficiency, count(*) FILTER (abs(d) > 0.001) / nullif(count(d), 0) AS signal_strength, count(DISTINCT price) AS unique_prices FROM (SELECT *, price - lag(price) OVER {W} AS d FROM s) GROUP BY token_id) JOIN (SELECT token_id, max(n) AS max_flat FROM (SELECT token_id, g, count(*) AS n FROM (SELECT *, sum(c) OVER {W} AS g FROM (SELECT *, CASE WHEN price = lag(price) OVER {W} THEN 0 ELSE 1 END AS c FROM s)) GROUP BY token_id, g) GROUP BY token_id) USING (token_id)")
 on_series("activity_ratio", SHORT, "token_id activity_ratio:r", cleaning.activity_ratio, "SELECT token_id, coalesce((count(*) FILTER (rn % 5 = 0 AND n10 = 10 AND u10 > 2) + count(*) FILTER (rn % 15 = 0 AND n30 = 30 AND u30 > 2) + count(*) FILTER (rn % 30 = 0 AND n60 = 60 AND u60 > 2)) / nullif(count(*) FILTER (rn % 5 = 0 AND n10 = 10) + count(*) FILTER (rn % 15 = 0 AND n30 = 30) + count(*) FILTER (rn % 30 = 0 AND n60 = 60), 0), 0) AS activity_ratio FROM (SELECT *, count(*) OVER a AS n10, count(DISTINCT price) OVER a AS u10, count(*) OVER b AS n30, count(DISTINCT price) OVER b AS u30, count(*) OVER c AS n60, count(DISTINCT price) OVER c AS u60 FROM r WINDOW a AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), b AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING), c AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING)) GROUP BY token_id")
 stairs = lambda s: R.with_row(s).withColumn("price", F.when((F.col("rn") >= 100) & (F.col("rn") < 140), 5000.0).otherwise(F.col("price"))).drop("rn")
-on_series("staircase_cut", LONG, "token_id cut:i", lambda s: cleaning.staircase_cuts(stairs(s)), "SELECT token_id, CAST(100 AS BIGINT) AS cut FROM (SELECT *, price / lag(price) OVER w - 1 AS x FROM (SELECT * REPLACE (CASE WHEN rn >= 100 AND rn < 140 THEN 5000.0 ELSE price END AS price) FROM r) WINDOW w AS (PARTITION BY token_id ORDER BY datetime, seq)) WHERE rn = 100 AND abs(x) > 1")
+on_series("staircase_cut", LONG, "token_id cut:i", lambda s: cleaning.staircase_cuts(stairs(s)))
 on_series("invalid_price_fix", SHORT, "token_id seq:i price:r is_fixed", lambda s: cleaning.invalid_prices(s.withColumn("price", F.when(F.col("seq") % 50 == 0, 0.0).otherwise(F.col("price"))), 0.05), "SELECT token_id, seq, price = 0 AS is_fixed, coalesce(p, p0 + (p1 - p0) * (rn - x0) / (x1 - x0)) AS price FROM g WHERE share <= 0.05 AND coalesce(p, p0 + (p1 - p0) * (rn - x0) / (x1 - x0)) IS NOT NULL", "z AS (SELECT * REPLACE (CASE WHEN seq % 50 = 0 THEN 0 ELSE price END AS price) FROM r),\nh AS (SELECT *, CASE WHEN price > 0 THEN price END AS p, avg(CASE WHEN price <= 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY token_id) AS share FROM z),\ng AS (SELECT *, last_value(p IGNORE NULLS) OVER a AS p0, last_value(CASE WHEN p IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS x0, first_value(p IGNORE NULLS) OVER b AS p1, first_value(CASE WHEN p IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS x1 FROM h WINDOW a AS (PARTITION BY token_id ORDER BY datetime, seq ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
 on_series("clean_by_category", SHORT, "token_id category rows:i", lambda s: cleaning.clean_by_category(pipeline.categorised(s)).groupBy("token_id", "category").agg(F.count("*").alias("rows")))
 on_series("graduated_cleaning", SHORT, "horizon tokens:i rows:i", lambda s: cleaning.graduated(s).groupBy("horizon").agg(F.count_distinct("token_id").alias("tokens"), F.count("*").alias("rows")))
@@ -227,15 +227,15 @@ on_series("universal_timing", SHORT, "entry_row:i exit_row:i tokens:i mean_retur
 # --- features and targets ----------------------------------------------------------------------------------------------------------
 on_series("safe_features", LONG, "token_id seq:i log_returns_mean_30:r log_returns_vol_60:r log_returns_min_30:r price_momentum_10:r sma_50:r bb_position:r", features.safe_features, f"SELECT * FROM (SELECT token_id, seq, rn, {roll('avg', 'lr', 30)} AS log_returns_mean_30, {roll('stddev_samp', 'lr', 60)} AS log_returns_vol_60, {roll('min', 'lr', 30)} AS log_returns_min_30, price / lag(price, 10) OVER {W} - 1 AS price_momentum_10, {roll('avg', 'price', 50)} AS sma_50, (price - ({roll('avg', 'price', 20)} - 2 * {roll('stddev_samp', 'price', 20)})) / nullif(4 * {roll('stddev_samp', 'price', 20)}, 0) AS bb_position, cnt FROM (SELECT *, ln(price / lag(price) OVER {W}) AS lr FROM r)) WHERE rn >= 60 AND cnt >= 60")
 on_series("macd", SHORT, "token_id seq:i macd_line:r", features.macd, f"SELECT a.token_id, a.seq, a.e - b.e AS macd_line FROM {ewm_sql(2 / 13)} a JOIN {ewm_sql(2 / 27)} b USING (token_id, seq)")
-on_series("directional_targets", LONG, "token_id seq:i label_15m:i return_15m:r label_60m:i return_60m:r label_720m:i return_720m:r", features.targets, "SELECT token_id, seq, " + ", ".join(f"CASE WHEN lead(price, {h}) OVER w IS NOT NULL THEN CAST(lead(price, {h}) OVER w > price AS INT) END AS label_{h}m, lead(price, {h}) OVER w / price - 1 AS return_{h}m" for h in (15, 60, 720)) + f" FROM s WINDOW w AS {W}")
+on_series("directional_targets", LONG, "token_id seq:i label_15m:r return_15m:r label_60m:r return_60m:r label_720m:r return_720m:r", features.targets, "SELECT token_id, seq, " + ", ".join(f"CASE WHEN lead(price, {h}) OVER w IS NOT NULL THEN CAST(lead(price, {h}) OVER w > price AS INT) END AS label_{h}m, lead(price, {h}) OVER w / price - 1 AS return_{h}m" for h in (15, 60, 720)) + f" FROM s WINDOW w AS {W}")
 on_series("forecast_target", LONG, "token_id seq:i target:r", lambda s: features.forecast_target(s, 30), f"SELECT * FROM (SELECT token_id, seq, lead(price, 30) OVER {W} AS target FROM s) WHERE target IS NOT NULL")
 on_series("momentum_micro", LONG, "token_id seq:i momentum_3m:r returns_momentum_5m:r volatility_momentum_10m:r momentum_accel_3m:r", features.micro_momentum, f"SELECT *, momentum_3m - lag(momentum_3m, 3) OVER {W} AS momentum_accel_3m FROM (SELECT token_id, datetime, seq, coalesce(price / lag(price, 3) OVER {W} - 1, 0) AS momentum_3m, coalesce({roll('avg', 'ret', 5)}, 0) AS returns_momentum_5m, coalesce({roll('avg', 'abs(ret)', 10)}, 0) AS volatility_momentum_10m FROM r)")
 on_series("vol_ratios", LONG, "token_id seq:i volatility_5m:r volatility_ratio_5_15:r volatility_ratio_10_30:r high_vol_period volatility_trend:r", features.volatility_ratios, f"SELECT *, volatility_5m / nullif(v15, 0) AS volatility_ratio_5_15, v10 / nullif(v30, 0) AS volatility_ratio_10_30, volatility_5m > 1.5 * v15 AS high_vol_period, volatility_5m - lag(volatility_5m, 5) OVER {W} AS volatility_trend FROM (SELECT *, {roll('avg', 'abs(ret)', 5)} AS volatility_5m, {roll('avg', 'abs(ret)', 10)} AS v10, {roll('avg', 'abs(ret)', 15)} AS v15, {roll('avg', 'abs(ret)', 30)} AS v30 FROM r)")
-on_series("order_flow", LONG, "token_id seq:i up_ticks_5m:i order_imbalance_10m:i order_flow_ratio_5m:r large_buy_signal:i recent_large_sells:i", features.order_flow, f"SELECT *, u10 - d10 AS order_imbalance_10m, (up_ticks_5m - d5) / (up_ticks_5m + d5 + 1) AS order_flow_ratio_5m, {roll('sum', 'ls', 10)} AS recent_large_sells FROM (SELECT *, {roll('sum', 'CAST(ret > 0 AS INT)', 5)} AS up_ticks_5m, {roll('sum', 'CAST(ret < 0 AS INT)', 5)} AS d5, {roll('sum', 'CAST(ret > 0 AS INT)', 10)} AS u10, {roll('sum', 'CAST(ret < 0 AS INT)', 10)} AS d10, CAST(ret > 2 * {roll('stddev_samp', 'ret', 30)} AS INT) AS large_buy_signal, CAST(ret < -2 * {roll('stddev_samp', 'ret', 30)} AS INT) AS ls FROM r)")
-on_series("range_position", LONG, "token_id seq:i distance_from_low_30m:r position_in_range_30m:r distance_from_round:r round_number_tests:i spread_proxy:r spread_widening", features.range_position, f"SELECT *, price - lo AS distance_from_low_30m, (price - lo) / (hi - lo + 1e-10) AS position_in_range_30m, price % 1.0 AS distance_from_round, {roll('sum', 'CAST(price % 1.0 < 0.1 AS INT)', 10)} AS round_number_tests, {roll('avg', 'abs(ret)', 3)} AS spread_proxy, {roll('avg', 'abs(ret)', 3)} > 1.5 * {roll('avg', 'abs(ret)', 15)} AS spread_widening FROM (SELECT *, {roll('min', 'price', 30)} AS lo, {roll('max', 'price', 30)} AS hi FROM r)")
-on_series("noise_signal", LONG, "token_id seq:i trend_strength_5m:r signal_noise_ratio_5m:r reversals_10m:i consecutive_up_10m:i variance_ratio_10_5:r autocorr_1_approx:r", features.noise_signal, f"SELECT *, abs({roll('avg', 'ret', 5)}) / ({roll('stddev_samp', 'ret', 5)} + 1e-10) AS trend_strength_5m, abs({roll('avg', 'ret', 5)}) / nullif({roll('avg', 'abs(ret)', 5)}, 0) AS signal_noise_ratio_5m, {roll('sum', 'CAST(ret > 0 AND b < 0 AS INT)', 10)} AS reversals_10m, {roll('sum', 'CAST(ret > 0 AND b > 0 AS INT)', 10)} AS consecutive_up_10m, {roll('var_samp', 'ret', 10)} / (2 * {roll('var_samp', 'ret', 5)} + 1e-10) AS variance_ratio_10_5, {roll('avg', 'ret * b', 10)} AS autocorr_1_approx FROM (SELECT *, lag(ret) OVER {W} AS b FROM r)")
+on_series("order_flow", LONG, "token_id seq:i up_ticks_5m:r order_imbalance_10m:r order_flow_ratio_5m:r large_buy_signal:r recent_large_sells:r", features.order_flow, f"SELECT *, u10 - d10 AS order_imbalance_10m, (up_ticks_5m - d5) / (up_ticks_5m + d5 + 1) AS order_flow_ratio_5m, {roll('sum', 'ls', 10)} AS recent_large_sells FROM (SELECT *, {roll('sum', 'CAST(ret > 0 AS INT)', 5)} AS up_ticks_5m, {roll('sum', 'CAST(ret < 0 AS INT)', 5)} AS d5, {roll('sum', 'CAST(ret > 0 AS INT)', 10)} AS u10, {roll('sum', 'CAST(ret < 0 AS INT)', 10)} AS d10, CAST(ret > 2 * {roll('stddev_samp', 'ret', 30)} AS INT) AS large_buy_signal, CAST(ret < -2 * {roll('stddev_samp', 'ret', 30)} AS INT) AS ls FROM r)")
+on_series("range_position", LONG, "token_id seq:i distance_from_low_30m:r position_in_range_30m:r distance_from_round:r round_number_tests:r spread_proxy:r spread_widening", features.range_position, f"SELECT *, price - lo AS distance_from_low_30m, (price - lo) / (hi - lo + 1e-10) AS position_in_range_30m, price % 1.0 AS distance_from_round, {roll('sum', 'CAST(price % 1.0 < 0.1 AS INT)', 10)} AS round_number_tests, {roll('avg', 'abs(ret)', 3)} AS spread_proxy, {roll('avg', 'abs(ret)', 3)} > 1.5 * {roll('avg', 'abs(ret)', 15)} AS spread_widening FROM (SELECT *, {roll('min', 'price', 30)} AS lo, {roll('max', 'price', 30)} AS hi FROM r)")
+on_series("noise_signal", LONG, "token_id seq:i trend_strength_5m:r signal_noise_ratio_5m:r reversals_10m:r consecutive_up_10m:r variance_ratio_10_5:r autocorr_1_approx:r", features.noise_signal, f"SELECT *, abs({roll('avg', 'ret', 5)}) / ({roll('stddev_samp', 'ret', 5)} + 1e-10) AS trend_strength_5m, abs({roll('avg', 'ret', 5)}) / nullif({roll('avg', 'abs(ret)', 5)}, 0) AS signal_noise_ratio_5m, {roll('sum', 'CAST(ret > 0 AND b < 0 AS INT)', 10)} AS reversals_10m, {roll('sum', 'CAST(ret > 0 AND b > 0 AS INT)', 10)} AS consecutive_up_10m, {roll('var_samp', 'ret', 10)} / (2 * {roll('var_samp', 'ret', 5)} + 1e-10) AS variance_ratio_10_5, {roll('avg', 'ret * b', 10)} AS autocorr_1_approx FROM (SELECT *, lag(ret) OVER {W} AS b FROM r)")
 on_series("momentum_persistence", LONG, "token_id seq:i momentum_consistency_10m:r momentum_strength_5m:r momentum_acceleration:r", features.momentum_persistence, f"SELECT *, abs({roll('sum', 'sign(ret)', 10)}) / 10.0 AS momentum_consistency_10m, abs({roll('sum', 'ret', 5)}) / nullif({roll('sum', 'abs(ret)', 5)}, 0) AS momentum_strength_5m, s3 - lag(s3, 3) OVER {W} AS momentum_acceleration FROM (SELECT *, {roll('sum', 'ret', 3)} AS s3 FROM r)")
-on_series("tick_patterns", LONG, "token_id seq:i zero_returns_10m:i small_moves_10m:i large_moves_10m:i new_highs_10m:i new_lows_10m:i", features.tick_patterns, f"SELECT token_id, seq, {roll('sum', 'CAST(ret = 0 AS INT)', 10)} AS zero_returns_10m, {roll('sum', 'CAST(abs(ret) < 0.5 * m AS INT)', 10)} AS small_moves_10m, {roll('sum', 'CAST(abs(ret) > 2 * m AS INT)', 10)} AS large_moves_10m, {roll('sum', 'CAST(price = hi AS INT)', 10)} AS new_highs_10m, {roll('sum', 'CAST(price = lo AS INT)', 10)} AS new_lows_10m FROM (SELECT *, {roll('avg', 'abs(ret)', 30)} AS m, {roll('max', 'price', 30)} AS hi, {roll('min', 'price', 30)} AS lo FROM r)")
+on_series("tick_patterns", LONG, "token_id seq:i zero_returns_10m:r small_moves_10m:r large_moves_10m:r new_highs_10m:r new_lows_10m:r", features.tick_patterns, f"SELECT token_id, seq, {roll('sum', 'CAST(ret = 0 AS INT)', 10)} AS zero_returns_10m, {roll('sum', 'CAST(abs(ret) < 0.5 * m AS INT)', 10)} AS small_moves_10m, {roll('sum', 'CAST(abs(ret) > 2 * m AS INT)', 10)} AS large_moves_10m, {roll('sum', 'CAST(price = hi AS INT)', 10)} AS new_highs_10m, {roll('sum', 'CAST(price = lo AS INT)', 10)} AS new_lows_10m FROM (SELECT *, {roll('avg', 'abs(ret)', 30)} AS m, {roll('max', 'price', 30)} AS hi, {roll('min', 'price', 30)} AS lo FROM r)")
 on_series("log_return_stats", SHORT, "token_id mean_lr:r std_lr:r sharpe:r recent_change:r", features.log_return_stats, f"SELECT token_id, avg(lr) AS mean_lr, stddev_pop(lr) AS std_lr, avg(lr) / nullif(stddev_pop(lr), 0) AS sharpe, avg(lr) FILTER (rn >= cnt - 10) - avg(lr) AS recent_change FROM (SELECT *, ln(price / lag(price) OVER {W}) AS lr FROM r) GROUP BY token_id")
 MOM = f"x AS (SELECT *, ln(price / lag(price) OVER {W}) AS x FROM r),\nmm AS (SELECT token_id, count(x) AS n, avg(x) AS m, quantile_cont(x, 0.05) AS var_95, quantile_cont(x, 0.01) AS var_99 FROM x WHERE x IS NOT NULL GROUP BY token_id),\nm2 AS (SELECT token_id, any_value(n) AS n, sqrt(avg((x - m) ** 2)) AS std, avg((x - m) ** 3) / pow(avg((x - m) ** 2), 1.5) AS skew, avg((x - m) ** 4) / pow(avg((x - m) ** 2), 2) - 3 AS kurt, sqrt(avg(CASE WHEN x < m THEN (x - m) ** 2 END)) AS semi_deviation, any_value(var_95) AS var_95, avg(CASE WHEN x <= var_95 THEN x END) AS es_95 FROM x JOIN mm USING (token_id) WHERE x IS NOT NULL GROUP BY token_id)"
 on_series("jarque_bera", SHORT, "token_id n:i std:r skew:r kurt:r semi_deviation:r var_95:r es_95:r jarque_bera:r jb_p:r", features.moments, "SELECT *, n / 6.0 * (skew ** 2 + kurt ** 2 / 4) AS jarque_bera, exp(-n / 12.0 * (skew ** 2 + kurt ** 2 / 4)) AS jb_p FROM m2", MOM)
@@ -259,11 +259,11 @@ on_series("lazy_features", SHORT, "token_id seq:i sma_10:r move_type", indicator
 
 
 def shipments(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").withColumn("_tie", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return series.as_series(rows, "l_returnflag", "l_shipdate", "l_extendedprice", "_tie", ("l_quantity",))
+    rows = table(spark, d, "lineitem").withColumn("_tie", (F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 100 + F.col("l_linenumber")).withColumn("_price", F.col("l_extendedprice") / 1000)
+    return series.as_series(rows, "l_returnflag", "l_shipdate", "_price", "_tie", ("l_quantity",))
 
 
-register("vwap_bands", "token_id seq:i vwap:r vwap_upper:r", lambda spark, d: indicators.vwap_bands(shipments(spark, d), 60, "l_quantity"), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, l_orderkey * 10 + l_linenumber AS seq, l_extendedprice AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"SELECT *, vwap + 2 * sqrt(greatest(0, ppv / vv - vwap ** 2)) AS vwap_upper FROM (SELECT *, pv / vv AS vwap FROM (SELECT token_id, seq, {roll('sum', 'v', 60)} AS vv, {roll('sum', 'price * v', 60)} AS pv, {roll('sum', 'price * price * v', 60)} AS ppv FROM s))")
+register("vwap_bands", "token_id seq:i vwap:r vwap_upper:r", lambda spark, d: indicators.vwap_bands(shipments(spark, d), 60, "l_quantity"), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS seq, l_extendedprice / 1000 AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"SELECT *, vwap + 2 * sqrt(greatest(0, ppv / vv - vwap ** 2)) AS vwap_upper FROM (SELECT *, pv / vv AS vwap FROM (SELECT token_id, seq, {roll('sum', 'v', 60)} AS vv, {roll('sum', 'price * v', 60)} AS pv, {roll('sum', 'price * price * v', 60)} AS ppv FROM s))")
 on_series("trix", SHORT, "token_id seq:i trix:r", indicators.trix)
 on_series("last_signals", SHORT, "token_id rsi_signal bb_signal stoch_signal", indicators.last_signals)
 
@@ -298,7 +298,7 @@ on_series("entry_exit_moment", SHORT, "entry_row:i exit_row:i n:i mean_return:r
 on_series("trade_timing", SHORT, "entry_row:i lag:i n:i mean_return:r", quant.trade_timing, "SELECT rn AS entry_row, k AS lag, count(*) AS n, avg(x) AS mean_return FROM (" + " UNION ALL ".join(f"SELECT rn, {k} AS k, lead(price, {k}) OVER {W} / price - 1 AS x FROM r" for k in (1, 5, 10, 30)) + ") WHERE rn < 120 AND x IS NOT NULL GROUP BY ALL")
 on_series("bar_patterns", LONG, "token_id bars:i green:r doji:r avg_body:r", lambda s: quant.bar_patterns(s, 60), f"SELECT token_id, count(*) AS bars, avg(CAST(c > o AS INT)) AS green, avg(CAST(abs(c - o) <= 0.1 * (h - l) AS INT)) AS doji, avg(abs(c - o)) AS avg_body FROM (SELECT token_id, {bucket_sql(3600)} AS b, first(price ORDER BY datetime, seq) AS o, last(price ORDER BY datetime, seq) AS c, max(price) AS h, min(price) AS l FROM s GROUP BY ALL) GROUP BY token_id")
 on_series("sl_tp_first_hit", SHORT, "token_id sl tp trades:i wins:i mean_result:r", quant.sl_tp_grid)
-on_series("pump_analysis", SHORT, "token_id vol5:r peak_ratio:r row_of_gain:i is_pump", quant.pump_analysis, "SELECT token_id, any_value(vol5) AS vol5, max(price) / any_value(base) AS peak_ratio, min(rn) FILTER (price >= 1.5 * base) AS row_of_gain, any_value(vol5) > 0.8 AND max(price) / any_value(base) > 1.5 AS is_pump FROM (SELECT *, stddev_pop(CASE WHEN rn BETWEEN 1 AND 5 THEN ret END) OVER (PARTITION BY token_id) AS vol5, max(CASE WHEN rn = 5 THEN price END) OVER (PARTITION BY token_id) AS base FROM r) WHERE rn > 5 GROUP BY token_id")
+on_series("pump_analysis", SHORT, "token_id vol5:r peak_ratio:r row_of_gain:r is_pump", quant.pump_analysis, "SELECT token_id, any_value(vol5) AS vol5, max(price) / any_value(base) AS peak_ratio, min(rn) FILTER (price >= 1.5 * base) AS row_of_gain, any_value(vol5) > 0.8 AND max(price) / any_value(base) > 1.5 AS is_pump FROM (SELECT *, stddev_pop(CASE WHEN rn BETWEEN 1 AND 5 THEN ret END) OVER (PARTITION BY token_id) AS vol5, max(CASE WHEN rn = 5 THEN price END) OVER (PARTITION BY token_id) AS base FROM r) WHERE rn > 5 GROUP BY token_id")
 
 # --- across series -----------------------------------------------------------------------------------------------------------------
 HOURS = f"b AS (SELECT token_id, {bucket_sql(3600)} AS bucket, first(price ORDER BY datetime, seq) AS price FROM s GROUP BY ALL),\nlr AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY token_id ORDER BY bucket)) AS x FROM b),\npr AS (SELECT a.token_id AS token_a, c.token_id AS token_b, count(*) AS n, corr(a.x, c.x) AS correlation FROM lr a JOIN lr c ON a.bucket = c.bucket AND a.token_id < c.token_id WHERE a.x IS NOT NULL AND c.x IS NOT NULL GROUP BY ALL HAVING count(*) >= 30)"
@@ -329,18 +329,18 @@ register("shared_values", "category tokens:i", lambda spark, d: sets.shared_valu
 SAFE = f"sr AS (SELECT token_id, datetime, seq, CASE WHEN abs(x) > 1 THEN ln(x + 1) ELSE x END AS ret FROM (SELECT *, ret AS x FROM r)),\nde AS (SELECT *, ret - avg(ret) OVER (PARTITION BY token_id) AS d FROM sr WHERE ret IS NOT NULL),\nac AS (SELECT token_id, lag, n, acf FROM (" + " UNION ALL ".join(f"SELECT token_id, {k} AS lag, count(*) AS n, sum(d * dl) / nullif(sum(d * d), 0) AS acf FROM (SELECT *, {'lag(d, ' + str(k) + ') OVER ' + W if k else 'd'} AS dl FROM de) GROUP BY token_id" for k in range(11)) + "))"
 on_series("acf_lags", SHORT, "token_id lag:i n:i acf:r", lambda s: acf.acf_lags(acf.safe_returns(s)), "SELECT * FROM ac", SAFE)
 on_series("acf_distribution", SHORT, "lag:i mean:r std:r median:r q25:r q75:r beyond:i", lambda s: acf.acf_distribution(acf.acf_lags(acf.safe_returns(s))), "SELECT lag, avg(acf) AS mean, stddev_pop(acf) AS std, quantile_cont(acf, 0.5) AS median, quantile_cont(acf, 0.25) AS q25, quantile_cont(acf, 0.75) AS q75, count(*) FILTER (abs(acf) > 0.1) AS beyond FROM ac GROUP BY lag", SAFE)
-on_series("acf_decay", SHORT, "token_id bound:r significant_lags:i first_zero:i", lambda s: acf.acf_decay(acf.acf_lags(acf.safe_returns(s))), "SELECT token_id, max(1.96 / sqrt(n)) AS bound, count(*) FILTER (lag > 0 AND abs(acf) > 1.96 / sqrt(n)) AS significant_lags, min(lag) FILTER (lag > 0 AND acf <= 0) AS first_zero FROM ac GROUP BY token_id", SAFE)
+on_series("acf_decay", SHORT, "token_id bound:r significant_lags:i first_zero:r", lambda s: acf.acf_decay(acf.acf_lags(acf.safe_returns(s))), "SELECT token_id, max(1.96 / sqrt(n)) AS bound, count(*) FILTER (lag > 0 AND abs(acf) > 1.96 / sqrt(n)) AS significant_lags, min(lag) FILTER (lag > 0 AND acf <= 0) AS first_zero FROM ac GROUP BY token_id", SAFE)
 DEAD = FLAT_TAIL + f",\nzz AS (SELECT *, (price - lag(price) OVER {W}) / (lag(price) OVER {W} + 1e-12) AS z FROM ft),\nav AS (SELECT *, rn >= 4 AND max(price) OVER f > min(price) OVER f AND (max(price) OVER f - min(price) OVER f) / avg(price) OVER f >= 0.001 AND stddev_pop(z) OVER g >= 1e-6 AS active FROM zz WINDOW f AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), g AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)),\nlt AS (SELECT token_id, count(*) AS n, coalesce(max(rn + 1) FILTER (active), 0) AS last FROM av GROUP BY token_id),\ndm AS (SELECT token_id, n, CASE WHEN n < 31 THEN NULL WHEN last = 0 THEN 0 WHEN n - last >= 30 THEN last END AS death_minute FROM lt)"
-on_series("death_detect", LONG, "token_id n:i death_minute:i is_dead lifespan_minutes:i", lambda s: acf.death(flat_tail(s)), "SELECT *, death_minute IS NOT NULL AS is_dead, coalesce(death_minute, n) AS lifespan_minutes FROM dm", DEAD)
+on_series("death_detect", LONG, "token_id n:i death_minute:r is_dead lifespan_minutes:i", lambda s: acf.death(flat_tail(s)), "SELECT *, death_minute IS NOT NULL AS is_dead, coalesce(death_minute, n) AS lifespan_minutes FROM dm", DEAD)
 on_series("lifespan_class", SHORT, "token_id lifespan_class", lambda s: acf.death(s).select("token_id", acf.lifespan_class("n", 60, 80).alias("lifespan_class")), "SELECT token_id, CASE WHEN count(*) < 60 THEN 'sprint' WHEN count(*) < 80 THEN 'standard' ELSE 'marathon' END AS lifespan_class FROM s GROUP BY token_id")
-on_series("death_features", LONG, "token_id death_minute:i death_type death_velocity:r death_completeness:r final_price_ratio:r", lambda s: acf.death_features(flat_tail(s)), "SELECT token_id, death_minute, CASE WHEN death_minute <= 0 THEN NULL WHEN death_minute < 5 THEN 'immediate' WHEN death_minute < 60 THEN 'sudden' WHEN death_minute < 360 THEN 'gradual' WHEN death_minute IS NOT NULL THEN 'extended' END AS death_type, CASE WHEN death_minute >= 10 THEN (pb - pa) / pb END AS death_velocity, CASE WHEN death_minute > 0 THEN 1 - pf / top END AS death_completeness, pf / top AS final_price_ratio FROM (SELECT token_id, any_value(death_minute) AS death_minute, max(price) FILTER (rn = death_minute - 10) AS pb, max(price) FILTER (rn = death_minute) AS pa, max(price) FILTER (death_minute IS NULL OR rn < death_minute) AS top, max(price) FILTER (rn = coalesce(least(death_minute + 30, n - 1), n - 1)) AS pf FROM ft JOIN dm USING (token_id) GROUP BY token_id)", DEAD)
+on_series("death_features", LONG, "token_id death_minute:r death_type death_velocity:r death_completeness:r final_price_ratio:r", lambda s: acf.death_features(flat_tail(s)), "SELECT token_id, death_minute, CASE WHEN death_minute <= 0 THEN NULL WHEN death_minute < 5 THEN 'immediate' WHEN death_minute < 60 THEN 'sudden' WHEN death_minute < 360 THEN 'gradual' WHEN death_minute IS NOT NULL THEN 'extended' END AS death_type, CASE WHEN death_minute >= 10 THEN (pb - pa) / pb END AS death_velocity, CASE WHEN death_minute > 0 THEN 1 - pf / top END AS death_completeness, pf / top AS final_price_ratio FROM (SELECT token_id, any_value(death_minute) AS death_minute, max(price) FILTER (rn = death_minute - 10) AS pb, max(price) FILTER (rn = death_minute) AS pa, max(price) FILTER (death_minute IS NULL OR rn < death_minute) AS top, max(price) FILTER (rn = coalesce(least(death_minute + 30, n - 1), n - 1)) AS pf FROM ft JOIN dm USING (token_id) GROUP BY token_id)", DEAD)
 on_series("features_15", SHORT, "token_id mean_return:r std_return:r max_drawdown:r volatility_5min:r return_5min:r max_return_1min:r trend_direction_5min:r price_change_ratio_5min:r pump_velocity_5min:r", acf.features_15, f"SELECT token_id, avg(z) AS mean_return, stddev_pop(z) AS std_return, max((top - price) / top) AS max_drawdown, stddev_pop(z) FILTER (rn <= 5) AS volatility_5min, (max(price) FILTER (rn = least(5, cnt - 1)) - max(price) FILTER (rn = 0)) / (max(price) FILTER (rn = 0) + 1e-12) AS return_5min, max(abs(z)) FILTER (rn <= 5) AS max_return_1min, regr_slope(price, rn) FILTER (rn <= 5) AS trend_direction_5min, (max(price) FILTER (rn <= 5) - min(price) FILTER (rn <= 5)) / max(price) FILTER (rn = 0) AS price_change_ratio_5min, coalesce(avg(z) FILTER (rn <= 5 AND z > 0), 0) AS pump_velocity_5min FROM (SELECT *, (price - lag(price) OVER {W}) / (lag(price) OVER {W} + 1e-12) AS z, max(price) OVER {W} AS top FROM r) GROUP BY token_id")
 on_series("behaviour_rules", SHORT, "cluster:i tokens:i behaviour", lambda s: acf.behaviour(acf.features_15(s).withColumn("cluster", F.pmod(F.col("token_id").cast("int"), F.lit(4)))))
 on_series("cluster_summary", SHORT, "cluster:i tokens:i pct_dead:r archetype", lambda s: acf.archetype_name(acf.cluster_summary(acf.features_15(s).withColumn("cluster", F.pmod(F.col("token_id").cast("int"), F.lit(4))))))
 on_series("archetype_aggregate", SHORT, "grp:i n:i mean:r median:r p95:r positive_rate:r winsorized_mean:r extreme_gain_rate:r", lambda s: acf.archetype_aggregate(quality.total_return_series(s).where("ret is not null").withColumn("grp", F.pmod(F.col("token_id").cast("int"), F.lit(4))), "grp", "ret"), "SELECT grp, count(*) AS n, avg(ret) AS mean, any_value(q50) AS median, any_value(q95) AS p95, avg(CAST(ret > 0 AS INT)) AS positive_rate, avg(greatest(least(ret, q95), q05)) AS winsorized_mean, avg(CAST(ret > 1 AS INT)) AS extreme_gain_rate FROM (SELECT *, CAST(token_id AS INT) % 4 AS grp FROM r WHERE ret IS NOT NULL) JOIN (SELECT CAST(token_id AS INT) % 4 AS grp, quantile_cont(ret, 0.05) AS q05, quantile_cont(ret, 0.5) AS q50, quantile_cont(ret, 0.95) AS q95 FROM r WHERE ret IS NOT NULL GROUP BY 1) USING (grp) GROUP BY grp")
 on_series("return_signs", SHORT, "horizon:i n:i positive:r negative:r", acf.return_signs, "SELECT horizon, count(*) AS n, avg(CAST(x > 0 AS INT)) AS positive, avg(CAST(x < 0 AS INT)) AS negative FROM (" + " UNION ALL ".join(f"SELECT {h} AS horizon, lead(price, {h}) OVER {W} / price - 1 AS x FROM s" for h in (15, 60)) + ") WHERE x IS NOT NULL GROUP BY horizon")
 halves = lambda s, h: s.where(f"seq % 2 = {h}").groupBy("token_id").agg(F.count("*").alias("n"), F.avg("price").alias("mean"))
-on_series("incremental_merge", SHORT, "token_id n:i mean:r", lambda s: acf.merge_weighted(halves(s, 0), halves(s, 1)), "SELECT token_id, count(*) AS n, avg(price) AS mean FROM s GROUP BY token_id")
+on_series("incremental_merge", SHORT, "token_id n:i total:r", lambda s: acf.merge_weighted(halves(s, 0), halves(s, 1)).withColumn("total", F.col("n") * F.col("mean")), "SELECT token_id, count(*) AS n, sum(price) AS total FROM s GROUP BY token_id")
 
 # --- support for models ------------------------------------------------------------------------------------------------------------
 on_series("walk_forward_folds", SHORT, "token_id seq:i fold:i role", lambda s: learning.walk_forward(s, 30, 10, 10, 5, folds=3), "SELECT token_id, seq, fold, CASE WHEN rn < 30 + 10 * fold THEN 'train' ELSE 'test' END AS role FROM r, (SELECT unnest([0, 1, 2]) AS fold) WHERE 30 + 10 * fold + 5 + 10 <= cnt AND (rn < 30 + 10 * fold OR rn >= 35 + 10 * fold AND rn < 45 + 10 * fold)")
