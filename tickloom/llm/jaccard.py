@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import slices, utf8, written
+from tickloom.llm.common import slices, sweep, utf8, written
 from tickloom.llm.components import components
 from tickloom.llm.divide_skip import DivideSkip
 from tickloom.llm.textvec import mix, shingle_sets
@@ -139,7 +139,7 @@ def _unfinished(prefixes: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens = [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+            tokens = [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]  # of each, 48 bits travel: a clash leaves a node open, no more
             size = [len(t) for t in tokens]
             flat = np.concatenate(tokens)
             node, comp = np.repeat(b.column(0).to_numpy(), size), np.repeat(mix(b.column(1).to_numpy().astype(np.uint64)).astype(np.uint32), size)
@@ -149,17 +149,18 @@ def _unfinished(prefixes: DataFrame, parts: int) -> DataFrame:
             flat, node, comp = flat[order], node[order], comp[order]
             some = np.flatnonzero(cuts[1:] > cuts[:-1])
             cut = lambda x: pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in some.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(flat), cut(node), cut(comp)], names=["part", "tokens", "nodes", "comps"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(flat.astype(np.uint32)), cut((flat >> _U(32)).astype(np.uint16)), cut(node), cut(comp)], names=["part", "low", "mid", "nodes", "comps"])
 
     def gather(batches):
-        tokens, nodes, comps = [], [], []
+        lows, mids, nodes, comps = [], [], [], []
         for b in batches:
-            for out, k, kind in ((tokens, 1, np.uint64), (nodes, 2, np.int64), (comps, 3, np.uint32)):
+            for out, k, kind in ((lows, 1, np.uint32), (mids, 2, np.uint16), (nodes, 3, np.int64), (comps, 4, np.uint32)):
                 out += [np.frombuffer(x, kind) for x in b.column(k).to_pylist()]
-        if not tokens:
+        if not lows:
             return
-        token, node, comp = (np.concatenate(x) for x in (tokens, nodes, comps))
-        del tokens, nodes, comps
+        token = np.concatenate(lows).astype(np.uint64) | np.concatenate(mids).astype(np.uint64) << _U(32)
+        node, comp = np.concatenate(nodes), np.concatenate(comps)
+        del lows, mids, nodes, comps
         order = np.argsort(token, kind="stable")
         token, node, comp = token[order], node[order], comp[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -168,7 +169,7 @@ def _unfinished(prefixes: DataFrame, parts: int) -> DataFrame:
         found, counts = np.unique(node[kept], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts, pa.int64())], names=["node", "c"])
 
-    packed = prefixes.mapInArrow(scatter, "part int, tokens binary, nodes binary, comps binary")
+    packed = prefixes.mapInArrow(scatter, "part int, low binary, mid binary, nodes binary, comps binary")
     counts = packed.repartition(parts, "part").mapInArrow(gather, "node bigint, c bigint").groupBy("node").agg(F.sum("c").alias("c"))
     return counts
 
@@ -231,9 +232,11 @@ def _remaining_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, id_c
     comp = F.coalesce("root", "node").alias("comp")
     known = classes.join(roots.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2"), "left").select("node", comp, "n", "prefix")
     counts = written(_unfinished(known, parts), "jac-shared").select(F.col("node").alias("n2"), "c")
+    sweep(docs.sparkSession)
     open_nodes = known.select("node", "comp", "n").join(counts, F.col("node") == F.col("n2")).where(F.col("c") >= F.greatest(F.lit(1), F.ceil(F.col("n") / 25)))
     info = open_nodes.select("node", F.struct("comp", "n").alias("info"))
     sets = written(_sets_of(docs, info, "info", id_col, text_col, shingle), "jac-open")
+    sweep(docs.sparkSession)
     dealt = sets.mapInArrow(_parts, "key bigint, node bigint, comp bigint, n bigint, part binary")
     sizes = dealt.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1 and lo <> hi")
     sizes = written(sizes.select(F.col("key").alias("key2"), F.ceil(F.col("c") / MEETING).cast("int").alias("cuts")), "jac-meetings")
@@ -267,6 +270,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = written(grouped, "jac-classes")
     reps = grouped.where("node is not null")
     links = written(_block_links(docs, reps, id_col, text_col, shingle), "jac-links")
+    sweep(spark)
     roots = components(links, "jac-cc")
     prefixes = sketches.select(F.col("digest").alias("d2"), F.col("id").alias("i2"), "prefix").join(reps, (F.col("d2") == F.col("digest")) & (F.col("i2") == F.col("node"))).select("node", "n", "prefix").distinct()
     more = written(_remaining_links(docs, prefixes, roots, id_col, text_col, shingle, parts), "jac-more")
