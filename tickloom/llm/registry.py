@@ -80,4 +80,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_forest": op9_secret_forest,
     "op10_license_paragraphs": op10_license_paragraphs,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_shingle_join": """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p, len(w) AS k FROM w),
+t AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, p, k, concat_ws(' ', x, lead(x, 1) OVER d, lead(x, 2) OVER d, lead(x, 3) OVER d, lead(x, 4) OVER d) AS t FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY p)) WHERE p <= k - 4 UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT w.doc_id, count(t.t) AS n FROM w LEFT JOIN t ON t.doc_id = w.doc_id GROUP BY w.doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(reach.r) AS BIGINT) AS component_id FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+""",
+    "op7_line_runs": """
+WITH l AS (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'s': x, 'pos': i - 1}), recursive := true) FROM documents),
+k AS (SELECT doc_id, s, pos, length(s) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]')),
+c AS (SELECT *, sum(len) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM k),
+runs AS (SELECT a.doc_id, a.seq AS a, b.seq AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.seq BETWEEN a.seq AND a.seq + 119 WHERE b.upto - a.upto + a.len >= 120 AND (b.upto - b.len - a.upto + a.len < 120 OR b.upto - a.upto < 120)),
+named AS (SELECT r.doc_id, r.a, r.b, string_agg(c.s, chr(10) ORDER BY c.seq) AS name FROM runs r JOIN c ON c.doc_id = r.doc_id AND c.seq BETWEEN r.a AND r.b GROUP BY r.doc_id, r.a, r.b),
+later AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, a) > 1),
+gone AS (SELECT DISTINCT c.doc_id, c.pos FROM later JOIN c ON c.doc_id = later.doc_id AND c.seq BETWEEN later.a AND later.b),
+per AS (SELECT doc_id, count(*) AS m, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(count(k.pos) AS BIGINT) AS n_lines, CAST(coalesce(any_value(per.m), 0) AS BIGINT) AS n_removed, coalesce(any_value(per.removed), '') AS removed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN per ON per.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+}
