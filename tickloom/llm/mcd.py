@@ -26,6 +26,16 @@ _SYMBOLS = "#*$%&|<>"
 VECTOR = {"x0": 0.25, "x1": 0.10, "x2": 0.15, "x3": 0.10, "x4": 0.15}
 
 
+#: Rows of a group meet the group's estimates in this many places, so that a group with a third of all rows is no one task's burden.
+SALTS = 16
+
+
+def _beside(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (with grp and salt) joined with one row per group."""
+    copies = groups.withColumnRenamed("grp", "_grp").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(copies, (F.col("grp") == F.col("_grp")) & (F.col("salt") == F.col("_salt")), how).drop("_grp", "_salt")
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -113,19 +123,19 @@ def _factor(moments: DataFrame, p: int, consistency: float, floors: list[float])
 
 
 def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Centre and Cholesky factor of each group `grp` of rows with columns x0.., by concentration steps."""
+    """Centre and Cholesky factor of each group `grp` of rows with columns salt, x0.., by concentration steps."""
     p, floors = len(VECTOR), list(VECTOR.values())
     xs = list(VECTOR)
     mid = rows.groupBy("grp").agg(F.count("*").alias("c"), *(F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)))
-    off = rows.join(mid, "grp").groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, x in enumerate(xs)))
+    off = _beside(rows, mid).groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, x in enumerate(xs)))
     at = mid.join(off, "grp").withColumns({f"l{i}_{j}": (F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + floors[i] ** 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)})
     at = written(at.select("grp", "c", *(f"m{i}" for i in range(p)), *(f"l{i}_{j}" for i in range(p) for j in range(i + 1))), "mcd-0")
     quantile = chi2_quantile(share, p)
     consistency = share / chi2_cdf(quantile, p + 2)
     for k in range(steps):
-        far = rows.join(at.drop("c"), "grp").select("grp", *xs, _distance(p).alias("d2"))
+        far = _beside(rows, at.drop("c")).select("grp", "salt", *xs, _distance(p).alias("d2"))
         edge = written(far.groupBy("grp").agg(F.percentile_approx("d2", share, 2000).alias("edge"), F.count("*").alias("rows")), f"mcd-edge-{k}")
-        core = far.join(edge, "grp").where("d2 <= edge")
+        core = _beside(far, edge).where("d2 <= edge")
         sums = [F.count("*").alias("c"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i in range(p) for j in range(i + 1))]
         at = written(_factor(core.groupBy("grp").agg(*sums), p, consistency, floors), f"mcd-{k + 1}")
     return at.drop("c").join(rows.groupBy("grp").agg(F.count("*").alias("rows")), "grp")
@@ -138,9 +148,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     vector = {"x0": F.log1p(n), "x1": F.log1p(F.col("word_chars") / n), "x2": F.asinh(10 * F.col("n_symbols") / n), "x3": F.sqrt(F.col("n_dup_lines") / n), "x4": F.sqrt(F.col("n_repeat_words") / n)}
-    rows = written(counted.withColumn("base_failed", failed).withColumns(vector), "mcd-rows")
-    passed = rows.where(~F.col("base_failed")).select("grp", *VECTOR)
+    rows = written(counted.withColumn("base_failed", failed).withColumns(vector | {"salt": F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")}), "mcd-rows")
+    passed = rows.where(~F.col("base_failed")).select("grp", "salt", *VECTOR)
     at = written(robust_estimates(passed, share, steps), "mcd-estimates")
-    far = rows.join(at, "grp", "left").withColumn("distance", F.when(~F.col("base_failed") & (F.col("rows") >= least_rows), _distance(len(VECTOR))))
+    far = _beside(rows, at, "left").withColumn("distance", F.when(~F.col("base_failed") & (F.col("rows") >= least_rows), _distance(len(VECTOR))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(beyond, len(VECTOR)), F.lit(True))
     return far.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
