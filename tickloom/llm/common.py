@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -41,9 +42,13 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let go of the shuffle files of jobs that are done: the driver only drops them once its own garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of jobs that are done: the driver only drops them once its own garbage is collected.
+
+    One collection finds the plans, the next what they held; the files go a moment later."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def release() -> None:

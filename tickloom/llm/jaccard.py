@@ -167,21 +167,37 @@ def _unfinished(prefixes: DataFrame, parts: int) -> DataFrame:
         cross = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
         kept = np.repeat(cross, np.diff(np.concatenate([first, [len(token)]])))
         found, counts = np.unique(node[kept], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts, pa.int64())], names=["node", "c"])
+        home = (mix(found.astype(np.uint64)) % _U(parts)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.arange(parts + 1))
+        some = np.flatnonzero(cuts[1:] > cuts[:-1])
+        cut = lambda x: pa.array([x[order][cuts[p] : cuts[p + 1]].tobytes() for p in some.tolist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(found), cut(counts.astype(np.int64))], names=["home", "nodes", "counts"])
+
+    def add_up(batches):
+        nodes, counts = [], []
+        for b in batches:
+            nodes += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            counts += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+        if nodes:
+            node, at = np.unique(np.concatenate(nodes), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.bincount(at, np.concatenate(counts)).astype(np.int64), pa.int64())], names=["node", "c"])
 
     packed = prefixes.mapInArrow(scatter, "part int, low binary, mid binary, nodes binary, comps binary")
-    counts = packed.repartition(parts, "part").mapInArrow(gather, "node bigint, c bigint").groupBy("node").agg(F.sum("c").alias("c"))
-    return counts
+    counted = packed.repartition(parts, "part").mapInArrow(gather, "home int, nodes binary, counts binary")
+    return counted.repartition(parts, "home").mapInArrow(add_up, "node bigint, c bigint")
 
 
 def _bands(n: int) -> list[int]:
-    """Bucket counts under which a set of n is dealt: powers of 4 that leave 4 to 15 shingles a bucket, its own and any that a similar set could have."""
-    band = lambda m: 1 << 2 * max(0, ((max(m, 4) // 4).bit_length() - 1) // 2)
+    """Bucket counts under which a set of n is dealt: powers of 4 that leave 16 to 63 shingles a bucket, its own and any that a similar set could have.
+
+    Buckets of this size are seldom alike by a shared passage alone."""
+    band = lambda m: 1 << 2 * max(0, ((max(m, 16) // 16).bit_length() - 1) // 2)
     return sorted({band(n), band(-(-4 * n // 5)), band(5 * n // 4)})
 
 
 def _parts(batches):
-    """Rows (key, node, comp, n, part) of each set: every bucket's part under each of its first few shingles."""
+    """Rows (key, node, comp, n, part) of each set: every bucket's part under each of its first few shingles. Of a shingle in a part, 32 bits travel: a clash adds a candidate, no more."""
     for b in batches:
         keys, nodes, comps, sizes, parts = [], [], [], [], []
         for node, info, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
@@ -196,7 +212,7 @@ def _parts(batches):
                     lo, hi = int(cuts[p]), int(cuts[p + 1])
                     size = hi - lo
                     if size:
-                        part = dealt[lo:hi].tobytes()
+                        part = dealt[lo:hi].astype(np.uint32).tobytes()
                         for j in range(lo, lo + size - _needed(size) + 1):
                             keys.append(names[j])
                             nodes.append(node)
@@ -216,7 +232,7 @@ def _candidates(batches):
             alike.setdefault(part, []).append((node, comp, n))
         index, before, pairs = DivideSkip(), [], set()
         for part, members in alike.items():
-            tokens = np.frombuffer(part, np.uint64).tolist()
+            tokens = np.frombuffer(part, np.uint32).tolist()
             meets = [before[s][1] for s, shared in index.search(tokens, _needed(len(tokens))) if similar(shared, len(tokens), before[s][0])]
             index.add(len(before), tokens)
             before.append((len(tokens), members))
@@ -244,7 +260,9 @@ def _remaining_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, id_c
     cells = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
     met = met.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "node", "comp", "n", "part")
     pairs = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_candidates, "a bigint, b bigint").distinct()
-    left = written(pairs, "jac-pairs").join(sets.select(F.col("node").alias("na"), F.col("tokens").alias("ta")), F.col("a") == F.col("na"))
+    pairs = written(pairs, "jac-pairs")
+    sweep(docs.sparkSession)
+    left = pairs.join(sets.select(F.col("node").alias("na"), F.col("tokens").alias("ta")), F.col("a") == F.col("na"))
     both = left.join(sets.select(F.col("node").alias("nb"), F.col("tokens").alias("tb")), F.col("b") == F.col("nb")).select("a", "b", "ta", "tb")
 
     def check(batches):
@@ -269,9 +287,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = sketches.where("digest is not null").groupBy("digest", "n").agg(F.min("id").alias("node"), F.min(F.col("least")).alias("least"))
     grouped = written(grouped, "jac-classes")
     reps = grouped.where("node is not null")
+    sweep(spark)
     links = written(_block_links(docs, reps, id_col, text_col, shingle), "jac-links")
     sweep(spark)
     roots = components(links, "jac-cc")
+    sweep(spark)
     prefixes = sketches.select(F.col("digest").alias("d2"), F.col("id").alias("i2"), "prefix").join(reps, (F.col("d2") == F.col("digest")) & (F.col("i2") == F.col("node"))).select("node", "n", "prefix").distinct()
     more = written(_remaining_links(docs, prefixes, roots, id_col, text_col, shingle, parts), "jac-more")
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "jac-final")
