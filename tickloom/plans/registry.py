@@ -314,16 +314,15 @@ on_series("pca_series", SHORT, "token_id dims:i", lambda s: cross.pca(cross.toke
 # --- sets --------------------------------------------------------------------------------------------------------------------------
 register("overlap_pairs", "category other shared:i overlap_pct:r", lambda spark, d: sets.overlap_pairs(categories(spark, d)), CATEGORIES + "SELECT category, other, shared, 100.0 * shared / least(x.n, y.n) AS overlap_pct FROM (SELECT a.category, b.category AS other, count(*) AS shared FROM m a JOIN m b ON a.token_id = b.token_id AND a.category < b.category GROUP BY ALL) p JOIN (SELECT category AS c, count(*) AS n FROM m GROUP BY 1) x ON x.c = p.category JOIN (SELECT category AS c, count(*) AS n FROM m GROUP BY 1) y ON y.c = p.other")
 register("multi_category", "token_id n:i categories", lambda spark, d: sets.multi_category(categories(spark, d)), CATEGORIES + "SELECT token_id, count(*) AS n, string_agg(category, ',' ORDER BY category) AS categories FROM m GROUP BY token_id HAVING count(*) > 1")
-few = lambda spark, d: categories(spark, d).where("price > 300")
 FEW = CATEGORIES.replace("FROM events)", "FROM events WHERE value > 300)")
-register("unique_to_category", "token_id category", lambda spark, d: sets.unique_to_category(few(spark, d)), FEW + "SELECT token_id, min(category) AS category FROM m GROUP BY token_id HAVING count(*) = 1")
-register("category_against_rest", "category tokens:i elsewhere:i only_here:i", lambda spark, d: sets.category_against_rest(few(spark, d)), FEW + "SELECT category, count(*) AS tokens, count(*) FILTER (n > 1) AS elsewhere, count(*) FILTER (n = 1) AS only_here FROM (SELECT *, count(*) OVER (PARTITION BY token_id) AS n FROM m) GROUP BY category")
-register("overlap_with_category", "category shared:i", lambda spark, d: sets.overlap_with(few(spark, d), "view"), FEW + "SELECT category, count(*) AS shared FROM m WHERE category <> 'view' AND token_id IN (SELECT token_id FROM m WHERE category = 'view') GROUP BY category")
-register("set_difference", "token_id", lambda spark, d: sets.difference(few(spark, d).where("category = 'view'"), few(spark, d).where("category = 'click'")), FEW + "SELECT token_id FROM m WHERE category = 'view' EXCEPT SELECT token_id FROM m WHERE category = 'click'")
-register("set_intersection", "token_id", lambda spark, d: sets.intersection(few(spark, d).where("category = 'view'"), few(spark, d).where("category = 'click'")), FEW + "SELECT token_id FROM m WHERE category = 'view' INTERSECT SELECT token_id FROM m WHERE category = 'click'")
-register("category_distribution", "category tokens:i pct:r", lambda spark, d: sets.category_distribution(few(spark, d)), FEW + "SELECT category, count(*) AS tokens, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM m GROUP BY category")
+register("unique_to_category", "token_id category", lambda spark, d: sets.unique_to_category(categories(spark, d)), FEW + "SELECT token_id, min(category) AS category FROM m GROUP BY token_id HAVING count(*) = 1")
+register("category_against_rest", "category tokens:i elsewhere:i only_here:i", lambda spark, d: sets.category_against_rest(categories(spark, d)), FEW + "SELECT category, count(*) AS tokens, count(*) FILTER (n > 1) AS elsewhere, count(*) FILTER (n = 1) AS only_here FROM (SELECT *, count(*) OVER (PARTITION BY token_id) AS n FROM m) GROUP BY category")
+register("overlap_with_category", "category shared:i", lambda spark, d: sets.overlap_with(categories(spark, d), "view"), FEW + "SELECT category, count(*) AS shared FROM m WHERE category <> 'view' AND token_id IN (SELECT token_id FROM m WHERE category = 'view') GROUP BY category")
+register("set_difference", "token_id", lambda spark, d: sets.difference(categories(spark, d).where("category = 'view'"), categories(spark, d).where("category = 'click'")), FEW + "SELECT token_id FROM m WHERE category = 'view' EXCEPT SELECT token_id FROM m WHERE category = 'click'")
+register("set_intersection", "token_id", lambda spark, d: sets.intersection(categories(spark, d).where("category = 'view'"), categories(spark, d).where("category = 'click'")), FEW + "SELECT token_id FROM m WHERE category = 'view' INTERSECT SELECT token_id FROM m WHERE category = 'click'")
+register("category_distribution", "category tokens:i pct:r", lambda spark, d: sets.category_distribution(categories(spark, d)), FEW + "SELECT category, count(*) AS tokens, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM m GROUP BY category")
 register("top_k_frequency", "user_id:i n:i", lambda spark, d: sets.top_k_frequency(table(spark, d, "events"), "user_id"), "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
-register("shared_values", "category tokens:i", lambda spark, d: sets.shared_values(few(spark, d), "category"), FEW + "SELECT category, count(DISTINCT token_id) AS tokens FROM s GROUP BY category HAVING count(DISTINCT token_id) > 1")
+register("shared_values", "category tokens:i", lambda spark, d: sets.shared_values(categories(spark, d), "category"), FEW + "SELECT category, count(DISTINCT token_id) AS tokens FROM s GROUP BY category HAVING count(DISTINCT token_id) > 1")
 
 # --- autocorrelation, death and behaviour ------------------------------------------------------------------------------------------
 SAFE = f"sr AS (SELECT token_id, datetime, seq, CASE WHEN abs(x) > 1 THEN ln(x + 1) ELSE x END AS ret FROM (SELECT *, ret AS x FROM r)),\nde AS (SELECT *, ret - avg(ret) OVER (PARTITION BY token_id) AS d FROM sr WHERE ret IS NOT NULL),\nac AS (SELECT token_id, lag, n, acf FROM (" + " UNION ALL ".join(f"SELECT token_id, {k} AS lag, count(*) AS n, sum(d * dl) / nullif(sum(d * d), 0) AS acf FROM (SELECT *, {'lag(d, ' + str(k) + ') OVER ' + W if k else 'd'} AS dl FROM de) GROUP BY token_id" for k in range(11)) + "))"
