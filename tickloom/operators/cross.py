@@ -64,9 +64,15 @@ def corr_summary(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), F.avg("correlation").alias("mean"), F.max("correlation").alias("max"), F.min("correlation").alias("min"), F.stddev_samp("correlation").alias("std"), F.count_if(F.abs("correlation") >= 0.5).alias("strong"))
 
 
-def spearman_pairs(s: DataFrame, most: int = 60) -> DataFrame:
-    """Correlation of average ranks of prices by row since launch."""
-    pairs = _pairs(lifecycle(s).where(F.col("rn") < most), "rn", PRICE)
+def _aligned_pairs(s: DataFrame, most: int | None) -> DataFrame:
+    """Prices x and y of each two tokens by row since launch: all rows, or the first `most`."""
+    rows = lifecycle(s)
+    return _pairs(rows if most is None else rows.where(F.col("rn") < most), "rn", PRICE)
+
+
+def spearman_pairs(s: DataFrame, most: int | None = None) -> DataFrame:
+    """Correlation of average ranks of prices by row since launch, over all rows that both tokens have, or the first `most`."""
+    pairs = _aligned_pairs(s, most)
 
     def rank(c: str):
         w = Window.partitionBy("token_a", "token_b")
@@ -76,20 +82,43 @@ def spearman_pairs(s: DataFrame, most: int = 60) -> DataFrame:
     return ranked.groupBy("token_a", "token_b").agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman"))
 
 
-def kendall_pairs(s: DataFrame, most: int = 60) -> DataFrame:
-    """Kendall's tau-b by row since launch, over all pairs of rows of a pair of tokens; `most` rows bound it."""
+def kendall_pairs(s: DataFrame, most: int | None = None) -> DataFrame:
+    """Kendall's tau-b by row since launch, over all pairs of rows of a pair of tokens, or those of the first `most` rows.
+
+    Discordant pairs are inversions, counted bit by bit of the ranks: n log n, not n squared."""
     import numpy as np
     import pandas as pd
 
+    def inversions(ranks: np.ndarray) -> int:
+        """Pairs of places whose later value is less. In each group of equal higher bits: the ones before each zero."""
+        found, at = 0, ranks
+        for bit in reversed(range(int(ranks.max(initial=0)).bit_length())):
+            high, one = at >> (bit + 1), (at >> bit) & 1
+            ones = np.cumsum(one) - one
+            start = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
+            since = ones - np.repeat(ones[start], np.diff(np.append(start, len(at))))
+            found += int(since[one == 0].sum())
+            at = at[np.argsort(at >> bit, kind="stable")]
+        return found
+
+    def every(n):
+        return n * (n - 1) // 2
+
+    def equal(v: np.ndarray) -> int:
+        """Pairs of rows with the same value."""
+        return int(every(np.unique(v, return_counts=True)[1]).sum())
+
     def tau(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = part["x"].to_numpy(), part["y"].to_numpy()
-        a, b = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
-        up = np.triu_indices(len(x), 1)
-        a, b = a[up], b[up]
-        below = np.sqrt(float((a != 0).sum()) * float((b != 0).sum()))
-        return pd.DataFrame({"token_a": [part["token_a"].iloc[0]], "token_b": [part["token_b"].iloc[0]], "n": [len(x)], "kendall": [float((a * b).sum() / below) if below else None]})
-
-    return _pairs(lifecycle(s).where(F.col("rn") < most), "rn", PRICE).groupBy("token_a", "token_b").applyInPandas(tau, "token_a string, token_b string, n long, kendall double")
+        x, y = part["x"].to_numpy(float), part["y"].to_numpy(float)
+        there = ~np.isnan(x) & ~np.isnan(y)
+        a, b = (np.unique(v[there], return_inverse=True)[1].astype(np.int64) for v in (x, y))
+        apart = every(len(a)) - equal(a) - equal(b) + equal(a * (b.max(initial=0) + 1) + b)
+        score = apart - 2 * inversions(b[np.lexsort((b, a))])
+        untied = [every(len(v)) - equal(v) for v in (x[~np.isnan(x)], y[~np.isnan(y)])]
+        below = np.sqrt(float(untied[0]) * float(untied[1]))
+        return pd.DataFrame({"token_a": [part["token_a"].iloc[0]], "token_b": [part["token_b"].iloc[0]], "n": [len(x)], "kendall": [float(score / below) if below else None]})
+
+    return _aligned_pairs(s, most).groupBy("token_a", "token_b").applyInPandas(tau, "token_a string, token_b string, n long, kendall double")
 
 
 def corr_rolling_pairs(s: DataFrame, minutes: int = 60, n: int = 60) -> DataFrame:

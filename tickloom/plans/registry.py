@@ -294,8 +294,8 @@ SEGMENT = "sg AS (SELECT *, least(floor(rn / greatest(1, cnt // 4)), 3) AS segme
 on_series("lifecycle_segments", SHORT, "token_id segment:i n:i segment_return:r volatility:r win_rate:r", quant.lifecycle_segments, "SELECT * FROM ls", SEGMENT)
 on_series("segment_pivot", SHORT, "token_id segment_0:r segment_1:r segment_2:r segment_3:r", quant.segment_pivot, "SELECT token_id, " + ", ".join(f"max(segment_return) FILTER (segment = {k}) AS segment_{k}" for k in range(4)) + " FROM ls GROUP BY token_id", SEGMENT)
 on_series("distribution_evolution", LONG, "token_id period:i n:i mean:r std:r q05:r q95:r", quant.distribution_evolution, "SELECT token_id, least(floor((rn - 1) / greatest(1, (cnt - 1) // 5)), 4) AS period, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, quantile_cont(ret, 0.05) AS q05, quantile_cont(ret, 0.95) AS q95 FROM r WHERE ret IS NOT NULL GROUP BY ALL")
-on_series("entry_exit_moment", SHORT, "entry_row:i exit_row:i n:i mean_return:r std_return:r", lambda s: quant.entry_exit_moment(s, 30), "SELECT a.rn AS entry_row, b.rn AS exit_row, count(*) AS n, avg(b.price / a.price - 1) AS mean_return, stddev_samp(b.price / a.price - 1) AS std_return FROM r a JOIN r b ON a.token_id = b.token_id AND b.rn > a.rn WHERE a.rn < 30 AND b.rn < 30 GROUP BY ALL")
-on_series("trade_timing", SHORT, "entry_row:i lag:i n:i mean_return:r", quant.trade_timing, "SELECT rn AS entry_row, k AS lag, count(*) AS n, avg(x) AS mean_return FROM (" + " UNION ALL ".join(f"SELECT rn, {k} AS k, lead(price, {k}) OVER {W} / price - 1 AS x FROM r" for k in (1, 5, 10, 30)) + ") WHERE rn < 120 AND x IS NOT NULL GROUP BY ALL")
+on_series("entry_exit_moment", SHORT, "entry_row:i exit_row:i n:i mean_return:r std_return:r", lambda s: quant.entry_exit_moment(s, 240), "SELECT a.rn AS entry_row, b.rn AS exit_row, count(*) AS n, avg(b.price / a.price - 1) AS mean_return, stddev_samp(b.price / a.price - 1) AS std_return FROM r a JOIN r b ON a.token_id = b.token_id AND b.rn > a.rn WHERE a.rn < 30 AND b.rn < 30 GROUP BY ALL")
+on_series("trade_timing", SHORT, "entry_row:i lag:i n:i mean_return:r", lambda s: quant.trade_timing(s, most=240), "SELECT rn AS entry_row, k AS lag, count(*) AS n, avg(x) AS mean_return FROM (" + " UNION ALL ".join(f"SELECT rn, {k} AS k, lead(price, {k}) OVER {W} / price - 1 AS x FROM r" for k in (1, 5, 10, 30)) + ") WHERE rn < 120 AND x IS NOT NULL GROUP BY ALL")
 on_series("bar_patterns", LONG, "token_id bars:i green:r doji:r avg_body:r", lambda s: quant.bar_patterns(s, 60), f"SELECT token_id, count(*) AS bars, avg(CAST(c > o AS INT)) AS green, avg(CAST(abs(c - o) <= 0.1 * (h - l) AS INT)) AS doji, avg(abs(c - o)) AS avg_body FROM (SELECT token_id, {bucket_sql(3600)} AS b, first(price ORDER BY datetime, seq) AS o, last(price ORDER BY datetime, seq) AS c, max(price) AS h, min(price) AS l FROM s GROUP BY ALL) GROUP BY token_id")
 on_series("sl_tp_first_hit", SHORT, "token_id sl tp trades:i wins:i mean_result:r", quant.sl_tp_grid)
 on_series("pump_analysis", SHORT, "token_id vol5:r peak_ratio:r row_of_gain:r is_pump", quant.pump_analysis, "SELECT token_id, any_value(vol5) AS vol5, max(price) / any_value(base) AS peak_ratio, min(rn) FILTER (price >= 1.5 * base) AS row_of_gain, any_value(vol5) > 0.8 AND max(price) / any_value(base) > 1.5 AS is_pump FROM (SELECT *, stddev_pop(CASE WHEN rn BETWEEN 1 AND 5 THEN ret END) OVER (PARTITION BY token_id) AS vol5, max(CASE WHEN rn = 5 THEN price END) OVER (PARTITION BY token_id) AS base FROM r) WHERE rn > 5 GROUP BY token_id")
