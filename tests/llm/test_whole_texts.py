@@ -1,0 +1,27 @@
+"""Text operators on long, compact and rare inputs: nothing is passed over for its length or its place."""
+
+import random
+
+import pytest
+
+from tickloom.llm import decontaminate
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "src", None if t is None else len(t)) for i, t in enumerate(texts)], DOCS)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 6))) for _ in range(n))
+
+
+@pytest.mark.parametrize("words", [65, 160, 500, 3000])
+def test_long_items_are_found_wherever_they_start(spark, words):
+    rng = random.Random(words)
+    texts = {k: ". ".join(prose(rng, words // 5) for _ in range(5)) + "." for k in range(4)} | {9: prose(rng, 20) + ". " + prose(rng, 9) + "."}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    docs = [prose(rng, 7 * k) + " " + texts[k] + " " + prose(rng, 40) for k in range(4)] + [texts[9], prose(rng, 2000), " ".join(texts[0].split()[: words // 3])]
+    got = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_of(spark, docs), items).collect()]
+    assert sorted(got) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 9)]

@@ -1,10 +1,11 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND with every passage of every text.
 
-Texts are cut into overlapping passages of words. An item's score for a passage is its BM25 score divided by the score it gives to
-its own words, so one threshold serves all items. Before the search, all passages of a batch get an upper bound at once: the weights
+Texts are cut into overlapping passages of words, and items longer than a passage into pieces no longer than one; both go by their
+item's id. A piece's score for a passage is its BM25 score divided by the score it gives to its own words, so one threshold serves
+pieces of all lengths. A piece that stands in a text lies within two neighbouring passages, so one of them holds half its score. Before the search, all passages of a batch get an upper bound at once: the weights
 of rare terms are added up per passage and item, and common terms count in full for every item. Only passages whose bound reaches
 the threshold are searched, so none above it is lost. What is retrieved is then verified: the item's question and its answer
-must both be found as word n-grams near the passage.
+must both be found, whole, as word n-grams near the passage.
 
 The index is built in shards of at most shard_bytes of item text, and every shard meets every passage, so memory does not grow
 with the number of items. Null and empty texts and items match nothing; items without a word are skipped; repeated items are
@@ -30,21 +31,27 @@ BLOCK = 32
 
 
 class ItemIndex:
-    """Postings of one shard of items, with block maxima, and the parts that the bound needs."""
+    """Postings of one shard of items, with block maxima, and the parts that the bound needs. Items of more than piece_words words stand in several pieces.
 
-    def __init__(self, items: list[tuple], threshold: float, gram: int = 3):
+    ids, parts and sizes (in words) are by item; words, owner (the piece's item) and the postings are by piece."""
+
+    def __init__(self, items: list[tuple], threshold: float, gram: int = 3, piece_words: int = 64):
         self.threshold, self.gram = threshold, gram
-        self.ids, self.parts, self.words = [], [], []
+        self.ids, self.parts, self.sizes, self.words, self.owner = [], [], [], [], []
+        df: Counter = Counter()
         for item_id, text in items:
             question, answer = split_item(text or "")
             words = _hashes(text or "")
             if len(words):
+                pieces = np.array_split(words, -(-len(words) // piece_words))
+                self.words += pieces
+                self.owner += [len(self.ids)] * len(pieces)
                 self.ids.append(item_id)
-                self.words.append(words)
+                self.sizes.append(len(words))
+                df.update(set(words.tolist()))
                 self.parts.append((self._grams(_hashes(question)), self._grams(_hashes(answer))))
         counts = [Counter(w.tolist()) for w in self.words]
-        df = Counter(t for c in counts for t in c)
-        n, mean = len(counts), max(1.0, float(np.mean([len(w) for w in self.words])) if self.words else 1.0)
+        n, mean = len(self.ids), max(1.0, float(np.mean([len(w) for w in self.words])) if self.words else 1.0)
         postings: dict[int, list] = {}
         for d, c in enumerate(counts):
             length = sum(c.values())
@@ -54,7 +61,7 @@ class ItemIndex:
                 postings.setdefault(t, []).append((d, w / total))
         self.lists = {t: ([d for d, _ in p], [w for _, w in p], [max(w for _, w in p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)], max(w for _, w in p)) for t, p in postings.items()}
         # the most common terms count in full for each item, as long as they alone reach no more than half the threshold
-        common, rest = np.zeros(max(1, n)), []
+        common, rest = np.zeros(max(1, len(counts))), []
         for t in sorted(self.lists, key=lambda t: (-len(self.lists[t][0]), t)):
             docs, weights, _, _ = self.lists[t]
             if not rest and (common[docs] + weights).max() <= threshold / 2:
@@ -96,7 +103,7 @@ class ItemIndex:
         return np.unique(key[sums + self.common[key % len(self.common)] >= self.threshold - 1e-9] // len(self.common))
 
     def search(self, passage: list[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: every item whose score for the passage's terms reaches the threshold."""
+        """Block-max WAND: every piece whose score for the passage's terms reaches the threshold."""
         cursors = [[self.lists[t], 0] for t in set(passage) if t in self.lists]
         out, least = [], self.threshold - 1e-9
         while cursors:
@@ -181,10 +188,11 @@ def _contaminated(index: ItemIndex, words: np.ndarray, first: np.ndarray, half:
         r = int(np.searchsorted(base, win, "right")) - 1
         lo = int(first[r]) + (win - int(base[r])) * half
         hi = min(lo + 2 * half, int(first[r + 1]))
-        for item, score in index.search(words[lo:hi].tolist()):
+        for piece, score in index.search(words[lo:hi].tolist()):
+            item = index.owner[piece]
             if best.get((r, item), (0,))[0] >= score:
                 continue
-            reach = len(index.words[item])
+            reach = index.sizes[item]
             q, a = index.verify(item, words[max(int(first[r]), lo - reach) : min(int(first[r + 1]), hi + reach)].tolist())
             if q >= least and a >= least:
                 best[r, item] = (score, q, a)
@@ -192,7 +200,7 @@ def _contaminated(index: ItemIndex, words: np.ndarray, first: np.ndarray, half:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage_words: int = 64, threshold: float = 0.4, least_overlap: float = 0.5, shard_bytes: int = 16 << 20) -> DataFrame:
-    """One row per text and test item found in it: id, item id, score (share of the item's own BM25 score), question_overlap, answer_overlap."""
+    """One row per text and test item found in it: id, item id, score (share of the BM25 score that the item, or its best piece, gives to itself), question_overlap, answer_overlap."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     names = [id_col, f"found_{item_col}" if item_col == id_col else item_col, "score", "question_overlap", "answer_overlap"]
     schema = f"`{names[0]}` {kind}, `{names[1]}` {item_kind}, score double, question_overlap double, answer_overlap double"
@@ -204,7 +212,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         shard = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == k).collect()]
 
         def work(batches, shard=shard):
-            index = ItemIndex(shard, threshold)
+            index = ItemIndex(shard, threshold, piece_words=max(1, passage_words // 2 * 2))
             kinds = [pa.field(names[0], pa.null()), pa.field(names[1], pa.from_numpy_dtype(np.int64))]
             for whole in batches:
                 kinds[0] = whole.schema.field(0)
