@@ -1,7 +1,8 @@
 """Secret scans: patterns propose candidates, and a random forest takes out the false ones.
 
 Candidates are words with the look of a key (known prefixes, assignments to names such as token or password, long mixed or
-hexadecimal runs). The forest sees a candidate's length, its character transitions, how much of it dictionary words cover, path
+hexadecimal runs). A word without blanks may hold many: each known key, and each key=value or key:value part of a query string, a
+line of JSON, CSV or configuration, is tested for itself. The forest sees a candidate's length, its character transitions, how much of it dictionary words cover, path
 signs, and the neighbouring words. It is trained from labelled findings: (text, start, end, is_secret), by default a fixed set that
 `labelled_findings` generates by rule from a seed.
 
@@ -29,6 +30,11 @@ _CUES = re.compile(r"secret|token|passw|pwd|api.?key|access.?key|auth|credential
 _DULL = re.compile(r"commit|sha\d*|md5|hash|checksum|digest|uuid|guid|id\b|example|sample|test|dummy|version|revision|etag|integrity|nonce|page|image|path", re.I)
 _KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 _EDGE = "\"'`,;()[]{}<>"
+#: Between the parts of a word; what assigns; what ends a key on its left; what ends an unquoted value: a quote, a brace, or the next key.
+_PART = re.compile(r"[&,;\"'`{}]")
+_MARK = re.compile(r"[:=]+>?")
+_KEY_CUT = re.compile(r"[\"'`&,;{}?=:<>\s]")
+_NEXT = re.compile(r"[\"'`{}]|[&,;](?=[\"']?[\w.\[\]-]{1,64}[\"']?[:=])")
 _REACH = 48
 
 
@@ -59,28 +65,75 @@ def features(value: str, before: str, after: str) -> list[float]:
     ]
 
 
+def _key(text: str, lo: int, mark: int) -> str:
+    """The name just before a mark of assignment."""
+    return _KEY_CUT.split(text[max(lo, mark - 64) : mark].rstrip("\"'`])"))[-1]
+
+
+def _end(text: str, lo: int, b: int) -> int:
+    """Where the assigned value that starts at lo ends: at its closing quote, or else where the next part starts."""
+    if lo > 0 and text[lo - 1] in "\"'`":
+        hi = text.find(text[lo - 1], lo, b)
+        return b if hi < 0 else hi
+    m = _NEXT.search(text, lo, b)
+    return m.start() if m else b
+
+
 def candidates(text: str, spans) -> list[tuple[int, int]]:
     """Spans of candidates among the words (spans in code points) that the quick look took out."""
     out = []
     for a, b in spans:
-        word = text[a:b]
-        cut = max(word.rfind("="), word.find(":") if "://" not in word else -1)
-        named = cut >= 0 and bool(_CUES.search(word[:cut]))
-        lo = a + cut + 1 if cut >= 0 and named else a
-        if m := _KNOWN.search(word):
-            out.append((a + m.start(), a + m.end()))
-            continue
+        found = [m.span() for m in _KNOWN.finditer(text, a, b)]
+        taken = bytearray(b - a)
+        for lo, hi in found:
+            taken[lo - a : hi - a] = b"\1" * (hi - lo)
+
+        def propose(lo, hi, assigned, a=a, taken=taken, found=found):
+            while lo < hi and text[lo] in _EDGE:
+                lo += 1
+            while hi > lo and text[hi - 1] in _EDGE + ".":
+                hi -= 1
+            if hi - lo < (6 if assigned else 16) or 1 in taken[lo - a : hi - a]:
+                return
+            value = text[lo:hi]
+            mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+            if assigned or mixed and re.fullmatch(r"[A-Za-z0-9+/=_.-]+", value):
+                found.append((lo, hi))
+                taken[lo - a : hi - a] = b"\1" * (hi - lo)
+
+        near = text[max(0, a - 24) : a]
+        lo = a
         while lo < b and text[lo] in _EDGE:
             lo += 1
-        hi = b
-        while hi > lo and text[hi - 1] in _EDGE + ".":
-            hi -= 1
-        value = text[lo:hi]
-        near = text[max(0, a - 24) : a]
-        assigned = named or bool(re.search(r"(?:[:=])\s*[\"']?$", near) and _CUES.search(near))
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        if len(value) >= 6 and assigned or len(value) >= 16 and mixed and re.fullmatch(r"[A-Za-z0-9+/=_.-]+", value):
-            out.append((lo, hi))
+        past = a  # the end of the last assigned value: marks in it assign nothing
+        if re.search(r"(?:[:=])\s*[\"']?$", near) and _CUES.search(near):
+            past = _end(text, lo, b)
+            propose(lo, past, True)
+        parts = [a, *(m.end() for m in _PART.finditer(text, a, b)), b + 1]
+        for p, q in zip(parts, parts[1:], strict=False):
+            part = text[p : q - 1]
+            # a part without inner quotes or separators is named by all that stands before its last mark, as in token[0]=x
+            cut = max(part.rstrip("=").rfind("="), part.rfind(":") if "://" not in part else -1)
+            marks = [m for m in _MARK.finditer(text, max(p, past), q - 1)] if max(p, past) < q - 1 else []
+            named = False
+            for m in marks:
+                if m.start() < past or text[m.start() : m.start() + 3] == "://":
+                    continue
+                if _CUES.search(_key(text, a, m.start())):
+                    lo = m.end()
+                    while lo < b and text[lo] in _EDGE and text[lo] not in ",;":
+                        lo += 1
+                    past = _end(text, lo, b)
+                    propose(lo, past, True)
+                    named = True
+            if named or p < past:
+                continue
+            if cut >= 0 and _CUES.search(part[:cut]):
+                propose(p + cut + 1, q - 1, True)
+            elif cut >= 0 and ":" in part:
+                propose(p + cut + 1, q - 1, False)
+            propose(p, q - 1, False)
+        out += sorted(found)
     return out
 
 
