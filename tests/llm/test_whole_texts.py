@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tickloom.llm import decontaminate, secrets_forest
+from tickloom.llm import decontaminate, licenses, secrets_forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +53,14 @@ def test_known_keys_on_one_line_are_all_found(spark):
     text = '{"a":"%s","b":"%s"}' % (AWS, GH)
     (row,) = secrets_forest.scan_secrets(docs_of(spark, [text])).collect()
     assert [f.value for f in row.findings] == [AWS, GH] and all(f.is_secret for f in row.findings)
+
+
+def test_licences_in_long_lines_and_runs(spark):
+    rng = random.Random(12)
+    gpl, mit, mpl = " ".join(licenses.TEMPLATES["gpl"][1:]), licenses.TEMPLATES["mit"][1], " ".join(licenses.TEMPLATES["mpl-2.0"])
+    wrapped = "\n".join(" ".join(gpl.split()[k : k + 7]) for k in range(0, len(gpl.split()), 7))
+    code = "\n".join(prose(rng, 6) for _ in range(120))
+    texts = [prose(rng, 500) + " " + mpl + " " + prose(rng, 300), wrapped + "\n" + code, code + "\n" + wrapped, " ".join([mit] * 20), prose(rng, 900), prose(rng, 430) + " " + mit + " " + prose(rng, 500) + " " + mpl + " " + prose(rng, 77)]
+    got = {r.doc_id: [(f.family, texts[r.doc_id][f.a : f.b]) for f in r.findings if f.family != "unknown"] for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    assert [sorted({family for family, _ in got[k]}) for k in range(6)] == [["mpl-2.0"], ["gpl"], ["gpl"], ["mit"], [], ["mit", "mpl-2.0"]]
+    assert got[3][0][1] == texts[3] and all(len(t.split()) < 200 for k in (0, 1, 2, 5) for _, t in got[k])

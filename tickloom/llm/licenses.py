@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier with an unknown class, confirmed by template comparison.
 
-Paragraphs are the lines of a text, and the runs of consecutive non-blank lines as wholes (licence headers are wrapped). Hashed word
+Paragraphs are the lines of a text, and the runs of consecutive non-blank lines as wholes (licence headers are wrapped). Those that are
+too long to be judged as a whole are judged in overlapping windows of several sizes, and what overlapping windows find is merged. Hashed word
 unigrams and bigrams enter a multinomial logistic regression over licence families and `none`. Its probabilities are calibrated by a
 temperature fitted on held-out examples, and a paragraph whose best family stays under `least` is unknown. A family that is predicted
 is confirmed only if enough of the word bigrams of one of its templates stand in the paragraph; else it is unknown too.
@@ -149,10 +150,52 @@ def _paragraphs(data: np.ndarray, at: np.ndarray):
     return np.concatenate([starts, starts[first[many]]]), np.concatenate([ends, ends[last[many]]]), np.concatenate([row, row[first[many]]])
 
 
+def _windows(lo: np.ndarray, hi: np.ndarray, most: int, least: int = 25):
+    """Windows over words lo to hi of each long paragraph: paragraph, first word, word after the last, and scale (1 for the smallest).
+
+    A window of a scale starts every half of its size, the last one at the end, so that every word, and every run of half a window, is whole in one."""
+    sizes = [most]
+    while sizes[0] // 2 >= least:
+        sizes.insert(0, sizes[0] // 2)
+    out = [np.zeros((4, 0), np.int64)]
+    for k in range(len(lo)):
+        for scale, size in enumerate(sizes, 1):
+            a = np.append(np.arange(lo[k], hi[k] - size, max(1, size // 2)), hi[k] - size)
+            out.append(np.stack([np.full(len(a), k), a, a + size, np.full(len(a), scale)]))
+    return np.concatenate(out, axis=1)
+
+
+def _merged(found: list[dict]) -> list[dict]:
+    """Findings of a family that overlap, as one each."""
+    out: dict[str, list] = {}
+    for f in sorted(found, key=lambda f: (f["a"], f["b"])):
+        of = out.setdefault(f["family"], [])
+        if of and f["a"] < of[-1]["b"]:
+            of[-1].update(b=max(of[-1]["b"], f["b"]), probability=max(of[-1]["probability"], f["probability"]), overlap=max(of[-1]["overlap"], f["overlap"]))
+        else:
+            of.append(dict(f))
+    return [f for of in out.values() for f in of]
+
+
+def _settled(found: list[dict]) -> list[dict]:
+    """The findings of a text: a larger paragraph only where no smaller one in it is named already, and windows merged."""
+    plain, scales = [f for f in found if not f["scale"]], sorted({f["scale"] for f in found} - {0})
+    merged = [f for k in scales for f in _merged([f for f in found if f["scale"] == k])]
+    named: list[dict] = []
+    for f in sorted([*plain, *merged], key=lambda f: (f["b"] - f["a"], f["a"])):
+        if not any(f["a"] <= g["a"] and g["b"] <= f["b"] and (g["family"] != "unknown" or f["family"] == "unknown") for g in named):
+            named.append(f)
+    plain, windows = [f for f in named if not f["scale"]], _merged([f for f in named if f["scale"]])
+    meets = lambda f, g: f["a"] < g["b"] and g["a"] < f["b"]
+    sure = [f for f in [*plain, *windows] if f["family"] != "unknown"]
+    windows = [f for f in windows if not any(meets(f, g) for g in (sure if f["family"] == "unknown" else plain) if g["family"] == f["family"] or f["family"] == "unknown")]
+    return [{k: v for k, v in f.items() if k != "scale"} for f in sorted([*plain, *windows], key=lambda f: (f["a"], f["b"]))]
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenseModel | None = None, least: float = 0.6, overlap: float = 0.6, block_words: int = 400) -> DataFrame:
     """id, and findings (array of start, end, family, probability, overlap), for every row. A family is `unknown` where the model is unsure or no template confirms it.
 
-    block_words: longest run of lines that is judged as a whole, besides its lines; longer ones are prose with a licence line at most."""
+    block_words: longest line or run of lines that is judged as a whole; longer ones are judged in overlapping windows of that size, and of its halves down to 25 words."""
     kind = docs.schema[id_col].dataType.simpleString()
     model = model or LicenseModel()
     found_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("overlap", pa.float64())]))
@@ -162,7 +205,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for batch in slices(whole, text_col):
                 out: list[list] = [[] for _ in range(batch.num_rows)]
                 data, at = utf8(batch.column(1))
-                words, _, (starts, _) = word_hashes(plain(data), at)
+                words, _, (starts, stops) = word_hashes(plain(data), at)
                 if len(words):
                     grams = ngram_hashes(words, 2)
                     single = model.weights[(words % np.uint64(BUCKETS)).astype(np.int64)]
@@ -172,8 +215,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     p0, p1, row = _paragraphs(data, at)
                     lo, hi = np.searchsorted(starts, p0), np.searchsorted(starts, p1)
                     size = hi - lo
-                    keep = (size >= 2) & (size <= block_words)
-                    p0, p1, row, lo, hi = (v[keep] for v in (p0, p1, row, lo, hi))
+                    keep, long = (size >= 2) & (size <= block_words), np.flatnonzero(size > block_words)
+                    of, first, end, scale = _windows(lo[long], hi[long], block_words)
+                    p0, p1 = np.concatenate([p0[keep], starts[first]]), np.concatenate([p1[keep], stops[end - 1]])
+                    row, scale = np.concatenate([row[keep], row[long][of]]), np.concatenate([np.zeros(keep.sum(), np.int64), scale])
+                    lo, hi = np.concatenate([lo[keep], first]), np.concatenate([hi[keep], end])
                     sums = total1[hi] - total1[lo] + total2[hi - 1] - total2[lo]
                     best = model.probabilities(sums, 2 * (hi - lo) - 1)
                     for k in np.flatnonzero(best.argmax(1) > 0).tolist():
@@ -182,14 +228,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         sure = best[k, j] >= least and share >= overlap
                         base = int(at[row[k]])
                         a = len(data[base : p0[k]].tobytes().decode())
-                        out[row[k]].append({"a": a, "b": a + len(data[p0[k] : p1[k]].tobytes().decode()), "family": FAMILIES[j] if sure else "unknown", "probability": float(best[k, j]), "overlap": share})
-                for o in out:  # a whole run only where no line in it is named already
-                    o.sort(key=lambda f: (f["b"] - f["a"], f["a"]))
-                    named = []
-                    for f in o:
-                        if not any(f["a"] <= g["a"] and g["b"] <= f["b"] and (g["family"] != "unknown" or f["family"] == "unknown") for g in named):
-                            named.append(f)
-                    o[:] = sorted(named, key=lambda f: (f["a"], f["b"]))
+                        out[row[k]].append({"a": a, "b": a + len(data[p0[k] : p1[k]].tobytes().decode()), "family": FAMILIES[j] if sure else "unknown", "probability": float(best[k, j]), "overlap": share, "scale": int(scale[k])})
+                out = [_settled(o) for o in out]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, found_type)], names=[id_col, "findings"])
 
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, findings array<struct<a:int,b:int,family:string,probability:double,overlap:double>>")
