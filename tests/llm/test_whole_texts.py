@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tickloom.llm import decontaminate, licenses, secrets_forest
+from tickloom.llm import decontaminate, licenses, mcd, secrets_forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,3 +64,15 @@ def test_licences_in_long_lines_and_runs(spark):
     got = {r.doc_id: [(f.family, texts[r.doc_id][f.a : f.b]) for f in r.findings if f.family != "unknown"] for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
     assert [sorted({family for family, _ in got[k]}) for k in range(6)] == [["mpl-2.0"], ["gpl"], ["gpl"], ["mit"], [], ["mit", "mpl-2.0"]]
     assert got[3][0][1] == texts[3] and all(len(t.split()) < 200 for k in (0, 1, 2, 5) for _, t in got[k])
+
+
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(60, 90)), "en" if i < 120 else "de", f"s{i % 30}" if i < 120 else "big", 0) for i in range(240)]
+    odd = " ".join(w + "#$%&" for w in prose(rng, 70).split())
+    rows += [(900, odd, "en", "s1", 0), (901, odd, "xx", "rare", 0), (902, prose(rng, 70), "xx", "rare", 0), (903, odd, None, None, 0), (904, None, "xx", "rare", 0)]
+    got = {r.doc_id: r for r in mcd.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == 245 and all((r.distance is None) == r.base_failed for r in got.values())
+    assert [got[k].base_failed for k in (900, 901, 902, 903, 904)] == [False, False, False, False, True]
+    assert not any(got[k].kept for k in (900, 901, 903, 904)) and got[902].kept
+    assert sum(not got[i].kept for i in range(240)) <= 3

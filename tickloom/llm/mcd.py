@@ -7,8 +7,8 @@ from them; repeat), and a text goes if its Mahalanobis distance is beyond a chi-
 group and task, and quantiles by a sketch of fixed size, so a group with a third of all rows is no burden to one task.
 
 Null texts count as texts without words and fail the base rules. Null languages and sources form groups of their own. Tied
-distances are kept together. A group with fewer than least_rows rows that pass the base rules, too few to estimate from, keeps
-those rows. Repeated rows are judged alike. Columns besides id, text, lang and source are not read.
+distances are kept together. A group with fewer than least_rows rows that pass the base rules, too few to estimate from, is judged
+by estimates from all rows of its language, and where those are too few as well, from all rows. Repeated rows are judged alike. Columns besides id, text, lang and source are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ VECTOR = {"x0": 0.25, "x1": 0.10, "x2": 0.15, "x3": 0.10, "x4": 0.15}
 
 #: Rows of a group meet the group's estimates in this many places, so that a group with a third of all rows is no one task's burden.
 SALTS = 16
+#: The pool of all rows; no group or language has this name.
+_ALL = "\u0002"
 
 
 def _beside(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
@@ -141,16 +143,29 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 4) -> Da
     return at.drop("c").join(rows.groupBy("grp").agg(F.count("*").alias("rows")), "grp")
 
 
+def _judges(passed: DataFrame, least_rows: int) -> DataFrame:
+    """Per group of rows that pass the base rules: whose estimates judge it, its own, its language's or those of all rows."""
+    groups = passed.groupBy("grp", "lang_pool").agg(F.count("*").alias("n"))
+    langs = groups.groupBy("lang_pool").agg(F.sum("n").alias("n_lang"))
+    judge = F.when(F.col("n") >= least_rows, F.col("grp")).when(F.col("n_lang") >= least_rows, F.col("lang_pool")).otherwise(F.lit(_ALL))
+    return groups.join(langs, "lang_pool").select("grp", judge.alias("judge"))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 4, least_rows: int = 40, beyond: float = 1 - 1e-9) -> DataFrame:
-    """id, the five statistics, base_failed, distance (squared; null where not judged) and kept, for every row."""
-    group = F.concat_ws("\u0000", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (lang_col, source_col)))
-    counted = text_statistics(docs.select(F.col(id_col), F.col(text_col), group.alias("grp")), id_col, text_col).drop(text_col)
+    """id, the five statistics, base_failed, distance (squared; null where the base rules failed) and kept, for every row."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    group, pool = F.concat_ws("\u0000", part(lang_col), part(source_col)), F.concat(F.lit("\u0001"), part(lang_col))
+    counted = text_statistics(docs.select(F.col(id_col), F.col(text_col), group.alias("grp"), pool.alias("lang_pool")), id_col, text_col).drop(text_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     vector = {"x0": F.log1p(n), "x1": F.log1p(F.col("word_chars") / n), "x2": F.asinh(10 * F.col("n_symbols") / n), "x3": F.sqrt(F.col("n_dup_lines") / n), "x4": F.sqrt(F.col("n_repeat_words") / n)}
     rows = written(counted.withColumn("base_failed", failed).withColumns(vector | {"salt": F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")}), "mcd-rows")
-    passed = rows.where(~F.col("base_failed")).select("grp", "salt", *VECTOR)
-    at = written(robust_estimates(passed, share, steps), "mcd-estimates")
-    far = _beside(rows, at, "left").withColumn("distance", F.when(~F.col("base_failed") & (F.col("rows") >= least_rows), _distance(len(VECTOR))))
+    passed = rows.where(~F.col("base_failed"))
+    judges = written(_judges(passed, least_rows), "mcd-judges")
+    pools = F.explode(F.array("grp", "lang_pool", F.lit(_ALL))).alias("grp")
+    used = judges.select(F.col("judge").alias("grp")).distinct()
+    at = written(robust_estimates(_beside(passed.select("salt", *VECTOR, pools), used), share, steps), "mcd-estimates")
+    far = _beside(rows, judges.join(at.withColumnRenamed("grp", "judge"), "judge").drop("judge"), "left")
+    far = far.withColumn("distance", F.when(~F.col("base_failed"), _distance(len(VECTOR))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(beyond, len(VECTOR)), F.lit(True))
     return far.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
