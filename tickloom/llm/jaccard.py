@@ -10,7 +10,7 @@
    component, and enough of them in its prefixes; the other classes are done. Sets that are left are cut into buckets by shingle
    hash. If two sets are similar, so are their parts in some bucket, and the parts share one of the first few shingles. So parts meet by
    those shingles; DivideSkip over each meeting finds the similar parts, and their documents are compared as wholes.
-Links of both kinds are exact: 100 * shared >= 80 * united. None is lost, whatever the sizes of groups: large blocks are cut into
+Links of both kinds are exact: 100 * shared >= 80 * united. None that joins two components is lost (others are not sought), whatever the sizes of groups: large blocks are cut into
 chunks that share the block's first document, and large meetings into pairs of chunks.
 
 Lower case is of A-Z; words stand between characters 9 to 13 and 32. A text of fewer words than a shingle has its whole word
