@@ -92,15 +92,59 @@ def test_near_copies(spark, corpus):
     assert jaccard.near_copies(docs_of(spark, [])).count() == 0
 
 
+def some_near_group(rng, copies):
+    """A text and copies of it with words changed at random, many of them just above or below the threshold of one another."""
+    words = prose(rng, 90).split()
+    out = []
+    for _ in range(copies):
+        v = list(words)
+        for k in rng.sample(range(len(v)), rng.choice([1, 1, 2, 3])):
+            v[k] = "".join(rng.choices("abc", k=6))
+        out.append(" ".join(v))
+    return out
+
+
 def test_second_search_alone_loses_no_link(spark, corpus):
-    docs = docs_of(spark, corpus)
-    sketches = jaccard._sketches(docs, "doc_id", "text", 5).where("digest is not null")
-    classes = sketches.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("n", "id").alias("n"), F.min_by("prefix", "id").alias("prefix")).select("node", "n", "prefix")
+    texts = corpus + some_near_group(random.Random(21), 300)
+    docs = docs_of(spark, texts)
+    classes = jaccard._classes(jaccard._sketches(docs, "doc_id", "text", 5))
+    sets = jaccard._sets_of(docs, classes.select("node", "least", "digest", "id", "text_key"), "doc_id", "text", 5).cache()
     none = spark.createDataFrame([], "node long, root long")
-    links = {(r.a, r.b) for r in jaccard._remaining_links(docs, classes, none, "doc_id", "text", 5, 4).collect()}
-    sets = {r.node: sets_of(corpus[r.node]) for r in classes.collect()}
-    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert links == want
+    links = {(r.a, r.b) for r in jaccard._remaining_links(sets, none).collect()}
+    of = {r.node: sets_of(texts[r.node]) for r in classes.collect()}
+    assert links == {(a, b) for a in of for b in of if a < b and 100 * len(of[a] & of[b]) >= 80 * len(of[a] | of[b])}
+
+
+def test_sets_under_the_bound_have_no_similar_set(spark, corpus):
+    texts = corpus + some_near_group(random.Random(22), 100)
+    sets = [sets_of(t) for t in texts]
+    docs = docs_of(spark, texts)
+    classes = {r.cls: r for r in jaccard._classes(jaccard._sketches(docs, "doc_id", "text", 5)).collect()}
+    counts = {r.cls: r.c for r in jaccard._shared_counts(docs.repartition(3), "text", 5, 5).collect()}
+    done = {r.id for r in classes.values() if 100 * (r.n - r.counted + counts.get(r.cls, 0)) < 80 * r.n}
+    for k in done:
+        assert not any(s != sets[k] and 100 * len(s & sets[k]) >= 80 * len(s | sets[k]) for s in sets)
+    assert len(done) > 15
+
+
+def test_a_large_near_group_closes(spark):
+    rng = random.Random(23)
+    texts = some_near_group(rng, 1500)
+    sizes, roots = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_copies(docs_of(spark, texts)).collect()}
+    assert got == {k: (sizes[k], roots[k]) for k in range(len(texts))}
+
+
+def test_texts_under_one_id_or_none_are_linked_each_for_itself(spark):
+    rng = random.Random(24)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b + " end"), (None, c), (None, c), (4, c), (None, None), (5, ""), (5, ""), (None, prose(rng, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _id", "2 as _KEY", "3 as component_key")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.near_copies(docs).collect())
+    assert [(i, c) for i, _, c in got] == [(0, 0), (0, 0), (0, 4), (0, 4), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5)]
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == sorted([(1, a), (1, b), (4, c), (0, ""), (5, ""), (0, rows[-1][1])])
 
 
 def test_components_of_a_path(spark):

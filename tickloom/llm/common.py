@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -41,16 +39,6 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let go of the shuffle files of jobs that are done: the driver only drops them once its own garbage is collected.
-
-    One collection finds the plans, the next what they held; the files go a moment later."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def release() -> None:
     """Delete every table made by written() so far. Call it once results built on them are stored."""
     _delete(_tables)
@@ -74,6 +62,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words_col(text: Column | str) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -18,7 +18,7 @@ def op1_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of near copies of every text of documents."""
-    return jaccard.near_copies(table(spark, sf_dir, "documents")).drop("class_id")
+    return jaccard.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
