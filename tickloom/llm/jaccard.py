@@ -1,10 +1,11 @@
 """Near copies: documents whose sets of distinct 5-word shingles have a Jaccard similarity of at least 0.8, and their components.
 
-1. A pass over the texts makes, per document, its set's size, a digest of the set and a few least hashes. Documents with one and the
+1. A pass over the texts makes, per document, its set's size and a digest of the set. Documents with one and the
    same set form a class, which one node stands for from here on.
 2. A set that is similar to another shares at least four fifths of its shingles with it. A second pass counts, per class, how many of
    its shingles stand in other classes too; shingles with an upper half hash are left out for large sets, and the bound is lowered by
-   as many. Classes under the bound have no similar set anywhere and are done; those left, the open ones, are written with their sets.
+   as many. Classes under the bound have no similar set anywhere and are done; those left, the open ones, are written with their sets and a few
+   least hashes.
 3. Open classes that share a least hash meet in blocks. In a block each set looks for the leaders before it by T-occurrence search
    (DivideSkip over the inverted lists of the leaders), and links to those that are similar; else it becomes a leader. Large blocks
    are cut into chunks that share the block's first set; a second round lets one set of each component found so far meet across chunks.
@@ -78,10 +79,9 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
             for batch in slices(whole, text_col):
                 sets = shingle_sets(*utf8(batch.column(1)), shingle)
                 digest = [_class_key(s) if len(s) else None for s in sets]
-                least = [[int(mix(s ^ _U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min().astype(np.int64)) for k in range(LEAST_HASHES)] if len(s) else [] for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(_counted, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array([None if d is None else _short(d) for d in digest], pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["id", "text_key", "n", "counted", "digest", "cls", "least"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(_counted, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array([None if d is None else _short(d) for d in digest], pa.int64())], names=["id", "text_key", "n", "counted", "digest", "cls"])
 
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_key")).mapInArrow(work, "id bigint, text_key bigint, n bigint, counted bigint, digest binary, cls bigint, least array<bigint>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_key")).mapInArrow(work, "id bigint, text_key bigint, n bigint, counted bigint, digest binary, cls bigint")
 
 
 def _packed(part: np.ndarray, parts: int, columns: list[np.ndarray]) -> list[pa.Array]:
@@ -138,19 +138,15 @@ def _shared_counts(docs: DataFrame, text_col: str, shingle: int, parts: int) ->
                 none = pa.nulls(len(part), pa.binary())
                 yield pa.RecordBatch.from_arrays([part, none, none, classes, counts], names=["part", "low", "mid", "classes", "counts"])
 
-    def counted(cls, own, c):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (cls.view(np.int64), own, c)], names=["cls", "own", "c"])
-
     def gather(batches):
         tokens, classes = [], []
         for b in batches:
-            for low, mid, cls, own in zip(*(b.column(j).to_pylist() for j in range(1, 5)), strict=True):
-                cls = np.frombuffer(cls, np.uint64)
+            for part, low, mid, cls, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if own is not None:
-                    yield counted(cls, np.frombuffer(own, np.int64), np.zeros(len(cls), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (cls, own, bytes(len(own))))], names=["home", "classes", "own", "c"])
                 else:
                     tokens.append(np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(mid, np.uint16).astype(np.uint64) << _U(32))
-                    classes.append(cls)
+                    classes.append(np.frombuffer(cls, np.uint64))
         if not tokens:
             return
         token, cls = np.concatenate(tokens), np.concatenate(classes)
@@ -166,24 +162,38 @@ def _shared_counts(docs: DataFrame, text_col: str, shingle: int, parts: int) ->
         again = np.zeros(len(token), bool)
         again[1:] = (token[1:] >> _U(1) == token[:-1] >> _U(1)) & (cls[1:] == cls[:-1])
         found, counts = np.unique(cls[cross & ~again & (token & _U(1) == 0)], return_counts=True)
-        yield counted(found, np.zeros(len(found), np.int64), counts)
+        out = _packed((mix(found) % _U(parts)).astype(np.int64), parts, [found, np.zeros(len(found), np.int64), counts.astype(np.int64)])
+        yield pa.RecordBatch.from_arrays(out, names=["home", "classes", "own", "c"])
+
+    def add_up(batches):
+        packed: list[list] = [[], [], []]
+        for b in batches:
+            for k, kind in enumerate((np.uint64, np.int64, np.int64)):
+                packed[k] += [np.frombuffer(x, kind) for x in b.column(k + 1).to_pylist()]
+        if packed[0]:
+            cls, at = np.unique(np.concatenate(packed[0]), return_inverse=True)
+            own, c = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
+            np.maximum.at(own, at, np.concatenate(packed[1]))
+            np.add.at(c, at, np.concatenate(packed[2]))
+            yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64), pa.int64()), pa.array(own + c, pa.int64())], names=["cls", "c"])
 
     sent = docs.select(text_col).mapInArrow(scatter, "part int, low binary, mid binary, classes binary, counts binary")
-    every = sent.repartition(parts, "part").mapInArrow(gather, "cls bigint, own bigint, c bigint")
-    return every.groupBy("cls").agg((F.max("own") + F.sum("c")).alias("c"))
+    every = sent.repartition(parts, "part").mapInArrow(gather, "home int, classes binary, own binary, c binary")
+    return every.repartition(parts, "home").mapInArrow(add_up, "cls bigint, c bigint")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """node, least, and tokens (the shingle set as bytes) of the wanted classes, each read from the one text of it that `wanted` names."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
-    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("text_key"))).select("node", "least", "digest", "_text")
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("text_key"))).select("node", "digest", "_text")
 
     def work(batches):
         for whole in batches:
             for batch in slices(whole, "_text"):
-                sets = shingle_sets(*utf8(batch.column(3)), shingle)
-                same = pa.array([_class_key(s) == d for s, d in zip(sets, batch.column(2).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "least", "tokens"]).filter(same)
+                sets = shingle_sets(*utf8(batch.column(2)), shingle)
+                same = pa.array([_class_key(s) == d for s, d in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+                least = [[int(mix(s ^ _U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min().astype(np.int64)) for k in range(LEAST_HASHES)] if len(s) else [] for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "least", "tokens"]).filter(same)
 
     return texts.mapInArrow(work, "node bigint, least array<bigint>, tokens binary").dropDuplicates(["node"])
 
@@ -381,10 +391,10 @@ def _remaining_links(sets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _classes(sketches: DataFrame) -> DataFrame:
-    """digest, n, counted, least, the id and text key of the class's first row, and node: that id, or a name of the class's own where the id stands for another class or is null."""
+    """digest, n, counted, cls, the id and text key of the class's first row, and node: that id, or a name of the class's own where the id stands for another class or is null."""
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
-    grouped = sketches.where("digest is not null").groupBy("digest").agg(F.min(place).alias("p"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("cls").alias("cls"), F.first("least").alias("least"))
-    grouped = written(grouped.select("digest", "n", "counted", "cls", "least", "p.id", "p.text_key"), "jac-grouped")
+    grouped = sketches.where("digest is not null").groupBy("digest").agg(F.min(place).alias("p"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("cls").alias("cls"))
+    grouped = written(grouped.select("digest", "n", "counted", "cls", "p.id", "p.text_key"), "jac-grouped")
     first = grouped.where("id is not null").groupBy("id").agg(F.min("digest").alias("d2")).withColumnRenamed("id", "i2")
     own = F.when(F.col("digest") == F.col("d2"), F.col("id")).otherwise(F.xxhash64("digest").bitwiseOR(F.lit(-1 << 63)))
     return grouped.join(first, F.col("id") == F.col("i2"), "left").withColumn("node", own).drop("d2", "i2")
@@ -396,10 +406,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = written(_sketches(docs, id_col, text_col, shingle), "jac-sketch")
     classes = written(_classes(sketches), "jac-classes")
     named = _named(classes.select("digest", "id", "node"), _roots(docs, classes, id_col, text_col, shingle))
-    least = named.where("comp <> node").select(F.col("comp").alias("c2")).distinct()
-    least = named.join(least, F.col("comp") == F.col("c2")).groupBy("c2").agg(F.min("id").alias("root_id"))
-    named = named.join(least, F.col("comp") == F.col("c2"), "left")
-    named = named.select(F.col("digest").alias("d2"), F.col("id").alias("class_id"), F.when(F.col("c2").isNull(), F.col("id")).otherwise(F.col("root_id")).alias("root_id"), "comp")
+    named = named.withColumn("root_id", F.col("comp"))
+    odd = written(named.where("comp = node and (id is null or id <> node)").select(F.col("comp").alias("c2")), "jac-odd")
+    if not odd.isEmpty():  # components whose least node is not an id
+        least = named.join(odd, F.col("comp") == F.col("c2")).groupBy("c2").agg(F.min("id").alias("least"))
+        named = named.join(least, F.col("comp") == F.col("c2"), "left").withColumn("root_id", F.when(F.col("c2").isNull(), F.col("comp")).otherwise(F.col("least")))
+    named = named.select(F.col("digest").alias("d2"), F.col("id").alias("class_id"), "root_id", "comp")
     out = sketches.select("id", "n", "digest", "text_key").join(named, F.col("digest") == F.col("d2"), "left")
     own = lambda c: F.when(F.col("d2").isNull(), F.col("id")).otherwise(F.col(c))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own("class_id").alias("class_id"), own("root_id").alias("component_id"), F.col("comp").alias("component_key"), "text_key")
@@ -412,7 +424,7 @@ def _roots(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shin
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GATHERED))
     counts = _shared_counts(docs, text_col, shingle, parts)
     wanted = classes.join(counts.withColumnRenamed("cls", "cls2"), F.col("cls") == F.col("cls2"), "left").where("100 * (n - counted + coalesce(c, 0)) >= 80 * n")
-    wanted = written(wanted.select("node", "least", "digest", "id", "text_key"), "jac-open")
+    wanted = written(wanted.select("node", "digest", "id", "text_key"), "jac-open")
     sets = written(_sets_of(docs, wanted, id_col, text_col, shingle), "jac-sets")
     members = written(_blocks(sets), "jac-members")
     roots = written(components(written(_block_links(sets, members), "jac-links"), "jac-cc"), "jac-roots")
