@@ -2,21 +2,26 @@
 
 Segments that look like numbers, ids or dates become wildcards at once, so a host's pages shrink to its path shapes; everything
 after that works on the table of shapes. From the root down, a segment under a template becomes a wildcard where the template has
-many different ones and this one is rare. From the leaves up, sibling branches whose profiles (what follows them, and whether
-their pages are labelled block, allow or not at all) pass a chi-square test against their pool are merged. A template whose
-labelled pages are almost all blocked, smoothed towards the share over all labelled pages, is rejected. Pages labelled by a rule
-follow the rule; the others follow their template.
+many different ones and this one is rare. From the leaves up, sibling branches that are alike are merged: each branch that goes on is
+described by how its pages share out over what follows; those with the same most common continuation are pooled, and a branch that
+passes a chi-square test against its pool takes the pool's name. Labels play no part in that, so branches without labelled pages merge
+with branches that have some, and share their verdict. Both walks go as deep as paths of a host still part; below that there is nothing
+to generalise or merge.
+
+A template's purity is the share of blocked pages among its labelled ones, smoothed towards its host's, and that towards the share
+over all labelled pages. A template with labelled pages and a purity of least_purity or more is rejected. Pages labelled by a rule
+follow the rule; the others follow their template, and are allowed if that is not rejected.
 
 Null urls and urls without :// have empty host and path, fit no rule, and form a template of their own host ''. Repeated urls
-count as often as they occur; an empty table gives an empty result. Paths deeper than max_depth keep the first segments and one
-wildcard for the rest. Columns besides id and url are not read, so their names cannot clash.
+count as often as they occur; of tied continuations the first in order counts as the most common. Urls of any length and depth are
+taken whole. An empty table gives an empty result. Columns besides id and url are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import written
@@ -25,7 +30,8 @@ from tickloom.llm.common import written
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: A segment that varies from page to page: a number, a long hexadecimal id, anything with three digits in a row, or a very long one; an extension stays.
 _VARIES = r"^(?:[0-9]+|[0-9A-Fa-f-]{12,}|[^.]*[0-9]{3}[^.]*|.{41,}?)(\.[A-Za-z][A-Za-z0-9]{0,4})?$"
-_SALT = 16
+#: Rows of one shape that meet its verdict in one place; a more common shape is split over as many places as that takes.
+_TOGETHER = 1_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,73 +52,96 @@ def rule_col(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, action
 
 
-def shape_col(path: Column, max_depth: int) -> Column:
+def shape_col(path: Column) -> Column:
     """The path with varying segments as wildcards, as an array of segments; the first is what stands after the leading slash."""
-    segments = F.transform(F.slice(F.split(path, "/"), 2, max_depth), lambda s: F.regexp_replace(s, _VARIES, "*$1"))
-    return F.when(F.size(F.split(path, "/")) - 1 > max_depth, F.concat(segments, F.array(F.lit("**")))).otherwise(segments)
+    return F.transform(F.slice(F.split(path, "/"), 2, 1 << 30), lambda s: F.regexp_replace(s, _VARIES, "*$1"))
 
 
 def _with_segment(shape: Column, d: int, value: Column) -> Column:
     return F.transform(shape, lambda s, i: F.when(i == d, value).otherwise(s))
 
 
-def _generalised(shapes: DataFrame, depth: int, max_literals: int, min_share: float) -> DataFrame:
-    """From the root down: rare segments among many become wildcards. Columns host, shape (as found), template (array)."""
-    for d in range(depth):
-        at = shapes.withColumn("_pre", F.slice("template", 1, d)).withColumn("_seg", F.get("template", F.lit(d)))
-        each = at.where("_seg is not null").groupBy("host", "_pre", "_seg").agg(F.sum("n").alias("_c"))
-        per = Window.partitionBy("host", "_pre")
-        rare = each.withColumn("_k", F.count("*").over(per)).withColumn("_t", F.sum("_c").over(per)).where((F.col("_k") > max_literals) & (F.col("_c") < min_share * F.col("_t")) & (F.col("_seg") != ""))
-        rare = rare.select(F.col("host").alias("_h"), F.col("_pre").alias("_p"), F.col("_seg").alias("_s"), F.lit(True).alias("_rare"))
-        at = at.join(rare, (at.host == rare._h) & (at._pre == rare._p) & (at._seg == rare._s), "left")
-        shapes = at.select("host", "shape", F.when(F.col("_rare"), _with_segment(F.col("template"), d, F.lit("*"))).otherwise(F.col("template")).alias("template"), "n", "blocked", "allowed")
-    return shapes
+def _at(shapes: DataFrame, d: int) -> DataFrame:
+    """Shapes with the template's first d segments and the next one."""
+    return shapes.withColumn("_pre", F.slice("template", 1, d)).withColumn("_seg", F.get("template", F.lit(d)))
+
+
+def _renamed(shapes: DataFrame, names: DataFrame, d: int) -> DataFrame:
+    """Shapes whose segment d, under its prefix, takes the name that `names` (_h, _p, _s, _name) has for it."""
+    at = _at(shapes, d)
+    at = at.join(names, (at.host == names._h) & (at._pre == names._p) & (at._seg == names._s), "left")
+    return at.withColumn("template", F.when(F.col("_name").isNotNull(), _with_segment(F.col("template"), d, F.col("_name"))).otherwise(F.col("template"))).select(*_COLUMNS)
+
+
+_COLUMNS = ("host", "shape", "template", "n", "blocked", "allowed")
+
+
+def _generalised(shapes: DataFrame, max_literals: int, min_share: float) -> tuple[DataFrame, int]:
+    """From the root down: rare segments among many become wildcards. Also the depth at which no prefix has two different segments any more."""
+    d = 0
+    while True:
+        each = _at(shapes, d).where("_seg is not null").groupBy("host", "_pre", "_seg").agg(F.sum("n").alias("_c"))
+        under = each.groupBy("host", "_pre").agg(F.count("*").alias("_k"), F.sum("_c").alias("_t")).where("_k > 1").select(F.col("host").alias("_h"), F.col("_pre").alias("_p"), "_k", "_t")
+        under = written(under, f"path-under-{d}")
+        most = under.agg(F.max("_k")).first()[0]
+        if most is None:
+            deeper = shapes.where(F.size("template") > d + 1).groupBy("host", F.slice("template", 1, d + 1)).agg(F.count_distinct("template").alias("c")).where("c > 1")
+            if deeper.isEmpty():
+                return shapes, d
+        elif most > max_literals:
+            many = under.where(F.col("_k") > max_literals)
+            rare = each.join(many, (F.col("host") == F.col("_h")) & (F.col("_pre") == F.col("_p"))).where((F.col("_c") < min_share * F.col("_t")) & (F.col("_seg") != ""))
+            shapes = written(_renamed(shapes, rare.select("_h", "_p", F.col("_seg").alias("_s"), F.lit("*").alias("_name")), d), f"path-wild-{d}")
+        d += 1
 
 
 def _merged(shapes: DataFrame, depth: int) -> DataFrame:
-    """From the leaves up: sibling branches with like profiles get one name, {a|b|...} of the branches in it."""
+    """From the leaves up: sibling branches with like continuations get one name, {a|...} after the first of them."""
     for d in reversed(range(depth)):
-        cells = shapes.withColumn("_pre", F.slice("template", 1, d)).withColumn("_seg", F.get("template", F.lit(d))).withColumn("_rest", F.expr(f"slice(template, {d + 2}, 1000)"))
-        kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("m")) for k, c in (("block", "blocked"), ("allow", "allowed"), ("none", "plain"))))
-        cells = cells.where("_seg is not null").withColumn("plain", F.col("n") - F.col("blocked") - F.col("allowed")).select("host", "_pre", "_seg", "_rest", F.inline(kinds)).where("m > 0")
-        cells = cells.groupBy("host", "_pre", "_seg", "_rest", "kind").agg(F.sum("m").alias("m"))
-        branch = Window.partitionBy("host", "_pre", "_seg")
-        main = F.first(F.struct("kind", "_rest")).over(branch.orderBy(F.desc("m"), "kind", "_rest").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        cells = cells.withColumn("_main", main).withColumn("_n", F.sum("m").over(branch)).withColumn("_df", F.count("*").over(branch) - 1)
-        pool = Window.partitionBy("host", "_pre", "_main")
-        share = F.sum("m").over(Window.partitionBy("host", "_pre", "_main", "_rest", "kind")) / F.sum("m").over(pool)
-        expected = F.col("_n") * share
-        tested = cells.withColumn("_x", (F.col("m") - expected) * (F.col("m") - expected) / expected - expected).withColumn("_e", expected)
+        cells = _at(shapes, d).where(F.size("template") > d + 1).withColumn("_rest", F.slice("template", d + 2, 1 << 30)).groupBy("host", "_pre", "_seg", "_rest").agg(F.sum("n").alias("m"))
+        cells = written(cells, f"path-cells-{d}")
+        branches = cells.groupBy("host", "_pre", "_seg").agg(F.sum("m").alias("_n"), (F.count("*") - 1).alias("_df"), F.min_by("_rest", F.struct(-F.col("m"), "_rest")).alias("_main"))
+        pools = branches.groupBy("host", "_pre", "_main").agg(F.count("*").alias("_b"), F.sum("_n").alias("_pn")).where("_b > 1")
+        branches = written(branches.join(pools, ["host", "_pre", "_main"]), f"path-branches-{d}")
+        if branches.isEmpty():
+            continue
+        cells = cells.join(branches, ["host", "_pre", "_seg"])
+        shares = cells.groupBy("host", "_pre", "_main", "_rest").agg((F.sum("m") / F.first("_pn")).alias("_share"))
+        expected = F.col("_n") * F.col("_share")
+        tested = cells.join(shares, ["host", "_pre", "_main", "_rest"]).withColumn("_x", (F.col("m") - expected) * (F.col("m") - expected) / expected - expected)
         # cells that a branch lacks add their expectation, which is _n less what is listed
         tested = tested.groupBy("host", "_pre", "_seg", "_main").agg((F.sum("_x") + F.max("_n")).alias("_chi"), F.max("_df").alias("_df"))
-        tested = tested.withColumn("_like", F.col("_chi") <= F.col("_df") + 2.33 * F.sqrt(2.0 * F.col("_df") + 1))
-        group = Window.partitionBy("host", "_pre", "_main", "_like")
-        names = tested.withColumn("_some", F.count("*").over(group)).where("_like and _some > 1").withColumn("_first", F.min("_seg").over(group))
-        names = names.select(F.col("host").alias("_h"), F.col("_pre").alias("_p"), F.col("_seg").alias("_s"), F.concat(F.lit("{"), F.col("_first"), F.lit("|...}")).alias("_name"))
-        at = shapes.withColumn("_pre", F.slice("template", 1, d)).withColumn("_seg", F.get("template", F.lit(d)))
-        at = at.join(names, (at.host == names._h) & (at._pre == names._p) & (at._seg == names._s), "left")
-        shapes = at.select("host", "shape", F.when(F.col("_name").isNotNull(), _with_segment(F.col("template"), d, F.col("_name"))).otherwise(F.col("template")).alias("template"), "n", "blocked", "allowed")
+        like = written(tested.where(F.col("_chi") <= F.col("_df") + 2.33 * F.sqrt(2.0 * F.col("_df") + 1)), f"path-like-{d}")
+        firsts = like.groupBy("host", "_pre", "_main").agg(F.count("*").alias("_some"), F.min("_seg").alias("_first")).where("_some > 1")
+        names = like.join(firsts, ["host", "_pre", "_main"]).select(F.col("host").alias("_h"), F.col("_pre").alias("_p"), F.col("_seg").alias("_s"), F.concat(F.lit("{"), F.col("_first"), F.lit("|...}")).alias("_name"))
+        shapes = written(_renamed(shapes, names, d), f"path-merged-{d}")
     return shapes
 
 
-def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_depth: int = 8, max_literals: int = 32, min_share: float = 0.02, strength: float = 10.0, least_purity: float = 0.8) -> DataFrame:
-    """id, host, path, rule, verdict (allow or block), template and its purity (smoothed share of blocked among labelled pages)."""
+def _purity(blocked: Column, allowed: Column, prior: Column, strength: float) -> Column:
+    return (blocked + strength * prior) / (blocked + allowed + strength)
+
+
+def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_literals: int = 32, min_share: float = 0.02, strength: float = 10.0, least_purity: float = 0.8) -> DataFrame:
+    """id, host, path, rule, verdict (allow or block), template, its labelled pages and its purity (smoothed share of blocked ones among them)."""
     url = F.col(url_col)
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, action = rule_col(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "_action": action, "shape": shape_col(F.col("path"), max_depth)})
+    rows = rows.withColumns({"rule": rule, "_action": action, "shape": shape_col(F.col("path"))})
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("_action") == "block").alias("blocked"), F.count_if(F.col("_action") == "allow").alias("allowed"))
-    shapes = written(shapes.withColumn("template", F.col("shape")), "path-shapes")
-    depth = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
-    shapes = written(_generalised(shapes, depth, max_literals, min_share), "path-templates")
-    shapes = written(_merged(shapes, depth), "path-merged")
+    shapes = written(shapes.withColumn("template", F.col("shape")).select(*_COLUMNS), "path-shapes")
+    places = max(1, -(-(shapes.agg(F.max("n")).first()[0] or 0) // _TOGETHER))
+    shapes, depth = _generalised(shapes, max_literals, min_share)
+    shapes = _merged(shapes, depth)
+    totals = [F.sum(c).alias(c) for c in ("blocked", "allowed")]
     overall = shapes.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("blocked") + F.sum("allowed")), F.lit(0.0)).alias("q")).first()[0]
-    purity = (F.sum("blocked") + strength * overall) / (F.sum("blocked") + F.sum("allowed") + strength)
-    templates = shapes.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(purity.alias("purity"))
-    judged = shapes.join(templates, (shapes.host == templates._h) & (shapes.template == templates._t)).select(F.col("host").alias("_host"), F.col("shape").alias("_shape"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
-    judged = judged.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(_SALT)).cast("int"))
-    out = rows.join(judged, (rows.host == judged._host) & (rows["shape"] == judged["_shape"]) & (F.col("_salt") == F.col("_salt2")), "left")
-    verdict = F.coalesce("_action", F.when(F.col("purity") >= least_purity, "block").otherwise("allow"))
-    return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    templates = written(shapes.groupBy("host", "template").agg(*totals), "path-templates")
+    hosts = templates.groupBy("host").agg(*totals).select("host", _purity(F.col("blocked"), F.col("allowed"), F.lit(overall), strength).alias("_prior"))
+    templates = templates.join(hosts, "host").select(F.col("host").alias("_h"), F.col("template").alias("_t"), (F.col("blocked") + F.col("allowed")).alias("labelled"), _purity(F.col("blocked"), F.col("allowed"), F.col("_prior"), strength).alias("purity"))
+    judged = shapes.join(templates, (shapes.host == templates._h) & (shapes.template == templates._t)).select(F.col("host").alias("_host"), F.col("shape").alias("_shape"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "labelled", "purity")
+    judged = judged.withColumn("_place2", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    rows = rows.withColumn("_place", F.pmod(F.xxhash64(id_col), F.lit(places)).cast("int"))
+    out = rows.join(judged, (rows.host == judged._host) & (rows["shape"] == judged["_shape"]) & (F.col("_place") == F.col("_place2")), "left")
+    verdict = F.coalesce("_action", F.when((F.col("labelled") > 0) & (F.col("purity") >= least_purity), "block").otherwise("allow"))
+    return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "template", "labelled", "purity")
