@@ -199,3 +199,54 @@ def test_state_per_token(spark, tmp_path):
     q.awaitTermination()
     r = one(spark.table("state_test"))
     assert (r.n, r.flat_run, r.is_dead) == (4, 3, True) and math.isclose(r.ewm, 1.875)
+
+
+def test_presets_follow_the_length():
+    assert learning.PRESETS["lightgbm_medium_term"] == (240, 120, 120) and len(learning.PRESETS) == 9
+
+
+def test_adaptive_folds(spark):
+    rows = [(n,) for n in (150, 100, 399, 599, 620, 1199, 1799, 5000)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "n int").select(*learning.fold_plan(F.col("n"))).collect()]
+    assert got == [(60, 30, 30), (60, 30, 30), (120, 30, 30), (180, 60, 60), (480, 70, 70), (480, 120, 120), (720, 180, 180), (960, 240, 240)]
+
+
+def test_archetype_names(spark):
+    rows = [(95.0, 30.0, 0.6, 0.0), (95.0, 30.0, 0.1, 0.0), (95.0, 200.0, 0.0, 0.0), (95.0, 900.0, 0.0, 0.0), (60.0, 0.0, 0.0, 0.2), (60.0, 0.0, 0.0, 0.0), (10.0, 0.0, 0.4, 0.2), (10.0, 0.0, 0.0, 0.01), (10.0, 0.0, 0.0, 0.07)]
+    got = [r.archetype for r in acf.archetype_name(spark.createDataFrame(rows, "pct_dead double, avg_lifespan double, avg_return double, avg_volatility double")).collect()]
+    assert got == ["Quick Pump & Death", "Dead on Arrival", "Slow Bleed", "Extended Decline", "Phoenix Attempt", "Zombie Walker", "Survivor Pump", "Stable Survivor", "Survivor Organic"]
+
+
+def test_peaks_keep_the_higher_of_two_close_ones():
+    p = np.array([0, 3, 0, 5, 5, 5, 0, 4, 0, 0, 9, 0, 1], float)
+    assert grouped._peaks(p, 1).tolist() == [1, 4, 7, 10] and grouped._peaks(p, 4).tolist() == [4, 10]
+
+
+def test_rolling_entropy_equals_a_loop(spark):
+    rng = np.random.default_rng(5)
+    p = np.exp(np.cumsum(rng.normal(size=200) / 50))
+    s = make(spark, a=p.tolist(), flat=[1.0] * 80)
+    got = {(r.token_id, r.row): r.entropy for r in grouped.rolling_entropy(s, 60, 10).collect()}
+    r = p[1:] / p[:-1] - 1
+    for k in range(60, 200):
+        q = np.histogram(r[k - 60 : k], 10)[0] / 60
+        assert got["a", k] == pytest.approx(-(q[q > 0] * np.log(q[q > 0])).sum())
+    assert got["flat", 70] == 0
+
+
+def test_each_strategy_does_its_own_steps(spark):
+    dying = [1.0 + 0.01 * (k % 7) for k in range(100)] + [2.0] * 80
+    s = make(spark, a=dying)
+    assert cleaning.clean(s, "gentle").count() == 180 and cleaning.clean(s, "aggressive").count() == 180
+    assert cleaning.clean(s, "minimal").count() == 102 and cleaning.clean(s, "preserve").count() == 102
+    gap = s.where("seq not between 20 and 25")
+    assert [cleaning.clean(gap, x).count() for x in ("gentle", "aggressive")] == [174, 180]
+
+
+def test_batch_pipeline_runs_all_stages(spark):
+    from tickloom.plans import pipeline
+
+    rng = np.random.default_rng(6)
+    s = make(spark, **{f"t{k}": np.exp(np.cumsum(rng.normal(size=300) / 100)).tolist() for k in range(3)})
+    rows = pipeline.run_pipeline(s, (15,)).collect()
+    assert len(rows) == 3 * 240 and {r.category for r in rows} <= set(cleaning.STRATEGIES) and sum(r.label_15m is None for r in rows) == 45

@@ -106,14 +106,18 @@ def behaviour(features: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def cluster_summary(features: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Per cluster: tokens, share dead, mean lifespan, volatility and return."""
-    return features.groupBy(cluster).agg(F.count("*").alias("tokens"), (100 * F.avg(F.col("is_dead").cast("double"))).alias("pct_dead"), F.avg("lifespan_minutes").alias("avg_lifespan"), F.avg("std_return").alias("avg_volatility"), F.avg("mean_return").alias("avg_return"))
+    """Per cluster: tokens, share dead, mean lifespan, and mean volatility and return of the first five minutes."""
+    return features.groupBy(cluster).agg(F.count("*").alias("tokens"), (100 * F.avg(F.col("is_dead").cast("double"))).alias("pct_dead"), F.avg("lifespan_minutes").alias("avg_lifespan"), F.avg("volatility_5min").alias("avg_volatility"), F.avg("return_5min").alias("avg_return"))
 
 
 def archetype_name(summary: DataFrame) -> DataFrame:
-    """A name from share dead, lifespan and volatility."""
-    p, v = F.col("pct_dead"), F.col("avg_volatility")
-    name = F.when(p > 80, F.when(F.col("avg_lifespan") < 200, "quick_death").otherwise("slow_death")).when(v > 0.1, "volatile_survivor").when(p < 20, "steady_survivor").otherwise("mixed")
+    """A name from share dead, lifespan, early return and volatility."""
+    p, life, ret, v = F.col("pct_dead"), F.col("avg_lifespan"), F.col("avg_return"), F.col("avg_volatility")
+    # fixed values: the names and their limits
+    dead = F.when((life < 60) & (ret > 0.5), "Quick Pump & Death").when(life < 60, "Dead on Arrival").when(life < 360, "Slow Bleed").otherwise("Extended Decline")
+    mixed = F.when(v > 0.1, "Phoenix Attempt").otherwise("Zombie Walker")
+    alive = F.when((ret > 0.3) & (v > 0.1), "Survivor Pump").when(v < 0.05, "Stable Survivor").otherwise("Survivor Organic")
+    name = F.when(p > 90, dead).when(p > 50, mixed).otherwise(alive)
     return summary.withColumn("archetype", name)
 
 

@@ -5,6 +5,8 @@ Every step keeps or drops rows and leaves a column `audit` (array of what was do
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from tickloom.functions.rolling import in_order, whole, from_here, KEY, PRICE, T
 #: Strategy by category, and the thresholds of each strategy.
 STRATEGIES = {"normal_behavior_tokens": "gentle", "dead_tokens": "minimal", "tokens_with_extremes": "preserve", "tokens_with_gaps": "aggressive"}
 LISTING = {"gentle": (10, 100.0, 0.99, 3), "minimal": (5, 200.0, 0.995, 2), "aggressive": (20, 10.0, 0.90, 5)}
-GAP_LIMITS = {"gentle": 10, "minimal": 2, "aggressive": 3}
+GAP_LIMITS = {"gentle": 2, "preserve": 3, "aggressive": 10}
+ERROR_LIMITS = {"aggressive": 100.0}
 INVALID_LIMITS = {"gentle": 0.05, "preserve": 0.10}
 RATIO_LIMITS = {"short_term": 50e6, "medium_term": 10e6, "long_term": 1e6}
 MIN_ROWS = 60
@@ -194,25 +197,31 @@ def universal_checks(s: DataFrame, horizon: str = "short_term") -> DataFrame:
 
 
 def clean(s: DataFrame, strategy: str) -> DataFrame:
-    """The steps of one strategy: gentle, minimal, preserve or aggressive."""
-    if strategy == "preserve":
-        return invalid_prices(s, INVALID_LIMITS["preserve"]).drop("is_fixed")
-    rows = without_artifacts(s, strategy)
-    if strategy == "aggressive":
-        rows = data_errors(rows, 100.0, 100.0).drop("is_error")
-    else:
-        rows = data_errors(rows).drop("is_error")
-    rows = invalid_prices(rows, INVALID_LIMITS["gentle"]).drop("is_fixed")
-    return fill_gaps(minute_means(rows), GAP_LIMITS[strategy]).drop("is_filled")
+    """The steps of one strategy, in its order.
+
+    gentle: listing artifacts, data errors, small gaps, invalid prices. minimal: the death tail (it would leak), data errors, invalid
+    prices. preserve: the death tail, invalid prices, corruption, critical gaps. aggressive: listing artifacts, wide gaps, data errors,
+    invalid prices."""
+    artifacts = lambda r: without_artifacts(r, strategy)
+    gaps = lambda r: fill_gaps(minute_means(r), GAP_LIMITS[strategy]).drop("is_filled")
+    errors = lambda r: data_errors(r, replace=ERROR_LIMITS.get(strategy)).drop("is_error")
+    invalid = lambda r: invalid_prices(r, INVALID_LIMITS.get(strategy, INVALID_LIMITS["gentle"])).drop("is_fixed")
+    steps = {"gentle": (artifacts, errors, gaps, invalid), "minimal": (trim_death_tail, errors, invalid), "preserve": (trim_death_tail, invalid, cut_corruption, gaps), "aggressive": (artifacts, gaps, errors, invalid)}
+    for step in steps[strategy]:
+        s = step(s)
+    return s
+
+
+def cut_corruption(s: DataFrame, **how) -> DataFrame:
+    """Rows before the token's corruption cut."""
+    rows = with_row(s).join(corruption_cuts(s, **how), KEY, "left")
+    return rows.where(F.col("cut").isNull() | (F.col("rn") < F.col("cut"))).drop("rn", "cut")
 
 
 def clean_by_category(s: DataFrame) -> DataFrame:
-    """Series with a column category, each cleaned by its category's strategy."""
-    out = None
-    for category, strategy in STRATEGIES.items():
-        part = clean(s.where(F.col("category") == category).drop("category"), strategy).select(KEY, TIME, TIE, PRICE).withColumn("category", F.lit(category))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Series with a column category, each cleaned by its category's strategy. s is read once for each category: store it first where it is dear."""
+    parts = [clean(s.where(F.col("category") == category).drop("category"), strategy).select(KEY, TIME, TIE, PRICE).withColumn("category", F.lit(category)) for category, strategy in STRATEGIES.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def graduated(s: DataFrame) -> DataFrame:

@@ -155,8 +155,3 @@ def token_matrix(s: DataFrame, buckets: int = 24) -> DataFrame:
     """A row per token, a column per early row: simple returns, for clustering and PCA."""
     rows = with_row(s).withColumn("r", pct_change()).where((F.col("rn") >= 1) & (F.col("rn") <= buckets))
     return rows.groupBy(KEY).pivot("rn", list(range(1, buckets + 1))).agg(F.first("r")).withColumnsRenamed({str(k): f"r{k}" for k in range(1, buckets + 1)})
-
-
-def seen_both(s: DataFrame) -> DataFrame:
-    """Forward and backward filled price beside the original."""
-    return s.withColumns({"ffill": F.last(PRICE, ignorenulls=True).over(so_far()), "bfill": F.last(PRICE, ignorenulls=True).over(from_here())})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from tickloom.functions.rolling import in_order, whole, KEY, PRICE, so_far, TIE,
 HORIZONS = (15, 30, 60, 120, 240, 360, 720)
 SAFE = ("log_returns", *(f"log_returns_mean_{n}" for n in (10, 30, 60)), *(f"log_returns_vol_{n}" for n in (10, 30, 60)), "log_returns_min_30", "log_returns_max_30", *(f"price_momentum_{n}" for n in (10, 30, 60)), "sma_20", "sma_50", "ema_12", "ema_26", "macd_line", "macd_signal", "macd_histogram", "bb_upper", "bb_lower", "bb_position")
 #: Parts of column names that give away a look ahead or a whole-series statistic.
-UNSAFE = ("future", "target", "label", "total_", "global_", "max_price", "min_price", "final_", "overall")
+UNSAFE = ("total_return", "max_gain", "max_drawdown", "price_range", "global_", "spectral_entropy", "max_periodicity", "dominant_period", "has_strong_cycles", "cycle_interpretation", "granularity")
 
 
 def log_return(n: int = 1) -> Column:
@@ -133,7 +131,13 @@ def clean_numbers(df: DataFrame) -> DataFrame:
 
 def unsafe_columns(df: DataFrame, patterns=UNSAFE) -> list[str]:
     """Columns whose names give away a look ahead."""
-    return [c for c in df.columns if any(re.search(p, c.lower()) for p in patterns)]
+    return [c for c in df.columns if any(p in c.lower() for p in patterns)]
+
+
+def name_report(df: DataFrame, patterns=UNSAFE) -> DataFrame:
+    """Every column's name, and whether it gives away a look ahead."""
+    unsafe = set(unsafe_columns(df, patterns))
+    return df.sparkSession.createDataFrame([(c, c not in unsafe) for c in df.columns], "column string, is_safe boolean")
 
 
 def constant_columns(df: DataFrame, columns: list[str], least_range: float = 1e-9) -> DataFrame:
@@ -183,6 +187,15 @@ def bot_features(s: DataFrame) -> DataFrame:
     return rows.withColumn("initial_dump_flag", F.coalesce(F.bool_or("_early").over(whole()), F.lit(False))).drop("_early")
 
 
+def bot_autocorrelation(s: DataFrame, lags: int = 10) -> DataFrame:
+    """Autocorrelation of each token's returns at lags 1 to `lags` (deviations from the mean of all, over the sum of squares of all); 0 where there are too few rows or no variance."""
+    rows = _rows(s).where(F.col("ret").isNotNull())
+    rows = rows.withColumn("_d", F.col("ret") - F.avg("ret").over(whole()))
+    products = rows.withColumns({f"_p{k}": F.col("_d") * lag("_d", k) for k in range(1, lags + 1)})
+    enough = F.count("*") > lags
+    return products.groupBy(KEY).agg(*(F.coalesce(F.when(enough, ratio(F.sum(f"_p{k}"), F.sum(F.col("_d") * F.col("_d")))), F.lit(0.0)).alias(f"acf_lag_{k}") for k in range(1, lags + 1)))
+
+
 def split_80_20(s: DataFrame, share: float = 0.8) -> DataFrame:
     """`split`: train for the first share of each token's rows, else test."""
     rows = with_row(s).withColumn("_n", F.count("*").over(whole()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,21 +30,26 @@ def _returns(p: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(r), r, 0.0)
 
 
-def hurst(s: DataFrame, lags: tuple[int, int] = (2, 20)) -> DataFrame:
-    """Rescaled range over chunks of each lag; the slope of its logarithm on that of the lag."""
+def hurst(s: DataFrame, lags: int = 20) -> DataFrame:
+    """Slope of the logarithm of the rescaled range, over chunks of log returns of 2 to lags - 1 rows, on that of the chunk's size; null for fewer than 2 * lags rows or returns."""
 
     def work(p):
-        r, xs, ys = _returns(p), [], []
-        for n in range(*lags):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.log(p[1:] / p[:-1])
+        r = r[np.isfinite(r)]
+        if min(len(p), len(r)) < 2 * lags:
+            return [(None,)]
+        ranges = []
+        for n in range(2, lags):
             chunks = r[: len(r) // n * n].reshape(-1, n)
-            if len(chunks):
-                dev = np.cumsum(chunks - chunks.mean(1, keepdims=True), 1)
-                sd = chunks.std(1)
-                ok = sd > 0
-                if ok.any():
-                    xs.append(np.log(n))
-                    ys.append(np.log(max(1e-12, ((dev.max(1) - dev.min(1))[ok] / sd[ok]).mean())))
-        return [(float(np.polyfit(xs, ys, 1)[0]) if len(xs) > 2 else None,)]
+            sd = chunks.std(1)
+            dev = np.cumsum(chunks - chunks.mean(1, keepdims=True), 1)
+            if (sd > 0).any():
+                ranges.append(((np.ptp(dev, 1))[sd > 0] / sd[sd > 0]).mean())
+        if len(ranges) < 2:
+            return [(None,)]
+        x, y = np.log(np.arange(2, 2 + len(ranges))), np.log(np.maximum(ranges, 1e-300))
+        return [(float(np.polyfit(x, y, 1)[0]),)]
 
     return _per_token(s, "hurst double", work)
 
@@ -154,26 +161,34 @@ def rsi_divergence(s: DataFrame, n: int = 14, last: int = 50) -> DataFrame:
     return _per_token(s, "divergence string", work)
 
 
-def elliott(s: DataFrame, distance: int = 20) -> DataFrame:
-    """Alternating extremes at least `distance` rows apart, in windows of five that rise or fall as impulse waves do."""
+def _peaks(p: np.ndarray, distance: int) -> np.ndarray:
+    """Rows of local maxima (the middle of a flat top), of which the higher of two less than `distance` rows apart stays."""
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    last = np.concatenate([first[1:], [len(p)]]) - 1
+    v = p[first]
+    top = np.zeros(len(v), bool)
+    top[1:-1] = (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])
+    at = (first[top] + last[top]) // 2
+    kept: list[int] = []
+    for k in at[np.lexsort((-at, -p[at]))].tolist():
+        spot = bisect_left(kept, k)
+        if not any(abs(kept[j] - k) < distance for j in (spot - 1, spot) if 0 <= j < len(kept)):
+            kept.insert(spot, k)
+    return np.array(kept, np.int64)
+
+
+def elliott(s: DataFrame, distance: int = 20, least_move: float = 0.05) -> DataFrame:
+    """Every run of five neighbouring extremes, at least `distance` rows apart within their kind, whose first move is over least_move of its price: rows and the four moves."""
 
     def work(p):
-        ends: list[tuple[int, float, int]] = []
-        for k in range(len(p)):
-            around = p[max(0, k - distance) : k + distance + 1]
-            kind = 1 if p[k] == around.max() else -1 if p[k] == around.min() else 0
-            if kind and (not ends or kind != ends[-1][2]):
-                ends.append((k, p[k], kind))
-        out = []
-        for k in range(len(ends) - 4):
-            (i, a, _), (_, b, _), (_, c, _), (_, d, _), (j, e, _) = ends[k : k + 5]
-            if a < c < e and b < d:
-                out.append((i, j, "impulse_up"))
-            elif a > c > e and b > d:
-                out.append((i, j, "impulse_down"))
-        return out
+        ends = np.sort(np.concatenate([_peaks(p, distance), _peaks(-p, distance)]))
+        if len(ends) < 5:
+            return []
+        moves = np.diff(p[ends])
+        at = np.flatnonzero(np.abs(moves[: len(ends) - 4]) > p[ends[: len(ends) - 4]] * least_move)
+        return [(int(ends[k]), int(ends[k + 4]), *(float(x) for x in moves[k : k + 4])) for k in at.tolist()]
 
-    return _per_token(s, "start_row int, end_row int, wave string", work)
+    return _per_token(s, "start_row int, end_row int, wave_1 double, wave_2 double, wave_3 double, wave_4 double", work)
 
 
 def higuchi(s: DataFrame, most: int = 8) -> DataFrame:
@@ -199,12 +214,17 @@ def rolling_entropy(s: DataFrame, n: int = 60, bins: int = 10) -> DataFrame:
     """Entropy of the histogram of the last n returns, and its share of the largest possible."""
 
     def work(p):
-        r, out = _returns(p), []
-        for k in range(n, len(r) + 1):
-            c, _ = np.histogram(r[k - n : k], bins)
-            q = c[c > 0] / n
-            h = float(-(q * np.log(q)).sum())
-            out.append((k, h, h / np.log(bins)))
+        r = _returns(p)
+        out = []
+        for lo in range(0, len(r) - n + 1, 4096):  # so many windows at once
+            w = np.lib.stride_tricks.sliding_window_view(r[lo : lo + 4096 + n - 1], n)
+            least, most = w.min(1, keepdims=True), w.max(1, keepdims=True)
+            flat = most == least
+            least, most = np.where(flat, least - 0.5, least), np.where(flat, most + 0.5, most)
+            k = np.minimum(((w - least) / (most - least) * bins).astype(np.int64), bins - 1)
+            q = np.stack([(k == j).mean(1) for j in range(bins)], 1)
+            h = -(q * np.log(np.where(q > 0, q, 1))).sum(1)
+            out += zip((lo + n + np.arange(len(h))).tolist(), h.tolist(), (h / np.log(bins)).tolist(), strict=True)
         return out
 
     return _per_token(s, "row int, entropy double, relative_entropy double", work)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.ewm import with_ewm
-from tickloom.functions.rolling import KEY, PRICE, so_far, high, lag, low, mean, pct_change, ratio, std, total, with_returns
+from tickloom.functions.rolling import high, KEY, lag, low, mean, pct_change, PRICE, ratio, so_far, std, total, with_returns
 
 
 def bollinger(s: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
@@ -64,13 +64,17 @@ def efficiency_ratio(s: DataFrame, n: int = 10) -> DataFrame:
     return rows.withColumn("efficiency_ratio", ratio(F.abs(F.col(PRICE) - lag(PRICE, n)), total("_step", n))).drop("_step")
 
 
-def vwap_bands(s: DataFrame, n: int = 60, volume: str | None = None, width: float = 2.0) -> DataFrame:
-    """Volume-weighted mean price of the last n rows and bands around it; without volume, every row weighs the same."""
-    v = F.col(volume).cast("double") if volume else F.lit(1.0)
-    rows = s.withColumns({"_v": v, "_pv": F.col(PRICE) * v, "_ppv": F.col(PRICE) * F.col(PRICE) * v})
-    rows = rows.withColumn("vwap", ratio(total("_pv", n), total("_v", n)))
-    spread = F.sqrt(F.greatest(F.lit(0.0), ratio(total("_ppv", n), total("_v", n)) - F.col("vwap") ** 2))
-    return rows.withColumns({"vwap_upper": F.col("vwap") + width * spread, "vwap_lower": F.col("vwap") - width * spread}).drop("_v", "_pv", "_ppv")
+def vwap_bands(s: DataFrame, anchors: tuple[int, ...] = (5, 60, 240), volume: str | None = None) -> DataFrame:
+    """Per anchor n: volume-weighted mean price of the last n rows, bands one price deviation of these rows around it, and the price's relative distance from it.
+
+    Without volume, the size of the return stands in for it. `vwap` is that of the first anchor."""
+    v = F.col(volume).cast("double") if volume else F.abs(pct_change()) + 1e-10
+    rows = s.withColumn("_v", v).withColumn("_pv", F.col(PRICE) * F.col("_v"))
+    for n in anchors:
+        rows = rows.withColumns({f"vwap_{n}": ratio(total("_pv", n), total("_v", n)), "_sd": std(PRICE, n)})
+        middle = F.col(f"vwap_{n}")
+        rows = rows.withColumns({f"vwap_upper_{n}": middle + F.col("_sd"), f"vwap_lower_{n}": middle - F.col("_sd"), f"vwap_distance_{n}": ratio(F.col(PRICE) - middle, middle)})
+    return rows.withColumn("vwap", F.col(f"vwap_{anchors[0]}")).drop("_v", "_pv", "_sd")
 
 
 def order_imbalance(s: DataFrame, n: int = 20) -> DataFrame:

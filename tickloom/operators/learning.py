@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.rolling import whole, KEY, ratio, with_row
@@ -93,8 +93,29 @@ def boosted_trees(train: DataFrame, columns: list[str], label: str, rounds: int
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="skip"), GBTClassifier(labelCol=label, featuresCol="_x", maxIter=rounds, maxDepth=depth, seed=seed)]).fit(train.na.fill(0.0, columns))
 
 
-#: Presets of walk-forward splits as (least training rows, step, test rows).
-PRESETS = {"short": (60, 30, 30), "medium": (240, 60, 60), "long": (480, 120, 120), "short_fine": (60, 15, 15), "medium_fine": (240, 30, 30), "long_fine": (480, 60, 60), "short_coarse": (120, 60, 60), "medium_coarse": (360, 120, 120), "long_coarse": (720, 240, 240)}
+#: Presets of walk-forward splits as (least training rows, step, test rows), and which one a series takes below a length.
+PRESETS = {
+    "short": (240, 60, 60), "medium": (480, 120, 120), "long": (720, 180, 180), "very_long": (960, 240, 240), "memecoin_micro": (60, 30, 30),
+    "memecoin_short": (120, 30, 30), "memecoin_medium": (180, 60, 60), "lightgbm_short_term": (120, 60, 60), "lightgbm_medium_term": (240, 120, 120),
+}
+ADAPTIVE = ((200, "memecoin_micro"), (400, "memecoin_short"), (600, "memecoin_medium"), (1200, "medium"), (1800, "long"), (None, "very_long"))
+
+
+def adaptive_preset(n: Column | str) -> Column:
+    """The name of the preset for a series of n rows."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.coalesce(*(F.when(n < below, name) if below else F.lit(name) for below, name in ADAPTIVE))
+
+
+def fold_plan(n: Column, preset: str | tuple[int, int, int] | None = None, least_folds: int = 2) -> tuple[Column, Column, Column]:
+    """Training rows, step and test rows of a series of n rows. Without a preset its length decides, and the step shrinks (to 30 rows at least) where it would give fewer than least_folds."""
+    if preset:
+        return tuple(F.lit(x) for x in (PRESETS[preset] if isinstance(preset, str) else preset))
+    name = adaptive_preset(n)
+    train, step, test = (F.coalesce(*(F.when(name == k, v[j]) for k, v in PRESETS.items())) for j in range(3))
+    few = F.floor((n - train) / step) < least_folds
+    fitted = F.greatest(F.floor((n - train) / least_folds), F.lit(30)).cast("int")
+    return train, F.when(few, fitted).otherwise(step), F.when(few, fitted).otherwise(test)
 
 
 def fold_table(n: int, train: int, step: int, test: int, buffer: int = 0, sliding: bool = False) -> list[tuple[int, int, int, int, int]]:
@@ -106,19 +127,23 @@ def fold_table(n: int, train: int, step: int, test: int, buffer: int = 0, slidin
     return out
 
 
-def adaptive_preset(n: int) -> str:
-    return "short" if n < 400 else "medium" if n < 1200 else "long"
-
+def walk_forward(s: DataFrame, preset: str | tuple[int, int, int] | None = None, buffer: int = 0, horizon: int = 0, sliding: bool = False, most_folds: int | None = None) -> DataFrame:
+    """Rows with fold and role (train or test) for every fold: ranges of each token's own rows, so tokens never mix in time.
 
-def walk_forward(s: DataFrame, train: int = 60, step: int = 30, test: int = 30, buffer: int = 0, sliding: bool = False, folds: int = 5) -> DataFrame:
-    """Rows with fold and role (train or test) for the first `folds` folds: ranges of each token's own rows, so tokens never mix in time."""
-    rows = with_row(s).withColumn("_n", F.count("*").over(whole()))
-    fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    rows = rows.withColumn("fold", fold).withColumn("_end", F.col("fold") * step + train)
-    rows = rows.where(F.col("_end") + buffer + test <= F.col("_n"))
-    start = F.col("_end") - train if sliding else F.lit(0)
-    role = F.when((F.col("rn") >= start) & (F.col("rn") < F.col("_end")), "train").when((F.col("rn") >= F.col("_end") + buffer) & (F.col("rn") < F.col("_end") + buffer + test), "test")
-    return rows.withColumn("role", role).where(F.col("role").isNotNull()).drop("_n", "_end")
+    preset: a name of PRESETS, (training rows, step, test rows), or None to go by each token's length. buffer: rows left out between
+    training and test; horizon: rows left out at the end, whose labels would reach over it; sliding: training rows move on instead of
+    adding up. most_folds: folds after which to stop, if given."""
+    rows = with_row(s).withColumn("_n", F.count("*").over(whole()) - horizon)
+    train, step, test = fold_plan(F.col("_n") + horizon, preset)
+    rows = rows.withColumns({"_train": train, "_step": step, "_test": test})
+    last = F.floor((F.col("_n") - buffer - F.col("_test") - F.col("_train")) / F.col("_step")).cast("int")
+    if most_folds is not None:
+        last = F.least(last, F.lit(most_folds - 1))
+    rows = rows.withColumn("fold", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))).withColumn("_end", F.col("fold") * F.col("_step") + F.col("_train"))
+    start = F.col("_end") - F.col("_train") if sliding else F.lit(0)
+    ahead = F.col("_end") + buffer
+    role = F.when((F.col("rn") >= start) & (F.col("rn") < F.col("_end")), "train").when((F.col("rn") >= ahead) & (F.col("rn") < ahead + F.col("_test")), "test")
+    return rows.withColumn("role", role).where(F.col("role").isNotNull()).drop("_n", "_end", "_train", "_step", "_test")
 
 
 def confusion(df: DataFrame, truth: str = "y_true", guess: str = "y_pred") -> DataFrame:
@@ -139,14 +164,20 @@ def return_weighted(df: DataFrame, truth: str = "y_true", guess: str = "y_pred",
     return out.withColumn("hybrid_f1", (weighted + F.col("f1")) / 2)
 
 
-def roc_auc(df: DataFrame, truth: str = "y_true", score: str = "y_proba") -> DataFrame:
-    """Area under the ROC curve from counts per score: no ranking of all rows in one task."""
+def roc_auc(df: DataFrame, truth: str = "y_true", score: str = "y_proba", ranges: int = 4096) -> DataFrame:
+    """Area under the ROC curve from counts per score: first within ranges of scores, then over the ranges, so no task sees all scores."""
     from pyspark.sql import Window
 
-    counts = df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_b", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    return counts.agg(ratio(F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    counts = df.groupBy(F.col(score).cast("double").alias("_s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
+    ends = counts.agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    spread = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("_g", F.floor((F.col("_s") - F.col("_lo")) / spread * ranges))  # one row on the right
+    whole_ranges = counts.groupBy("_g").agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over `ranges` rows at most
+    whole_ranges = whole_ranges.select(F.col("_g").alias("_g2"), before.alias("_b"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_w", within).join(whole_ranges, F.col("_g") == F.col("_g2"))
+    return counts.agg(ratio(F.sum(F.col("p") * (F.col("_b") + F.col("_w") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def trading_metrics(df: DataFrame, ret: str = "ret") -> DataFrame:

@@ -86,7 +86,3 @@ def winsorized(s: DataFrame, columns: list[str], low: float = 0.005, high: float
     limits = s.groupBy(*keys).agg(*(F.percentile(c, [low, high]).alias(f"_{c}") for c in columns))
     out = s.join(limits, KEY) if per_token else s.crossJoin(F.broadcast(limits))  # one row
     return out.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_{c}")[1]), F.col(f"_{c}")[0])) for c in columns}).drop(*(f"_{c}" for c in columns))
-
-
-def with_ret(s: DataFrame) -> DataFrame:
-    return with_returns(s)

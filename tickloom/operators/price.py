@@ -101,8 +101,3 @@ def universal_timing(s: DataFrame, step: int = 10, last: int = 240) -> DataFrame
     pairs = rows.join(exits, (F.col(KEY) == F.col("_k")) & (F.col("exit_row") > F.col("rn")))
     r = ratio("_out", PRICE) - 1
     return pairs.groupBy(F.col("rn").alias("entry_row"), "exit_row").agg(F.count("*").alias("tokens"), F.avg(r).alias("mean_return"), F.avg((r > 0).cast("double")).alias("win_rate"))
-
-
-def single_row(s: DataFrame) -> DataFrame:
-    """Every row with its place, for views that thin a series out."""
-    return s.withColumn("rn", F.row_number().over(in_order()).cast("long"))

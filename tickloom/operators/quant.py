@@ -256,8 +256,3 @@ def bot_bars(s: DataFrame, minutes: int = 5) -> DataFrame:
     bars = market_bars(s.where(F.col(PRICE) >= 0), minutes)
     along = Window.partitionBy(KEY).orderBy("window_start")
     return bars.select(KEY, "window_start", "avg_price", "volatility", (ratio("avg_price", F.lag("avg_price").over(along)) - 1).alias("returns"))
-
-
-def extremes_of(s: DataFrame, n: int) -> DataFrame:
-    """Rolling high and low of n rows."""
-    return s.withColumns({"high": high(PRICE, n), "low": low(PRICE, n)})

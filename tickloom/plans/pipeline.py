@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.rolling import KEY, TIE, TIME
 from tickloom.operators import cleaning, features, quality, quant
+from tickloom.session import stored
 
 
 def categorised(s: DataFrame) -> DataFrame:
-    """The series with the category of its token."""
+    """The series with the category of its token, stored: the quality report behind it is made once."""
     report = quality.assign_category(quality.quality_report(s)).select(KEY, "category")
-    return s.join(report, KEY)
+    return stored(s.join(report, KEY), "categorised")
 
 
 def feature_table(s: DataFrame, horizons: tuple[int, ...] = features.HORIZONS) -> DataFrame:
@@ -23,8 +24,8 @@ def feature_table(s: DataFrame, horizons: tuple[int, ...] = features.HORIZONS) -
 
 
 def run_pipeline(s: DataFrame, horizons: tuple[int, ...] = features.HORIZONS) -> DataFrame:
-    """All four stages as one lazy plan: categorise, clean by category, features, targets."""
-    cleaned = cleaning.clean_by_category(categorised(s))
+    """All four stages: categorise, clean by category, features, targets. What the first two give is stored, and read by the others."""
+    cleaned = stored(cleaning.clean_by_category(categorised(s)), "cleaned")
     return feature_table(cleaned.drop("category"), horizons).join(cleaned.select(KEY, "category").distinct(), KEY)
 
 

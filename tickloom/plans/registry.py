@@ -204,8 +204,8 @@ on_series("activity_ratio", SHORT, "token_id activity_ratio:r", cleaning.activit
 stairs = lambda s: R.with_row(s).withColumn("price", F.when((F.col("rn") >= 100) & (F.col("rn") < 140), 5000.0).otherwise(F.col("price"))).drop("rn")
 on_series("staircase_cut", LONG, "token_id cut:i", lambda s: cleaning.staircase_cuts(stairs(s)))
 on_series("invalid_price_fix", SHORT, "token_id seq:i price:r is_fixed", lambda s: cleaning.invalid_prices(s.withColumn("price", F.when(F.col("seq") % 50 == 0, 0.0).otherwise(F.col("price"))), 0.05), "SELECT token_id, seq, price = 0 AS is_fixed, coalesce(p, p0 + (p1 - p0) * (rn - x0) / (x1 - x0)) AS price FROM g WHERE share <= 0.05 AND coalesce(p, p0 + (p1 - p0) * (rn - x0) / (x1 - x0)) IS NOT NULL", "z AS (SELECT * REPLACE (CASE WHEN seq % 50 = 0 THEN 0 ELSE price END AS price) FROM r),\nh AS (SELECT *, CASE WHEN price > 0 THEN price END AS p, avg(CASE WHEN price <= 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY token_id) AS share FROM z),\ng AS (SELECT *, last_value(p IGNORE NULLS) OVER a AS p0, last_value(CASE WHEN p IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS x0, first_value(p IGNORE NULLS) OVER b AS p1, first_value(CASE WHEN p IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS x1 FROM h WINDOW a AS (PARTITION BY token_id ORDER BY datetime, seq ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
-on_series("clean_by_category", SHORT, "token_id category rows:i", lambda s: cleaning.clean_by_category(pipeline.categorised(s)).groupBy("token_id", "category").agg(F.count("*").alias("rows")))
-on_series("graduated_cleaning", SHORT, "horizon tokens:i rows:i", lambda s: cleaning.graduated(s).groupBy("horizon").agg(F.count_distinct("token_id").alias("tokens"), F.count("*").alias("rows")))
+on_series("clean_by_category", SHORT, "token_id datetime:t price:r category", lambda s: cleaning.clean_by_category(pipeline.categorised(s)))
+on_series("graduated_cleaning", SHORT, "horizon token_id seq:i price:r", cleaning.graduated)
 on_series("exclusion_counts", SHORT, "status tokens:i rows_lost:i", lambda s: cleaning.exclusion_counts(cleaning.exclusions(s, cleaning.long_enough(s))), "SELECT CASE WHEN n < 60 THEN 'excluded' ELSE 'unchanged' END AS status, count(*) AS tokens, sum(CASE WHEN n < 60 THEN n ELSE 0 END) AS rows_lost FROM (SELECT token_id, count(*) AS n FROM s GROUP BY token_id) GROUP BY 1")
 
 # --- price -------------------------------------------------------------------------------------------------------------------------
@@ -259,11 +259,15 @@ on_series("lazy_features", SHORT, "token_id seq:i sma_10:r move_type", indicator
 
 
 def shipments(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").withColumn("_tie", (F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 100 + F.col("l_linenumber")).withColumn("_price", F.col("l_extendedprice") / 1000)
+    rows = table(spark, d, "lineitem").withColumn("_tie", (F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 100 + F.col("l_linenumber")).withColumn("_price", F.col("l_extendedprice") / 7000)
     return series.as_series(rows, "l_returnflag", "l_shipdate", "_price", "_tie", ("l_quantity",))
 
 
-register("vwap_bands", "token_id seq:i vwap:r vwap_upper:r", lambda spark, d: indicators.vwap_bands(shipments(spark, d), 60, "l_quantity"), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS seq, l_extendedprice / 1000 AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"SELECT *, vwap + 2 * sqrt(greatest(0, ppv / vv - vwap ** 2)) AS vwap_upper FROM (SELECT *, pv / vv AS vwap FROM (SELECT token_id, seq, {roll('sum', 'v', 60)} AS vv, {roll('sum', 'price * v', 60)} AS pv, {roll('sum', 'price * price * v', 60)} AS ppv FROM s))")
+VWAP = "SELECT token_id, seq, " + ", ".join(f"{roll('sum', 'price * v', n)} / nullif({roll('sum', 'v', n)}, 0) AS w{n}, {roll('stddev_samp', 'price', n)} AS d{n}" for n in (5, 60, 240)) + ", price FROM "
+VWAP_COLUMNS = "SELECT *, w5 AS vwap, " + ", ".join(f"w{n} AS vwap_{n}, w{n} + d{n} AS vwap_upper_{n}, w{n} - d{n} AS vwap_lower_{n}, (price - w{n}) / w{n} AS vwap_distance_{n}" for n in (5, 60, 240)) + " FROM "
+VWAP_SPEC = "token_id seq:i vwap:r " + " ".join(f"vwap_{n}:r vwap_upper_{n}:r vwap_lower_{n}:r vwap_distance_{n}:r" for n in (5, 60, 240))
+register("vwap_bands", VWAP_SPEC, lambda spark, d: indicators.vwap_bands(shipments(spark, d), volume="l_quantity"), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS seq, l_extendedprice / 7000 AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"{VWAP_COLUMNS} ({VWAP} s)")
+on_series("vwap_by_returns", SHORT, "token_id seq:i vwap:r vwap_upper_5:r vwap_60:r vwap_distance_60:r", indicators.vwap_bands, f"{VWAP_COLUMNS} ({VWAP} (SELECT *, abs(ret) + 1e-10 AS v FROM r))")
 on_series("trix", SHORT, "token_id seq:i trix:r", indicators.trix)
 on_series("last_signals", SHORT, "token_id rsi_signal bb_signal stoch_signal", indicators.last_signals)
 
@@ -294,8 +298,8 @@ SEGMENT = "sg AS (SELECT *, least(floor(rn / greatest(1, cnt // 4)), 3) AS segme
 on_series("lifecycle_segments", SHORT, "token_id segment:i n:i segment_return:r volatility:r win_rate:r", quant.lifecycle_segments, "SELECT * FROM ls", SEGMENT)
 on_series("segment_pivot", SHORT, "token_id segment_0:r segment_1:r segment_2:r segment_3:r", quant.segment_pivot, "SELECT token_id, " + ", ".join(f"max(segment_return) FILTER (segment = {k}) AS segment_{k}" for k in range(4)) + " FROM ls GROUP BY token_id", SEGMENT)
 on_series("distribution_evolution", LONG, "token_id period:i n:i mean:r std:r q05:r q95:r", quant.distribution_evolution, "SELECT token_id, least(floor((rn - 1) / greatest(1, (cnt - 1) // 5)), 4) AS period, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, quantile_cont(ret, 0.05) AS q05, quantile_cont(ret, 0.95) AS q95 FROM r WHERE ret IS NOT NULL GROUP BY ALL")
-on_series("entry_exit_moment", SHORT, "entry_row:i exit_row:i n:i mean_return:r std_return:r", lambda s: quant.entry_exit_moment(s, 240), "SELECT a.rn AS entry_row, b.rn AS exit_row, count(*) AS n, avg(b.price / a.price - 1) AS mean_return, stddev_samp(b.price / a.price - 1) AS std_return FROM r a JOIN r b ON a.token_id = b.token_id AND b.rn > a.rn WHERE a.rn < 30 AND b.rn < 30 GROUP BY ALL")
-on_series("trade_timing", SHORT, "entry_row:i lag:i n:i mean_return:r", lambda s: quant.trade_timing(s, most=240), "SELECT rn AS entry_row, k AS lag, count(*) AS n, avg(x) AS mean_return FROM (" + " UNION ALL ".join(f"SELECT rn, {k} AS k, lead(price, {k}) OVER {W} / price - 1 AS x FROM r" for k in (1, 5, 10, 30)) + ") WHERE rn < 120 AND x IS NOT NULL GROUP BY ALL")
+on_series("entry_exit_moment", SHORT, "entry_row:i exit_row:i n:i mean_return:r std_return:r", lambda s: quant.entry_exit_moment(s, 240), "SELECT a.rn AS entry_row, b.rn AS exit_row, count(*) AS n, avg(b.price / a.price - 1) AS mean_return, stddev_samp(b.price / a.price - 1) AS std_return FROM r a JOIN r b ON a.token_id = b.token_id AND b.rn > a.rn WHERE a.rn < 240 AND b.rn < 240 GROUP BY ALL")
+on_series("trade_timing", SHORT, "entry_row:i lag:i n:i mean_return:r", lambda s: quant.trade_timing(s, most=240), "SELECT rn AS entry_row, k AS lag, count(*) AS n, avg(x) AS mean_return FROM (" + " UNION ALL ".join(f"SELECT rn, {k} AS k, lead(price, {k}) OVER {W} / price - 1 AS x FROM r" for k in (1, 5, 10, 30)) + ") WHERE rn < 240 AND x IS NOT NULL GROUP BY ALL")
 on_series("bar_patterns", LONG, "token_id bars:i green:r doji:r avg_body:r", lambda s: quant.bar_patterns(s, 60), f"SELECT token_id, count(*) AS bars, avg(CAST(c > o AS INT)) AS green, avg(CAST(abs(c - o) <= 0.1 * (h - l) AS INT)) AS doji, avg(abs(c - o)) AS avg_body FROM (SELECT token_id, {bucket_sql(3600)} AS b, first(price ORDER BY datetime, seq) AS o, last(price ORDER BY datetime, seq) AS c, max(price) AS h, min(price) AS l FROM s GROUP BY ALL) GROUP BY token_id")
 on_series("sl_tp_first_hit", SHORT, "token_id sl tp trades:i wins:i mean_result:r", quant.sl_tp_grid)
 on_series("pump_analysis", SHORT, "token_id vol5:r peak_ratio:r row_of_gain:r is_pump", quant.pump_analysis, "SELECT token_id, any_value(vol5) AS vol5, max(price) / any_value(base) AS peak_ratio, min(rn) FILTER (price >= 1.5 * base) AS row_of_gain, any_value(vol5) > 0.8 AND max(price) / any_value(base) > 1.5 AS is_pump FROM (SELECT *, stddev_pop(CASE WHEN rn BETWEEN 1 AND 5 THEN ret END) OVER (PARTITION BY token_id) AS vol5, max(CASE WHEN rn = 5 THEN price END) OVER (PARTITION BY token_id) AS base FROM r) WHERE rn > 5 GROUP BY token_id")
@@ -305,24 +309,23 @@ HOURS = f"b AS (SELECT token_id, {bucket_sql(3600)} AS bucket, first(price ORDER
 on_series("corr_pairs", LONG, "token_a token_b n:i correlation:r strength", cross.corr_pairs, "SELECT *, CASE WHEN abs(correlation) >= 0.8 THEN 'very_strong' WHEN abs(correlation) >= 0.6 THEN 'strong' WHEN abs(correlation) >= 0.4 THEN 'moderate' WHEN abs(correlation) >= 0.2 THEN 'weak' ELSE 'very_weak' END AS strength FROM pr", HOURS)
 on_series("corr_summary", LONG, "pairs:i mean:r max:r min:r strong:i", lambda s: cross.corr_summary(cross.corr_pairs(s)), "SELECT count(*) AS pairs, avg(correlation) AS mean, max(correlation) AS max, min(correlation) AS min, count(*) FILTER (abs(correlation) >= 0.5) AS strong FROM pr", HOURS)
 on_series("corr_rolling_pairs", LONG, "token_a token_b bucket:t correlation:r", cross.corr_rolling_pairs, "SELECT a.token_id AS token_a, c.token_id AS token_b, a.bucket, CASE WHEN count(*) OVER w >= 60 THEN corr(a.price, c.price) OVER w END AS correlation FROM b a JOIN b c ON a.bucket = c.bucket AND a.token_id < c.token_id WINDOW w AS (PARTITION BY a.token_id, c.token_id ORDER BY a.bucket ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)", HOURS)
-on_series("spearman_pairs", LONG, "token_a token_b n:i spearman:r", cross.spearman_pairs, "SELECT token_a, token_b, count(*) AS n, corr(rx, ry) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY token_a, token_b ORDER BY x) + (count(*) OVER (PARTITION BY token_a, token_b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY token_a, token_b ORDER BY y) + (count(*) OVER (PARTITION BY token_a, token_b, y) - 1) / 2.0 AS ry FROM (SELECT a.token_id AS token_a, c.token_id AS token_b, a.price AS x, c.price AS y FROM r a JOIN r c ON a.rn = c.rn AND a.token_id < c.token_id WHERE a.rn < 60)) GROUP BY ALL")
+on_series("spearman_pairs", LONG, "token_a token_b n:i spearman:r", cross.spearman_pairs, "SELECT token_a, token_b, count(*) AS n, corr(rx, ry) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY token_a, token_b ORDER BY x) + (count(*) OVER (PARTITION BY token_a, token_b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY token_a, token_b ORDER BY y) + (count(*) OVER (PARTITION BY token_a, token_b, y) - 1) / 2.0 AS ry FROM (SELECT a.token_id AS token_a, c.token_id AS token_b, a.price AS x, c.price AS y FROM r a JOIN r c ON a.rn = c.rn AND a.token_id < c.token_id)) GROUP BY ALL")
 on_series("lifecycle_align", SHORT, "rn:i tokens:i mean_price:r", lambda s: cross.lifecycle(s).groupBy("rn").agg(F.count("*").alias("tokens"), F.avg("price").alias("mean_price")), "SELECT rn, count(*) AS tokens, avg(price) AS mean_price FROM r GROUP BY rn")
 on_series("normalised", SHORT, "token_id seq:i by_first:r robust:r", cross.normalised, f"SELECT token_id, seq, price / first_value(price) OVER {W} AS by_first, (price - quantile_cont(price, 0.5) OVER (PARTITION BY token_id)) / nullif(quantile_cont(price, 0.75) OVER (PARTITION BY token_id) - quantile_cont(price, 0.25) OVER (PARTITION BY token_id), 0) AS robust FROM s")
-on_series("kendall_pairs", LONG, "token_a token_b n:i kendall:r", cross.kendall_pairs, "SELECT token_a, token_b, n, k AS kendall FROM (SELECT a.token_a, a.token_b, any_value(a.n) AS n, sum(sign(a.x - c.x) * sign(a.y - c.y)) / sqrt(CAST(count(*) FILTER (a.x <> c.x) AS DOUBLE) * count(*) FILTER (a.y <> c.y)) AS k FROM pp a JOIN pp c ON a.token_a = c.token_a AND a.token_b = c.token_b AND a.rn < c.rn GROUP BY ALL)", "pp AS (SELECT a.token_id AS token_a, c.token_id AS token_b, a.rn, a.price AS x, c.price AS y, count(*) OVER (PARTITION BY a.token_id, c.token_id) AS n FROM r a JOIN r c ON a.rn = c.rn AND a.token_id < c.token_id WHERE a.rn < 60)")
+on_series("kendall_pairs", LONG, "token_a token_b n:i kendall:r", cross.kendall_pairs, "SELECT token_a, token_b, n, k AS kendall FROM (SELECT a.token_a, a.token_b, any_value(a.n) AS n, sum(sign(a.x - c.x) * sign(a.y - c.y)) / sqrt(CAST(count(*) FILTER (a.x <> c.x) AS DOUBLE) * count(*) FILTER (a.y <> c.y)) AS k FROM pp a JOIN pp c ON a.token_a = c.token_a AND a.token_b = c.token_b AND a.rn < c.rn GROUP BY ALL)", "pp AS (SELECT a.token_id AS token_a, c.token_id AS token_b, a.rn, a.price AS x, c.price AS y, count(*) OVER (PARTITION BY a.token_id, c.token_id) AS n FROM r a JOIN r c ON a.rn = c.rn AND a.token_id < c.token_id)")
 on_series("pca_series", SHORT, "token_id dims:i", lambda s: cross.pca(cross.token_matrix(s, 12), [f"r{k}" for k in range(1, 13)], 3).select("token_id", F.size("components").alias("dims")))
 
 # --- sets --------------------------------------------------------------------------------------------------------------------------
 register("overlap_pairs", "category other shared:i overlap_pct:r", lambda spark, d: sets.overlap_pairs(categories(spark, d)), CATEGORIES + "SELECT category, other, shared, 100.0 * shared / least(x.n, y.n) AS overlap_pct FROM (SELECT a.category, b.category AS other, count(*) AS shared FROM m a JOIN m b ON a.token_id = b.token_id AND a.category < b.category GROUP BY ALL) p JOIN (SELECT category AS c, count(*) AS n FROM m GROUP BY 1) x ON x.c = p.category JOIN (SELECT category AS c, count(*) AS n FROM m GROUP BY 1) y ON y.c = p.other")
 register("multi_category", "token_id n:i categories", lambda spark, d: sets.multi_category(categories(spark, d)), CATEGORIES + "SELECT token_id, count(*) AS n, string_agg(category, ',' ORDER BY category) AS categories FROM m GROUP BY token_id HAVING count(*) > 1")
-FEW = CATEGORIES.replace("FROM events)", "FROM events WHERE value > 300)")
-register("unique_to_category", "token_id category", lambda spark, d: sets.unique_to_category(categories(spark, d)), FEW + "SELECT token_id, min(category) AS category FROM m GROUP BY token_id HAVING count(*) = 1")
-register("category_against_rest", "category tokens:i elsewhere:i only_here:i", lambda spark, d: sets.category_against_rest(categories(spark, d)), FEW + "SELECT category, count(*) AS tokens, count(*) FILTER (n > 1) AS elsewhere, count(*) FILTER (n = 1) AS only_here FROM (SELECT *, count(*) OVER (PARTITION BY token_id) AS n FROM m) GROUP BY category")
-register("overlap_with_category", "category shared:i", lambda spark, d: sets.overlap_with(categories(spark, d), "view"), FEW + "SELECT category, count(*) AS shared FROM m WHERE category <> 'view' AND token_id IN (SELECT token_id FROM m WHERE category = 'view') GROUP BY category")
-register("set_difference", "token_id", lambda spark, d: sets.difference(categories(spark, d).where("category = 'view'"), categories(spark, d).where("category = 'click'")), FEW + "SELECT token_id FROM m WHERE category = 'view' EXCEPT SELECT token_id FROM m WHERE category = 'click'")
-register("set_intersection", "token_id", lambda spark, d: sets.intersection(categories(spark, d).where("category = 'view'"), categories(spark, d).where("category = 'click'")), FEW + "SELECT token_id FROM m WHERE category = 'view' INTERSECT SELECT token_id FROM m WHERE category = 'click'")
-register("category_distribution", "category tokens:i pct:r", lambda spark, d: sets.category_distribution(categories(spark, d)), FEW + "SELECT category, count(*) AS tokens, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM m GROUP BY category")
+register("unique_to_category", "token_id category", lambda spark, d: sets.unique_to_category(categories(spark, d)), CATEGORIES + "SELECT token_id, min(category) AS category FROM m GROUP BY token_id HAVING count(*) = 1")
+register("category_against_rest", "category tokens:i elsewhere:i only_here:i", lambda spark, d: sets.category_against_rest(categories(spark, d)), CATEGORIES + "SELECT category, count(*) AS tokens, count(*) FILTER (n > 1) AS elsewhere, count(*) FILTER (n = 1) AS only_here FROM (SELECT *, count(*) OVER (PARTITION BY token_id) AS n FROM m) GROUP BY category")
+register("overlap_with_category", "category shared:i", lambda spark, d: sets.overlap_with(categories(spark, d), "view"), CATEGORIES + "SELECT category, count(*) AS shared FROM m WHERE category <> 'view' AND token_id IN (SELECT token_id FROM m WHERE category = 'view') GROUP BY category")
+register("set_difference", "token_id", lambda spark, d: sets.difference(categories(spark, d).where("category = 'view'"), categories(spark, d).where("category = 'click'")), CATEGORIES + "SELECT token_id FROM m WHERE category = 'view' EXCEPT SELECT token_id FROM m WHERE category = 'click'")
+register("set_intersection", "token_id", lambda spark, d: sets.intersection(categories(spark, d).where("category = 'view'"), categories(spark, d).where("category = 'click'")), CATEGORIES + "SELECT token_id FROM m WHERE category = 'view' INTERSECT SELECT token_id FROM m WHERE category = 'click'")
+register("category_distribution", "category tokens:i pct:r", lambda spark, d: sets.category_distribution(categories(spark, d)), CATEGORIES + "SELECT category, count(*) AS tokens, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM m GROUP BY category")
 register("top_k_frequency", "user_id:i n:i", lambda spark, d: sets.top_k_frequency(table(spark, d, "events"), "user_id"), "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
-register("shared_values", "category tokens:i", lambda spark, d: sets.shared_values(categories(spark, d), "category"), FEW + "SELECT category, count(DISTINCT token_id) AS tokens FROM s GROUP BY category HAVING count(DISTINCT token_id) > 1")
+register("shared_values", "category tokens:i", lambda spark, d: sets.shared_values(categories(spark, d), "category"), CATEGORIES + "SELECT category, count(DISTINCT token_id) AS tokens FROM s GROUP BY category HAVING count(DISTINCT token_id) > 1")
 
 # --- autocorrelation, death and behaviour ------------------------------------------------------------------------------------------
 SAFE = f"sr AS (SELECT token_id, datetime, seq, CASE WHEN abs(x) > 1 THEN ln(x + 1) ELSE x END AS ret FROM (SELECT *, ret AS x FROM r)),\nde AS (SELECT *, ret - avg(ret) OVER (PARTITION BY token_id) AS d FROM sr WHERE ret IS NOT NULL),\nac AS (SELECT token_id, lag, n, acf FROM (" + " UNION ALL ".join(f"SELECT token_id, {k} AS lag, count(*) AS n, sum(d * dl) / nullif(sum(d * d), 0) AS acf FROM (SELECT *, {'lag(d, ' + str(k) + ') OVER ' + W if k else 'd'} AS dl FROM de) GROUP BY token_id" for k in range(11)) + "))"
@@ -342,12 +345,16 @@ halves = lambda s, h: s.where(f"seq % 2 = {h}").groupBy("token_id").agg(F.count(
 on_series("incremental_merge", SHORT, "token_id n:i total:r", lambda s: acf.merge_weighted(halves(s, 0), halves(s, 1)).withColumn("total", F.col("n") * F.col("mean")), "SELECT token_id, count(*) AS n, sum(price) AS total FROM s GROUP BY token_id")
 
 # --- support for models ------------------------------------------------------------------------------------------------------------
-on_series("walk_forward_folds", SHORT, "token_id seq:i fold:i role", lambda s: learning.walk_forward(s, 30, 10, 10, 5, folds=3), "SELECT token_id, seq, fold, CASE WHEN rn < 30 + 10 * fold THEN 'train' ELSE 'test' END AS role FROM r, (SELECT unnest([0, 1, 2]) AS fold) WHERE 30 + 10 * fold + 5 + 10 <= cnt AND (rn < 30 + 10 * fold OR rn >= 35 + 10 * fold AND rn < 45 + 10 * fold)")
+FOLDS = "SELECT token_id, seq, fold, CASE WHEN rn < e THEN 'train' ELSE 'test' END AS role FROM (SELECT *, {train} + fold * {step} AS e FROM (SELECT *, unnest(range(0, CAST(floor((cnt - {off} - {test} - {train}) / {step}) AS BIGINT) + 1)) AS fold FROM {rows})) WHERE rn >= {start} AND rn < e OR rn >= e + {gap} AND rn < e + {gap} + {test}"
+PLAN = "pn AS (SELECT *, CASE WHEN cnt < 200 THEN 60 WHEN cnt < 400 THEN 120 WHEN cnt < 600 THEN 180 WHEN cnt < 1200 THEN 480 WHEN cnt < 1800 THEN 720 ELSE 960 END AS train, CASE WHEN cnt < 400 THEN 30 WHEN cnt < 600 THEN 60 WHEN cnt < 1200 THEN 120 WHEN cnt < 1800 THEN 180 ELSE 240 END AS st FROM r),\npf AS (SELECT *, CASE WHEN floor((cnt - train) / st) < 2 THEN greatest(floor((cnt - train) / 2), 30) ELSE st END AS step FROM pn)"
+on_series("walk_forward_folds", SHORT, "token_id seq:i fold:i role", lambda s: learning.walk_forward(s, (30, 10, 10), buffer=5), FOLDS.format(train=30, step=10, test=10, off=5, gap=5, start=0, rows="r"))
+on_series("walk_forward_adaptive", LONG, "token_id seq:i fold:i role", lambda s: learning.walk_forward(s, horizon=100), FOLDS.format(train="train", step="step", test="step", off=100, gap=0, start=0, rows="pf"), PLAN)
+on_series("walk_forward_sliding", LONG, "token_id seq:i fold:i role", lambda s: learning.walk_forward(s, "memecoin_short", horizon=60, sliding=True, most_folds=10), "SELECT * FROM (" + FOLDS.format(train=120, step=30, test=30, off=60, gap=0, start="e - 120", rows="r") + ") WHERE fold < 10")
 guesses = lambda s: R.with_returns(s).where("ret is not null").select("ret", (F.col("ret") > 0).cast("int").alias("y_true"), (F.col("price") > 100).cast("int").alias("y_pred"), F.round("price").alias("y_proba"))
 GUESSES = "gu AS (SELECT ret, CAST(ret > 0 AS INT) AS t, CAST(price > 100 AS INT) AS g, price FROM r WHERE ret IS NOT NULL),\ncm AS (SELECT CAST(count(*) FILTER (t = 1 AND g = 1) AS DOUBLE) AS tp, count(*) FILTER (t = 0 AND g = 1) AS fp, count(*) FILTER (t = 1 AND g = 0) AS fn, count(*) FILTER (t = 0 AND g = 0) AS tn, sum(abs(ret)) FILTER (t = 1 AND g = 1) AS hit, sum(abs(ret)) FILTER (t = 1) AS al, sum(abs(ret)) FILTER (g = 1) AS said FROM gu)"
 on_series("confusion_metrics", SHORT, "tp:i fp:i fn:i tn:i accuracy:r precision:r recall:r f1:r", lambda s: learning.confusion(guesses(s)), "SELECT *, (tp + tn) / (tp + fp + fn + tn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM cm", GUESSES)
 on_series("return_weighted_recall", SHORT, "weighted_recall:r weighted_precision:r f1:r hybrid_f1:r", lambda s: learning.return_weighted(guesses(s)), "SELECT hit / al AS weighted_recall, hit / said AS weighted_precision, 2 * tp / (2 * tp + fp + fn) AS f1, (2 * (hit / al) * (hit / said) / (hit / al + hit / said) + 2 * tp / (2 * tp + fp + fn)) / 2 AS hybrid_f1 FROM cm", GUESSES)
-on_series("roc_auc", SHORT, "auc:r", lambda s: learning.roc_auc(guesses(s)))
+on_series("roc_auc", SHORT, "auc:r", lambda s: learning.roc_auc(guesses(s)), "SELECT (sum(rk) FILTER (t = 1) - count(*) FILTER (t = 1) * (count(*) FILTER (t = 1) + 1) / 2.0) / (CAST(count(*) FILTER (t = 1) AS DOUBLE) * count(*) FILTER (t = 0)) AS auc FROM (SELECT t, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS rk FROM (SELECT t, round(price) AS y FROM gu))", GUESSES)
 on_series("trading_metrics", SHORT, "sharpe:r win_rate:r", lambda s: learning.trading_metrics(guesses(s)), "SELECT (avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252.0) AS sharpe, avg(CAST(ret > 0 AS INT)) AS win_rate FROM gu", GUESSES)
 FEATURES = ["mean_return", "std_return", "max_drawdown", "acf_lag_1", "return_5min"]
 on_series("kmeans_archetypes", SHORT, "cluster:i tokens:i", lambda s: learning.kmeans(acf.features_15(s), FEATURES, 4).groupBy("cluster").agg(F.count("*").alias("tokens")))
@@ -359,7 +366,7 @@ on_series("welch_spectrum", LONG, "token_id rank:i period:r period_class", group
 on_series("pacf", LONG, "token_id lag:i pacf:r", grouped.pacf)
 on_series("entry_exit_nonoverlap", SHORT, "entry_window:i exit_window:i tokens:i trades:i mean_return:r low:r high:r", lambda s: grouped.matrix_with_bounds(grouped.entry_exit_nonoverlap(s)))
 on_series("rsi_divergence", SHORT, "token_id divergence", grouped.rsi_divergence)
-on_series("elliott_waves", LONG, "token_id start_row:i end_row:i wave", grouped.elliott)
+on_series("elliott_waves", LONG, "token_id start_row:i end_row:i wave_1:r wave_2:r wave_3:r wave_4:r", grouped.elliott)
 on_series("higuchi_dimension", SHORT, "token_id fractal_dimension:r", grouped.higuchi)
 on_series("rolling_entropy", LONG, "token_id row:i entropy:r", grouped.rolling_entropy)
 on_series("paper_trading", SHORT, "token_id exit_row:i profit:r", grouped.paper_trading)
@@ -370,5 +377,8 @@ on_series("stream_dedupe", SHORT, "token_id seq:i", lambda s: streaming.without_
 on_series("stream_sessions", SHORT, "token_id sessions:i rows:i", lambda s: streaming.sessions(s, "120 minutes").groupBy("token_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("rows")), f"SELECT token_id, sum(c) AS sessions, count(*) AS rows FROM (SELECT token_id, CASE WHEN epoch_us(datetime) - lag(epoch_us(datetime)) OVER {W} < 7200000000 THEN 0 ELSE 1 END AS c FROM s) GROUP BY token_id")
 
 # --- pipelines ---------------------------------------------------------------------------------------------------------------------
-on_series("bot_pipeline", LONG, "token_id split rows:i", lambda s: pipeline.run_bot_pipeline(s, 60).groupBy("token_id", "split").agg(F.count("*").alias("rows")))
-on_series("feature_pipeline", LONG, "token_id rows:i labelled:i", lambda s: pipeline.feature_table(s).groupBy("token_id").agg(F.count("*").alias("rows"), F.count("label_60m").alias("labelled")), "SELECT token_id, count(*) AS rows, count(*) FILTER (rn < cnt - 60) AS labelled FROM r WHERE rn >= 60 GROUP BY token_id")
+on_series("bot_pipeline", LONG, "token_id datetime:t split scaled:r ma_5:r vol_std_5:r", lambda s: pipeline.run_bot_pipeline(s, 60))
+on_series("feature_pipeline", LONG, "token_id seq:i sma_50:r log_returns_vol_60:r label_60m:i return_60m:r return_720m:r", pipeline.feature_table, f"SELECT * FROM (SELECT token_id, seq, rn, {roll('avg', 'price', 50)} AS sma_50, {roll('stddev_samp', 'ln(price / p1)', 60)} AS log_returns_vol_60, CASE WHEN p60 > price THEN 1 WHEN p60 <= price THEN 0 END AS label_60m, p60 / price - 1 AS return_60m, p720 / price - 1 AS return_720m FROM (SELECT *, lag(price) OVER {W} AS p1, lead(price, 60) OVER {W} AS p60, lead(price, 720) OVER {W} AS p720 FROM r)) WHERE rn >= 60")
+on_series("batch_pipeline", SHORT, "token_id datetime:t category sma_50:r return_15m:r", pipeline.run_pipeline)
+on_series("leakage_names", SHORT, "column is_safe", lambda s: features.name_report(acf.features_15(s).select("mean_return", "max_drawdown", "lifespan_minutes").withColumn("Granularity_5", F.lit(1))), "SELECT * FROM (VALUES ('mean_return', true), ('max_drawdown', false), ('lifespan_minutes', true), ('Granularity_5', false)) AS v(\"column\", is_safe)")
+on_series("bot_autocorrelation", SHORT, "token_id " + " ".join(f"acf_lag_{k}:r" for k in range(1, 11)), features.bot_autocorrelation, "SELECT token_id, " + ", ".join(f"coalesce(CASE WHEN count(*) > 10 THEN sum(d * l{k}) / nullif(sum(d * d), 0) END, 0) AS acf_lag_{k}" for k in range(1, 11)) + " FROM (SELECT *, " + ", ".join(f"lag(d, {k}) OVER w AS l{k}" for k in range(1, 11)) + " FROM (SELECT *, ret - avg(ret) OVER (PARTITION BY token_id) AS d FROM r WHERE ret IS NOT NULL) WINDOW w AS (PARTITION BY token_id ORDER BY datetime, seq)) GROUP BY token_id")
