@@ -1,13 +1,14 @@
 """Secret scans: patterns propose candidates, and a random forest takes out the false ones.
 
-Candidates are words with the look of a key (known prefixes, assignments to names such as token or password, long mixed or
-hexadecimal runs). A word without blanks may hold many: each known key, and each key=value or key:value part of a query string, a
+Candidates are all words of eight characters or more that mix letters and digits, known prefixes, and what is assigned to names such as
+token or password: addresses, dates, hashes and codes among them, which the forest has to tell from keys. A word without blanks may hold many: each known key, and each key=value or key:value part of a query string, a
 line of JSON, CSV or configuration, is tested for itself. The forest sees a candidate's length, its character transitions, how much of it dictionary words cover, path
 signs, and the neighbouring words. It is trained from labelled findings: (text, start, end, is_secret), by default a fixed set that
 `labelled_findings` generates by rule from a seed.
 
-Null and empty texts have no candidates. Whole texts are read. Repeated rows and repeated candidates each count. Spans are in code
-points, end exclusive. Columns besides id and text are not read.
+Null and empty texts have no candidates, and an empty table gives an empty result. Whole texts are read, of any length. Repeated rows and
+repeated candidates each count; a score at the threshold is a secret. Spans are in code points, end exclusive. Columns besides id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ _PART = re.compile(r"[&,;\"'`{}]")
 _MARK = re.compile(r"[:=]+>?")
 _KEY_CUT = re.compile(r"[\"'`&,;{}?=:<>\s]")
 _NEXT = re.compile(r"[\"'`{}]|[&,;](?=[\"']?[\w.\[\]-]{1,64}[\"']?[:=])")
+_NAME_END = re.compile(r"[\"'`]\]?[:=]")
 _REACH = 48
 
 
@@ -43,7 +45,7 @@ def _kind(c: str) -> int:
 
 
 def features(value: str, before: str, after: str) -> list[float]:
-    """What the forest sees of a candidate and its neighbourhood."""
+    """What the forest sees of a candidate and its neighbourhood. The time is linear in the candidate's length."""
     n = max(1, len(value))
     kinds = [_kind(c) for c in value]
     moves = [sum(a == x and b == y for a, b in zip(kinds, kinds[1:], strict=False)) / n for x, y in ((0, 0), (0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (2, 2), (1, 1))]
@@ -61,7 +63,7 @@ def features(value: str, before: str, after: str) -> list[float]:
         sum(c in "0123456789abcdef" for c in low) / n, float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
         value.count("/") / n, value.count(".") / n, value.count("-") / n, value.count("_") / n, float("://" in value or value.startswith(("/", "./", "~"))),
         float(bool(_KNOWN.search(value))), float(bool(_CUES.search(before))), float(bool(_DULL.search(before))), float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(bool(_DULL.search(after))),
-        len(set(value)) / n, float(max((len(m[0]) for m in re.finditer(r"(.)\1*", value, re.S)), default=0)),
+        value.count("@") / n, value.count(":") / n, float(value[0].isdigit()), float(bool(re.fullmatch(r"[^\W\d_]+[0-9]{1,4}|[0-9]{1,4}[^\W\d_]+", value))), len(set(value)) / n, float(max((len(m[0]) for m in re.finditer(r"(.)\1*", value, re.S)), default=0)),
     ]
 
 
@@ -93,11 +95,11 @@ def candidates(text: str, spans) -> list[tuple[int, int]]:
                 lo += 1
             while hi > lo and text[hi - 1] in _EDGE + ".":
                 hi -= 1
-            if hi - lo < (6 if assigned else 16) or 1 in taken[lo - a : hi - a]:
+            if hi - lo < (6 if assigned else 8) or 1 in taken[lo - a : hi - a]:
                 return
             value = text[lo:hi]
             mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-            if assigned or mixed and re.fullmatch(r"[A-Za-z0-9+/=_.-]+", value):
+            if assigned or mixed and re.fullmatch(r"[A-Za-z0-9+/=_.@:%~-]+", value):
                 found.append((lo, hi))
                 taken[lo - a : hi - a] = b"\1" * (hi - lo)
 
@@ -132,7 +134,8 @@ def candidates(text: str, spans) -> list[tuple[int, int]]:
                 propose(p + cut + 1, q - 1, True)
             elif cut >= 0 and ":" in part:
                 propose(p + cut + 1, q - 1, False)
-            propose(p, q - 1, False)
+            if not _NAME_END.match(text, q - 1, b):  # the name of what is assigned is no value
+                propose(p, q - 1, False)
         out += sorted(found)
     return out
 
@@ -149,6 +152,8 @@ def labelled_findings(seed: int = 11, n: int = 1600) -> list[tuple[str, int, int
         lambda: (rng.choice(["password=", "passwd: ", "pwd = ", "password: \""]), pick(rng.choice([alnum, hexa]), rng.randint(8, 24))),
         lambda: (rng.choice(["access_key=", "secret_key = \"", "Bearer ", "private_key: "]), pick(alnum + "+/", rng.randint(24, 60))),
         lambda: ("", "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24)), lambda: ("credential ", pick(alnum, rng.randint(24, 40))),
+        lambda: (rng.choice(["", "key: ", "use "]), rng.choice([word()[:3], pick(string.ascii_uppercase, 2)]) + rng.choice("_.-") + pick(alnum, rng.randint(20, 40)) + rng.choice(["", "." + pick(alnum, 27)])),
+        lambda: (rng.choice(["Bearer ", "auth: ", ""]), pick(alnum + "-_", rng.randint(32, 64))),
     ]
     other = [
         lambda: (rng.choice(["commit ", "sha1 ", "md5: ", "checksum = ", "etag: \"", "digest "]), pick(hexa, rng.choice([32, 40, 64]))),
@@ -156,15 +161,19 @@ def labelled_findings(seed: int = 11, n: int = 1600) -> list[tuple[str, int, int
         lambda: ("at ", "https://" + ".".join([word(), word(), "com"]) + "/" + pick(string.digits, 5) + "/" + word()), lambda: (rng.choice(["token=", "password=", "api_key: "]), rng.choice(["your_", "example_", "my-", "test_"]) + "_".join(word() for _ in range(3))),
         lambda: ("password: ", rng.choice("xX*0") * rng.randint(8, 24)), lambda: ("", "_".join(word() for _ in range(4)) + pick(string.digits, 3)), lambda: ("image ", "iVBORw0KGgo" + pick(alnum + "+/", rng.randint(60, 160))),
         lambda: ("version ", ".".join(pick(string.digits, 3) for _ in range(5)) + "-rc1-" + word() + word()), lambda: ("page ", word() + "-" + word() + "-" + pick(string.digits, 8) + ".html"),
-        lambda: ("token ", word() + word() + word() + pick(string.digits, 2)),
+        lambda: ("token ", word() + word() + word() + pick(string.digits, 2)), lambda: (rng.choice(["", "mail ", "write to "]), word() + "." + pick(string.digits, 2) + "@" + word() + pick(string.digits, 1) + ".example.com"),
+        lambda: ("", rng.choice([word() + pick(string.digits, rng.randint(1, 4)) + word(), pick(string.digits, 2) + word() + word()]).ljust(8, "s")), lambda: ("order ", pick(string.ascii_uppercase, 3) + "-" + pick(string.digits, 6)),
+        lambda: ("on ", "20" + pick(string.digits, 2) + "-0" + pick(string.digits, 1) + "-1" + pick(string.digits, 1) + "T0" + pick(string.digits, 1) + ":3" + pick(string.digits, 1) + "Z"), lambda: ("", word() + "_" + word() + pick(string.digits, 2) + rng.choice([".png", ".csv", ".py"])),
+        lambda: ("", "www." + word() + pick(string.digits, 2) + ".com/" + word()),
     ]
     out = []
     for k in range(n):
         label = k % 2
         cue, value = rng.choice(secret if label else other)()
         lead = " ".join(word() for _ in range(rng.randint(0, 5)))
-        head = (lead + " " if lead else "") + cue
-        out.append((head + value + rng.choice(["", "\"", " "]) + " " + word(), len(head), len(head) + len(value), label))
+        packed = not cue and rng.random() < 0.4  # as a value in a line of JSON or CSV
+        head = (lead + " " if lead else "") + (rng.choice(['{"' + word() + '":"', word() + ",", '{"a":"', '","' + word() + '":"']) if packed else cue)
+        out.append((head + value + rng.choice(["\"}", ",", "\",\""] if packed else ["", "\"", " "]) + " " + word(), len(head), len(head) + len(value), label))
     return out
 
 
@@ -176,14 +185,14 @@ def train(findings=None) -> Forest:
 
 
 def _looked_out(data: np.ndarray, at: np.ndarray):
-    """Words (in bytes) worth a look: long with a digit, or with = or : in them or just before."""
+    """Words (in bytes) worth a look: of eight bytes or more with a digit, or with = or : in them or just before."""
     starts, ends, first = word_spans(data, at)
     if not len(starts):
         return []
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
     marks = np.concatenate([[0], np.cumsum((data == 61) | (data == 58))])
     mark = marks[ends] > marks[starts]
-    take = (ends - starts >= 16) & (digits[ends] > digits[starts]) | mark
+    take = (ends - starts >= 8) & (digits[ends] > digits[starts]) | mark
     after = np.zeros(len(take), bool)
     after[1:] = (data[ends[:-1] - 1] == 61) | (data[ends[:-1] - 1] == 58)
     chosen = np.flatnonzero(take | after)
