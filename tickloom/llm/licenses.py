@@ -7,13 +7,17 @@ temperature fitted on held-out examples, and a paragraph whose best family stays
 is confirmed only if enough of the word bigrams of one of its templates stand in the paragraph; else it is unknown too.
 
 Training examples are made by rule from the templates (cut, shuffled at the edges, with words dropped or put in) and from ordinary
-prose that talks of licences; other examples can be passed in. Null and empty texts have no paragraphs. Whole texts are read,
-repeated paragraphs count each time. Columns besides id and text are not read.
+prose that talks of licences; other examples can be passed in. Null and empty texts have no paragraphs, and an empty table gives an
+empty result. Whole texts are read, of any length; memory is about 120 bytes a word of one text, and time grows with its words and
+findings. Of families with the same probability the first listed counts; a probability or overlap at its bar is enough. Repeated rows
+and paragraphs count each time. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -177,18 +181,39 @@ def _merged(found: list[dict]) -> list[dict]:
     return [f for of in out.values() for f in of]
 
 
+class _Cover:
+    """The places that findings cover, as spans in order that do not touch."""
+
+    def __init__(self, found: list[dict]):
+        self.starts, self.ends = [], []
+        for f in sorted(found, key=lambda f: f["a"]):
+            if self.ends and f["a"] < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], f["b"])
+            else:
+                self.starts.append(f["a"])
+                self.ends.append(f["b"])
+
+    def meets(self, f: dict) -> bool:
+        k = bisect_left(self.starts, f["b"])
+        return k > 0 and self.ends[k - 1] > f["a"]
+
+
 def _settled(found: list[dict]) -> list[dict]:
     """The findings of a text: a larger paragraph only where no smaller one in it is named already, and windows merged."""
     plain, scales = [f for f in found if not f["scale"]], sorted({f["scale"] for f in found} - {0})
     merged = [f for k in scales for f in _merged([f for f in found if f["scale"] == k])]
     named: list[dict] = []
+    starts: list[tuple] = []  # of the named ones: start, end, whether unknown; in order
     for f in sorted([*plain, *merged], key=lambda f: (f["b"] - f["a"], f["a"])):
-        if not any(f["a"] <= g["a"] and g["b"] <= f["b"] and (g["family"] != "unknown" or f["family"] == "unknown") for g in named):
+        k = bisect_left(starts, (f["a"],))
+        inside = itertools.takewhile(lambda g: g[0] < f["b"], itertools.islice(starts, k, None))  # noqa: B023
+        if not any(b <= f["b"] and (not unknown or f["family"] == "unknown") for _, b, unknown in inside):
             named.append(f)
+            insort(starts, (f["a"], f["b"], f["family"] == "unknown"))
     plain, windows = [f for f in named if not f["scale"]], _merged([f for f in named if f["scale"]])
-    meets = lambda f, g: f["a"] < g["b"] and g["a"] < f["b"]
-    sure = [f for f in [*plain, *windows] if f["family"] != "unknown"]
-    windows = [f for f in windows if not any(meets(f, g) for g in (sure if f["family"] == "unknown" else plain) if g["family"] == f["family"] or f["family"] == "unknown")]
+    sure = _Cover([f for f in [*plain, *windows] if f["family"] != "unknown"])
+    of = {family: _Cover([f for f in plain if f["family"] == family]) for family in FAMILIES}
+    windows = [f for f in windows if not (sure if f["family"] == "unknown" else of[f["family"]]).meets(f)]
     return [{k: v for k, v in f.items() if k != "scale"} for f in sorted([*plain, *windows], key=lambda f: (f["a"], f["b"]))]
 
 
@@ -209,9 +234,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if len(words):
                     grams = ngram_hashes(words, 2)
                     single = model.weights[(words % np.uint64(BUCKETS)).astype(np.int64)]
-                    double = model.weights[(grams % np.uint64(BUCKETS)).astype(np.int64)]
-                    total1 = np.concatenate([np.zeros((1, len(FAMILIES))), np.cumsum(single, 0, dtype=np.float64)])
-                    total2 = np.concatenate([np.zeros((1, len(FAMILIES))), np.cumsum(double, 0, dtype=np.float64)])
+                    total = np.zeros((len(words), len(FAMILIES)))  # before each word but the first: weights of the words and bigrams that start before it
+                    total[1:] = single[:-1]
+                    total[1:] += model.weights[(grams % np.uint64(BUCKETS)).astype(np.int64)]
+                    np.cumsum(total, 0, out=total)
+                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                     p0, p1, row = _paragraphs(data, at)
                     lo, hi = np.searchsorted(starts, p0), np.searchsorted(starts, p1)
                     size = hi - lo
@@ -220,15 +247,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     p0, p1 = np.concatenate([p0[keep], starts[first]]), np.concatenate([p1[keep], stops[end - 1]])
                     row, scale = np.concatenate([row[keep], row[long][of]]), np.concatenate([np.zeros(keep.sum(), np.int64), scale])
                     lo, hi = np.concatenate([lo[keep], first]), np.concatenate([hi[keep], end])
-                    sums = total1[hi] - total1[lo] + total2[hi - 1] - total2[lo]
+                    sums = total[hi - 1] - total[lo] + single[hi - 1]
                     best = model.probabilities(sums, 2 * (hi - lo) - 1)
                     for k in np.flatnonzero(best.argmax(1) > 0).tolist():
                         j = int(best[k].argmax())
                         share = model.confirmed(FAMILIES[j], words[lo[k] : hi[k]])
                         sure = best[k, j] >= least and share >= overlap
-                        base = int(at[row[k]])
-                        a = len(data[base : p0[k]].tobytes().decode())
-                        out[row[k]].append({"a": a, "b": a + len(data[p0[k] : p1[k]].tobytes().decode()), "family": FAMILIES[j] if sure else "unknown", "probability": float(best[k, j]), "overlap": share, "scale": int(scale[k])})
+                        base = chars[at[row[k]]]
+                        out[row[k]].append({"a": int(chars[p0[k]] - base), "b": int(chars[p1[k]] - base), "family": FAMILIES[j] if sure else "unknown", "probability": float(best[k, j]), "overlap": share, "scale": int(scale[k])})
                 out = [_settled(o) for o in out]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, found_type)], names=[id_col, "findings"])
 
