@@ -1,21 +1,27 @@
 """Quality rules with robust multivariate outliers. DataFrame functions only.
 
 Statistics of each whole text are counted inside the JVM. Texts that fail the base rules go. For the rest, the vector of
-transformed statistics is judged per language and source: minimum-covariance-determinant estimates are found by concentration
-steps (start from medians and median deviations; keep the share of rows nearest to the centre; estimate centre and covariance
-from them; repeat), and a text goes if its Mahalanobis distance is beyond a chi-square quantile. A step moves one row of sums per
-group and task, and quantiles by a sketch of fixed size, so a group with a third of all rows is no burden to one task.
+transformed statistics is judged per language and source by the minimum covariance determinant: of all sets with a given share of a
+group's rows, the one whose covariance has the least determinant gives centre and covariance, and a text goes if its Mahalanobis
+distance is beyond a chi-square quantile. The search starts from six estimates (medians with median deviations; covariances of values
+bounded by tanh, and of directions from the median; the half of the rows nearest to the median; two small random subsets). A
+concentration step keeps the share of rows nearest to the centre and estimates anew from them, which never raises the determinant; after
+two steps the two starts with the least determinants go on until it falls no more, and the lesser of them is taken. A step moves one
+row of sums per group, start and task, and quantiles by a sketch of fixed size (exact up to 10,000 values, within a ten-thousandth of
+the ranks beyond), so a group with a third of all rows is no burden to one task.
 
 Null texts count as texts without words and fail the base rules. Null languages and sources form groups of their own. Tied
 distances are kept together. A group with fewer than least_rows rows that pass the base rules, too few to estimate from, is judged
-by estimates from all rows of its language, and where those are too few as well, from all rows. Repeated rows are judged alike. Columns besides id, text, lang and source are not read.
+by estimates from all rows of its language, and where those are too few as well, from all rows, however few; so every row that passes
+the base rules is judged. Repeated rows are judged alike. Very long texts are counted whole. An empty table gives an empty result.
+Columns besides id, text, lang and source are not read.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import words_col, written
@@ -26,16 +32,19 @@ _SYMBOLS = "#*$%&|<>"
 VECTOR = {"x0": 0.25, "x1": 0.10, "x2": 0.15, "x3": 0.10, "x4": 0.15}
 
 
-#: Rows of a group meet the group's estimates in this many places, so that a group with a third of all rows is no one task's burden.
-SALTS = 16
+#: Rows of a group that meet the group's estimates in one place; a larger group is split over as many places as that takes.
+TOGETHER = 250_000
 #: The pool of all rows; no group or language has this name.
 _ALL = "\u0002"
 
 
-def _beside(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows (with grp and salt) joined with one row per group."""
-    copies = groups.withColumnRenamed("grp", "_grp").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(copies, (F.col("grp") == F.col("_grp")) & (F.col("salt") == F.col("_salt")), how).drop("_grp", "_salt")
+def _beside(rows: DataFrame, groups: DataFrame, places: int, how: str = "inner", keys: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """Rows (with the keys and salt) joined with the rows that groups has for their keys."""
+    copies = groups.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    on = F.pmod(F.col("salt"), F.lit(places)) == F.col("_salt")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return rows.join(copies, on, how).drop("_salt", *(f"_{k}" for k in keys))
 
 
 def _let(value: Column, body) -> Column:
@@ -121,26 +130,66 @@ def _factor(moments: DataFrame, p: int, consistency: float, floors: list[float])
             for k in range(j):
                 cov = cov - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"l{j}_{j}"))
-    return out.select("grp", "c", *(f"m{i}" for i in range(p)), *(f"l{i}_{j}" for i in range(p) for j in range(i + 1)))
+    determinant = math.prod((F.col(f"l{i}_{i}") * F.col(f"l{i}_{i}") for i in range(p)), start=F.lit(1.0))
+    return out.select("grp", "start", determinant.alias("det"), *_estimates(p))
 
 
-def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Centre and Cholesky factor of each group `grp` of rows with columns salt, x0.., by concentration steps."""
-    p, floors = len(VECTOR), list(VECTOR.values())
+def _estimates(p: int) -> list[str]:
+    return [*(f"m{i}" for i in range(p)), *(f"l{i}_{j}" for i in range(p) for j in range(i + 1))]
+
+
+def _sums(xs: list[str]) -> list[Column]:
+    p = len(xs)
+    return [F.count("*").alias("c"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i in range(p) for j in range(i + 1))]
+
+
+def _starts(rows: DataFrame, places: int, consistency: float, floors: list[float], small: int = 24) -> DataFrame:
+    """The first estimates of each group, by start."""
     xs = list(VECTOR)
-    mid = rows.groupBy("grp").agg(F.count("*").alias("c"), *(F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)))
-    off = _beside(rows, mid).groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, x in enumerate(xs)))
-    at = mid.join(off, "grp").withColumns({f"l{i}_{j}": (F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + floors[i] ** 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)})
-    at = written(at.select("grp", "c", *(f"m{i}" for i in range(p)), *(f"l{i}_{j}" for i in range(p) for j in range(i + 1))), "mcd-0")
+    p = len(xs)
+    mid = written(rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(xs))), "mcd-mid")
+    off = _beside(rows, mid.drop("n"), places).groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"d{i}") for i, x in enumerate(xs)))
+    mid = written(mid.join(off, "grp").withColumns({f"d{i}": F.sqrt((F.col(f"d{i}") * 1.4826) ** 2 + floors[i] ** 2) for i in range(p)}), "mcd-spread")
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}") for i, x in enumerate(xs)]
+    far = _beside(rows, mid, places).withColumn("r", F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0])))
+    near = written(far.groupBy("grp").agg(F.percentile_approx("r", 0.5, 10_000).alias("half")), "mcd-half")
+    far = _beside(far, near, places)
+    moved = lambda start, v: F.struct(F.lit(start).alias("start"), *((F.col(f"m{i}") + F.col(f"d{i}") * u).alias(f"u{i}") for i, u in enumerate(v)))
+    drawn = lambda seed: F.pmod(F.xxhash64("salt", F.lit(seed)), F.lit(1 << 30)) / (1 << 30) < small / F.col("n")
+    made = [moved(1, [F.tanh(v) for v in z]), moved(2, [v / F.greatest(F.col("r"), F.lit(1e-9)) for v in z]), F.when(F.col("r") <= F.col("half"), moved(3, z)), F.when(drawn(1), moved(4, z)), F.when(drawn(2), moved(5, z))]
+    each = far.select("grp", F.explode(F.array(*made)).alias("u")).where("u is not null").select("grp", "u.start", *(F.col(f"u.u{i}").alias(x) for i, x in enumerate(xs)))
+    plain = mid.select("grp", F.lit(0).alias("start"), F.lit(None).cast("double").alias("det"), *(f"m{i}" for i in range(p)), *((F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(p) for j in range(i + 1)))
+    return plain.unionByName(_factor(each.groupBy("grp", "start").agg(*_sums(xs)), p, consistency, floors))
+
+
+def robust_estimates(rows: DataFrame, places: int = 1, share: float = 0.75, most_steps: int = 30) -> DataFrame:
+    """Centre and Cholesky factor of each group `grp` of rows with columns salt, x0.., and the determinant.
+
+    most_steps: steps after which the search ends though the determinant still falls by more than a ten-thousandth."""
+    p, floors, xs = len(VECTOR), list(VECTOR.values()), list(VECTOR)
     quantile = chi2_quantile(share, p)
     consistency = share / chi2_cdf(quantile, p + 2)
-    for k in range(steps):
-        far = _beside(rows, at.drop("c")).select("grp", "salt", *xs, _distance(p).alias("d2"))
-        edge = written(far.groupBy("grp").agg(F.percentile_approx("d2", share, 2000).alias("edge"), F.count("*").alias("rows")), f"mcd-edge-{k}")
-        core = _beside(far, edge).where("d2 <= edge")
-        sums = [F.count("*").alias("c"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i in range(p) for j in range(i + 1))]
-        at = written(_factor(core.groupBy("grp").agg(*sums), p, consistency, floors), f"mcd-{k + 1}")
-    return at.drop("c").join(rows.groupBy("grp").agg(F.count("*").alias("rows")), "grp")
+    keys = ("grp", "start")
+
+    def step(at: DataFrame, name: str) -> DataFrame:
+        far = _beside(rows, at.drop("det"), places).select(*keys, "salt", *xs, _distance(p).alias("d2"))
+        edge = written(far.groupBy(*keys).agg(F.percentile_approx("d2", share, 10_000).alias("edge")), f"{name}-edge")
+        core = _beside(far, edge, places, keys=keys).where("d2 <= edge")
+        return written(_factor(core.groupBy(*keys).agg(*_sums(xs)), p, consistency, floors), name)
+
+    at = written(_starts(rows, places, consistency, floors), "mcd-starts")
+    for k in range(2):
+        at = step(at, f"mcd-{k}")
+    order = Window.partitionBy("grp").orderBy("det", "start")
+    done = at = written(at.withColumn("_k", F.row_number().over(order)).where("_k <= 2").drop("_k"), "mcd-best")
+    for k in range(2, most_steps):
+        new = step(at, f"mcd-{k}")
+        both = new.join(at.select(F.col("grp").alias("g2"), F.col("start").alias("s2"), F.col("det").alias("before")), (F.col("grp") == F.col("g2")) & (F.col("start") == F.col("s2")))
+        at = written(both.where("det < before * 0.9999").select(new.columns), f"mcd-on-{k}")
+        if at.isEmpty():
+            break
+        done = done.unionByName(at)
+    return done.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "start")
 
 
 def _judges(passed: DataFrame, least_rows: int) -> DataFrame:
@@ -151,7 +200,7 @@ def _judges(passed: DataFrame, least_rows: int) -> DataFrame:
     return groups.join(langs, "lang_pool").select("grp", judge.alias("judge"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 4, least_rows: int = 40, beyond: float = 1 - 1e-9) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, most_steps: int = 30, least_rows: int = 40, beyond: float = 1 - 1e-9) -> DataFrame:
     """id, the five statistics, base_failed, distance (squared; null where the base rules failed) and kept, for every row."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     group, pool = F.concat_ws("\u0000", part(lang_col), part(source_col)), F.concat(F.lit("\u0001"), part(lang_col))
@@ -159,13 +208,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     vector = {"x0": F.log1p(n), "x1": F.log1p(F.col("word_chars") / n), "x2": F.asinh(10 * F.col("n_symbols") / n), "x3": F.sqrt(F.col("n_dup_lines") / n), "x4": F.sqrt(F.col("n_repeat_words") / n)}
-    rows = written(counted.withColumn("base_failed", failed).withColumns(vector | {"salt": F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")}), "mcd-rows")
+    rows = written(counted.withColumn("base_failed", failed).withColumns(vector | {"salt": F.xxhash64(id_col, "n_words", "word_chars", F.monotonically_increasing_id())}), "mcd-rows")
     passed = rows.where(~F.col("base_failed"))
     judges = written(_judges(passed, least_rows), "mcd-judges")
     pools = F.explode(F.array("grp", "lang_pool", F.lit(_ALL))).alias("grp")
-    used = judges.select(F.col("judge").alias("grp")).distinct()
-    at = written(robust_estimates(_beside(passed.select("salt", *VECTOR, pools), used), share, steps), "mcd-estimates")
-    far = _beside(rows, judges.join(at.withColumnRenamed("grp", "judge"), "judge").drop("judge"), "left")
+    used = judges.groupBy(F.col("judge").alias("grp")).agg(F.lit(1).alias("one"))
+    places = max(1, -(-passed.count() // TOGETHER))
+    pooled = written(_beside(passed.select("salt", *VECTOR, pools), used, places).drop("one"), "mcd-pools")
+    at = written(robust_estimates(pooled, places, share, most_steps), "mcd-estimates")
+    far = _beside(rows, judges.join(at.withColumnRenamed("grp", "judge"), "judge").drop("judge", "det"), places, "left")
     far = far.withColumn("distance", F.when(~F.col("base_failed"), _distance(len(VECTOR))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(beyond, len(VECTOR)), F.lit(True))
     return far.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
