@@ -1,26 +1,30 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give an entity away.
 
-Base spans (email, ip, card, phone) are found by fixed patterns in every whole text. Each is a protected entity, and so is its
-kind. Terms in a few words around it are counted over the whole corpus: with n texts, n_e contexts of entity e, n_t texts with
-term t and n_et different contexts of e with t,
+Base spans (email, ip, card, phone) are found by fixed patterns in every whole text. Each value is a protected entity, and so is its
+kind. Over the whole corpus of n texts, n_e texts hold entity e, n_t texts hold term t, and n_et texts hold t within a few words of e:
     disclosure(e, t) = log2(n * n_et / (n_e * n_t))     (pointwise mutual information)
     information(e)   = log2(n / n_e).
 A term that discloses at least information / alpha, and is seen in at least `support` different contexts, is a span of its own
-wherever it stands beside that entity: generalised to its kind if it gives away the kind, removed if it gives away one entity.
-Copies of a text repeat a context and do not add to n_et, so words that are merely rare are left alone.
+wherever it stands in a text that holds the entity: generalised to its kind if it gives away the kind, removed if it gives away one
+value. Copies of a text count in all four numbers alike, so they shift no disclosure, and they repeat a context, so they add nothing to
+its support: words that are merely rare are left alone.
 
-Null and empty texts have no spans. Repeated rows are treated each for itself. Spans are in code points, end exclusive. Columns
-besides id and text are not read.
+Terms are whole words of three letters or more, of any length. Null and empty texts have no spans. Repeated rows are treated each for
+itself; a disclosure equal to the bar is over it. An empty table gives an empty result. Spans are in code points, end exclusive.
+Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickloom.llm.common import slices, written
 
@@ -75,28 +79,52 @@ def joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def _contexts(text: str, spans: list, width: int):
-    """(entity kind, value, context digest, term, start, end) of the terms within `width` words on either side of each base span."""
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _value(span: str, kind: str) -> int:
+    return _digest(f"{kind}:{span.lower()}")
+
+
+def _terms(text: str, spans: list) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the terms of a text that no base span touches."""
+    ends, starts, reach = [], [], 0
+    for a, b, _ in spans:  # by start; ends as far as any span before reaches
+        reach = max(reach, b)
+        starts.append(a)
+        ends.append(reach)
+    out = []
+    for m in _TERM.finditer(text):
+        k = bisect_left(starts, m.end())
+        if not k or ends[k - 1] <= m.start():
+            out.append((m[0].lower(), *m.span()))
+    return out
+
+
+def _contexts(text: str, spans: list, terms: list, width: int) -> dict[tuple, set]:
+    """The different contexts in which a text has a term within `width` terms on either side of an entity, by (kind, value or None, term)."""
+    starts = [t[1] for t in terms]
+    out: dict[tuple, set] = {}
     for a, b, kind in spans:
-        left, right = text[max(0, a - 24 * width) : a], text[b : b + 24 * width]
-        before = list(_TERM.finditer(left))[-width:]
-        after = [m for _, m in zip(range(width), _TERM.finditer(right))]
-        near = [(m[0].lower(), a - len(left) + m.start(), a - len(left) + m.end()) for m in before] + [(m[0].lower(), b + m.start(), b + m.end()) for m in after]
-        near = [x for x in near if not any(s < x[2] and x[1] < e for s, e, _ in spans)]
-        digest = int.from_bytes(hashlib.blake2b("\0".join(x[0] for x in near).encode(), digest_size=8).digest(), "little", signed=True)
-        value = int.from_bytes(hashlib.blake2b(f"{kind}:{text[a:b].lower()}".encode(), digest_size=8).digest(), "little", signed=True)
-        for term, s, e in near:
-            yield kind, value, digest, term, s, e
+        lo, hi = bisect_left(starts, a), bisect_right(starts, b - 1)
+        near = [t[0] for t in terms[max(0, lo - width) : lo] + terms[hi : hi + width]]
+        context, value = _digest("\0".join(near)), _value(text[a:b], kind)
+        for term in near:
+            out.setdefault((kind, None, term), set()).add(context)
+            out.setdefault((kind, value, term), set()).add(context)
+    return out
 
 
-_NEAR = "array<struct<kind:string,value:bigint,context:bigint,term:string,a:int,b:int>>"
+_SCHEMA = "spans array<struct<a:int,b:int,kind:string>>, found array<struct<kind:string,value:bigint>>, terms array<struct<term:string,a:int,b:int>>, near array<struct<kind:string,value:bigint,term:string,contexts:array<bigint>>>, term string, n bigint"
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, width: int, most_terms: int) -> DataFrame:
-    """One row per text (id, spans, near) and rows of (term, texts with it), counted in each task and flushed at most_terms terms."""
+    """One row per text (id, spans, entities found, and where there are any, terms and those near them), and rows of (term, texts with it), counted in each task and passed on at most_terms terms."""
     kind = docs.schema[id_col].dataType.simpleString()
-    near_type = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
-    spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string())]))
+    types = [f.dataType for f in T.StructType.fromDDL(_SCHEMA)]
+    spans_type, found_type, terms_type, near_type = map(to_arrow_type, types[:4])
+    names = ["id", "spans", "found", "terms", "near", "term", "n"]
 
     def work(batches):
         counts: dict[str, int] = {}
@@ -104,58 +132,64 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int, most_terms: i
 
         def flush():
             n = len(counts)
-            out = pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, spans_type), pa.nulls(n, near_type), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["id", "spans", "near", "term", "n"])
+            out = pa.RecordBatch.from_arrays([pa.nulls(n, id_type), *(pa.nulls(n, t) for t in (spans_type, found_type, terms_type, near_type)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=names)
             counts.clear()
             return out
 
         for whole in batches:
             id_type = whole.schema.field(0).type
             for batch in slices(whole, text_col):
-                spans, near = [], []
+                spans, found, terms, near = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     text = text or ""
-                    found = base_spans(text)
-                    spans.append([{"a": a, "b": b, "kind": k} for a, b, k in found])
-                    near.append([dict(zip(("kind", "value", "context", "term", "a", "b"), x, strict=True)) for x in _contexts(text, found, width)] if found else [])
+                    base = base_spans(text)
+                    spans.append([{"a": a, "b": b, "kind": k} for a, b, k in base])
+                    at = _terms(text, base) if base else []
+                    met = _contexts(text, base, at, width)
+                    terms.append([{"term": t, "a": a, "b": b} for t, a, b in at])
+                    found.append([{"kind": k, "value": None} for k in sorted({k for _, _, k in base})] + [{"kind": k, "value": v} for k, v in sorted({(k, _value(text[a:b], k)) for a, b, k in base})])
+                    near.append([{"kind": k, "value": v, "term": t, "contexts": sorted(c)} for (k, v, t), c in met.items()])
                     for term in set(_TERM.findall(text.lower())):
                         counts[term] = counts.get(term, 0) + 1
                 n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, spans_type), pa.array(near, near_type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=["id", "spans", "near", "term", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, spans_type), pa.array(found, found_type), pa.array(terms, terms_type), pa.array(near, near_type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=names)
                 if len(counts) > most_terms:
                     yield flush()
         if counts:
             yield flush()
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"id {kind}, spans array<struct<a:int,b:int,kind:string>>, near {_NEAR}, term string, n bigint")
+    return docs.select(id_col, text_col).mapInArrow(work, f"id {kind}, {_SCHEMA}")
 
 
 def disclosing_terms(scanned: DataFrame, alpha: float = 1.2, support: int = 5) -> DataFrame:
-    """entity, term and disclosure of the terms over the threshold. An entity is a kind (value null) or one value."""
+    """kind, value, term and disclosure of the terms over the threshold. An entity is a kind (value null) or one value."""
     texts = scanned.where("spans is not null")
     n = texts.count()
-    seen = texts.select(F.inline("near")).select(F.inline(F.array(F.struct("kind", F.lit(None).cast("bigint").alias("value"), "context", "term"), F.struct("kind", "value", "context", "term"))))
-    pairs = seen.distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    entities = seen.select("kind", "value", "context").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    seen = texts.select(F.inline("near"))
+    contexts = seen.select("kind", "value", "term", F.explode("contexts").alias("context")).distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("c")).where(F.col("c") >= support)
+    contexts = contexts.select(F.col("kind").alias("k3"), F.col("value").alias("v3"), F.col("term").alias("t3"))
+    pairs = seen.groupBy("kind", "value", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    same = lambda k, v: (F.col("kind") == F.col(k)) & F.col("value").eqNullSafe(F.col(v))
+    pairs = pairs.join(contexts, same("k3", "v3") & (F.col("term") == F.col("t3")), "left_semi")
+    entities = texts.select(F.inline("found")).groupBy(F.col("kind").alias("k2"), F.col("value").alias("v2")).agg(F.count("*").alias("n_e"))
     terms = scanned.where("term is not null").groupBy("term").agg(F.sum("n").alias("n_t"))
-    out = pairs.join(entities.withColumnsRenamed({"kind": "k2", "value": "v2"}), (F.col("kind") == F.col("k2")) & F.col("value").eqNullSafe(F.col("v2")))
-    out = out.join(terms, "term")
+    out = pairs.join(entities, same("k2", "v2")).join(terms, "term")
     disclosure, information = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log2(n / F.col("n_e"))
-    return out.withColumn("disclosure", disclosure).where((F.col("disclosure") > 0) & (disclosure >= information / alpha)).select("kind", "value", "term", "disclosure")
+    return out.withColumn("disclosure", disclosure).where((F.col("disclosure") > 0) & (F.col("disclosure") >= information / alpha)).select("kind", "value", "term", "disclosure")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, alpha: float = 1.2, support: int = 5, most_terms: int = 200_000) -> DataFrame:
     """id, base (array of spans), added (array of spans with kind term and an action: generalise or remove), for every row.
 
-    width: words on each side of a base span that count as its context; alpha: the larger, the lower the bar; support: different
+    width: terms on each side of a base span that count as its context; alpha: the larger, the lower the bar; support: different
     contexts that a term must be seen in; most_terms: distinct terms that a task holds before it passes their counts on."""
     scanned = written(_scan(docs, id_col, text_col, width, most_terms), "pii-scan")
-    bad = disclosing_terms(scanned, alpha, support).select(F.col("kind").alias("k2"), F.col("value").alias("v2"), F.col("term").alias("t2"))
-    texts = scanned.where("spans is not null").select("id", "spans", "near").withColumn("_row", F.monotonically_increasing_id())
-    texts = written(texts, "pii-texts")
-    near = texts.select("_row", F.inline("near")).join(bad, (F.col("term") == F.col("t2")) & (F.col("kind") == F.col("k2")) & (F.col("v2").isNull() | (F.col("v2") == F.col("value"))))
-    added = near.groupBy("_row", "a", "b").agg(F.when(F.bool_and(F.col("v2").isNull()), "generalise").otherwise("remove").alias("action"))
+    bad = written(disclosing_terms(scanned, alpha, support).select(F.col("term").alias("t2"), F.struct("kind", "value").alias("entity")), "pii-bad")
+    texts = written(scanned.where("spans is not null").select("id", "spans", "found", "terms").withColumn("_row", F.monotonically_increasing_id()), "pii-texts")
+    held = texts.select("_row", "found", F.inline("terms")).join(bad, F.col("term") == F.col("t2")).where(F.array_contains("found", F.col("entity")))
+    added = held.groupBy("_row", "a", "b").agg(F.when(F.bool_and(F.col("entity.value").isNull()), "generalise").otherwise("remove").alias("action"))
     added = added.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("a", "b", F.lit("term").alias("kind"), "action"))).alias("added"))
-    out = texts.drop("near").join(added, "_row", "left").drop("_row")
+    out = texts.drop("found", "terms").join(added, "_row", "left").drop("_row")
     return out.select(F.col("id").alias(id_col), F.col("spans").alias("base"), F.coalesce("added", F.expr("array()").cast("array<struct<a:int,b:int,kind:string,action:string>>")).alias("added"))
 
 
