@@ -7,9 +7,12 @@ of rare terms are added up per passage and item, and common terms count in full
 the threshold are searched, so none above it is lost. What is retrieved is then verified: the item's question and its answer
 must both be found, whole, as word n-grams near the passage.
 
-The index is built in shards of at most shard_bytes of item text, and every shard meets every passage, so memory does not grow
-with the number of items. Null and empty texts and items match nothing; items without a word are skipped; repeated items are
-reported each for itself, and repeated rows too. Very long texts are cut like others. Columns besides id and text are not read.
+The index is built in shards of about shard_bytes of item text, and every shard meets every passage; a shard's findings are stored
+before the next is fetched, so memory does not grow with the number of items. Document frequencies, the number of items and the mean
+length are those of all items, whatever the shards. Null and empty texts and items match nothing; items without a word are skipped;
+repeated items are reported each for itself, and repeated rows too. A score at the threshold is retrieved; of passages with tied scores
+the first counts. Very long texts are cut like others, and an empty table on either side gives an empty result. Columns besides id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -17,13 +20,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tickloom.llm.common import slices, utf8
+from tickloom.llm.common import slices, unused, utf8, written
 from tickloom.llm.textvec import plain, word_hashes
 
 K1, B = 1.2, 0.75
@@ -35,7 +40,8 @@ class ItemIndex:
 
     ids, parts and sizes (in words) are by item; words, owner (the piece's item) and the postings are by piece."""
 
-    def __init__(self, items: list[tuple], threshold: float, gram: int = 3, piece_words: int = 64):
+    def __init__(self, items: list[tuple], threshold: float, gram: int = 3, piece_words: int = 64, whole: tuple | None = None):
+        """whole: number of items, mean words of a piece, and each term's number of items, over all shards; by default those of these items."""
         self.threshold, self.gram = threshold, gram
         self.ids, self.parts, self.sizes, self.words, self.owner = [], [], [], [], []
         df: Counter = Counter()
@@ -51,7 +57,7 @@ class ItemIndex:
                 df.update(set(words.tolist()))
                 self.parts.append((self._grams(_hashes(question)), self._grams(_hashes(answer))))
         counts = [Counter(w.tolist()) for w in self.words]
-        n, mean = len(self.ids), max(1.0, float(np.mean([len(w) for w in self.words])) if self.words else 1.0)
+        n, mean, df = whole or (len(self.ids), max(1.0, float(np.mean([len(w) for w in self.words])) if self.words else 1.0), df)
         postings: dict[int, list] = {}
         for d, c in enumerate(counts):
             length = sum(c.values())
@@ -202,37 +208,58 @@ def _contaminated(index: ItemIndex, words: np.ndarray, first: np.ndarray, half:
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage_words: int = 64, threshold: float = 0.4, least_overlap: float = 0.5, shard_bytes: int = 16 << 20) -> DataFrame:
     """One row per text and test item found in it: id, item id, score (share of the BM25 score that the item, or its best piece, gives to itself), question_overlap, answer_overlap."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    names = [id_col, f"found_{item_col}" if item_col == id_col else item_col, "score", "question_overlap", "answer_overlap"]
+    names = [id_col, f"found_{item_col}" if item_col.lower() == id_col.lower() else item_col, "score", "question_overlap", "answer_overlap"]
     schema = f"`{names[0]}` {kind}, `{names[1]}` {item_kind}, score double, question_overlap double, answer_overlap double"
     items = items.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"))
     total = items.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    out = None
-    for k in range(shards):
-        shard = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == k).collect()]
-
-        def work(batches, shard=shard):
-            index = ItemIndex(shard, threshold, piece_words=max(1, passage_words // 2 * 2))
-            kinds = [pa.field(names[0], pa.null()), pa.field(names[1], pa.from_numpy_dtype(np.int64))]
-            for whole in batches:
-                kinds[0] = whole.schema.field(0)
-                for batch in slices(whole, text_col):
+    piece_words = max(1, passage_words // 2 * 2)
+    id_type, item_type = to_arrow_type(docs.schema[id_col].dataType), to_arrow_type(items.schema["i"].dataType)
+
+    def found_in(shard: list[tuple], whole: tuple | None) -> DataFrame:
+        def work(batches):
+            index = ItemIndex(shard, threshold, piece_words=piece_words, whole=whole)
+            for rows in batches:
+                for batch in slices(rows, text_col):
                     data, at = utf8(batch.column(1))
                     words, first, _ = word_hashes(plain(data), at)
                     found = _contaminated(index, words, first, passage_words // 2, least_overlap)
-                    ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[f[1]] for f in found], _arrow(item_kind)), *(pa.array([f[j] for f in found], pa.float64()) for j in (2, 3, 4))], names=names)
+                    ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64())).cast(id_type)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[f[1]] for f in found], item_type), *(pa.array([f[j] for f in found], pa.float64()) for j in (2, 3, 4))], names=names)
+
+        return docs.select(id_col, text_col).mapInArrow(work, schema)
+
+    if shards == 1:
+        return found_in([(r.i, r.t) for r in items.collect()], None)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
+    terms = written(_terms(items, piece_words), "leak-terms")
+    sizes = terms.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("pieces").alias("pieces")).first()
+    often = written(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "leak-often")
+    parts = []
+    for k in range(shards):
+        own = terms.where(F.col("shard") == k).select(F.explode("terms").alias("term")).distinct()
+        df = {r.term % (1 << 64): r.df for r in own.join(often, "term").collect()}
+        whole = (sizes.n, max(1.0, (sizes.words or 0) / max(1, sizes.pieces or 0)), df)
+        parts.append(written(found_in([(r.i, r.t) for r in items.where(F.col("shard") == k).collect()], whole), f"leaks-{k}"))
+    return reduce(DataFrame.unionByName, parts)
+
 
-        part = docs.select(id_col, text_col).mapInArrow(work, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+def _terms(items: DataFrame, piece_words: int) -> DataFrame:
+    """Per item with words: its shard, different terms, and numbers of words and pieces."""
 
+    def work(batches):
+        for b in batches:
+            each = [(shard, _hashes(t)) for shard, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t]
+            each = [(shard, w) for shard, w in each if len(w)]
+            columns = [pa.array([s for s, _ in each], pa.int64()), pa.array([np.unique(w).view(np.int64) for _, w in each], pa.list_(pa.int64())), pa.array([len(w) for _, w in each], pa.int64()), pa.array([-(-len(w) // piece_words) for _, w in each], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "terms", "words", "pieces"])
 
-def _arrow(kind: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return items.select("shard", "t").mapInArrow(work, "shard bigint, terms array<bigint>, words bigint, pieces bigint")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs in which no test item is found; same columns. Rows without an id are matched by null-safe equality."""
-    bad = find_leaks(docs, items, id_col, text_col, **how).select(F.col(id_col).alias("_leaky")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_leaky"]), "left_anti")
+    """The rows of docs in which no test item is found; same columns. Rows are told apart by id and text, so another text of the same id stays."""
+    key = unused(docs, "_leak_key")
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.hex(F.xxhash64(text_col)))
+    bad = find_leaks(docs.select(name.alias(key), F.col(text_col)), items, key, text_col, **how).select(F.col(key).alias(f"{key}_bad")).distinct()
+    return docs.withColumn(key, name).join(bad, F.col(key) == F.col(f"{key}_bad"), "left_anti").drop(key)
