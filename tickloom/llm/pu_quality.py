@@ -7,8 +7,9 @@ the class prior is estimated, are sums over all rows, gathered as one small matr
 number of passes over the table of statistics is fixed. The prior is the least ratio of unlabelled to positive mass above a score.
 
 Null texts are taken as empty; an empty text has statistics of zero and gets the score that belongs to them. Without trusted
-positives there is nothing to learn from: every score is then the neutral 0.5. Tied and repeated rows are scored alike. Columns
-besides id and text are not read.
+positives there is nothing to learn from: every score is then the neutral 0.5. Tied and repeated rows are scored alike; a score at the
+threshold counts as positive. Very long texts are read whole, and an empty table gives an empty result. Columns besides id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import slices, utf8, written
+from tickloom.llm.common import slices, unused, utf8, written
 
 STATS = ("log_words", "word_length", "upper", "digit", "symbol", "bang", "bar", "dot", "comma", "line", "other", "distinct", "repeat_next", "long_words", "short_words", "marked_ends")
 #: Each statistic enters as its value, its square root and its square.
@@ -50,7 +51,7 @@ def _stats(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: its id and the array `stats` (see STATS), computed over the whole text."""
+    """One row per text: its id, text_key (a hash of the text) and the array `stats` (see STATS), computed over the whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
@@ -58,9 +59,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for batch in slices(whole, text_col):
                 rows = _stats(batch)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(STATS)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[id_col, "stats"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat], names=["id", "text_key", "stats"])
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, stats array<double>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_key")).mapInArrow(work, f"id {kind}, text_key bigint, stats array<double>")
 
 
 def _inputs(stats: pa.Array) -> np.ndarray:
@@ -122,24 +123,29 @@ def fit(rows: DataFrame, passes: int = 9, ridge: float = 1e-3) -> dict:
 
 
 def _descend(rows, w, mean, scale, prior, passes, ridge):
+    """Newton steps on the non-negative risk from w; a step that does not lower it is halved, and the point of least risk is returned. A pass is one evaluation."""
     d = len(w)
+    penal = np.full(d, ridge)
+    penal[0] = 0
+    best, at, step = np.inf, w, np.zeros(d)
     for _ in range(passes):
         s = _summed(rows, *_moments(w, mean, scale))
         n, p = s[0], s[1]
         grad_all, grad_pos, sum_pos = s[4 : 4 + d] / n, s[4 + d : 4 + 2 * d] / p, s[4 + 2 * d : 4 + 3 * d] / p
         curve = s[4 + 3 * d :].reshape(d, d) / n
         negative_part = s[2] / n - prior * s[3] / p
-        # of prior * E_pos[l(z)]: prior * (E_pos[x s] - E_pos[x]); of the negative part: E_all[x s] - prior * E_pos[x s]
-        grad = prior * (grad_pos - sum_pos)
-        if negative_part >= 0:
-            grad = grad + grad_all - prior * grad_pos
-        else:  # step back on the part that went below zero
-            grad = prior * grad_pos - grad_all
-        penal = np.full(d, ridge)
-        penal[0] = 0
-        step = np.linalg.solve(curve + np.diag(penal + 1e-4), grad + penal * w)
-        w = w - step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
-    return w
+        # l(z) = l(-z) - z, so the positive part is that of -z less the mean of z
+        risk = prior * (s[3] / p - sum_pos @ w) + max(0.0, negative_part) + (penal * w * w).sum() / 2
+        if risk >= best:
+            step = step / 2
+        else:
+            best, at = risk, w
+            # of prior * E_pos[l(z)]: prior * (E_pos[x s] - E_pos[x]); of the negative part, where it is above zero: E_all[x s] - prior * E_pos[x s]
+            grad = prior * (grad_pos - sum_pos) + (grad_all - prior * grad_pos if negative_part >= 0 else 0) + penal * w
+            step = np.linalg.solve(curve + np.diag(penal + 1e-4), grad)
+            step = step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
+        w = at - step
+    return at
 
 
 def class_prior(rows: DataFrame, w, mean, scale, bins: int = 512, least: float = 0.05) -> float:
@@ -177,18 +183,24 @@ def held_out_col(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
-    """id, held_out, score and predicted for every text. Positives are trusted from rows of `labels` that aren't held out; their other labels are not used."""
-    held = F.coalesce(held_out_col(id_col), F.lit(False))
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """id, text_key, held_out and score for every row of docs."""
+    held = lambda c: F.coalesce(held_out_col(c), F.lit(False))
     stats = written(statistics(docs, id_col, text_col), "pu-stats")
-    trusted = labels.where(F.col(label_col) == 1).where(~held).select(F.col(id_col).alias("_id")).distinct().withColumn("_t", F.lit(True))
-    rows = stats.join(trusted, stats[id_col] == trusted["_id"], "left").select("stats", F.coalesce("_t", F.lit(False)).alias("trusted"))
+    trusted = labels.where(F.col(label_col) == 1).where(~held(id_col)).select(F.col(id_col).alias("_id")).distinct().withColumn("_t", F.lit(True))
+    rows = stats.join(trusted, F.col("id") == F.col("_id"), "left").select("stats", F.coalesce("_t", F.lit(False)).alias("trusted"))
     model = fit(written(rows, "pu-rows"))
-    score = score_col(model)
-    return stats.select(id_col, held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return stats.select("id", "text_key", held("id").alias("held_out"), score_col(model).alias("score"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
+    """id, held_out, score and predicted for every text. Positives are trusted from rows of `labels` that aren't held out; their other labels are not used."""
+    scored = _scored(docs, labels, id_col, text_col, label_col)
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score reaches the threshold; same columns."""
-    scored = score_documents(docs, labels, id_col, text_col, threshold).where("predicted = 1").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(scored, docs[id_col].eqNullSafe(scored["_kept_id"]), "left_semi")
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, label_col: str = "quality") -> DataFrame:
+    """The rows of docs whose score reaches the threshold; same columns. Rows are told apart by id and text."""
+    i, t, key = (unused(docs, c) for c in ("_kept_id", "_kept_text", "_text_key"))
+    kept = _scored(docs, labels, id_col, text_col, label_col).where(F.col("score") >= threshold).select(F.col("id").alias(i), F.col("text_key").alias(t)).distinct()
+    return docs.withColumn(key, F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(key) == F.col(t)), "left_semi").drop(key)
