@@ -14,48 +14,61 @@ from pyspark.sql import functions as F
 #: Fixed pattern: words are what stands between these characters (space, and tab to carriage return).
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
-_tables: list[tuple[SparkSession, str]] = []
-_kept: list[tuple[SparkSession, str]] = []
+_made: list[Scratch] = []
+_open: list[Scratch] = []
+
+
+class Scratch:
+    """Intermediate tables that belong together: those made by written() while it is entered. release() deletes them and no others."""
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+        _made.append(self)
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+
+    def release(self) -> None:
+        """Call it once results built on the tables are stored."""
+        while self.tables:
+            spark, path = self.tables.pop()
+            try:
+                hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            except Exception:  # noqa: BLE001  the session may be gone at exit
+                return
+
+
+_rest = Scratch()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode only, one of our own where that is unset (tests)."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage, and survives the loss of executors.
 
-    keep: release() leaves it until the process ends."""
+    The table goes with the innermost Scratch that is entered, else when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    (_kept if keep else _tables).append((spark, path))
+    (_open[-1] if _open else _rest).tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table made by written() so far. Call it once results built on them are stored."""
-    _delete(_tables)
-
-
-def _delete(tables: list[tuple[SparkSession, str]]) -> None:
-    while tables:
-        spark, path = tables.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-atexit.register(lambda: _delete(_tables) or _delete(_kept))
+atexit.register(lambda: [s.release() for s in _made])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ starts or ends at some line of it, so those shortest runs, of both kinds, decide
 Null and empty texts have no lines. Blank lines are never deleted, nor do they part a run. Within one text later repeats of a run
 go too. Rows that repeat both id and text count as one document, and each gets the same result; of rows with one id and different
 texts, the order of hashes of the texts decides which comes first. An empty table gives an empty result. Columns besides id and
-text pass through untouched, whatever their names (names that start with _lr_ are kept for this operator).
+text pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import written
+from tickloom.llm.common import unused, written
 
 _GAPS = " \t\n\x0b\x0c\r"
 _RANGES = 512
@@ -109,10 +109,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 120, chars_col: str | None = None) -> DataFrame:
     """docs without the later copies of repeated runs; same columns. A document that loses all its lines goes; chars_col, if given, is counted anew."""
-    found = repeated_lines(docs, id_col, text_col, min_chars).where("size(removed) > 0").select(F.col("d").alias("_lr_d"), F.col("removed").alias("_lr_gone"), (F.size("removed") == F.col("n_lines")).alias("_lr_all"))
-    rows = docs.withColumn("_lr_key", _key(id_col, text_col)).join(found, F.col("_lr_key") == F.col("_lr_d"), "left").where("not coalesce(_lr_all, false)")
-    left = F.array_join(F.transform(F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: ~F.array_contains("_lr_gone", x["i"])), lambda x: x["s"]), "\n")
-    rows = rows.withColumn(text_col, F.when(F.col("_lr_gone").isNull(), F.col(text_col)).otherwise(left))
+    key, other, gone, every = (unused(docs, f"_lr_{c}") for c in ("key", "d", "gone", "all"))
+    found = repeated_lines(docs, id_col, text_col, min_chars).where("size(removed) > 0").select(F.col("d").alias(other), F.col("removed").alias(gone), (F.size("removed") == F.col("n_lines")).alias(every))
+    rows = docs.withColumn(key, _key(id_col, text_col)).join(found, F.col(key) == F.col(other), "left").where(~F.coalesce(every, F.lit(False)))
+    left = F.array_join(F.transform(F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: ~F.array_contains(gone, x["i"])), lambda x: x["s"]), "\n")
+    rows = rows.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left))
     if chars_col and chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.when(F.col("_lr_gone").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
+        rows = rows.withColumn(chars_col, F.when(F.col(gone).isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
     return rows.select(*(rows[f"`{c}`"] for c in docs.columns))

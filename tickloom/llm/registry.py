@@ -49,7 +49,7 @@ def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every url of pages."""
-    return path_tree.url_verdicts(table(spark, sf_dir, "pages"))
+    return path_tree.url_verdicts(table(spark, sf_dir, "pages")).drop("labelled")
 
 
 def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
