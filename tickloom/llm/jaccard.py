@@ -183,9 +183,11 @@ def _shared_counts(docs: DataFrame, text_col: str, shingle: int, parts: int) ->
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """node, least, and tokens (the shingle set as bytes) of the wanted classes, each read from the one text of it that `wanted` names."""
+    """node, least, and tokens (the shingle set as bytes) of the wanted classes, each read from the one text of it that `wanted` names.
+
+    The wanted classes may be a large share of all, so they are not broadcast, however few they happen to be."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
-    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("text_key"))).select("node", "digest", "_text")
+    texts = texts.hint("merge").join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("text_key"))).select("node", "digest", "_text")
 
     def work(batches):
         for whole in batches:
