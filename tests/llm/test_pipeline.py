@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
     where = str(tmp_path_factory.mktemp("corpus"))
     run = [prose(rng, 14) for _ in range(3)]
     item = {k: prose(rng, 30) + ". " + prose(rng, 9) + "." for k in range(3)}
-    good = [prose(rng, rng.randint(50, 90)) for _ in range(160)]
+    good = [". ".join(prose(rng, rng.randint(8, 30)) for _ in range(4)) + "." for _ in range(160)]
     texts = list(good)
     texts += [" ".join(w.upper() + "!!" for w in prose(rng, 60).split()) for _ in range(25)]
     texts += [g + "\n" + "\n".join(run) for g in good[:6]] + ["\n".join(run)]
