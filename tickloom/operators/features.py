@@ -18,36 +18,49 @@ def log_return(n: int = 1) -> Column:
     return F.log(ratio(PRICE, lag(PRICE, n)))
 
 
-def safe_features(s: DataFrame, least: int = 60, nudge: bool = False) -> DataFrame:
+def _macd(s: DataFrame) -> DataFrame:
+    """EMA 12 and 26, their difference, its signal line of 9, and the histogram, in one pass of exponential means over the price alone.
+
+    An exponential mean of a difference is the difference of the means, so the signal line needs no second pass."""
+    signal = {"span": 9}
+    rows = with_ewm(s, {"ema_12": (PRICE, {"span": 12}), "ema_26": (PRICE, {"span": 26}), "_s12": ("ema_12", signal), "_s26": ("ema_26", signal)})
+    rows = rows.withColumns({"macd_line": F.col("ema_12") - F.col("ema_26"), "macd_signal": F.col("_s12") - F.col("_s26")}).drop("_s12", "_s26")
+    return rows.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
+
+
+def safe_features(s: DataFrame, least: int = 60, nudge: bool = False, also: dict[str, Column] | None = None) -> DataFrame:
     """The 24 columns (time, price and SAFE) of tokens with at least `least` rows; rows before all windows are full go.
 
-    nudge: add row * 1e-12 to the rolling extremes and row * 1e-10 to constant columns, so that no feature is constant."""
-    rows = with_row(s).withColumn("_n", F.count("*").over(whole())).where(F.col("_n") >= least).withColumn("log_returns", log_return())
+    nudge: add row * 1e-12 to the rolling extremes and row * 1e-10 to constant columns, so that no feature is constant.
+    also: further columns over the token's rows, such as targets, made in the same pass; they may be null."""
+    rows = with_row(_macd(s.select(KEY, TIME, TIE, PRICE))).withColumn("_n", F.count("*").over(whole())).where(F.col("_n") >= least).withColumns({"log_returns": log_return()} | (also or {}))
     rows = rows.withColumns({f"log_returns_mean_{n}": mean("log_returns", n) for n in (10, 30, 60)} | {f"log_returns_vol_{n}": std("log_returns", n) for n in (10, 30, 60)} | {f"price_momentum_{n}": pct_change(PRICE, n) for n in (10, 30, 60)})
     rows = rows.withColumns({"log_returns_min_30": low("log_returns", 30), "log_returns_max_30": high("log_returns", 30), "sma_20": mean(PRICE, 20), "sma_50": mean(PRICE, 50), "_sd": std(PRICE, 20)})
     rows = rows.withColumns({"bb_upper": F.col("sma_20") + 2 * F.col("_sd"), "bb_lower": F.col("sma_20") - 2 * F.col("_sd")})
     rows = rows.withColumn("bb_position", ratio(F.col(PRICE) - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")))
-    rows = with_ewm(rows, {"ema_12": (PRICE, {"span": 12}), "ema_26": (PRICE, {"span": 26})}).withColumn("macd_line", F.col("ema_12") - F.col("ema_26"))
-    rows = with_ewm(rows, {"macd_signal": ("macd_line", {"span": 9})}).withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
     if nudge:
         rows = rows.withColumns({c: F.col(c) + F.col("rn") * 1e-12 for c in ("log_returns_min_30", "log_returns_max_30")})
         rows = rows.withColumns({c: F.when(F.max(c).over(whole()) == F.min(c).over(whole()), F.col(c) + F.col("rn") * 1e-10).otherwise(F.col(c)) for c in SAFE})
-    return rows.select(KEY, TIME, TIE, PRICE, *SAFE).na.drop(subset=[c for c in SAFE if c != "bb_position"])
+    return rows.select(KEY, TIME, TIE, PRICE, *SAFE, *(also or {})).na.drop(subset=[c for c in SAFE if c != "bb_position"])
 
 
 def macd(s: DataFrame) -> DataFrame:
     """EMA 12 and 26, their difference, its signal line of 9, and the histogram."""
-    rows = with_ewm(s, {"ema_12": (PRICE, {"span": 12}), "ema_26": (PRICE, {"span": 26})}).withColumn("macd_line", F.col("ema_12") - F.col("ema_26"))
-    return with_ewm(rows, {"macd_signal": ("macd_line", {"span": 9})}).withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
+    return _macd(s)
 
 
-def targets(s: DataFrame, horizons=HORIZONS) -> DataFrame:
+def target_columns(horizons=HORIZONS) -> dict[str, Column]:
     """label_{h}m (1 if the price h rows on is higher) and return_{h}m, null where the series ends before."""
     cols = {}
     for h in horizons:
         ahead = lead(PRICE, h)
         cols |= {f"label_{h}m": F.when(ahead.isNotNull(), (ahead > F.col(PRICE)).cast("int")), f"return_{h}m": ratio(ahead, PRICE) - 1}
-    return s.withColumns(cols)
+    return cols
+
+
+def targets(s: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """The series with its target columns."""
+    return s.withColumns(target_columns(horizons))
 
 
 def forecast_target(s: DataFrame, h: int) -> DataFrame:

@@ -17,10 +17,8 @@ def categorised(s: DataFrame) -> DataFrame:
 
 
 def feature_table(s: DataFrame, horizons: tuple[int, ...] = features.HORIZONS) -> DataFrame:
-    """Safe features and forward targets side by side: targets come from the whole cleaned series, so warm-up rows don't shorten them."""
-    wanted = [c for h in horizons for c in (f"label_{h}m", f"return_{h}m")]
-    ahead = features.targets(s, horizons).select(KEY, TIME, TIE, *wanted)
-    return features.safe_features(s).join(ahead, [KEY, TIME, TIE])
+    """Safe features and forward targets side by side, made in one pass: targets come from the whole series, so warm-up rows don't shorten them."""
+    return features.safe_features(s, also=features.target_columns(horizons))
 
 
 def run_pipeline(s: DataFrame, horizons: tuple[int, ...] = features.HORIZONS) -> DataFrame:

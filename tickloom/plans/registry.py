@@ -118,7 +118,7 @@ on_series("rolling_quantile_linear", LONG, "token_id seq:i q25:r q75:r med:r", l
 on_series("rolling_quantile_nearest", SHORT, "token_id seq:i q:r", lambda s: s.withColumn("q", R.quantile_nearest("price", 0.25, 20)), f"SELECT token_id, seq, CASE WHEN count(price) OVER f >= 20 THEN list_sort(list(price) OVER f)[6] END AS q FROM s WINDOW f AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 on_series("expanding_sharpe", SHORT, "token_id seq:i exp_sharpe:r", features.expanding_sharpe, f"SELECT token_id, seq, CASE WHEN count(ret) OVER c >= 2 THEN avg(ret) OVER c / nullif(stddev_samp(ret) OVER c, 0) END AS exp_sharpe FROM r WINDOW c AS {W}")
 on_series("expanding_max_drawdown", SHORT, "token_id seq:i top:r future:r", lambda s: s.withColumns({"top": F.max("price").over(R.so_far()), "future": F.max("price").over(R.from_here())}), "SELECT token_id, seq, max(price) OVER (PARTITION BY token_id ORDER BY datetime, seq ROWS UNBOUNDED PRECEDING) AS top, max(price) OVER (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS future FROM s")
-on_series("expanding_moments", SHORT, "token_id seq:i exp_var:r exp_q05:r", features.expanding_moments, f"SELECT token_id, seq, CASE WHEN count(ret) OVER c >= 3 THEN var_samp(ret) OVER c END AS exp_var, CASE WHEN count(ret) OVER c >= 3 THEN quantile_cont(ret, 0.05) OVER c END AS exp_q05 FROM r WINDOW c AS {W}")
+on_series("expanding_moments", SHORT, "token_id seq:i exp_var:r exp_q05:r exp_skew:r", features.expanding_moments, f"SELECT token_id, seq, CASE WHEN count(ret) OVER c >= 3 THEN var_samp(ret) OVER c END AS exp_var, CASE WHEN count(ret) OVER c >= 3 THEN quantile_cont(ret, 0.05) OVER c END AS exp_q05, CASE WHEN count(ret) OVER c >= 3 THEN (avg(ret * ret * ret) OVER c - 3 * avg(ret) OVER c * avg(ret * ret) OVER c + 2 * avg(ret) OVER c ** 3) / nullif(var_pop(ret) OVER c, 0) ** 1.5 END AS exp_skew FROM r WINDOW c AS {W}")
 
 
 def ewm_sql(alpha: float) -> str:
@@ -225,7 +225,9 @@ on_series("optimal_trade", SHORT, "token_id optimal_return:r entry_minute:i exit
 on_series("universal_timing", SHORT, "entry_row:i exit_row:i tokens:i mean_return:r win_rate:r", price.universal_timing, "SELECT a.rn AS entry_row, b.rn AS exit_row, count(*) AS tokens, avg(b.price / a.price - 1) AS mean_return, avg(CAST(b.price > a.price AS INT)) AS win_rate FROM r a JOIN r b ON a.token_id = b.token_id AND b.rn > a.rn WHERE a.rn % 10 = 0 AND b.rn % 10 = 0 AND a.rn <= 240 AND b.rn <= 240 GROUP BY ALL")
 
 # --- features and targets ----------------------------------------------------------------------------------------------------------
-on_series("safe_features", LONG, "token_id seq:i log_returns_mean_30:r log_returns_vol_60:r log_returns_min_30:r price_momentum_10:r sma_50:r bb_position:r", features.safe_features, f"SELECT * FROM (SELECT token_id, seq, rn, {roll('avg', 'lr', 30)} AS log_returns_mean_30, {roll('stddev_samp', 'lr', 60)} AS log_returns_vol_60, {roll('min', 'lr', 30)} AS log_returns_min_30, price / lag(price, 10) OVER {W} - 1 AS price_momentum_10, {roll('avg', 'price', 50)} AS sma_50, (price - ({roll('avg', 'price', 20)} - 2 * {roll('stddev_samp', 'price', 20)})) / nullif(4 * {roll('stddev_samp', 'price', 20)}, 0) AS bb_position, cnt FROM (SELECT *, ln(price / lag(price) OVER {W}) AS lr FROM r)) WHERE rn >= 60 AND cnt >= 60")
+SAFE_SQL = [("log_returns", "lr")] + [(f"log_returns_mean_{n}", roll("avg", "lr", n)) for n in (10, 30, 60)] + [(f"log_returns_vol_{n}", roll("stddev_samp", "lr", n)) for n in (10, 30, 60)] + [("log_returns_min_30", roll("min", "lr", 30)), ("log_returns_max_30", roll("max", "lr", 30))] + [(f"price_momentum_{n}", f"price / lag(price, {n}) OVER {W} - 1") for n in (10, 30, 60)] + [(f"sma_{n}", roll("avg", "price", n)) for n in (20, 50)] + [("ema_12", "a.e"), ("ema_26", "b.e"), ("macd_line", "a.e - b.e")]
+SAFE_SQL += [("bb_upper", f"{roll('avg', 'price', 20)} + 2 * {roll('stddev_samp', 'price', 20)}"), ("bb_lower", f"{roll('avg', 'price', 20)} - 2 * {roll('stddev_samp', 'price', 20)}"), ("bb_position", f"(price - ({roll('avg', 'price', 20)} - 2 * {roll('stddev_samp', 'price', 20)})) / nullif(4 * {roll('stddev_samp', 'price', 20)}, 0)")]
+on_series("safe_features", LONG, "token_id seq:i price:r " + " ".join(f"{n}:r" for n, _ in SAFE_SQL), features.safe_features, "SELECT * FROM (SELECT token_id, seq, price, rn, cnt, " + ", ".join(f"{x} AS {n}" for n, x in SAFE_SQL) + f" FROM (SELECT *, ln(price / lag(price) OVER {W}) AS lr FROM r) JOIN {ewm_sql(2 / 13)} a USING (token_id, seq) JOIN {ewm_sql(2 / 27)} b USING (token_id, seq)) WHERE rn >= 60 AND cnt >= 60")
 on_series("macd", SHORT, "token_id seq:i macd_line:r", features.macd, f"SELECT a.token_id, a.seq, a.e - b.e AS macd_line FROM {ewm_sql(2 / 13)} a JOIN {ewm_sql(2 / 27)} b USING (token_id, seq)")
 on_series("directional_targets", LONG, "token_id seq:i label_15m:r return_15m:r label_60m:r return_60m:r label_720m:r return_720m:r", features.targets, "SELECT token_id, seq, " + ", ".join(f"CASE WHEN lead(price, {h}) OVER w IS NOT NULL THEN CAST(lead(price, {h}) OVER w > price AS INT) END AS label_{h}m, lead(price, {h}) OVER w / price - 1 AS return_{h}m" for h in (15, 60, 720)) + f" FROM s WINDOW w AS {W}")
 on_series("forecast_target", LONG, "token_id seq:i target:r", lambda s: features.forecast_target(s, 30), f"SELECT * FROM (SELECT token_id, seq, lead(price, 30) OVER {W} AS target FROM s) WHERE target IS NOT NULL")
@@ -242,7 +244,7 @@ on_series("jarque_bera", SHORT, "token_id n:i std:r skew:r kurt:r semi_deviation
 on_series("split_80_20", SHORT, "token_id seq:i split", features.split_80_20, "SELECT token_id, seq, CASE WHEN rn < floor(cnt * 0.8) THEN 'train' ELSE 'test' END AS split FROM r")
 on_series("minmax_train_scale", SHORT, "token_id seq:i scaled:r", features.minmax_train_scaled, "SELECT token_id, seq, (price - lo) / nullif(hi - lo, 0) AS scaled FROM (SELECT *, min(CASE WHEN rn < floor(cnt * 0.8) THEN price END) OVER (PARTITION BY token_id) AS lo, max(CASE WHEN rn < floor(cnt * 0.8) THEN price END) OVER (PARTITION BY token_id) AS hi FROM r)")
 on_series("early_features", SHORT, "token_id cumulative_return:r max_return:r cv:r slope:r up_share:r", features.early_features, "SELECT token_id, last(price ORDER BY rn) / first(price ORDER BY rn) - 1 AS cumulative_return, max(ret) AS max_return, stddev_samp(price) / avg(price) AS cv, regr_slope(price, rn) AS slope, avg(CAST(ret > 0 AS INT)) AS up_share FROM r WHERE rn <= 10 GROUP BY token_id")
-on_series("bot_features", SHORT, "token_id seq:i ma_5:r vol_std_5:r macd_stub:r initial_dump_flag", features.bot_features, f"SELECT token_id, seq, {roll('avg', 'price', 5)} AS ma_5, {roll('stddev_samp', 'ret', 5)} AS vol_std_5, {roll('avg', 'price', 5)} - {roll('avg', 'price', 15)} AS macd_stub, coalesce(max(CAST(rn <= 2 AND price / p0 - 1 < -0.1 AS INT)) OVER (PARTITION BY token_id), 0) = 1 AS initial_dump_flag FROM (SELECT *, first_value(price) OVER {W} AS p0 FROM r)")
+on_series("bot_features", SHORT, "token_id seq:i ma_5:r ma_15:r vol_std_5:r macd_stub:r initial_dump_flag", features.bot_features, f"SELECT token_id, seq, {roll('avg', 'price', 5)} AS ma_5, {roll('avg', 'price', 15)} AS ma_15, {roll('stddev_samp', 'ret', 5)} AS vol_std_5, {roll('avg', 'price', 5)} - {roll('avg', 'price', 15)} AS macd_stub, coalesce(max(CAST(rn <= 2 AND price / p0 - 1 < -0.1 AS INT)) OVER (PARTITION BY token_id), 0) = 1 AS initial_dump_flag FROM (SELECT *, first_value(price) OVER {W} AS p0 FROM r)")
 on_series("sequences", SHORT, "token_id seq:i first:r total:r", lambda s: features.sequences(s, 10).select("token_id", "seq", F.col("sequence")[0][0].alias("first"), F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[0]).alias("total")), f"SELECT * FROM (SELECT token_id, seq, lag(price, 9) OVER {W} AS first, {roll('sum', 'price', 10)} AS total FROM s) WHERE total IS NOT NULL")
 on_series("leakage_constant_columns", SHORT, "column n:i is_constant", lambda s: features.constant_columns(s.withColumn("one", F.lit(1.0)), ["price", "one"]), "SELECT 'price' AS \"column\", count(DISTINCT price) AS n, false AS is_constant FROM s UNION ALL SELECT 'one', 1, true")
 
@@ -258,15 +260,16 @@ on_series("order_imbalance", LONG, "token_id seq:i imbalance:r cumulative_delta:
 on_series("lazy_features", SHORT, "token_id seq:i sma_10:r move_type", indicators.lazy_features, f"SELECT *, {roll('avg', 'price', 10)} AS sma_10, CASE WHEN ret > 0.1 THEN 'pump' WHEN ret < -0.1 THEN 'dump' WHEN abs(ret) < 0.001 THEN 'flat' ELSE 'normal' END AS move_type FROM r")
 
 
+# prices over an odd number: quotients of whole numbers would fall on the middle between two roundings
 def shipments(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").withColumn("_tie", (F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 100 + F.col("l_linenumber")).withColumn("_price", F.col("l_extendedprice") / 7000)
+    rows = table(spark, d, "lineitem").withColumn("_tie", (F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 100 + F.col("l_linenumber")).withColumn("_price", F.col("l_extendedprice").cast("double") / 3141.592653589793)
     return series.as_series(rows, "l_returnflag", "l_shipdate", "_price", "_tie", ("l_quantity",))
 
 
 VWAP = "SELECT token_id, seq, " + ", ".join(f"{roll('sum', 'price * v', n)} / nullif({roll('sum', 'v', n)}, 0) AS w{n}, {roll('stddev_samp', 'price', n)} AS d{n}" for n in (5, 60, 240)) + ", price FROM "
 VWAP_COLUMNS = "SELECT *, w5 AS vwap, " + ", ".join(f"w{n} AS vwap_{n}, w{n} + d{n} AS vwap_upper_{n}, w{n} - d{n} AS vwap_lower_{n}, (price - w{n}) / w{n} AS vwap_distance_{n}" for n in (5, 60, 240)) + " FROM "
 VWAP_SPEC = "token_id seq:i vwap:r " + " ".join(f"vwap_{n}:r vwap_upper_{n}:r vwap_lower_{n}:r vwap_distance_{n}:r" for n in (5, 60, 240))
-register("vwap_bands", VWAP_SPEC, lambda spark, d: indicators.vwap_bands(shipments(spark, d), volume="l_quantity"), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS seq, l_extendedprice / 7000 AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"{VWAP_COLUMNS} ({VWAP} s)")
+register("vwap_bands", VWAP_SPEC, lambda spark, d: indicators.vwap_bands(shipments(spark, d), volume="l_quantity"), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS seq, CAST(l_extendedprice AS DOUBLE) / CAST(3141.592653589793 AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"{VWAP_COLUMNS} ({VWAP} s)")
 on_series("vwap_by_returns", SHORT, "token_id seq:i vwap:r vwap_upper_5:r vwap_60:r vwap_distance_60:r", indicators.vwap_bands, f"{VWAP_COLUMNS} ({VWAP} (SELECT *, abs(ret) + 1e-10 AS v FROM r))")
 on_series("trix", SHORT, "token_id seq:i trix:r", indicators.trix)
 on_series("last_signals", SHORT, "token_id rsi_signal bb_signal stoch_signal", indicators.last_signals)
@@ -336,7 +339,7 @@ DEAD = FLAT_TAIL + f",\nzz AS (SELECT *, (price - lag(price) OVER {W}) / (lag(pr
 on_series("death_detect", LONG, "token_id n:i death_minute:r is_dead lifespan_minutes:i", lambda s: acf.death(flat_tail(s)), "SELECT *, death_minute IS NOT NULL AS is_dead, coalesce(death_minute, n) AS lifespan_minutes FROM dm", DEAD)
 on_series("lifespan_class", SHORT, "token_id lifespan_class", lambda s: acf.death(s).select("token_id", acf.lifespan_class("n", 60, 80).alias("lifespan_class")), "SELECT token_id, CASE WHEN count(*) < 60 THEN 'sprint' WHEN count(*) < 80 THEN 'standard' ELSE 'marathon' END AS lifespan_class FROM s GROUP BY token_id")
 on_series("death_features", LONG, "token_id death_minute:r death_type death_velocity:r death_completeness:r final_price_ratio:r", lambda s: acf.death_features(flat_tail(s)), "SELECT token_id, death_minute, CASE WHEN death_minute <= 0 THEN NULL WHEN death_minute < 5 THEN 'immediate' WHEN death_minute < 60 THEN 'sudden' WHEN death_minute < 360 THEN 'gradual' WHEN death_minute IS NOT NULL THEN 'extended' END AS death_type, CASE WHEN death_minute >= 10 THEN (pb - pa) / pb END AS death_velocity, CASE WHEN death_minute > 0 THEN 1 - pf / top END AS death_completeness, pf / top AS final_price_ratio FROM (SELECT token_id, any_value(death_minute) AS death_minute, max(price) FILTER (rn = death_minute - 10) AS pb, max(price) FILTER (rn = death_minute) AS pa, max(price) FILTER (death_minute IS NULL OR rn < death_minute) AS top, max(price) FILTER (rn = coalesce(least(death_minute + 30, n - 1), n - 1)) AS pf FROM ft JOIN dm USING (token_id) GROUP BY token_id)", DEAD)
-on_series("features_15", SHORT, "token_id mean_return:r std_return:r max_drawdown:r volatility_5min:r return_5min:r max_return_1min:r trend_direction_5min:r price_change_ratio_5min:r pump_velocity_5min:r", acf.features_15, f"SELECT token_id, avg(z) AS mean_return, stddev_pop(z) AS std_return, max((top - price) / top) AS max_drawdown, stddev_pop(z) FILTER (rn <= 5) AS volatility_5min, (max(price) FILTER (rn = least(5, cnt - 1)) - max(price) FILTER (rn = 0)) / (max(price) FILTER (rn = 0) + 1e-12) AS return_5min, max(abs(z)) FILTER (rn <= 5) AS max_return_1min, regr_slope(price, rn) FILTER (rn <= 5) AS trend_direction_5min, (max(price) FILTER (rn <= 5) - min(price) FILTER (rn <= 5)) / max(price) FILTER (rn = 0) AS price_change_ratio_5min, coalesce(avg(z) FILTER (rn <= 5 AND z > 0), 0) AS pump_velocity_5min FROM (SELECT *, (price - lag(price) OVER {W}) / (lag(price) OVER {W} + 1e-12) AS z, max(price) OVER {W} AS top FROM r) GROUP BY token_id")
+on_series("features_15", SHORT, "token_id mean_return:r std_return:r max_drawdown:r volatility_5min:r return_5min:r max_return_1min:r trend_direction_5min:r price_change_ratio_5min:r pump_velocity_5min:r acf_lag_1:r acf_lag_5:r acf_lag_10:r", acf.features_15, f"SELECT token_id, avg(z) AS mean_return, stddev_pop(z) AS std_return, max((top - price) / top) AS max_drawdown, stddev_pop(z) FILTER (rn <= 5) AS volatility_5min, (max(price) FILTER (rn = least(5, cnt - 1)) - max(price) FILTER (rn = 0)) / (max(price) FILTER (rn = 0) + 1e-12) AS return_5min, max(abs(z)) FILTER (rn <= 5) AS max_return_1min, regr_slope(price, rn) FILTER (rn <= 5) AS trend_direction_5min, (max(price) FILTER (rn <= 5) - min(price) FILTER (rn <= 5)) / max(price) FILTER (rn = 0) AS price_change_ratio_5min, coalesce(avg(z) FILTER (rn <= 5 AND z > 0), 0) AS pump_velocity_5min, " + ", ".join(f"coalesce(sum(d * d{k}) / nullif(sum(d * d), 0), 0) AS acf_lag_{k}" for k in (1, 5, 10)) + f" FROM (SELECT *, lag(d) OVER {W} AS d1, lag(d, 5) OVER {W} AS d5, lag(d, 10) OVER {W} AS d10 FROM (SELECT *, z - avg(z) OVER (PARTITION BY token_id) AS d FROM (SELECT *, (price - lag(price) OVER {W}) / (lag(price) OVER {W} + 1e-12) AS z, max(price) OVER {W} AS top FROM r))) GROUP BY token_id")
 on_series("behaviour_rules", SHORT, "cluster:i tokens:i behaviour", lambda s: acf.behaviour(acf.features_15(s).withColumn("cluster", F.pmod(F.col("token_id").cast("int"), F.lit(4)))))
 on_series("cluster_summary", SHORT, "cluster:i tokens:i pct_dead:r archetype", lambda s: acf.archetype_name(acf.cluster_summary(acf.features_15(s).withColumn("cluster", F.pmod(F.col("token_id").cast("int"), F.lit(4))))))
 on_series("archetype_aggregate", SHORT, "grp:i n:i mean:r median:r p95:r positive_rate:r winsorized_mean:r extreme_gain_rate:r", lambda s: acf.archetype_aggregate(quality.total_return_series(s).where("ret is not null").withColumn("grp", F.pmod(F.col("token_id").cast("int"), F.lit(4))), "grp", "ret"), "SELECT grp, count(*) AS n, avg(ret) AS mean, any_value(q50) AS median, any_value(q95) AS p95, avg(CAST(ret > 0 AS INT)) AS positive_rate, avg(greatest(least(ret, q95), q05)) AS winsorized_mean, avg(CAST(ret > 1 AS INT)) AS extreme_gain_rate FROM (SELECT *, CAST(token_id AS INT) % 4 AS grp FROM r WHERE ret IS NOT NULL) JOIN (SELECT CAST(token_id AS INT) % 4 AS grp, quantile_cont(ret, 0.05) AS q05, quantile_cont(ret, 0.5) AS q50, quantile_cont(ret, 0.95) AS q95 FROM r WHERE ret IS NOT NULL GROUP BY 1) USING (grp) GROUP BY grp")
