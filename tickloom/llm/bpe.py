@@ -13,7 +13,7 @@ merges decide, and a sequence of tokens is the encoding of its text if every two
 enough that the window's outermost tokens are the ones that the two sides have there.
 
 Decoding lays the tokens' bytes end to end; bytes that are no UTF-8 become U+FFFD. What the pattern takes for a letter, number or blank
-is asked of the library, character by character. Tokenizers that are no byte-level BPE with this pattern encode and decode every text
+is asked of the library, in blocks of 256 characters as they turn up. Tokenizers that are no byte-level BPE with this pattern encode and decode every text
 whole, by the library.
 
 Nulls are taken as empty texts; an empty text has no tokens. Repeated rows are encoded each for itself, and an empty table gives an
@@ -63,6 +63,13 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _ranges(codes: list[int]) -> str:
+    """Code points as ranges of a character class."""
+    codes = sorted(codes)
+    cuts = [k for k in range(len(codes)) if not k or codes[k] != codes[k - 1] + 1] + [len(codes)]
+    return "".join(f"{re.escape(chr(codes[a]))}-{re.escape(chr(codes[b - 1]))}" for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 class Encoder:
     """A byte-level BPE with a store of the ids of pre-tokens met before."""
 
@@ -74,9 +81,9 @@ class Encoder:
         self.bytes_of = [of.get(i, b"") for i in range(max(of) + 1)]
         self.size = np.array([len(b) for b in self.bytes_of], np.int64)
         self.store: dict[str, bytes] = {}
-        self.known: set[str] = set()
-        self.classes = ["", "", ""]  # letters, numbers, blanks
-        self._learn({chr(k) for k in range(128)})
+        self.known: set[int] = set()  # blocks of 256 code points
+        self.classes: list[list[int]] = [[], [], []]  # letters, numbers, blanks
+        self._learn({0})
 
     @staticmethod
     def fits(tok) -> bool:
@@ -87,20 +94,21 @@ class Encoder:
         bare = not spec["normalizer"] and not spec["post_processor"] and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         return plain and bare and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
 
-    def _learn(self, chars: set[str]) -> None:
-        """Ask the library which characters are letters, numbers or blanks: they join an 'a', a '1', or neither these nor a '!'."""
-        self.known |= chars
+    def _learn(self, blocks: set[int]) -> None:
+        """Ask the library which characters of some blocks are letters, numbers or blanks: they join an 'a', a '1', or neither these nor a '!'."""
+        self.known |= blocks
         joins = lambda lead, c: len(self.tok.pre_tokenizer.pre_tokenize_str(lead + c)) == 1
-        for c in sorted(chars):
+        for k in sorted(k for b in blocks for k in range(b << 8, b + 1 << 8) if not 0xD800 <= k < 0xE000):
+            c = chr(k)
             kind = 0 if joins("a", c) else 1 if joins("1", c) else None if joins("!", c) else 2
             if kind is not None:
-                self.classes[kind] += re.escape(c)
-        a, n, s = self.classes
+                self.classes[kind].append(k)
+        a, n, s = map(_ranges, self.classes)
         # fixed pattern of byte-level tokenizers
         self.pattern = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{a}]+| ?[{n}]+| ?[^{s}{a}{n}]+|[{s}]+(?![^{s}])|[{s}]+")
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii() and (new := set(text) - self.known):
+        if not text.isascii() and (new := {ord(c) >> 8 for c in set(text)} - self.known):
             self._learn(new)
         return self.pattern.findall(text)
 
