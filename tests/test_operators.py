@@ -250,3 +250,28 @@ def test_batch_pipeline_runs_all_stages(spark):
     s = make(spark, **{f"t{k}": np.exp(np.cumsum(rng.normal(size=300) / 100)).tolist() for k in range(3)})
     rows = pipeline.run_pipeline(s, (15,)).collect()
     assert len(rows) == 3 * 240 and {r.category for r in rows} <= set(cleaning.STRATEGIES) and sum(r.label_15m is None for r in rows) == 45
+
+
+def test_clusters_of_all_against_those_of_a_category(spark):
+    rows = [(f"{c}{k}", c, float(k % 2) * 10 + k / 100) for c in "ab" for k in range(20)] + [("z0", "z", 1.0)]
+    got = {r.category: (r.tokens, r.ari) for r in learning.unified_against_category(spark.createDataFrame(rows, "token_id string, category string, x double"), ["x"], 2).collect()}
+    assert got == {"a": (20, 1.0), "b": (20, 1.0)}
+
+
+def test_a_category_is_exported_to_its_folder(spark, tmp_path):
+    s = make(spark, a=walk(5), b=walk(6))
+    tokens = spark.createDataFrame([("a", "dead"), ("b", "alive")], "token_id string, category string")
+    for category in ("dead", "alive"):
+        series.export_category(s, tokens, str(tmp_path), category)
+    got = spark.read.parquet(str(tmp_path))
+    assert {(r.category, r.token_id, r["count"]) for r in got.groupBy("category", "token_id").count().collect()} == {("dead", "a", 5), ("alive", "b", 6)}
+    series.export_category(s, tokens, str(tmp_path), "dead")
+    assert spark.read.parquet(str(tmp_path)).count() == 11
+
+
+def test_labels_and_logs_are_read_from_json(spark, tmp_path):
+    (tmp_path / "labels.json").write_text('{"archetype_data": {"dead": {"quick": {"cluster_id": 3, "tokens": ["x", "y"]}}, "normal": {"calm": {"cluster_id": 1, "tokens": ["z"]}}}}')
+    got = {tuple(r) for r in series.read_label_map(spark, str(tmp_path / "labels.json")).collect()}
+    assert got == {("x", "dead", "quick", 3), ("y", "dead", "quick", 3), ("z", "normal", "calm", 1)}
+    series.write_json(make(spark, a=[1, 2]), str(tmp_path / "log"))
+    assert series.read_json(spark, str(tmp_path / "log"), make(spark, a=[1]).schema).count() == 2

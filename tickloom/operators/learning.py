@@ -75,6 +75,22 @@ def seed_stability(features: DataFrame, columns: list[str], k: int, seeds: tuple
     return out
 
 
+def unified_against_category(features: DataFrame, columns: list[str], k: int, category: str = "category", seed: int = 42) -> DataFrame:
+    """Per category: tokens, and the adjusted Rand index between clusters of all tokens together and clusters of the category's tokens alone.
+
+    One clustering per category, so categories are meant to be few; one with fewer than k tokens is left out."""
+    together = kmeans(features, columns, k, seed).select(KEY, category, *columns, F.col("cluster").alias("unified")).cache()
+    out = None
+    for name, n in sorted((r[0], r[1]) for r in together.groupBy(category).count().where(F.col(category).isNotNull()).collect()):
+        if n < k:
+            continue
+        own = together.where(F.col(category) == name)
+        both = own.select(KEY, "unified").join(kmeans(own.drop("unified"), columns, k, seed).select(KEY, "cluster"), KEY)
+        part = adjusted_rand(both, "unified", "cluster").select(F.lit(name).alias(category), F.lit(n).alias("tokens"), "ari")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else features.sparkSession.createDataFrame([], f"{category} string, tokens int, ari double")
+
+
 def early_rules(features: DataFrame, columns: list[str], label: str, depth: int = 5, leaf: int = 20):
     """A decision tree on early features; returns the model, whose debug string is the rules."""
     from pyspark.ml import Pipeline

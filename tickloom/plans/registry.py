@@ -385,3 +385,6 @@ on_series("feature_pipeline", LONG, "token_id seq:i sma_50:r log_returns_vol_60:
 on_series("batch_pipeline", SHORT, "token_id datetime:t category sma_50:r return_15m:r", pipeline.run_pipeline)
 on_series("leakage_names", SHORT, "column is_safe", lambda s: features.name_report(acf.features_15(s).select("mean_return", "max_drawdown", "lifespan_minutes").withColumn("Granularity_5", F.lit(1))), "SELECT * FROM (VALUES ('mean_return', true), ('max_drawdown', false), ('lifespan_minutes', true), ('Granularity_5', false)) AS v(\"column\", is_safe)")
 on_series("bot_autocorrelation", SHORT, "token_id " + " ".join(f"acf_lag_{k}:r" for k in range(1, 11)), features.bot_autocorrelation, "SELECT token_id, " + ", ".join(f"coalesce(CASE WHEN count(*) > 10 THEN sum(d * l{k}) / nullif(sum(d * d), 0) END, 0) AS acf_lag_{k}" for k in range(1, 11)) + " FROM (SELECT *, " + ", ".join(f"lag(d, {k}) OVER w AS l{k}" for k in range(1, 11)) + " FROM (SELECT *, ret - avg(ret) OVER (PARTITION BY token_id) AS d FROM r WHERE ret IS NOT NULL) WINDOW w AS (PARTITION BY token_id ORDER BY datetime, seq)) GROUP BY token_id")
+on_series("best_horizon", SHORT, "token_id horizon:i sharpe:r", lambda s: quant.best_horizon(quant.risk_reward(s)), "SELECT token_id, horizon, sharpe FROM rr QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY sharpe DESC, horizon) = 1", RR)
+register("label_columns", "token_id seq:i category cluster:i", lambda spark, d: acf.label_columns(events(spark, d, SHORT), sets.members(categories(spark, d)).where("category = 'purchase'").withColumn("cluster", F.length("token_id"))), CATEGORIES + "SELECT s.token_id, s.seq, m.category, length(m.token_id) AS cluster FROM s LEFT JOIN (SELECT * FROM m WHERE category = 'purchase') m ON m.token_id = s.token_id")
+on_series("death_times", LONG, "bucket:i tokens:i", lambda s: acf.death_times(flat_tail(s)), "SELECT floor(death_minute / 60) * 60 AS bucket, count(*) AS tokens FROM dm WHERE death_minute IS NOT NULL GROUP BY 1", DEAD)

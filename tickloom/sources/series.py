@@ -99,6 +99,12 @@ def write_parquet(df: DataFrame, path: str, by: str | None = "category") -> None
     (out.partitionBy(by) if by and by in df.columns else out).parquet(path)
 
 
+def export_category(s: DataFrame, tokens: DataFrame, path: str, category: str) -> None:
+    """The rows of the tokens of a category, added to the category's folder under path."""
+    chosen = s.join(tokens.where(F.col("category") == category).select(KEY).distinct(), KEY, "left_semi")
+    chosen.drop("category").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/category={category}")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
