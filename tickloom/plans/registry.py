@@ -293,7 +293,8 @@ on_series("microstructure", LONG, "token_id avg_rv_1h:r vol_of_vol:r avg_amihud:
 on_series("kyle_lambda", LONG, "token_id n:i r_squared:r", quant.kyle_lambda, f"SELECT token_id, count(*) AS n, corr(ret, sv) ** 2 AS r_squared FROM (SELECT *, quantile_cont(ret, 0.025) OVER p AS lo, quantile_cont(ret, 0.975) OVER p AS hi FROM (SELECT *, sign(ret) * abs(ret) * {roll('stddev_samp', 'ret', 120, 60)} AS sv FROM r) WHERE ret IS NOT NULL AND sv IS NOT NULL WINDOW p AS (PARTITION BY token_id)) WHERE ret BETWEEN lo AND hi AND abs(sv) > 1e-10 GROUP BY token_id HAVING count(*) > 15")
 on_series("liquidity", LONG, "token_id amihud:r roll_spread:r liquidity_score:r", quant.liquidity, f"SELECT *, 0.4 / (1 + amihud) + 0.3 / (1 + roll_spread) + 0.3 * moving AS liquidity_score FROM (SELECT token_id, avg(abs(ret) / price) AS amihud, CASE WHEN covar_samp(ret, b) < 0 THEN 2 * sqrt(-covar_samp(ret, b)) ELSE 0 END AS roll_spread, avg(CAST(ret <> 0 AS INT)) AS moving FROM (SELECT *, lag(ret) OVER {W} AS b FROM r) GROUP BY token_id)")
 on_series("autocorr_rolling", SHORT, "token_id seq:i return_autocorr:r", quant.autocorr_rolling, f"SELECT token_id, seq, {roll('avg', 'dx * dy', 120, 30)} / nullif(sqrt({roll('avg', 'dx * dx', 120, 30)} * {roll('avg', 'dy * dy', 120, 30)}), 0) AS return_autocorr FROM (SELECT *, ret - {roll('avg', 'ret', 120, 30)} AS dx, b - {roll('avg', 'b', 120, 30)} AS dy FROM (SELECT *, lag(ret) OVER {W} AS b FROM r))")
-on_series("momentum_quality", SHORT, "token_id seq:i momentum_10:r momentum_quality:r", quant.momentum_quality)
+MOMENTA = [f"{k}{n}" for n in (10, 30, 60) for k in ("m", "s")]
+on_series("momentum_quality", SHORT, "token_id seq:i momentum_10:r momentum_quality:r", quant.momentum_quality, "SELECT token_id, seq, m10 AS momentum_10, (" + " + ".join(f"coalesce(z_{x}, 0)" for x in MOMENTA) + ") / nullif(" + " + ".join(f"CAST(z_{x} IS NOT NULL AS INT)" for x in MOMENTA) + ", 0) AS momentum_quality FROM (SELECT *, " + ", ".join(f"({x} - avg({x}) OVER p) / (stddev_samp({x}) OVER p + 1e-10) AS z_{x}" for x in MOMENTA) + " FROM (SELECT *, " + ", ".join(f"price / lag(price, {n}) OVER {W} - 1 AS m{n}, 1 / ({roll('stddev_samp', 'ret', n, 2)} + 1e-10) AS s{n}" for n in (10, 30, 60)) + " FROM r) WINDOW p AS (PARTITION BY token_id))")
 on_series("volume_profile", LONG, "token_id bin:i n:i is_poc is_high", lambda s: quant.volume_profile(s, 10))
 on_series("market_profile", LONG, "token_id bucket:i n:i is_poc in_value_area", quant.market_profile, "SELECT token_id, bucket, n, rk = 1 AS is_poc, coalesce(bf, 0) < 0.7 * al AS in_value_area FROM (SELECT *, row_number() OVER o AS rk, sum(n) OVER (PARTITION BY token_id ORDER BY n DESC, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf, sum(n) OVER (PARTITION BY token_id) AS al FROM (SELECT token_id, least(19, floor((price - lo) / (hi - lo) * 20)) AS bucket, count(*) AS n FROM (SELECT *, min(price) OVER (PARTITION BY token_id) AS lo, max(price) OVER (PARTITION BY token_id) AS hi FROM s) GROUP BY ALL) WINDOW o AS (PARTITION BY token_id ORDER BY n DESC, bucket))")
 on_series("vol_surface", LONG, "token_id window:i p10:r p50:r p90:r", quant.volatility_surface, "SELECT token_id, win AS \"window\", quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90 FROM (" + " UNION ALL ".join(f"SELECT token_id, {n} AS win, {roll('stddev_samp', 'ret', n)} * sqrt(525600.0 / {n}) AS v FROM r" for n in (5, 15, 30, 60)) + ") WHERE v IS NOT NULL GROUP BY ALL")
