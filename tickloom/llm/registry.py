@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, jaccard, licenses, line_runs, mcd, path_tree, pii, pu_quality, secrets_forest
+from tickloom.llm import bpe, chat, decontaminate, jaccard, licenses, line_runs, mcd, path_tree, pii, pu_quality, secrets_forest
 from tickloom.llm.common import table
 
 
@@ -68,6 +68,13 @@ def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size(known).cast("long").alias("n_licenses"), (F.size("findings") - F.size(known)).cast("long").alias("n_unknown"), spans.alias("spans"))
 
 
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its windows; conversation -7 says what the template itself says."""
+    words = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", words), (-7, 1, "assistant", words)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.conversation_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sanitise": op1_sanitise,
     "op2_shingle_join": op2_shingle_join,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_path_templates": op8_path_templates,
     "op9_secret_forest": op9_secret_forest,
     "op10_license_paragraphs": op10_license_paragraphs,
+    "op11_chat_windows": op11_chat_windows,
 }
 ORACLES: dict[str, str] = {
     "op2_shingle_join": """
