@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, decontaminate, jaccard, licenses, line_runs, mcd, path_tree, pii, pu_quality, secrets_forest
+from tickloom.llm import bpe, chat, decontaminate, jaccard, licenses, line_runs, mcd, path_tree, phrases, pii, pu_quality, secrets_forest
 from tickloom.llm.common import table
 
 
@@ -75,6 +75,11 @@ def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language of documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sanitise": op1_sanitise,
     "op2_shingle_join": op2_shingle_join,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_forest": op9_secret_forest,
     "op10_license_paragraphs": op10_license_paragraphs,
     "op11_chat_windows": op11_chat_windows,
+    "op12_collocations": op12_collocations,
 }
 ORACLES: dict[str, str] = {
     "op2_shingle_join": """
@@ -108,5 +114,20 @@ later AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY name ORDER
 gone AS (SELECT DISTINCT c.doc_id, c.pos FROM later JOIN c ON c.doc_id = later.doc_id AND c.seq BETWEEN later.a AND later.b),
 per AS (SELECT doc_id, count(*) AS m, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(count(k.pos) AS BIGINT) AS n_lines, CAST(coalesce(any_value(per.m), 0) AS BIGINT) AS n_removed, coalesce(any_value(per.removed), '') AS removed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN per ON per.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op12_collocations": """
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, piece, count(*) AS m FROM piece GROUP BY lang, piece),
+w AS (SELECT lang, m, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+total AS (SELECT lang, sum(m * len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, phrase, sum(m) AS f FROM (SELECT lang, m, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) r(k) WHERE len(w) >= k) GROUP BY lang, k, phrase),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k >= 2 AND f >= 10),
+cut AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:size], ' ') AS y FROM c, range(1, 3) r(k) WHERE k < size),
+s AS (SELECT cut.lang, cut.phrase, cut.size, cut.a, cut.k, gx.f AS l, gy.f AS r, (1000000::HUGEINT * cut.a * cut.a) // (gx.f::HUGEINT * gy.f) AS score FROM cut JOIN g gx ON gx.lang = cut.lang AND gx.phrase = cut.x JOIN g gy ON gy.lang = cut.lang AND gy.phrase = cut.y),
+weakest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE size = 3) GROUP BY lang, part),
+kept AS (SELECT weakest.* FROM weakest LEFT JOIN longer ON longer.lang = weakest.lang AND longer.part = weakest.phrase WHERE longer.a IS NULL OR 100 * longer.a < 50 * weakest.a),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT best.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best JOIN total ON total.lang = best.lang WHERE rank <= 2000
 """,
 }

@@ -54,17 +54,22 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, by its bytes and length alone; spans may overlap."""
+    power, inverse = _power(len(data) + 1)
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_LETTER[data] * power[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """64-bit hash of each word (A-Z taken as a-z if lower), index of each text's first word, and the words' spans."""
     starts, ends, first = word_spans(data, at)
     if not len(starts):
         return np.zeros(0, np.uint64), first, (starts, ends)
-    power, inverse = _power(len(data) + 1)
     letters = _LOWER[data] if lower else data
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LETTER[letters] * power[: len(data)], out=total[1:])
-    out = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    out = span_hashes(letters, starts, ends)
     for k in np.flatnonzero(ends - starts > _LONG_WORD):
         out[k] = int.from_bytes(hashlib.blake2b(letters[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     return out, first, (starts, ends)
