@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, decontaminate, jaccard, licenses, line_runs, mcd, path_tree, phrases, pii, pu_quality, secrets_forest
+from tickloom.llm import bpe, chat, decontaminate, jaccard, licenses, line_runs, mcd, path_tree, phrases, pii, pu_quality, ranked, secrets_forest
 from tickloom.llm.common import table
 
 
@@ -80,6 +80,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every item of benchmark."""
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sanitise": op1_sanitise,
     "op2_shingle_join": op2_shingle_join,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_paragraphs": op10_license_paragraphs,
     "op11_chat_windows": op11_chat_windows,
     "op12_collocations": op12_collocations,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES: dict[str, str] = {
     "op2_shingle_join": """
@@ -129,5 +135,15 @@ longer AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to
 kept AS (SELECT weakest.* FROM weakest LEFT JOIN longer ON longer.lang = weakest.lang AND longer.part = weakest.phrase WHERE longer.a IS NULL OR 100 * longer.a < 50 * weakest.a),
 best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT best.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best JOIN total ON total.lang = best.lang WHERE rank <= 2000
+""",
+    "op13_ranked_search": """
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+size AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+tf AS (SELECT d, doc_id, n, t, count(*) AS tf FROM (SELECT d, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY d, doc_id, n, t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY t),
+scored AS (SELECT i.item_id, tf.d, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // big_l))))) AS BIGINT) AS score FROM i JOIN tf ON tf.t = i.t JOIN weight ON weight.t = i.t, size GROUP BY i.item_id, tf.d, tf.doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, d) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM best WHERE rank <= 10
 """,
 }
