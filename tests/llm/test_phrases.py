@@ -66,11 +66,10 @@ def test_ties_and_no_rows(spark):
     assert phrases.collocations(spark.createDataFrame([], SHAPE)).collect() == []
 
 
-def test_small_runs_and_small_memory_give_the_same(spark, monkeypatch):
+def test_small_runs_and_a_full_filter_give_the_same(spark):
     rows = texts(9)
-    want = brute(rows)
-    monkeypatch.setattr(phrases, "RUN", 2000)
-    assert sorted(map(tuple, phrases.collocations(spark.createDataFrame(rows, SHAPE)).collect())) == want
+    got = phrases.collocations(spark.createDataFrame(rows, SHAPE), run=2000, packed=5000, filter_bits=64)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
 def test_scores_pass_64_bits(spark):

@@ -3,7 +3,8 @@
 Texts in lower case (A-Z) are split at stops, commas, colons, semicolons, `!`, `?` and line ends into pieces, and these into words at
 spaces and tabs. Each task sends its different pieces with their counts to hash buckets; a bucket adds them up, so a piece that many
 texts share is cut into n-grams once, with its multiplicity. The n-grams of a run of pieces, each once with its weight, go to the
-bucket of their own hash, whatever their first words, so no word, pair or piece is hot. In both buckets duckdb adds up in a bounded
+bucket of their own hash, whatever their first words, so no word, pair or piece is hot. Words and pairs are counted first; longer
+n-grams are sent only if their parts may be frequent, which loses none. In both buckets duckdb adds up in a bounded
 memory, and spills to the task's own scratch folder, as Spark's own operators do; that is gone when the task ends, and tasks pass on
 nothing through it.
 
@@ -17,17 +18,20 @@ phrase's bytes. Long pieces and texts are taken whole. Other columns are not rea
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import slices, utf8, written
-from tickloom.llm.textvec import _LOWER, span_hashes
+from tickloom.llm.textvec import _LOWER, mix, span_hashes
 
 #: What ends a piece, and what stands between words.
 STOPS, GAPS = ".,;:!?\n\x0b\x0c\r", " \t"
@@ -36,6 +40,7 @@ _STOP[[ord(c) for c in STOPS]] = True
 _GAP[[ord(c) for c in GAPS]] = True
 #: Memory of one bucket's sums before duckdb spills, and bytes of text that are worked off at once.
 BUCKET_MEMORY, RUN = "160MB", 4 << 20
+PACKED, FILTER_BITS = 48 << 20, 1 << 26
 
 
 class Pieces:
@@ -78,36 +83,52 @@ def _taken(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[at]))
 
 
-def _packed(lang: str, texts: pa.Array, counts: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """(lang, bucket, payload) rows that hold the texts with their counts."""
-    data, at = utf8(texts)
-    bucket = (span_hashes(data, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, counts, size = bucket[order], counts[order], np.diff(at)[order]
-    sorted_data, _ = utf8(texts.take(pa.array(order)))
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else [0]
-    offsets, squeeze = np.concatenate([[0], np.cumsum(size)]), zstandard.ZstdCompressor(level=1)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        raw = np.array([b - a], "<i8").tobytes() + counts[a:b].astype("<i8").tobytes() + size[a:b].astype("<i8").tobytes() + sorted_data[offsets[a] : offsets[b]].tobytes()
-        yield lang, int(bucket[a]), squeeze.compress(raw)
+class _Packer:
+    """Gathers texts with counts by language and hash bucket, and gives them out packed: a row per bucket for every `most` bytes."""
+
+    def __init__(self, buckets: int, most: int):
+        self.buckets, self.most, self.held, self.size = buckets, most, {}, 0
+        self.squeeze = zstandard.ZstdCompressor(level=3)
+
+    def add(self, lang: str, texts: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        data, at = utf8(texts)
+        bucket = (span_hashes(data, at[:-1], at[1:]) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        lines, at = utf8(pc.binary_join_element_wise(texts.take(pa.array(order)), pa.scalar("", texts.type), pa.scalar("\n", texts.type)))  # no text holds a line end
+        bucket, counts = bucket[order], counts[order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            self.held.setdefault((lang, int(bucket[a])), []).append((counts[a:b], lines[at[a] : at[b]].tobytes()))
+        self.size += len(lines) + 8 * len(counts)
+        if self.size >= self.most:
+            yield self.packs()
+
+    def packs(self) -> pa.RecordBatch:
+        rows = []
+        for (lang, bucket), parts in self.held.items():
+            counts = np.concatenate([c for c, _ in parts])
+            large = np.flatnonzero(counts > 255)
+            raw = [np.array([len(counts), len(large)], "<i8"), counts.clip(0, 255).astype(np.uint8), large.astype("<i8"), counts[large].astype("<i8")]
+            rows.append((lang, bucket, self.squeeze.compress(b"".join([*(r.tobytes() for r in raw), *(t for _, t in parts)]))))
+        self.held, self.size = {}, 0
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "bucket", "payload"])
 
 
 def _unpacked(payload: bytes) -> tuple[pa.Array, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    counts, size = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw)[8 + 16 * n :]), counts
+    n, m = np.frombuffer(raw, "<i8", 2).tolist()
+    counts = np.frombuffer(raw, np.uint8, n, 16).astype(np.int64)
+    counts[np.frombuffer(raw, "<i8", m, 16 + n)] = np.frombuffer(raw, "<i8", m, 16 + n + 8 * m)
+    lines = np.frombuffer(raw, np.uint8, offset=16 + n + 16 * m)
+    ends = np.flatnonzero(lines == 10)
+    offsets = np.concatenate([[0], ends - np.arange(n)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(lines[lines != 10])), counts
 
 
 _PACKS = "lang string, bucket int, payload binary"
 
 
-def _packs(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "bucket", "payload"])
-
-
 def _summed(batches, least: int) -> Iterator[pa.RecordBatch]:
     """The texts of a task's packs, each once by lang with the sum of its counts, from `least` on; the empty text always."""
     import duckdb
@@ -116,7 +137,7 @@ def _summed(batches, least: int) -> Iterator[pa.RecordBatch]:
 
     def unpacked():
         for b in batches:
-            for lang, payload in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+            for lang, payload in zip(b.column(b.schema.get_field_index("lang")).to_pylist(), b.column(b.schema.get_field_index("payload")), strict=True):
                 texts, counts = _unpacked(payload.as_py())
                 langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(texts), np.int32)), pa.array([lang])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([langs, texts, pa.array(counts)], schema=shape)
@@ -124,75 +145,123 @@ def _summed(batches, least: int) -> Iterator[pa.RecordBatch]:
     with tempfile.TemporaryDirectory() as spill, duckdb.connect() as db:
         db.execute(f"SET threads = 1; SET memory_limit = '{BUCKET_MEMORY}'; SET temp_directory = '{spill}'; SET preserve_insertion_order = false")
         packs = pa.RecordBatchReader.from_batches(shape, unpacked())  # noqa: F841  duckdb reads it by its name
-        yield from db.execute("SELECT lang, text, CAST(sum(n) AS BIGINT) AS n FROM packs GROUP BY lang, text HAVING sum(n) >= ? OR text = ''", [least]).to_arrow_reader(1 << 16)
+        yield from db.sql(f"SELECT lang, text, CAST(sum(n) AS BIGINT) AS n FROM packs GROUP BY lang, text HAVING sum(n) >= {int(least)} OR text = ''").to_arrow_reader(1 << 16)
+
 
+def _piece_packs(docs: DataFrame, buckets: int, run: int, packed: int) -> DataFrame:
+    """The different pieces of each run of texts with their counts."""
 
-def _piece_packs(docs: DataFrame, buckets: int) -> DataFrame:
     def work(batches):
+        packer = _Packer(buckets, packed)
         for whole in batches:
-            for batch in slices(whole, "text", RUN):
+            for batch in slices(whole, "text", run):
                 data, at = utf8(batch.column(0))
-                if not len(data):
-                    continue
                 pieces = Pieces(data, at)
-                texts = _taken(pieces.data, *pieces.spans())
                 langs = batch.column(1).take(pa.array(pieces.text))
-                found = pa.table({"lang": langs, "text": texts}).group_by(["lang", "text"]).aggregate([("text", "count")])
-                rows = []
+                found = pa.table({"lang": langs, "text": _taken(pieces.data, *pieces.spans())}).group_by(["lang", "text"]).aggregate([("text", "count")])
                 for lang in found["lang"].unique().to_pylist():
-                    own = found.filter(pa.compute.equal(found["lang"], lang))
-                    rows += _packed(lang, own["text"].combine_chunks(), own["text_count"].to_numpy(), buckets)
-                yield _packs(rows)
+                    own = found.filter(pc.equal(found["lang"], lang))
+                    yield from packer.add(lang, own["text"].combine_chunks(), own["text_count"].to_numpy())
+        yield packer.packs()
 
     return docs.mapInArrow(work, _PACKS)
 
 
-def _gram_packs(packs: DataFrame, buckets: int, longest: int) -> DataFrame:
-    """n-grams of the different pieces, weighted by how often these occur; the empty text counts the words."""
-
-    def grams(lang: str, texts: pa.Array, counts: np.ndarray) -> list[tuple]:
-        data, at = utf8(texts)
-        pieces = Pieces(data, at)
-        weight = np.repeat(counts[pieces.text], np.diff(np.concatenate([pieces.first, [len(pieces.starts)]])))
-        owner = np.repeat(np.arange(len(pieces.first)), np.diff(np.concatenate([pieces.first, [len(pieces.starts)]])))
-        rows = [(lang, *r[1:]) for r in _packed(lang, pa.array([""], pa.large_string()), np.array([weight.sum()]), buckets)]
-        for k in range(1, longest + 1):
-            if len(owner) < k:
-                break
-            whole = owner[k - 1 :] == owner[: len(owner) - k + 1]
-            starts, ends = pieces.starts[: len(owner) - k + 1][whole], pieces.ends[k - 1 :][whole]
-            if len(starts):
-                found = pa.table({"text": _taken(pieces.data, starts, ends), "n": weight[: len(whole)][whole]}).group_by("text").aggregate([("n", "sum")])
-                rows += _packed(lang, found["text"].combine_chunks(), found["n_sum"].to_numpy(), buckets)
-        return rows
+def _different_pieces(packs: DataFrame, packed: int) -> DataFrame:
+    """Each piece once, packed again, with how often it occurs in all texts."""
 
     def work(batches):
+        packer = _Packer(1, packed)
         for batch in _summed(batches, 1):
             for lang in batch.column(0).unique().to_pylist():
-                own = batch.filter(pa.compute.equal(batch.column(0), lang))
-                for run in slices(own, "text", RUN):
-                    yield _packs(grams(lang, run.column(1), run.column(2).to_numpy()))
+                own = batch.filter(pc.equal(batch.column(0), lang))
+                yield from packer.add(lang, own.column(1), own.column(2).to_numpy())
+        yield packer.packs()
 
     return packs.mapInArrow(work, _PACKS)
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10) -> DataFrame:
-    """lang, phrase and its count n, for phrases of up to `longest` words that occur `least` times; the empty phrase has the number of all words."""
-    spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(lang_col, F.lit("und")).alias("lang"))
-    packs = _gram_packs(_piece_packs(docs, buckets).repartition("lang", "bucket"), buckets, longest).repartition("lang", "bucket")
+def _slots(lang: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
+    """The place of a phrase of a language in the filter of frequent phrases."""
+    own = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+    return (mix(span_hashes(data, starts, ends) ^ own) % np.uint64(bits)).astype(np.int64)
+
+
+def _gram_packs(pieces: DataFrame, buckets: int, sizes: list[int], frequent: np.ndarray | None, run: int, packed: int) -> DataFrame:
+    """n-grams of the different pieces, weighted by how often these occur. With sizes 1 and more the empty text counts the words.
+
+    frequent: a filter that holds at least all frequent phrases of one word less; only n-grams whose two such parts pass it are sent."""
+
+    def grams(lang: str, texts: pa.Array, counts: np.ndarray):
+        found = Pieces(*utf8(texts))
+        words = np.diff(np.concatenate([found.first, [len(found.starts)]]))
+        weight, owner = np.repeat(counts[found.text], words), np.repeat(np.arange(len(found.first)), words)
+        if 1 in sizes:
+            yield pa.array([""], pa.large_string()), np.array([weight.sum()])
+        for k in sizes:
+            at = np.flatnonzero(owner[k - 1 :] == owner[: max(0, len(owner) - k + 1)])
+            if frequent is not None and len(at):
+                inner = np.flatnonzero(owner[k - 2 :] == owner[: len(owner) - k + 2])
+                passes = np.zeros(len(owner) + 1, bool)
+                slot = _slots(lang, found.data, found.starts[inner], found.ends[inner + k - 2], 8 * len(frequent))
+                passes[inner] = frequent[slot >> 3] >> (slot & 7) & 1
+                at = at[passes[at] & passes[at + 1]]
+            if len(at):
+                t = pa.table({"text": _taken(found.data, found.starts[at], found.ends[at + k - 1]), "n": weight[at]}).group_by("text").aggregate([("n", "sum")])
+                yield t["text"].combine_chunks(), t["n_sum"].to_numpy()
 
+    def work(batches):
+        packer = _Packer(buckets, packed)
+        for b in batches:
+            for lang, payload in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                texts, counts = _unpacked(payload.as_py())
+                for some in slices(pa.record_batch([texts, pa.array(counts)], names=["text", "n"]), "text", run):
+                    for g, n in grams(lang, some.column(0), some.column(1).to_numpy()):
+                        yield from packer.add(lang, g, n)
+        yield packer.packs()
+
+    return pieces.mapInArrow(work, _PACKS)
+
+
+def _counted(packs: DataFrame, least: int, bits: int) -> DataFrame:
     def work(batches):
         for b in _summed(batches, least):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), b.column(2)], names=["lang", "phrase", "n"])
+            data, at = utf8(b.column(1))
+            slot = np.zeros(b.num_rows, np.int64)
+            for lang in b.column(0).unique().to_pylist():
+                own = np.flatnonzero(pc.equal(b.column(0), lang).to_numpy(zero_copy_only=False))
+                slot[own] = _slots(lang, data, at[:-1][own], at[1:][own], bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), b.column(2), pa.array(slot)], names=["lang", "phrase", "n", "slot"])
 
-    return packs.mapInArrow(work, "lang string, phrase string, n bigint")
+    return packs.repartition("lang", "bucket").mapInArrow(work, "lang string, phrase string, n bigint, slot bigint")
+
+
+def _filter(counts: DataFrame, size: int, bits: int) -> np.ndarray:
+    """The places of the frequent phrases of `size` words, as bits of a string that is as long however many phrases there are."""
+    words = counts.where(F.size(F.split("phrase", " ")) == size).groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, run: int = RUN, packed: int = PACKED, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """lang, phrase and its count n, for phrases of up to `longest` words that occur `least` times; the empty phrase has the number of all words.
+
+    A phrase is frequent only if all its parts are: from three words on, only n-grams are sent whose parts pass a filter of the frequent
+    ones. The filter has a fixed size (filter_bits, a multiple of 64); what passes it by chance is counted and falls under `least`. run: bytes
+    of text that are worked off at once; packed: bytes that a task gathers before it gives them out."""
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(lang_col, F.lit("und")).alias("lang"))
+    pieces = written(_different_pieces(_piece_packs(docs, buckets, run, packed).repartition("lang", "bucket"), packed), "phrase-pieces")
+    parts = [written(_counted(_gram_packs(pieces, buckets, [1, 2][:longest], None, run, packed), least, filter_bits), "phrase-counts")]
+    for k in range(3, longest + 1):
+        parts.append(written(_counted(_gram_packs(pieces, buckets, [k], _filter(parts[-1], k - 1, filter_bits), run, packed), least, filter_bits), "phrase-counts"))
+    return reduce(DataFrame.unionByName, parts).drop("slot")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000, **how) -> DataFrame:
     """The `top` phrases of each language by score: lang, rank, phrase, a (its count), l and r (counts of the parts at its weakest cut), n (words of the language), score."""
-    counts = written(phrase_counts(docs, text_col, lang_col, longest, least), "phrase-counts").withColumn("size", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
+    counts = phrase_counts(docs, text_col, lang_col, longest, least, **how).withColumn("size", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
     candidates = counts.where("size >= 2").select("lang", "phrase", F.col("n").alias("a"), "size", F.split("phrase", " ").alias("w"))
     known = counts.where("size >= 1").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
