@@ -39,8 +39,8 @@ _STOP, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[[ord(c) for c in STOPS]] = True
 _GAP[[ord(c) for c in GAPS]] = True
 #: Memory of one bucket's sums before duckdb spills, and bytes of text that are worked off at once.
-BUCKET_MEMORY, RUN = "160MB", 4 << 20
-PACKED, FILTER_BITS = 48 << 20, 1 << 26
+BUCKET_MEMORY, RUN = "128MB", 2 << 20
+PACKED, FILTER_BITS = 16 << 20, 1 << 26
 
 
 class Pieces:
@@ -79,7 +79,9 @@ def _taken(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The spans of the bytes as strings."""
     size = ends - starts
     offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])
+    kind = np.int32 if len(data) + offsets[-1] < 1 << 31 else np.int64
+    at = np.repeat((starts - offsets[:-1]).astype(kind), size)
+    at += np.arange(offsets[-1], dtype=kind)
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[at]))
 
 
@@ -171,7 +173,7 @@ def _different_pieces(packs: DataFrame, packed: int) -> DataFrame:
     """Each piece once, packed again, with how often it occurs in all texts."""
 
     def work(batches):
-        packer = _Packer(1, packed)
+        packer = _Packer(1, packed // 4)
         for batch in _summed(batches, 1):
             for lang in batch.column(0).unique().to_pylist():
                 own = batch.filter(pc.equal(batch.column(0), lang))
