@@ -165,20 +165,27 @@ def minute_spine(s: DataFrame) -> DataFrame:
     return spine.join(s, [KEY, TIME], "left").select(KEY, TIME, F.coalesce(TIE, F.lit(0)).cast("long").alias(TIE), PRICE)
 
 
+def spine_gaps(s: DataFrame) -> DataFrame:
+    """Minutes from first to last row of a token on whole minutes, and how many of them have no price: counted, not laid out."""
+    minutes = (F.unix_seconds(F.max(TIME)) - F.unix_seconds(F.min(TIME))) / 60 + 1
+    out = s.groupBy(KEY).agg(minutes.cast("long").alias("minutes"), F.count(PRICE).alias("known"))
+    return out.select(KEY, "minutes", (F.col("minutes") - F.col("known")).alias("missing"))
+
+
 def fill_gaps(s: DataFrame, limit: int = 10, whole_column: bool = False) -> DataFrame:
     """A series on whole minutes with gaps of at most `limit` missing minutes filled linearly; longer ones stay empty (their minutes are left out).
 
+    Each row knows the next one, so a gap is filled where it begins: no minute is laid out that isn't returned, at most `limit` for each row.
     whole_column: if any gap is fillable, all gaps of the token are filled, as is done elsewhere by interpolating the column."""
-    rows = minute_spine(s).withColumn("_minute", F.unix_seconds(F.col(TIME)) / 60)
-    known = F.when(F.col(PRICE).isNotNull(), F.col("_minute"))
-    size = F.last(known, ignorenulls=True).over(from_here()) - F.last(known, ignorenulls=True).over(so_far()) - 1
-    rows = rows.withColumns({"_size": F.when(F.col(PRICE).isNull(), size), "_value": interpolated(PRICE, "_minute")})
-    if whole_column:
-        rows = rows.withColumn("_fill", F.coalesce(F.min("_size").over(whole()) <= limit, F.lit(False)))
-    else:
-        rows = rows.withColumn("_fill", F.coalesce(F.col("_size") <= limit, F.lit(False)))
-    rows = rows.withColumn("is_filled", F.col(PRICE).isNull() & F.col("_fill")).withColumn(PRICE, F.when(F.col("_fill"), F.col("_value")).otherwise(F.col(PRICE)))
-    return rows.where(F.col(PRICE).isNotNull()).select(KEY, TIME, TIE, PRICE, "is_filled")
+    rows = s.where(F.col(PRICE).isNotNull()).withColumns({"_next": lead(PRICE), "_until": F.lead(F.unix_seconds(TIME)).over(in_order())})
+    rows = rows.withColumn("_size", ((F.col("_until") - F.unix_seconds(TIME)) / 60 - 1).cast("long"))
+    gap = F.col("_size") >= 1
+    fill = gap & (F.min(F.when(gap, F.col("_size"))).over(whole()) <= limit) if whole_column else gap & (F.col("_size") <= limit)
+    rows = rows.withColumn("_fill", fill).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_fill"), F.col("_size")).otherwise(0))))
+    new = F.col("_k") > 0
+    value = F.col(PRICE) + (F.col("_next") - F.col(PRICE)) * ratio("_k", F.col("_size") + 1)
+    later = F.col(TIME) + F.make_dt_interval(mins=F.col("_k").cast("int"))
+    return rows.select(KEY, later.alias(TIME), F.when(new, 0).otherwise(F.coalesce(TIE, F.lit(0))).cast("long").alias(TIE), F.when(new, value).otherwise(F.col(PRICE)).alias(PRICE), new.alias("is_filled"))
 
 
 def invalid_prices(s: DataFrame, limit: float = 0.05) -> DataFrame:
@@ -219,7 +226,7 @@ def cut_corruption(s: DataFrame, **how) -> DataFrame:
 
 
 def clean_by_category(s: DataFrame) -> DataFrame:
-    """Series with a column category, each cleaned by its category's strategy. s is read once for each category: store it first where it is dear."""
+    """Series with a column category, each cleaned by its category's strategy. s is asked once for each category: store it by category first, so that each reads its own part."""
     parts = [clean(s.where(F.col("category") == category).drop("category"), strategy).select(KEY, TIME, TIE, PRICE).withColumn("category", F.lit(category)) for category, strategy in STRATEGIES.items()]
     return reduce(DataFrame.unionByName, parts)
 

@@ -11,9 +11,9 @@ from tickloom.session import stored
 
 
 def categorised(s: DataFrame) -> DataFrame:
-    """The series with the category of its token, stored: the quality report behind it is made once."""
+    """The series with the category of its token, stored by category: the quality report behind it is made once, and each strategy reads its own files."""
     report = quality.assign_category(quality.quality_report(s)).select(KEY, "category")
-    return stored(s.join(report, KEY), "categorised")
+    return stored(s.join(report, KEY), "categorised", by="category")
 
 
 def feature_table(s: DataFrame, horizons: tuple[int, ...] = features.HORIZONS) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import ranges
 from tickloom.functions import rolling as R
 from tickloom.functions.ewm import with_ewm
 from tickloom.operators import acf, cleaning, cross, features, grouped, indicators, learning, outliers, price, quality, quant, sets
@@ -141,7 +142,7 @@ on_series("bot_bars", LONG, "token_id window_start:t avg_price:r returns:r", lam
 on_series("minute_first", LONG, "token_id bucket:t price:r", cross.minute_first, f"SELECT token_id, {bucket_sql(60)} AS bucket, first(price ORDER BY datetime, seq) AS price FROM s GROUP BY ALL")
 on_series("duplicate_mean", SHORT, "token_id datetime:t price:r", lambda s: cleaning.duplicate_means(s.withColumn("datetime", F.date_trunc("day", "datetime"))), "SELECT token_id, date_trunc('day', datetime) AS datetime, avg(price) AS price FROM s GROUP BY ALL")
 MINUTES = "m AS (SELECT token_id, date_trunc('minute', datetime) AS datetime, avg(price) AS price FROM s GROUP BY ALL),\nspine AS (SELECT token_id, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 MINUTE)) AS datetime FROM m GROUP BY token_id),\nf AS (SELECT spine.token_id, spine.datetime, m.price, epoch(spine.datetime) / 60 AS x FROM spine LEFT JOIN m USING (token_id, datetime)),\ng AS (SELECT *, last_value(price IGNORE NULLS) OVER a AS p0, last_value(CASE WHEN price IS NOT NULL THEN x END IGNORE NULLS) OVER a AS x0, first_value(price IGNORE NULLS) OVER b AS p1, first_value(CASE WHEN price IS NOT NULL THEN x END IGNORE NULLS) OVER b AS x1 FROM f WINDOW a AS (PARTITION BY token_id ORDER BY datetime ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY token_id ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
-on_series("minute_spine_gaps", LONG, "token_id minutes:i missing:i", lambda s: cleaning.minute_spine(cleaning.minute_means(s)).groupBy("token_id").agg(F.count("*").alias("minutes"), F.count_if(F.col("price").isNull()).alias("missing")), "SELECT token_id, count(*) AS minutes, count(*) FILTER (price IS NULL) AS missing FROM f GROUP BY token_id", MINUTES)
+on_series("minute_spine_gaps", LONG, "token_id minutes:i missing:i", lambda s: cleaning.spine_gaps(cleaning.minute_means(s)), "SELECT token_id, count(*) AS minutes, count(*) FILTER (price IS NULL) AS missing FROM f GROUP BY token_id", MINUTES)
 on_series("gap_fill_limited", LONG, "token_id datetime:t price:r is_filled", lambda s: cleaning.fill_gaps(cleaning.minute_means(s), 10), "SELECT token_id, datetime, coalesce(price, p0 + (p1 - p0) * (x - x0) / (x1 - x0)) AS price, price IS NULL AS is_filled FROM g WHERE price IS NOT NULL OR x1 - x0 - 1 <= 10", MINUTES)
 on_series("gap_fill_whole_column", LONG, "token_id minutes:i filled:i total:r", lambda s: cleaning.fill_gaps(cleaning.minute_means(s), 10, True).groupBy("token_id").agg(F.count("*").alias("minutes"), F.count_if("is_filled").alias("filled"), (F.sum("price") / 1e6).alias("total")), "SELECT token_id, count(*) AS minutes, count(*) FILTER (price IS NULL) AS filled, sum(coalesce(price, p0 + (p1 - p0) * (x - x0) / (x1 - x0))) / 1e6 AS total FROM g JOIN (SELECT token_id, min(x1 - x0 - 1) FILTER (price IS NULL) AS least FROM g GROUP BY token_id) USING (token_id) WHERE price IS NOT NULL OR least <= 10 GROUP BY token_id", MINUTES)
 HOLES = "h AS (SELECT token_id, datetime, seq, rn, CASE WHEN seq % 3 = 0 THEN price END AS p FROM r),\ng AS (SELECT *, last_value(p IGNORE NULLS) OVER a AS p0, last_value(CASE WHEN p IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS x0, first_value(p IGNORE NULLS) OVER b AS p1, first_value(CASE WHEN p IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS x1 FROM h WINDOW a AS (PARTITION BY token_id ORDER BY datetime, seq ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY token_id ORDER BY datetime, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
@@ -269,7 +270,7 @@ def shipments(spark: SparkSession, d: str) -> DataFrame:
 VWAP = "SELECT token_id, seq, " + ", ".join(f"{roll('sum', 'price * v', n)} / nullif({roll('sum', 'v', n)}, 0) AS w{n}, {roll('stddev_samp', 'price', n)} AS d{n}" for n in (5, 60, 240)) + ", price FROM "
 VWAP_COLUMNS = "SELECT *, w5 AS vwap, " + ", ".join(f"w{n} AS vwap_{n}, w{n} + d{n} AS vwap_upper_{n}, w{n} - d{n} AS vwap_lower_{n}, (price - w{n}) / w{n} AS vwap_distance_{n}" for n in (5, 60, 240)) + " FROM "
 VWAP_SPEC = "token_id seq:i vwap:r " + " ".join(f"vwap_{n}:r vwap_upper_{n}:r vwap_lower_{n}:r vwap_distance_{n}:r" for n in (5, 60, 240))
-register("vwap_bands", VWAP_SPEC, lambda spark, d: indicators.vwap_bands(shipments(spark, d), volume="l_quantity"), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS seq, CAST(l_extendedprice AS DOUBLE) / CAST(3141.592653589793 AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"{VWAP_COLUMNS} ({VWAP} s)")
+register("vwap_bands", VWAP_SPEC, lambda spark, d: ranges.over_ranges(shipments(spark, d), lambda s: indicators.vwap_bands(s, volume="l_quantity"), before=239, rows=20_000), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS seq, CAST(l_extendedprice AS DOUBLE) / CAST(3141.592653589793 AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"{VWAP_COLUMNS} ({VWAP} s)")
 on_series("vwap_by_returns", SHORT, "token_id seq:i vwap:r vwap_upper_5:r vwap_60:r vwap_distance_60:r", indicators.vwap_bands, f"{VWAP_COLUMNS} ({VWAP} (SELECT *, abs(ret) + 1e-10 AS v FROM r))")
 on_series("trix", SHORT, "token_id seq:i trix:r", indicators.trix)
 on_series("last_signals", SHORT, "token_id rsi_signal bb_signal stoch_signal", indicators.last_signals)

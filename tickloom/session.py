@@ -19,9 +19,10 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written as Parquet to the folder that all executors share (spark.checkpoint.dir; in local mode one of our own where that is unset) and read again.
 
+    by: a column of few values; a filter on it reads the files of these values alone.
     The table stays until the folder is cleared: what is built on it may be read at any time."""
     spark = df.sparkSession
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -31,5 +32,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
         where = spark.sparkContext.getCheckpointDir()
     path = f"{where}/tickloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
