@@ -86,7 +86,7 @@ def _taken(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 class _Packer:
-    """Gathers texts with counts by language and hash bucket, and gives them out packed: a row per bucket for every `most` bytes."""
+    """Gathers texts with counts by hash bucket, and gives them out packed, all languages of a bucket together: a row per bucket for every `most` bytes."""
 
     def __init__(self, buckets: int, most: int):
         self.buckets, self.most, self.held, self.size = buckets, most, {}, 0
@@ -100,35 +100,43 @@ class _Packer:
         bucket, counts = bucket[order], counts[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            self.held.setdefault((lang, int(bucket[a])), []).append((counts[a:b], lines[at[a] : at[b]].tobytes()))
+            self.held.setdefault(int(bucket[a]), {}).setdefault(lang, []).append((counts[a:b], lines[at[a] : at[b]].tobytes()))
         self.size += len(lines) + 8 * len(counts)
         if self.size >= self.most:
             yield self.packs()
 
     def packs(self) -> pa.RecordBatch:
         rows = []
-        for (lang, bucket), parts in self.held.items():
-            counts = np.concatenate([c for c, _ in parts])
-            large = np.flatnonzero(counts > 255)
-            raw = [np.array([len(counts), len(large)], "<i8"), counts.clip(0, 255).astype(np.uint8), large.astype("<i8"), counts[large].astype("<i8")]
-            rows.append((lang, bucket, self.squeeze.compress(b"".join([*(r.tobytes() for r in raw), *(t for _, t in parts)]))))
+        for bucket, langs in self.held.items():
+            raw = []
+            for lang, parts in langs.items():
+                counts = np.concatenate([c for c, _ in parts])
+                large = np.flatnonzero(counts > 255)
+                name, lines = lang.encode(), [t for _, t in parts]
+                raw += [np.array([len(name), len(counts), len(large), sum(map(len, lines))], "<i8").tobytes(), name, counts.clip(0, 255).astype(np.uint8).tobytes(), large.astype("<i8").tobytes(), counts[large].astype("<i8").tobytes(), *lines]
+            rows.append((bucket, self.squeeze.compress(b"".join(raw))))
         self.held, self.size = {}, 0
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "bucket", "payload"])
+        columns = list(zip(*rows, strict=True)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary()), strict=True)], names=["bucket", "payload"])
 
 
-def _unpacked(payload: bytes) -> tuple[pa.Array, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    n, m = np.frombuffer(raw, "<i8", 2).tolist()
-    counts = np.frombuffer(raw, np.uint8, n, 16).astype(np.int64)
-    counts[np.frombuffer(raw, "<i8", m, 16 + n)] = np.frombuffer(raw, "<i8", m, 16 + n + 8 * m)
-    lines = np.frombuffer(raw, np.uint8, offset=16 + n + 16 * m)
-    ends = np.flatnonzero(lines == 10)
-    offsets = np.concatenate([[0], ends - np.arange(n)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(lines[lines != 10])), counts
+def _unpacked(payload: bytes) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """Language, texts and counts of each part of a pack."""
+    raw, at = zstandard.ZstdDecompressor().decompress(payload), 0
+    while at < len(raw):
+        k, n, m, size = np.frombuffer(raw, "<i8", 4, at).tolist()
+        at += 32
+        lang = raw[at : at + k].decode()
+        counts = np.frombuffer(raw, np.uint8, n, at + k).astype(np.int64)
+        at += k + n
+        counts[np.frombuffer(raw, "<i8", m, at)] = np.frombuffer(raw, "<i8", m, at + 8 * m)
+        lines = np.frombuffer(raw, np.uint8, size, at + 16 * m)
+        at += 16 * m + size
+        offsets = np.concatenate([[0], np.flatnonzero(lines == 10) - np.arange(n)]).astype(np.int64)
+        yield lang, pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(lines[lines != 10])), counts
 
 
-_PACKS = "lang string, bucket int, payload binary"
+_PACKS = "bucket int, payload binary"
 
 
 def _summed(batches, least: int) -> Iterator[pa.RecordBatch]:
@@ -139,8 +147,7 @@ def _summed(batches, least: int) -> Iterator[pa.RecordBatch]:
 
     def unpacked():
         for b in batches:
-            for lang, payload in zip(b.column(b.schema.get_field_index("lang")).to_pylist(), b.column(b.schema.get_field_index("payload")), strict=True):
-                texts, counts = _unpacked(payload.as_py())
+            for lang, texts, counts in (part for payload in b.column(1) for part in _unpacked(payload.as_py())):
                 langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(texts), np.int32)), pa.array([lang])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([langs, texts, pa.array(counts)], schema=shape)
 
@@ -215,8 +222,7 @@ def _gram_packs(pieces: DataFrame, buckets: int, sizes: list[int], frequent: np.
     def work(batches):
         packer = _Packer(buckets, packed)
         for b in batches:
-            for lang, payload in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                texts, counts = _unpacked(payload.as_py())
+            for lang, texts, counts in (part for payload in b.column(1) for part in _unpacked(payload.as_py())):
                 for some in slices(pa.record_batch([texts, pa.array(counts)], names=["text", "n"]), "text", run):
                     for g, n in grams(lang, some.column(0), some.column(1).to_numpy()):
                         yield from packer.add(lang, g, n)
@@ -235,7 +241,7 @@ def _counted(packs: DataFrame, least: int, bits: int) -> DataFrame:
                 slot[own] = _slots(lang, data, at[:-1][own], at[1:][own], bits)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), b.column(2), pa.array(slot)], names=["lang", "phrase", "n", "slot"])
 
-    return packs.repartition("lang", "bucket").mapInArrow(work, "lang string, phrase string, n bigint, slot bigint")
+    return packs.repartition("bucket").mapInArrow(work, "lang string, phrase string, n bigint, slot bigint")
 
 
 def _filter(counts: DataFrame, size: int, bits: int) -> np.ndarray:
@@ -252,9 +258,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     A phrase is frequent only if all its parts are: from three words on, only n-grams are sent whose parts pass a filter of the frequent
     ones. The filter has a fixed size (filter_bits, a multiple of 64); what passes it by chance is counted and falls under `least`. run: bytes
     of text that are worked off at once; packed: bytes that a task gathers before it gives them out."""
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(lang_col, F.lit("und")).alias("lang"))
-    pieces = written(_different_pieces(_piece_packs(docs, buckets, run, packed).repartition("lang", "bucket"), packed), "phrase-pieces")
+    pieces = written(_different_pieces(_piece_packs(docs, buckets, run, packed).repartition("bucket"), packed), "phrase-pieces")
     parts = [written(_counted(_gram_packs(pieces, buckets, [1, 2][:longest], None, run, packed), least, filter_bits), "phrase-counts")]
     for k in range(3, longest + 1):
         parts.append(written(_counted(_gram_packs(pieces, buckets, [k], _filter(parts[-1], k - 1, filter_bits), run, packed), least, filter_bits), "phrase-counts"))
