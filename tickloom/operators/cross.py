@@ -151,6 +151,28 @@ def pca(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return rows.withColumn("components", vector_to_array("_pc")).drop("_raw", "_std", "_pc")
 
 
+def pca_summary(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """The k first principal components of standardised columns: component (from 1), explained (share of the variance), column, loading.
+
+    From the columns' correlations, which are sums over all rows, and as many as columns by columns; rows with a null are left out. A
+    component's largest loading is positive."""
+    import numpy as np
+
+    there = df.dropna(subset=columns)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    found = there.agg(*(F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    matrix = np.eye(len(columns))
+    for i, j in pairs:
+        v = found[f"c{i}_{j}"]
+        matrix[i, j] = matrix[j, i] = 0.0 if v is None or v != v else v
+    values, vectors = np.linalg.eigh(matrix)
+    rows = []
+    for c, e in enumerate(np.argsort(-values, kind="stable")[:k]):
+        v = vectors[:, e] * (np.sign(vectors[np.abs(vectors[:, e]).argmax(), e]) or 1.0)
+        rows += [(c + 1, float(values[e] / len(columns)), name, float(x)) for name, x in zip(columns, v, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "component int, explained double, column string, loading double")
+
+
 def token_matrix(s: DataFrame, buckets: int = 24) -> DataFrame:
     """A row per token, a column per early row: simple returns, for clustering and PCA."""
     rows = with_row(s).withColumn("r", pct_change()).where((F.col("rn") >= 1) & (F.col("rn") <= buckets))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.rolling import whole, KEY, ratio, with_row
+from tickloom.session import stored
 
 
 def _vectors(features: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,11 +77,23 @@ def seed_stability(features: DataFrame, columns: list[str], k: int, seeds: tuple
     return out
 
 
+def adjusted_rand_by(labels: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """As adjusted_rand, within each group: group, ari."""
+    pair = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    cells = labels.groupBy(group, a, b).agg(F.count("*").alias("c"))
+    both = cells.groupBy(group).agg(pair("c").alias("ij"), F.sum("c").alias("n"))
+    left = cells.groupBy(group, a).agg(F.sum("c").alias("c")).groupBy(group).agg(pair("c").alias("i"))
+    right = cells.groupBy(group, b).agg(F.sum("c").alias("c")).groupBy(group).agg(pair("c").alias("j"))
+    out = both.join(left, group).join(right, group)
+    chance = F.col("i") * F.col("j") / (F.col("n") * (F.col("n") - 1) / 2)
+    return out.select(group, F.coalesce(ratio(F.col("ij") - chance, (F.col("i") + F.col("j")) / 2 - chance), F.lit(1.0)).alias("ari"))
+
+
 def unified_against_category(features: DataFrame, columns: list[str], k: int, category: str = "category", seed: int = 42) -> DataFrame:
     """Per category: tokens, and the adjusted Rand index between clusters of all tokens together and clusters of the category's tokens alone.
 
     One clustering per category, so categories are meant to be few; one with fewer than k tokens is left out."""
-    together = kmeans(features, columns, k, seed).select(KEY, category, *columns, F.col("cluster").alias("unified")).cache()
+    together = stored(kmeans(features, columns, k, seed).select(KEY, category, *columns, F.col("cluster").alias("unified")), "unified")
     out = None
     for name, n in sorted((r[0], r[1]) for r in together.groupBy(category).count().where(F.col(category).isNotNull()).collect()):
         if n < k:
@@ -100,6 +114,52 @@ def early_rules(features: DataFrame, columns: list[str], label: str, depth: int
     return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_y"), VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="skip"), DecisionTreeClassifier(labelCol="_y", featuresCol="_x", maxDepth=depth, minInstancesPerNode=leaf)]).fit(features.na.fill(0.0, columns))
 
 
+def rules_table(model, columns: list[str]) -> DataFrame:
+    """A fitted tree's paths as rows: rule (leaves from left to right), feature, low and high (low < value <= high, null where open), class.
+
+    A rule of a tree without splits has one row with a null feature. model: what early_rules gives; it has at most 2^depth leaves."""
+    from pyspark.sql import SparkSession
+
+    labels, tree = model.stages[0].labels, model.stages[-1]
+    rows: list[tuple] = []
+
+    def walk(node, bounds: dict):
+        if node.getClass().getSimpleName() == "LeafNode":
+            rule = len({r[0] for r in rows})
+            rows.extend((rule, columns[f], low, high, labels[int(node.prediction())]) for f, (low, high) in sorted(bounds.items()))
+            if not bounds:
+                rows.append((rule, None, None, None, labels[int(node.prediction())]))
+            return
+        f, at = node.split().featureIndex(), float(node.split().threshold())
+        low, high = bounds.get(f, (None, None))
+        walk(node.leftChild(), bounds | {f: (low, at if high is None else min(at, high))})
+        walk(node.rightChild(), bounds | {f: (at if low is None else max(at, low), high)})
+
+    walk(tree._java_obj.rootNode(), {})
+    return SparkSession.getActiveSession().createDataFrame(rows, "rule int, feature string, low double, high double, class string")
+
+
+def apply_rules(features: DataFrame, rules: DataFrame) -> DataFrame:
+    """features with `rule` and `class`, by one CASE over the rules' conditions (as many as the tree has leaves). Nulls are taken as 0, as in the fit."""
+    when: dict[int, list] = {}
+    classes = {}
+    for r in rules.collect():
+        value = F.coalesce(F.col(r["feature"]).cast("double"), F.lit(0.0)) if r["feature"] is not None else None
+        conditions = when.setdefault(r["rule"], [])
+        conditions += [] if r["low"] is None else [value > r["low"]]
+        conditions += [] if r["high"] is None else [value <= r["high"]]
+        classes[r["rule"]] = r["class"]
+    holds = lambda k: reduce(lambda a, b: a & b, when[k], F.lit(True))
+    rule = F.coalesce(*(F.when(holds(k), F.lit(k)) for k in sorted(when)))
+    return features.withColumn("rule", rule).withColumn("class", F.coalesce(*(F.when(F.col("rule") == k, F.lit(c)) for k, c in sorted(classes.items()))))
+
+
+def rule_quality(features: DataFrame, rules: DataFrame, label: str) -> DataFrame:
+    """The rules' rows with support (tokens that meet the rule) and purity (share of them with the rule's class)."""
+    met = apply_rules(features, rules).groupBy("rule").agg(F.count("*").alias("support"), F.avg((F.col(label).cast("string") == F.col("class")).cast("double")).alias("purity"))
+    return rules.join(met, "rule", "left").withColumn("support", F.coalesce("support", F.lit(0)))
+
+
 def boosted_trees(train: DataFrame, columns: list[str], label: str, rounds: int = 30, depth: int = 4, seed: int = 42):
     """A gradient-boosted classifier of a 0/1 label, as one stage of a two-stage classifier or alone."""
     from pyspark.ml import Pipeline

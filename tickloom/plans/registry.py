@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from tickloom.functions import ranges
 from tickloom.functions import rolling as R
 from tickloom.functions.ewm import with_ewm
-from tickloom.operators import acf, cleaning, cross, features, grouped, indicators, learning, outliers, price, quality, quant, sets
+from tickloom.operators import acf, blocks, cleaning, cross, dtw, features, grouped, indicators, learning, lloyd, outliers, price, quality, quant, sets, spectral, staged
 from tickloom.plans import pipeline
-from tickloom.sources import series
+from tickloom.sources import gate, series
 from tickloom.streaming import bars as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,13 +285,14 @@ RR = "fr AS (SELECT token_id, h AS horizon, f AS x FROM (" + " UNION ALL ".join(
 on_series("risk_reward_horizons", SHORT, "token_id horizon:i trades:i win_rate:r avg_gain:r avg_loss:r sharpe:r rr:r expected_value:r", quant.risk_reward, "SELECT * FROM rr", RR)
 on_series("horizon_summary", SHORT, "horizon:i sharpe:r win_rate:r rr:r", lambda s: quant.horizon_summary(quant.risk_reward(s)), "SELECT horizon, avg(sharpe) AS sharpe, avg(win_rate) AS win_rate, avg(rr) AS rr FROM rr GROUP BY horizon", RR)
 on_series("holding_period", SHORT, "token_id period:i trades:i mean_return:r win_rate:r", quant.holding_period, "SELECT token_id, period, count(*) AS trades, avg(x) AS mean_return, avg(CAST(x > 0 AS INT)) AS win_rate FROM (" + " UNION ALL ".join(f"SELECT token_id, rn, {p} AS period, lead(price, {p}) OVER {W} / price - 1 AS x FROM r" for p in (5, 10, 20, 40)) + ") WHERE x IS NOT NULL AND rn % (period // 2) = 0 GROUP BY ALL")
-on_series("calmar", SHORT, "token_id max_drawdown:r", quant.calmar, f"SELECT token_id, min(dd) AS max_drawdown FROM (SELECT *, price / max(price) OVER {W} - 1 AS dd FROM r) GROUP BY token_id")
+# the ratio's logarithm: a year's growth at a minute's pace is large
+on_series("calmar", SHORT, "token_id max_drawdown:r log_calmar:r", lambda s: quant.calmar(s).withColumn("log_calmar", F.signum("calmar") * F.log1p(F.abs("calmar"))), f"SELECT token_id, max_drawdown, sign(c) * ln(1 + abs(c)) AS log_calmar FROM (SELECT *, (exp(least(ln(b / a) * 525600 / n, 50.0)) - 1) / nullif(abs(max_drawdown), 0) AS c FROM (SELECT token_id, count(*) AS n, first(price ORDER BY rn) AS a, last(price ORDER BY rn) AS b, min(dd) AS max_drawdown FROM (SELECT *, price / max(price) OVER {W} - 1 AS dd FROM r) GROUP BY token_id))")
 
 # --- regimes and microstructure ----------------------------------------------------------------------------------------------------
 REGIME = f"rg AS (SELECT *, CASE WHEN sh > lg AND v < vm THEN 'uptrend' WHEN sh < lg AND v < vm THEN 'downtrend' WHEN v > vm THEN 'high_volatility' ELSE 'ranging' END AS regime FROM (SELECT *, {roll('avg', 'v', 100, 1)} AS vm FROM (SELECT *, {roll('avg', 'price', 15, 1)} AS sh, {roll('avg', 'price', 60, 1)} AS lg, {roll('stddev_samp', 'ret', 30, 2)} AS v FROM r)))"
 on_series("regime_counts", LONG, "token_id regime n:i", quant.regime_counts, "SELECT token_id, regime, count(*) AS n FROM rg GROUP BY ALL", REGIME)
 on_series("microstructure", LONG, "token_id avg_rv_1h:r vol_of_vol:r avg_amihud:r avg_efficiency:r avg_velocity:r roll_spread:r", quant.microstructure, f"SELECT token_id, avg(rv) AS avg_rv_1h, stddev_samp(rv) AS vol_of_vol, avg(abs(ret) / (v + 1e-10)) AS avg_amihud, avg(ef) AS avg_efficiency, avg(v) AS avg_velocity, CASE WHEN covar_samp(ret, b) < 0 THEN 2 * sqrt(-covar_samp(ret, b)) ELSE 0 END AS roll_spread FROM (SELECT *, {roll('stddev_samp', 'ret', 60, 30)} * sqrt(525600.0) AS rv, abs(price - lag(price, 60) OVER {W}) / nullif({roll('sum', 'v', 60, 30)}, 0) AS ef FROM (SELECT *, abs(price - lag(price) OVER {W}) AS v, lag(ret) OVER {W} AS b FROM r)) GROUP BY token_id")
-on_series("kyle_lambda", LONG, "token_id n:i r_squared:r", quant.kyle_lambda, f"SELECT token_id, count(*) AS n, corr(ret, sv) ** 2 AS r_squared FROM (SELECT *, quantile_cont(ret, 0.025) OVER p AS lo, quantile_cont(ret, 0.975) OVER p AS hi FROM (SELECT *, sign(ret) * abs(ret) * {roll('stddev_samp', 'ret', 120, 60)} AS sv FROM r) WHERE ret IS NOT NULL AND sv IS NOT NULL WINDOW p AS (PARTITION BY token_id)) WHERE ret BETWEEN lo AND hi AND abs(sv) > 1e-10 GROUP BY token_id HAVING count(*) > 15")
+on_series("kyle_lambda", LONG, "token_id n:i kyle_lambda:r r_squared:r", quant.kyle_lambda, f"SELECT token_id, count(*) AS n, regr_slope(ret, sv) AS kyle_lambda, corr(ret, sv) ** 2 AS r_squared FROM (SELECT *, quantile_cont(ret, 0.025) OVER p AS lo, quantile_cont(ret, 0.975) OVER p AS hi FROM (SELECT *, sign(ret) * abs(ret) * {roll('stddev_samp', 'ret', 120, 60)} AS sv FROM r) WHERE ret IS NOT NULL AND sv IS NOT NULL WINDOW p AS (PARTITION BY token_id)) WHERE ret BETWEEN lo AND hi AND abs(sv) > 1e-10 GROUP BY token_id HAVING count(*) > 15")
 on_series("liquidity", LONG, "token_id amihud:r roll_spread:r liquidity_score:r", quant.liquidity, f"SELECT *, 0.4 / (1 + amihud) + 0.3 / (1 + roll_spread) + 0.3 * moving AS liquidity_score FROM (SELECT token_id, avg(abs(ret) / price) AS amihud, CASE WHEN covar_samp(ret, b) < 0 THEN 2 * sqrt(-covar_samp(ret, b)) ELSE 0 END AS roll_spread, avg(CAST(ret <> 0 AS INT)) AS moving FROM (SELECT *, lag(ret) OVER {W} AS b FROM r) GROUP BY token_id)")
 on_series("autocorr_rolling", SHORT, "token_id seq:i return_autocorr:r", quant.autocorr_rolling, f"SELECT token_id, seq, {roll('avg', 'dx * dy', 120, 30)} / nullif(sqrt({roll('avg', 'dx * dx', 120, 30)} * {roll('avg', 'dy * dy', 120, 30)}), 0) AS return_autocorr FROM (SELECT *, ret - {roll('avg', 'ret', 120, 30)} AS dx, b - {roll('avg', 'b', 120, 30)} AS dy FROM (SELECT *, lag(ret) OVER {W} AS b FROM r))")
 MOMENTA = [f"{k}{n}" for n in (10, 30, 60) for k in ("m", "s")]
@@ -318,7 +319,7 @@ on_series("spearman_pairs", LONG, "token_a token_b n:i spearman:r", cross.spearm
 on_series("lifecycle_align", SHORT, "rn:i tokens:i mean_price:r", lambda s: cross.lifecycle(s).groupBy("rn").agg(F.count("*").alias("tokens"), F.avg("price").alias("mean_price")), "SELECT rn, count(*) AS tokens, avg(price) AS mean_price FROM r GROUP BY rn")
 on_series("normalised", SHORT, "token_id seq:i by_first:r robust:r", cross.normalised, f"SELECT token_id, seq, price / first_value(price) OVER {W} AS by_first, (price - quantile_cont(price, 0.5) OVER (PARTITION BY token_id)) / nullif(quantile_cont(price, 0.75) OVER (PARTITION BY token_id) - quantile_cont(price, 0.25) OVER (PARTITION BY token_id), 0) AS robust FROM s")
 on_series("kendall_pairs", LONG, "token_a token_b n:i kendall:r", cross.kendall_pairs, "SELECT token_a, token_b, n, k AS kendall FROM (SELECT a.token_a, a.token_b, any_value(a.n) AS n, sum(sign(a.x - c.x) * sign(a.y - c.y)) / sqrt(CAST(count(*) FILTER (a.x <> c.x) AS DOUBLE) * count(*) FILTER (a.y <> c.y)) AS k FROM pp a JOIN pp c ON a.token_a = c.token_a AND a.token_b = c.token_b AND a.rn < c.rn GROUP BY ALL)", "pp AS (SELECT a.token_id AS token_a, c.token_id AS token_b, a.rn, a.price AS x, c.price AS y, count(*) OVER (PARTITION BY a.token_id, c.token_id) AS n FROM r a JOIN r c ON a.rn = c.rn AND a.token_id < c.token_id)")
-on_series("pca_series", SHORT, "token_id dims:i", lambda s: cross.pca(cross.token_matrix(s, 12), [f"r{k}" for k in range(1, 13)], 3).select("token_id", F.size("components").alias("dims")))
+on_series("pca_series", SHORT, "component:i explained:r column loading:r", lambda s: cross.pca_summary(cross.token_matrix(s, 12), [f"r{k}" for k in range(1, 13)], 3))
 
 # --- sets --------------------------------------------------------------------------------------------------------------------------
 register("overlap_pairs", "category other shared:i overlap_pct:r", lambda spark, d: sets.overlap_pairs(categories(spark, d)), CATEGORIES + "SELECT category, other, shared, 100.0 * shared / least(x.n, y.n) AS overlap_pct FROM (SELECT a.category, b.category AS other, count(*) AS shared FROM m a JOIN m b ON a.token_id = b.token_id AND a.category < b.category GROUP BY ALL) p JOIN (SELECT category AS c, count(*) AS n FROM m GROUP BY 1) x ON x.c = p.category JOIN (SELECT category AS c, count(*) AS n FROM m GROUP BY 1) y ON y.c = p.other")
@@ -342,8 +343,9 @@ on_series("death_detect", LONG, "token_id n:i death_minute:r is_dead lifespan_mi
 on_series("lifespan_class", SHORT, "token_id lifespan_class", lambda s: acf.death(s).select("token_id", acf.lifespan_class("n", 60, 80).alias("lifespan_class")), "SELECT token_id, CASE WHEN count(*) < 60 THEN 'sprint' WHEN count(*) < 80 THEN 'standard' ELSE 'marathon' END AS lifespan_class FROM s GROUP BY token_id")
 on_series("death_features", LONG, "token_id death_minute:r death_type death_velocity:r death_completeness:r final_price_ratio:r", lambda s: acf.death_features(flat_tail(s)), "SELECT token_id, death_minute, CASE WHEN death_minute <= 0 THEN NULL WHEN death_minute < 5 THEN 'immediate' WHEN death_minute < 60 THEN 'sudden' WHEN death_minute < 360 THEN 'gradual' WHEN death_minute IS NOT NULL THEN 'extended' END AS death_type, CASE WHEN death_minute >= 10 THEN (pb - pa) / pb END AS death_velocity, CASE WHEN death_minute > 0 THEN 1 - pf / top END AS death_completeness, pf / top AS final_price_ratio FROM (SELECT token_id, any_value(death_minute) AS death_minute, max(price) FILTER (rn = death_minute - 10) AS pb, max(price) FILTER (rn = death_minute) AS pa, max(price) FILTER (death_minute IS NULL OR rn < death_minute) AS top, max(price) FILTER (rn = coalesce(least(death_minute + 30, n - 1), n - 1)) AS pf FROM ft JOIN dm USING (token_id) GROUP BY token_id)", DEAD)
 on_series("features_15", SHORT, "token_id mean_return:r std_return:r max_drawdown:r volatility_5min:r return_5min:r max_return_1min:r trend_direction_5min:r price_change_ratio_5min:r pump_velocity_5min:r acf_lag_1:r acf_lag_5:r acf_lag_10:r", acf.features_15, f"SELECT token_id, avg(z) AS mean_return, stddev_pop(z) AS std_return, max((top - price) / top) AS max_drawdown, stddev_pop(z) FILTER (rn <= 5) AS volatility_5min, (max(price) FILTER (rn = least(5, cnt - 1)) - max(price) FILTER (rn = 0)) / (max(price) FILTER (rn = 0) + 1e-12) AS return_5min, max(abs(z)) FILTER (rn <= 5) AS max_return_1min, regr_slope(price, rn) FILTER (rn <= 5) AS trend_direction_5min, (max(price) FILTER (rn <= 5) - min(price) FILTER (rn <= 5)) / max(price) FILTER (rn = 0) AS price_change_ratio_5min, coalesce(avg(z) FILTER (rn <= 5 AND z > 0), 0) AS pump_velocity_5min, " + ", ".join(f"coalesce(sum(d * d{k}) / nullif(sum(d * d), 0), 0) AS acf_lag_{k}" for k in (1, 5, 10)) + f" FROM (SELECT *, lag(d) OVER {W} AS d1, lag(d, 5) OVER {W} AS d5, lag(d, 10) OVER {W} AS d10 FROM (SELECT *, z - avg(z) OVER (PARTITION BY token_id) AS d FROM (SELECT *, (price - lag(price) OVER {W}) / (lag(price) OVER {W} + 1e-12) AS z, max(price) OVER {W} AS top FROM r))) GROUP BY token_id")
-on_series("behaviour_rules", SHORT, "cluster:i tokens:i behaviour", lambda s: acf.behaviour(acf.features_15(s).withColumn("cluster", F.pmod(F.col("token_id").cast("int"), F.lit(4)))))
-on_series("cluster_summary", SHORT, "cluster:i tokens:i pct_dead:r archetype", lambda s: acf.archetype_name(acf.cluster_summary(acf.features_15(s).withColumn("cluster", F.pmod(F.col("token_id").cast("int"), F.lit(4))))))
+FEATURES = ["mean_return", "std_return", "max_drawdown", "acf_lag_1", "return_5min"]
+on_series("behaviour_rules", SHORT, "cluster:i tokens:i mean_return:r std_return:r lifespan_minutes:r behaviour", lambda s: acf.behaviour(learning.kmeans(acf.features_15(s), FEATURES, 4)))
+on_series("cluster_summary", SHORT, "cluster:i tokens:i pct_dead:r archetype", lambda s: acf.archetype_name(acf.cluster_summary(learning.kmeans(acf.features_15(s), FEATURES, 4))))
 on_series("archetype_aggregate", SHORT, "grp:i n:i mean:r median:r p95:r positive_rate:r winsorized_mean:r extreme_gain_rate:r", lambda s: acf.archetype_aggregate(quality.total_return_series(s).where("ret is not null").withColumn("grp", F.pmod(F.col("token_id").cast("int"), F.lit(4))), "grp", "ret"), "SELECT grp, count(*) AS n, avg(ret) AS mean, any_value(q50) AS median, any_value(q95) AS p95, avg(CAST(ret > 0 AS INT)) AS positive_rate, avg(greatest(least(ret, q95), q05)) AS winsorized_mean, avg(CAST(ret > 1 AS INT)) AS extreme_gain_rate FROM (SELECT *, CAST(token_id AS INT) % 4 AS grp FROM r WHERE ret IS NOT NULL) JOIN (SELECT CAST(token_id AS INT) % 4 AS grp, quantile_cont(ret, 0.05) AS q05, quantile_cont(ret, 0.5) AS q50, quantile_cont(ret, 0.95) AS q95 FROM r WHERE ret IS NOT NULL GROUP BY 1) USING (grp) GROUP BY grp")
 on_series("return_signs", SHORT, "horizon:i n:i positive:r negative:r", acf.return_signs, "SELECT horizon, count(*) AS n, avg(CAST(x > 0 AS INT)) AS positive, avg(CAST(x < 0 AS INT)) AS negative FROM (" + " UNION ALL ".join(f"SELECT {h} AS horizon, lead(price, {h}) OVER {W} / price - 1 AS x FROM s" for h in (15, 60)) + ") WHERE x IS NOT NULL GROUP BY horizon")
 halves = lambda s, h: s.where(f"seq % 2 = {h}").groupBy("token_id").agg(F.count("*").alias("n"), F.avg("price").alias("mean"))
@@ -361,8 +363,7 @@ on_series("confusion_metrics", SHORT, "tp:i fp:i fn:i tn:i accuracy:r precision:
 on_series("return_weighted_recall", SHORT, "weighted_recall:r weighted_precision:r f1:r hybrid_f1:r", lambda s: learning.return_weighted(guesses(s)), "SELECT hit / al AS weighted_recall, hit / said AS weighted_precision, 2 * tp / (2 * tp + fp + fn) AS f1, (2 * (hit / al) * (hit / said) / (hit / al + hit / said) + 2 * tp / (2 * tp + fp + fn)) / 2 AS hybrid_f1 FROM cm", GUESSES)
 on_series("roc_auc", SHORT, "auc:r", lambda s: learning.roc_auc(guesses(s)), "SELECT (sum(rk) FILTER (t = 1) - count(*) FILTER (t = 1) * (count(*) FILTER (t = 1) + 1) / 2.0) / (CAST(count(*) FILTER (t = 1) AS DOUBLE) * count(*) FILTER (t = 0)) AS auc FROM (SELECT t, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS rk FROM (SELECT t, round(price) AS y FROM gu))", GUESSES)
 on_series("trading_metrics", SHORT, "sharpe:r win_rate:r", lambda s: learning.trading_metrics(guesses(s)), "SELECT (avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252.0) AS sharpe, avg(CAST(ret > 0 AS INT)) AS win_rate FROM gu", GUESSES)
-FEATURES = ["mean_return", "std_return", "max_drawdown", "acf_lag_1", "return_5min"]
-on_series("kmeans_archetypes", SHORT, "cluster:i tokens:i", lambda s: learning.kmeans(acf.features_15(s), FEATURES, 4).groupBy("cluster").agg(F.count("*").alias("tokens")))
+on_series("kmeans_archetypes", SHORT, "cluster:i tokens:i " + " ".join(f"{c}:r" for c in FEATURES), lambda s: learning.kmeans(acf.features_15(s), FEATURES, 4).groupBy("cluster").agg(F.count("*").alias("tokens"), *(F.avg(c).alias(c) for c in FEATURES)))
 
 # --- sequential kernels, without SQL -----------------------------------------------------------------------------------------------
 on_series("hurst", LONG, "token_id hurst:r", grouped.hurst)
@@ -390,3 +391,60 @@ on_series("bot_autocorrelation", SHORT, "token_id " + " ".join(f"acf_lag_{k}:r"
 on_series("best_horizon", SHORT, "token_id horizon:i sharpe:r", lambda s: quant.best_horizon(quant.risk_reward(s)), "SELECT token_id, horizon, sharpe FROM rr QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY sharpe DESC, horizon) = 1", RR)
 register("label_columns", "token_id seq:i category cluster:i", lambda spark, d: acf.label_columns(events(spark, d, SHORT), sets.members(categories(spark, d)).where("category = 'purchase'").withColumn("cluster", F.length("token_id"))), CATEGORIES + "SELECT s.token_id, s.seq, m.category, length(m.token_id) AS cluster FROM s LEFT JOIN (SELECT * FROM m WHERE category = 'purchase') m ON m.token_id = s.token_id")
 on_series("death_times", LONG, "bucket:i tokens:i", lambda s: acf.death_times(flat_tail(s)), "SELECT floor(death_minute / 60) * 60 AS bucket, count(*) AS tokens FROM dm WHERE death_minute IS NOT NULL GROUP BY 1", DEAD)
+
+# --- long series by ranges -----------------------------------------------------------------------------------------------------------
+SPLIT = {"rows": 500, "cell": 3600}
+on_series("running_ranges", LONG, "token_id seq:i total:r n:i top:r least:r", lambda s: ranges.with_running(s, {"total": ("sum", "price"), "n": ("count", "price"), "top": ("max", "price"), "least": ("min", "price")}, **SPLIT), f"SELECT token_id, seq, sum(price) OVER w AS total, count(price) OVER w AS n, max(price) OVER w AS top, min(price) OVER w AS least FROM s WINDOW w AS (PARTITION BY token_id ORDER BY datetime, seq ROWS UNBOUNDED PRECEDING)")
+# weights beyond 400 rows are under 1e-18
+on_series("ewm_ranges", LONG, "token_id seq:i ema_12:r ewm_10:r", lambda s: ranges.with_ewm_ranges(s, {"ema_12": ("price", {"span": 12}), "ewm_10": ("price", {"alpha": 0.1})}, **SPLIT), "SELECT a.token_id, a.seq, " + ", ".join(f"sum(b.price * pow(1 - {q}, a.rn - b.rn)) / sum(pow(1 - {q}, a.rn - b.rn)) AS {n}" for n, q in (("ema_12", 2 / 13), ("ewm_10", 0.1))) + " FROM r a JOIN r b ON a.token_id = b.token_id AND b.rn BETWEEN a.rn - 400 AND a.rn GROUP BY a.token_id, a.seq")
+on_series("rolling_ranges", LONG, "token_id seq:i m20:r hi30:r q25:r ahead:r", lambda s: ranges.over_ranges(s, lambda x: x.withColumns({"m20": R.mean("price", 20), "hi30": R.high("price", 30), "q25": R.quantile("price", 0.25, 30), "ahead": R.lead("price", 15)}), 29, 15, **SPLIT), f"SELECT token_id, seq, {roll('avg', 'price', 20)} AS m20, {roll('max', 'price', 30)} AS hi30, {roll('quantile_cont({}, 0.25)', 'price', 30)} AS q25, lead(price, 15) OVER {W} AS ahead FROM s")
+
+# --- correlation by blocks of tokens -------------------------------------------------------------------------------------------------
+DAYS = f"b AS (SELECT token_id, {bucket_sql(86400)} AS bucket, first(price ORDER BY datetime, seq) AS price FROM s GROUP BY ALL),\nlr AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY token_id ORDER BY bucket)) AS x FROM b)"
+PAIRS_SQL = "SELECT *, CASE WHEN abs(correlation) >= 0.8 THEN 'very_strong' WHEN abs(correlation) >= 0.6 THEN 'strong' WHEN abs(correlation) >= 0.4 THEN 'moderate' WHEN abs(correlation) >= 0.2 THEN 'weak' ELSE 'very_weak' END AS strength FROM (SELECT a.token_id AS token_a, c.token_id AS token_b, count(*) AS n, corr(a.x, c.x) AS correlation FROM lr a JOIN lr c ON a.bucket = c.bucket AND a.token_id < c.token_id WHERE a.x IS NOT NULL AND c.x IS NOT NULL GROUP BY ALL HAVING count(*) >= {least})"
+on_series("corr_blocks", SHORT, "token_a token_b n:i correlation:r strength", lambda s: blocks.corr_blocks(s, 1440, 10, 0.5), PAIRS_SQL.format(least=10) + " WHERE abs(correlation) >= 0.5", DAYS)
+ALIGNED = """ends AS (SELECT max(lo) AS a, min(hi) AS b FROM (SELECT min(datetime) AS lo, max(datetime) AS hi FROM s GROUP BY token_id)),
+inside AS (SELECT s.* FROM s, ends WHERE datetime BETWEEN a AND b AND price > 0),
+ret AS (SELECT token_id, datetime, ln(price) - lag(ln(price)) OVER (PARTITION BY token_id ORDER BY datetime, seq) AS x FROM inside),
+m AS (SELECT token_id, time_bucket(INTERVAL 1 MINUTE, datetime) AS bucket, first(x ORDER BY datetime) AS x FROM ret WHERE x IS NOT NULL GROUP BY ALL),
+grid AS (SELECT * FROM (SELECT DISTINCT token_id FROM m), (SELECT DISTINCT bucket FROM m)),
+lr AS (SELECT token_id, bucket, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY token_id ORDER BY bucket ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER (PARTITION BY token_id ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM grid LEFT JOIN m USING (token_id, bucket))"""
+on_series("correlation_driver", LONG, "token_a token_b n:i correlation:r strength alignment", lambda s: blocks.correlate(s, significant=0.0), "SELECT *, 'outer' AS alignment FROM (" + PAIRS_SQL.format(least=30) + ")", ALIGNED)
+
+# --- warping, clusters, spectra over time, rules, stages ------------------------------------------------------------------------------
+on_series("dtw_distances", LONG, "token_a token_b distance:r", dtw.dtw_distances)
+on_series("dtw_clusters", LONG, "token_id cluster rows:i n_tokens:i avg_rows:r std_rows:r", lambda s: dtw.dtw_clusters(s, 2))
+on_series("k_selection", SHORT, "k:i within:r gap:r gap_sd:r davies_bouldin:r elbow_distance:r by_gap by_elbow", lambda s: lloyd.k_selection(acf.features_15(s), FEATURES))
+on_series("consensus_clusters", SHORT, "token_id cluster stability:r", lambda s: lloyd.consensus(acf.features_15(s), FEATURES, 4))
+on_series("unified_or_separate", SHORT, "lifespan tokens:i silhouette_unified:r silhouette_separate:r ari:r decision", lambda s: lloyd.unified_or_separate(acf.features_15(s).join(s.groupBy("token_id").agg(acf.lifespan_class(F.count("*"), 60, 80).alias("lifespan")), "token_id"), FEATURES, 3, "lifespan"))
+SEGMENTS = """x AS (SELECT token_id, rn - 1 AS rn, CASE WHEN isfinite(ret) THEN ret ELSE 0 END AS r, least(256, cnt - 1) AS n, cnt - 1 AS m FROM r WHERE rn >= 1 AND cnt >= 9),
+g AS (SELECT *, greatest(1, n // 2) AS step FROM x),
+cut AS (SELECT token_id, n, step, segment, rn - segment * step AS pos, r - avg(r) OVER (PARTITION BY token_id, segment) AS d FROM (SELECT *, unnest(range(CAST(greatest(0, ceil((rn - n + 1) / step)) AS BIGINT), CAST(least(rn // step, (m - n) // step) AS BIGINT) + 1)) AS segment FROM g)),
+f AS (SELECT token_id, segment, any_value(step) AS step, k / any_value(n) AS frequency, pow(sum(w * d * cos(2 * pi() * k * pos / n)), 2) + pow(sum(w * d * sin(2 * pi() * k * pos / n)), 2) AS power FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * pos / (n - 1)) AS w FROM cut), range(1, 129) q(k) WHERE 2 * k <= n GROUP BY token_id, segment, k)"""
+# powers span many sizes: as decibels
+on_series("spectrogram", LONG, "token_id segment:i start:i frequency:r decibels:r", lambda s: spectral.spectrogram(s, **SPLIT).withColumn("decibels", 10 * F.log10("power")), "SELECT *, segment * step AS start, 10 * log10(power) AS decibels FROM f", SEGMENTS)
+on_series("mean_spectrum", LONG, "token_id rank:i period:r decibels:r period_class", lambda s: spectral.mean_spectrum(s, **SPLIT).withColumn("decibels", 10 * F.log10("power")), "SELECT *, 10 * log10(power) AS decibels, CASE WHEN period < 5 THEN 'high_frequency' WHEN period < 30 THEN 'short_term' WHEN period < 120 THEN 'medium_term' ELSE 'long_term' END AS period_class FROM (SELECT token_id, 1 / frequency AS period, avg(power) AS power, row_number() OVER (PARTITION BY token_id ORDER BY avg(power) DESC, frequency) AS rank FROM f GROUP BY token_id, frequency) WHERE rank <= 15", SEGMENTS)
+
+
+def early_table(s: DataFrame) -> DataFrame:
+    """Early features of each token with when it began and how long it lived."""
+    life = s.groupBy("token_id").agg(F.count("*").alias("rows"), F.unix_micros(F.min("datetime")).alias("began"))
+    return features.early_features(s).join(life, "token_id").withColumn("lifespan", acf.lifespan_class("rows", 60, 80))
+
+
+EARLY = ["cumulative_return", "max_return", "min_return", "cv", "slope", "log_slope", "up_share", "volatility"]
+
+
+def early_rules(s: DataFrame) -> DataFrame:
+    tokens = early_table(s)
+    return learning.rule_quality(tokens, learning.rules_table(learning.early_rules(tokens, EARLY, "lifespan", depth=4), EARLY), "lifespan")
+
+
+def two_stage(s: DataFrame) -> DataFrame:
+    tokens = early_table(s).withColumns({"sprint": (F.col("lifespan") == "sprint").cast("int"), "marathon": F.when(F.col("lifespan") != "sprint", (F.col("lifespan") == "marathon").cast("int"))})
+    return staged.fold_metrics(staged.two_stage(tokens, EARLY, "sprint", "marathon", "began", folds=4, rounds=5, depth=3), "sprint", "marathon")
+
+
+on_series("early_rules", SHORT, "rule:i feature low:r high:r class support:i purity:r", early_rules)
+on_series("two_stage_metrics", SHORT, "fold:i tokens:i recall:r precision:r f1:r passed:i recall_2:r precision_2:r false_negative_rate_2:r", two_stage)
+register("schema_gate", "file columns:i rows:i verdict", lambda spark, d: gate.judged(gate.footers(spark, d), ("item_id", "text")).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.size("columns").alias("columns"), "rows", "verdict"))
