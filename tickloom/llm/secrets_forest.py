@@ -16,6 +16,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,16 @@ DICTIONARY = tuple("the and for are with that this from have not you all can was
 _CUES = re.compile(r"secret|token|passw|pwd|api.?key|access.?key|auth|credential|private|bearer|login", re.I)
 _DULL = re.compile(r"commit|sha\d*|md5|hash|checksum|digest|uuid|guid|id\b|example|sample|test|dummy|version|revision|etag|integrity|nonce|page|image|path", re.I)
 _KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+#: What a word holds that may be a known key: the quick look searches bytes.
+_PREFIX = re.compile(rb"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk_live_|eyJ")
 _EDGE = "\"'`,;()[]{}<>"
 #: Between the parts of a word; what assigns; what ends a key on its left; what ends an unquoted value: a quote, a brace, or the next key.
 _PART = re.compile(r"[&,;\"'`{}]")
+_PART_OF_ONE = re.compile(r"[,;\"'`{}]")  # of a word that is neither a query nor holds pairs joined by &
+_PAIRED = re.compile(r"\?|&[\"']?[\w.\[\]-]+[\"']?[:=]")
 _MARK = re.compile(r"[:=]+>?")
 _KEY_CUT = re.compile(r"[\"'`&,;{}?=:<>\s]")
-_NEXT = re.compile(r"[\"'`{}]|[&,;](?=[\"']?[\w.\[\]-]{1,64}[\"']?[:=])")
+_NEXT = re.compile(r"[\"'`{}]|[&,;](?=[\"']?[\w.\[\]-]+[\"']?[:=])")
 _NAME_END = re.compile(r"[\"'`]\]?[:=]")
 _REACH = 48
 
@@ -67,9 +72,30 @@ def features(value: str, before: str, after: str) -> list[float]:
     ]
 
 
-def _key(text: str, lo: int, mark: int) -> str:
-    """The name just before a mark of assignment."""
-    return _KEY_CUT.split(text[max(lo, mark - 64) : mark].rstrip("\"'`])"))[-1]
+def _key(text: str, lo: int, mark: int, cuts: list[int]) -> str:
+    """The name just before a mark of assignment, from its true start. cuts: ends of what separates names in the word that starts at lo."""
+    while mark > lo and text[mark - 1] in "\"'`])":
+        mark -= 1
+    k = bisect_right(cuts, mark)
+    return text[cuts[k - 1] if k else lo : mark]
+
+
+def _named_before(text: str, a: int) -> bool:
+    """Whether one of the three words before a names a secret, and the last of them ends in a mark of assignment."""
+    at = a
+    while at > 0 and text[at - 1] in " \t\n\r\x0b\x0c\"'":
+        at -= 1
+    if not at or text[at - 1] not in ":=":
+        return False
+    for _ in range(3):
+        end = at
+        while at > 0 and text[at - 1] not in " \t\n\r\x0b\x0c":
+            at -= 1
+        if _CUES.search(text, at, end):
+            return True
+        while at > 0 and text[at - 1] in " \t\n\r\x0b\x0c":
+            at -= 1
+    return False
 
 
 def _end(text: str, lo: int, b: int) -> int:
@@ -99,19 +125,19 @@ def candidates(text: str, spans) -> list[tuple[int, int]]:
                 return
             value = text[lo:hi]
             mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-            if assigned or mixed and re.fullmatch(r"[A-Za-z0-9+/=_.@:%~-]+", value):
+            if assigned or mixed and re.fullmatch(r"[A-Za-z0-9+/=_.@:%~&-]+", value):
                 found.append((lo, hi))
                 taken[lo - a : hi - a] = b"\1" * (hi - lo)
 
-        near = text[max(0, a - 24) : a]
         lo = a
         while lo < b and text[lo] in _EDGE:
             lo += 1
         past = a  # the end of the last assigned value: marks in it assign nothing
-        if re.search(r"(?:[:=])\s*[\"']?$", near) and _CUES.search(near):
+        if _named_before(text, a):
             past = _end(text, lo, b)
             propose(lo, past, True)
-        parts = [a, *(m.end() for m in _PART.finditer(text, a, b)), b + 1]
+        cuts = [m.end() for m in _KEY_CUT.finditer(text, a, b)]
+        parts = [a, *(m.end() for m in (_PART if _PAIRED.search(text, a, b) else _PART_OF_ONE).finditer(text, a, b)), b + 1]
         for p, q in zip(parts, parts[1:], strict=False):
             part = text[p : q - 1]
             # a part without inner quotes or separators is named by all that stands before its last mark, as in token[0]=x
@@ -121,7 +147,7 @@ def candidates(text: str, spans) -> list[tuple[int, int]]:
             for m in marks:
                 if m.start() < past or text[m.start() : m.start() + 3] == "://":
                     continue
-                if _CUES.search(_key(text, a, m.start())):
+                if _CUES.search(_key(text, a, m.start(), cuts)):
                     lo = m.end()
                     while lo < b and text[lo] in _EDGE and text[lo] not in ",;":
                         lo += 1
@@ -185,7 +211,7 @@ def train(findings=None) -> Forest:
 
 
 def _looked_out(data: np.ndarray, at: np.ndarray):
-    """Words (in bytes) worth a look: of eight bytes or more with a digit, or with = or : in them or just before."""
+    """Words (in bytes) worth a look: of eight bytes or more with a digit, with = or : in them or just before, or with the beginning of a known key."""
     starts, ends, first = word_spans(data, at)
     if not len(starts):
         return []
@@ -195,6 +221,9 @@ def _looked_out(data: np.ndarray, at: np.ndarray):
     take = (ends - starts >= 8) & (digits[ends] > digits[starts]) | mark
     after = np.zeros(len(take), bool)
     after[1:] = (data[ends[:-1] - 1] == 61) | (data[ends[:-1] - 1] == 58)
+    hits = np.array([m.start() for m in _PREFIX.finditer(data.tobytes())], np.int64)
+    known = np.searchsorted(starts, hits, "right") - 1
+    take[known[known >= 0]] = True
     chosen = np.flatnonzero(take | after)
     rows = np.searchsorted(first, chosen, "right") - 1
     return list(zip(rows.tolist(), starts[chosen].tolist(), ends[chosen].tolist(), strict=True))
