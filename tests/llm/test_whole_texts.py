@@ -1,10 +1,11 @@
 """Text operators on long, compact and rare inputs: nothing is passed over for its length or its place."""
 
 import random
+import time
 
 import pytest
 
-from tickloom.llm import decontaminate, licenses, mcd, secrets_forest
+from tickloom.llm import decontaminate, licenses, mcd, path_tree, secrets_forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -135,3 +136,13 @@ def test_a_long_line_of_pairs_is_read_in_linear_time(spark):
     line = "&".join(f"name{k}=value{k}" for k in range(30_000)) + "&api_key=" + "0123456789abcdef" * 2
     found = secrets_forest.scan_secrets(docs_of(spark, [line])).collect()[0].findings
     assert found[-1].value == "0123456789abcdef" * 2 and found[-1].is_secret
+
+
+def test_very_deep_urls(spark):
+    """Five thousand equal segments before the one that differs: the work follows forks, not depth."""
+    deep = "http://h.net/" + "/".join(f"s{k % 7}" for k in range(5000))
+    rows = [(1, deep + "/a"), (2, deep + "/b"), (3, deep + "/b"), (4, "http://x.org/" + "/".join("ab"[k % 2] for k in range(900))), (5, "http://x.org/c")]
+    start = time.time()
+    got = {r.page_id: r for r in path_tree.url_verdicts(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert time.time() - start < 60
+    assert [got[k].verdict for k in (1, 2, 3, 4, 5)] == ["block", "block", "block", "allow", "allow"] and got[1].template.count("/") == 5001

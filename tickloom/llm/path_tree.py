@@ -5,8 +5,8 @@ after that works on the table of shapes. From the root down, a segment under a t
 many different ones and this one is rare. From the leaves up, sibling branches that are alike are merged: each branch that goes on is
 described by how its pages share out over what follows; those with the same most common continuation are pooled, and a branch that
 passes a chi-square test against its pool takes the pool's name. Labels play no part in that, so branches without labelled pages merge
-with branches that have some, and share their verdict. Both walks go as deep as paths of a host still part; below that there is nothing
-to generalise or merge.
+with branches that have some, and share their verdict. Both walks visit only the depths at which paths of a host part: along a chain of
+segments without a fork, however long, there is nothing to generalise or merge.
 
 A template's purity is the share of blocked pages among its labelled ones, smoothed towards its host's, and that towards the share
 over all labelled pages. A template with labelled pages and a purity of least_purity or more is rejected. Pages labelled by a rule
@@ -76,28 +76,37 @@ def _renamed(shapes: DataFrame, names: DataFrame, d: int) -> DataFrame:
 _COLUMNS = ("host", "shape", "template", "n", "blocked", "allowed")
 
 
-def _generalised(shapes: DataFrame, max_literals: int, min_share: float) -> tuple[DataFrame, int]:
-    """From the root down: rare segments among many become wildcards. Also the depth at which no prefix has two different segments any more."""
-    d = 0
-    while True:
+def _forks(shapes: DataFrame, since: int) -> list[int]:
+    """The depths from `since` on at which some template of a host goes on in two ways or more, from one row for each shape and depth.
+
+    Prefixes go by hashes here: a chance match would only add a depth at which there is nothing to do."""
+    steps = F.transform(F.sequence(F.lit(since), F.size("template") - 1), lambda i: F.struct(i.alias("d"), F.xxhash64(F.slice("template", 1, i)).alias("p"), F.get("template", i).alias("s")))
+    each = shapes.where(F.size("template") > since).select("host", F.explode(steps).alias("e"))
+    ways = each.groupBy("host", "e.d", "e.p").agg(F.min("e.s").alias("a"), F.max("e.s").alias("b")).where("a <> b")
+    return sorted(r.d for r in ways.select("d").distinct().collect())  # at most as many as the longest path has segments
+
+
+def _generalised(shapes: DataFrame, max_literals: int, min_share: float) -> tuple[DataFrame, list[int]]:
+    """From the root down: rare segments among many become wildcards. Only depths with a fork are visited: on a chain there is nothing to generalise.
+
+    Also the depths with forks in what comes out."""
+    forks, k = _forks(shapes, 0), 0
+    while k < len(forks):
+        d = forks[k]
         each = _at(shapes, d).where("_seg is not null").groupBy("host", "_pre", "_seg").agg(F.sum("n").alias("_c"))
-        under = each.groupBy("host", "_pre").agg(F.count("*").alias("_k"), F.sum("_c").alias("_t")).where("_k > 1").select(F.col("host").alias("_h"), F.col("_pre").alias("_p"), "_k", "_t")
+        under = each.groupBy("host", "_pre").agg(F.count("*").alias("_k"), F.sum("_c").alias("_t")).where(F.col("_k") > max_literals).select(F.col("host").alias("_h"), F.col("_pre").alias("_p"), "_t")
         under = written(under, f"path-under-{d}")
-        most = under.agg(F.max("_k")).first()[0]
-        if most is None:
-            deeper = shapes.where(F.size("template") > d + 1).groupBy("host", F.slice("template", 1, d + 1)).agg(F.count_distinct("template").alias("c")).where("c > 1")
-            if deeper.isEmpty():
-                return shapes, d
-        elif most > max_literals:
-            many = under.where(F.col("_k") > max_literals)
-            rare = each.join(many, (F.col("host") == F.col("_h")) & (F.col("_pre") == F.col("_p"))).where((F.col("_c") < min_share * F.col("_t")) & (F.col("_seg") != ""))
+        if not under.isEmpty():
+            rare = each.join(under, (F.col("host") == F.col("_h")) & (F.col("_pre") == F.col("_p"))).where((F.col("_c") < min_share * F.col("_t")) & (F.col("_seg") != ""))
             shapes = written(_renamed(shapes, rare.select("_h", "_p", F.col("_seg").alias("_s"), F.lit("*").alias("_name")), d), f"path-wild-{d}")
-        d += 1
+            forks = [*forks[: k + 1], *_forks(shapes, d + 1)]  # prefixes that became one go on in the ways of all
+        k += 1
+    return shapes, _forks(shapes, 0) if forks else []
 
 
-def _merged(shapes: DataFrame, depth: int) -> DataFrame:
-    """From the leaves up: sibling branches with like continuations get one name, {a|...} after the first of them."""
-    for d in reversed(range(depth)):
+def _merged(shapes: DataFrame, forks: list[int]) -> DataFrame:
+    """From the leaves up: sibling branches with like continuations get one name, {a|...} after the first of them. Without a fork there are no siblings."""
+    for d in reversed(forks):
         cells = _at(shapes, d).where(F.size("template") > d + 1).withColumn("_rest", F.slice("template", d + 2, 1 << 30)).groupBy("host", "_pre", "_seg", "_rest").agg(F.sum("n").alias("m"))
         cells = written(cells, f"path-cells-{d}")
         branches = cells.groupBy("host", "_pre", "_seg").agg(F.sum("m").alias("_n"), (F.count("*") - 1).alias("_df"), F.min_by("_rest", F.struct(-F.col("m"), "_rest")).alias("_main"))
@@ -132,8 +141,8 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("_action") == "block").alias("blocked"), F.count_if(F.col("_action") == "allow").alias("allowed"))
     shapes = written(shapes.withColumn("template", F.col("shape")).select(*_COLUMNS), "path-shapes")
     places = max(1, -(-(shapes.agg(F.max("n")).first()[0] or 0) // _TOGETHER))
-    shapes, depth = _generalised(shapes, max_literals, min_share)
-    shapes = _merged(shapes, depth)
+    shapes, forks = _generalised(shapes, max_literals, min_share)
+    shapes = _merged(shapes, forks)
     totals = [F.sum(c).alias(c) for c in ("blocked", "allowed")]
     overall = shapes.agg(F.coalesce(F.try_divide(F.sum("blocked"), F.sum("blocked") + F.sum("allowed")), F.lit(0.0)).alias("q")).first()[0]
     templates = written(shapes.groupBy("host", "template").agg(*totals), "path-templates")
