@@ -273,7 +273,7 @@ VWAP_SPEC = "token_id seq:i vwap:r " + " ".join(f"vwap_{n}:r vwap_upper_{n}:r vw
 register("vwap_bands", VWAP_SPEC, lambda spark, d: ranges.over_ranges(shipments(spark, d), lambda s: indicators.vwap_bands(s, volume="l_quantity"), before=239, rows=20_000), "s AS (SELECT l_returnflag AS token_id, l_shipdate AS datetime, (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS seq, CAST(l_extendedprice AS DOUBLE) / CAST(3141.592653589793 AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS v FROM lineitem)\n;;\n" + f"{VWAP_COLUMNS} ({VWAP} s)")
 on_series("vwap_by_returns", SHORT, "token_id seq:i vwap:r vwap_upper_5:r vwap_60:r vwap_distance_60:r", indicators.vwap_bands, f"{VWAP_COLUMNS} ({VWAP} (SELECT *, abs(ret) + 1e-10 AS v FROM r))")
 on_series("trix", SHORT, "token_id seq:i trix:r", indicators.trix)
-on_series("last_signals", SHORT, "token_id rsi_signal bb_signal stoch_signal", indicators.last_signals)
+on_series("last_signals", SHORT, "token_id rsi_signal bb_signal stoch_signal", indicators.last_signals, f"SELECT token_id, CASE WHEN rsi > 70 THEN 'overbought' WHEN rsi < 30 THEN 'oversold' ELSE 'neutral' END AS rsi_signal, CASE WHEN price > m + 2 * sd THEN 'above' WHEN price < m - 2 * sd THEN 'below' ELSE 'inside' END AS bb_signal, CASE WHEN k > {roll('avg', 'k', 3)} THEN 'bullish' ELSE 'bearish' END AS stoch_signal FROM (SELECT *, 100 * {roll('avg', 'up', 14)} / nullif({roll('avg', 'up', 14)} + {roll('avg', 'dn', 14)}, 0) AS rsi, {roll('avg', 'price', 20)} AS m, {roll('stddev_samp', 'price', 20)} AS sd, 100 * (price - {roll('min', 'price', 14)}) / nullif({roll('max', 'price', 14)} - {roll('min', 'price', 14)}, 0) AS k FROM (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS dn FROM (SELECT *, price - lag(price) OVER {W} AS d FROM r))) QUALIFY rn = cnt - 1")
 
 # --- risk --------------------------------------------------------------------------------------------------------------------------
 on_series("sharpe_sortino", SHORT, "token_id n:i sharpe:r sortino:r", quant.sharpe_sortino, "SELECT token_id, count(ret) AS n, CASE WHEN stddev_samp(ret) > 0 THEN greatest(-10, least(10, avg(ret) / stddev_samp(ret))) ELSE 0 END AS sharpe, CASE WHEN count(*) FILTER (ret < 0) = 0 THEN CASE WHEN avg(ret) > 0 THEN 10 ELSE 0 END ELSE coalesce(greatest(-10, least(10, avg(ret) / nullif(stddev_samp(ret) FILTER (ret < 0), 0))), 0) END AS sortino FROM r GROUP BY token_id")
@@ -297,7 +297,7 @@ on_series("liquidity", LONG, "token_id amihud:r roll_spread:r liquidity_score:r"
 on_series("autocorr_rolling", SHORT, "token_id seq:i return_autocorr:r", quant.autocorr_rolling, f"SELECT token_id, seq, {roll('avg', 'dx * dy', 120, 30)} / nullif(sqrt({roll('avg', 'dx * dx', 120, 30)} * {roll('avg', 'dy * dy', 120, 30)}), 0) AS return_autocorr FROM (SELECT *, ret - {roll('avg', 'ret', 120, 30)} AS dx, b - {roll('avg', 'b', 120, 30)} AS dy FROM (SELECT *, lag(ret) OVER {W} AS b FROM r))")
 MOMENTA = [f"{k}{n}" for n in (10, 30, 60) for k in ("m", "s")]
 on_series("momentum_quality", SHORT, "token_id seq:i momentum_10:r momentum_quality:r", quant.momentum_quality, "SELECT token_id, seq, m10 AS momentum_10, (" + " + ".join(f"coalesce(z_{x}, 0)" for x in MOMENTA) + ") / nullif(" + " + ".join(f"CAST(z_{x} IS NOT NULL AS INT)" for x in MOMENTA) + ", 0) AS momentum_quality FROM (SELECT *, " + ", ".join(f"({x} - avg({x}) OVER p) / (stddev_samp({x}) OVER p + 1e-10) AS z_{x}" for x in MOMENTA) + " FROM (SELECT *, " + ", ".join(f"price / lag(price, {n}) OVER {W} - 1 AS m{n}, 1 / ({roll('stddev_samp', 'ret', n, 2)} + 1e-10) AS s{n}" for n in (10, 30, 60)) + " FROM r) WINDOW p AS (PARTITION BY token_id))")
-on_series("volume_profile", LONG, "token_id bin:i n:i is_poc is_high", lambda s: quant.volume_profile(s, 10))
+on_series("volume_profile", LONG, "token_id bin:i n:i is_poc is_high", lambda s: quant.volume_profile(s, 10), "SELECT token_id, bin, n, bin = first(bin) OVER (PARTITION BY token_id ORDER BY n DESC, bin) AS is_poc, n > quantile_cont(n, 0.7) OVER (PARTITION BY token_id) AS is_high FROM (SELECT token_id, least(9, len(list_filter(e, lambda x: x <= price)) - 1) AS bin, count(*) AS n FROM s JOIN (SELECT token_id, quantile_cont(price, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM s GROUP BY token_id) USING (token_id) GROUP BY token_id, bin)")
 on_series("market_profile", LONG, "token_id bucket:i n:i is_poc in_value_area", quant.market_profile, "SELECT token_id, bucket, n, rk = 1 AS is_poc, coalesce(bf, 0) < 0.7 * al AS in_value_area FROM (SELECT *, row_number() OVER o AS rk, sum(n) OVER (PARTITION BY token_id ORDER BY n DESC, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf, sum(n) OVER (PARTITION BY token_id) AS al FROM (SELECT token_id, least(19, floor((price - lo) / (hi - lo) * 20)) AS bucket, count(*) AS n FROM (SELECT *, min(price) OVER (PARTITION BY token_id) AS lo, max(price) OVER (PARTITION BY token_id) AS hi FROM s) GROUP BY ALL) WINDOW o AS (PARTITION BY token_id ORDER BY n DESC, bucket))")
 on_series("vol_surface", LONG, "token_id window:i p10:r p50:r p90:r", quant.volatility_surface, "SELECT token_id, win AS \"window\", quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90 FROM (" + " UNION ALL ".join(f"SELECT token_id, {n} AS win, {roll('stddev_samp', 'ret', n)} * sqrt(525600.0 / {n}) AS v FROM r" for n in (5, 15, 30, 60)) + ") WHERE v IS NOT NULL GROUP BY ALL")
 SEGMENT = "sg AS (SELECT *, least(floor(rn / greatest(1, cnt // 4)), 3) AS segment FROM r),\nls AS (SELECT token_id, segment, count(*) AS n, last(price ORDER BY datetime, seq) / first(price ORDER BY datetime, seq) - 1 AS segment_return, stddev_samp(ret) AS volatility, avg(CAST(ret > 0 AS INT)) AS win_rate, corr(price, rn) AS trend FROM sg GROUP BY ALL)"
@@ -375,7 +375,7 @@ on_series("rsi_divergence", SHORT, "token_id divergence", grouped.rsi_divergence
 on_series("elliott_waves", LONG, "token_id start_row:i end_row:i wave_1:r wave_2:r wave_3:r wave_4:r", grouped.elliott)
 on_series("higuchi_dimension", SHORT, "token_id fractal_dimension:r", grouped.higuchi)
 on_series("rolling_entropy", LONG, "token_id row:i entropy:r", grouped.rolling_entropy)
-on_series("paper_trading", SHORT, "token_id exit_row:i profit:r", grouped.paper_trading)
+on_series("paper_trading", SHORT, "token_id exit_row:i profit:r", grouped.paper_trading, f"SELECT token_id, exit_row, 100 * 0.997 / (p0 * 1.01) * (price * 0.99) * 0.997 - 100 AS profit FROM (SELECT token_id, rn AS exit_row, price, first(price) OVER {W} AS p0, max(price) OVER {W} AS top, cnt FROM r) t WHERE exit_row >= 1 AND p0 <> 0 AND (price <= top * 0.8 OR price <= p0 * 1.01 * 0.95 OR exit_row = cnt - 1) QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY exit_row) = 1")
 
 # --- streaming operators over a batch table (the tests run them as streams) ----------------------------------------------------------
 on_series("stream_ohlc_watermark", LONG, "token_id window_start:t open:r high:r low:r close:r n:i", streaming.bars, f"SELECT token_id, {bucket_sql(300)} AS window_start, first(price ORDER BY datetime, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY datetime, seq) AS close, count(*) AS n FROM s GROUP BY ALL")
