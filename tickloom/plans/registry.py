@@ -19,6 +19,7 @@ from tickloom.operators import acf, blocks, cleaning, cross, dtw, features, grou
 from tickloom.plans import pipeline
 from tickloom.sources import gate, series
 from tickloom.streaming import bars as streaming
+from tickloom.streaming import lives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -448,3 +449,11 @@ def two_stage(s: DataFrame) -> DataFrame:
 on_series("early_rules", SHORT, "rule:i feature low:r high:r class support:i purity:r", early_rules)
 on_series("two_stage_metrics", SHORT, "fold:i tokens:i recall:r precision:r f1:r passed:i recall_2:r precision_2:r false_negative_rate_2:r", two_stage)
 register("schema_gate", "file columns:i rows:i verdict", lambda spark, d: gate.judged(gate.footers(spark, d), ("item_id", "text")).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.size("columns").alias("columns"), "rows", "verdict"))
+
+# prices in steps of a hundred, so that they stand still now and then
+LIVES_SQL = f"""x AS (SELECT token_id, datetime, seq, floor(price / 100) AS price, epoch_us(datetime) // 1000 AS ms FROM s),
+g AS (SELECT *, coalesce(ms - lag(ms) OVER {W} > 86400000, true) AS gone, coalesce(lead(ms) OVER {W} - ms > 86400000, false) AS ends, coalesce(price <> lag(price) OVER {W}, true) AS moved FROM x),
+l AS (SELECT *, count(*) FILTER (gone) OVER {W} AS life, count(*) FILTER (gone OR moved) OVER {W} AS run FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY token_id, life ORDER BY datetime, seq) AS rows, row_number() OVER (PARTITION BY token_id, run ORDER BY datetime, seq) AS k FROM l),
+b AS (SELECT *, lag(k) OVER {W} AS before FROM k)"""
+on_series("life_events", SHORT, "token_id event at:t rows:i", lambda s: lives.life_events_of_table(s.withColumn("price", F.floor(F.col("price") / 100)), 3, 86_400), "SELECT token_id, 'moving' AS event, datetime AS at, rows FROM b WHERE k = 1 AND NOT gone AND before >= 3 UNION ALL SELECT token_id, 'flat', datetime, rows FROM b WHERE k = 3 UNION ALL SELECT token_id, 'silent', make_timestamp((ms + 86400000) * 1000), rows FROM b WHERE ends", LIVES_SQL)
