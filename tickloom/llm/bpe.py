@@ -2,8 +2,8 @@
 
 A byte-level BPE encodes each pre-token (a word with the blank before it, a number, a run of signs or blanks) by itself. Texts are cut
 into pre-tokens by the tokenizer's fixed pattern; the library encodes each different pre-token once, and its ids are kept for the next
-time. A text above `leaf` characters is cut into halves again and again, the pieces are encoded side by side, and neighbours are joined
-bottom-up: a window of a few tokens on each side of the cut is encoded anew and grown until it agrees with both sides, so the ids are
+time. A text above `leaf` characters is cut into halves again and again, the pieces are encoded one after the other (other texts are in
+other tasks meanwhile), and neighbours are joined bottom-up: a window of a few tokens on each side of the cut is encoded anew and grown until it agrees with both sides, so the ids are
 those of the whole text.
 
 When a window agrees. Pre-tokens are cut off from left to right, and what follows a cut does not depend on what stood before it; so if
