@@ -19,7 +19,7 @@ def minutes(spark):
     for token in ("a", "b", "c", "wide"):
         at = 0
         for _ in range(60):
-            at += rng.choice([1, 1, 2, 5, 11, 12, 300]) if token != "wide" else 50_000
+            at += rng.choice([1, 1, 2, 5, 11, 12, 300]) if token != "wide" else 3_000
             rows.append((token, START + datetime.timedelta(minutes=at), at, None if rng.random() < 0.1 else rng.uniform(1, 9)))
     return spark.createDataFrame(rows, "token_id string, datetime timestamp, seq long, price double")
 
@@ -52,3 +52,14 @@ def test_spine_gaps(minutes):
     s = minutes.where("token_id <> 'wide'")
     laid_out = cleaning.minute_spine(s).groupBy("token_id").agg(F.count("*").alias("minutes"), F.count_if(F.col("price").isNull()).alias("missing"))
     assert sorted(map(tuple, cleaning.spine_gaps(s).collect())) == sorted(map(tuple, laid_out.collect()))
+
+
+def test_stored_tables_are_released(spark):
+    from tickloom import session
+
+    session.release()
+    kept = session.stored(spark.range(10).selectExpr("id", "id % 3 AS part"), "release-test", by="part")
+    (_, path), = session._made
+    assert kept.columns == ["id", "part"] and kept.where("part = 1").count() == 3
+    session.release()
+    assert not session._made and not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
