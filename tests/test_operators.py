@@ -275,3 +275,10 @@ def test_labels_and_logs_are_read_from_json(spark, tmp_path):
     assert got == {("x", "dead", "quick", 3), ("y", "dead", "quick", 3), ("z", "normal", "calm", 1)}
     series.write_json(make(spark, a=[1, 2]), str(tmp_path / "log"))
     assert series.read_json(spark, str(tmp_path / "log"), make(spark, a=[1]).schema).count() == 2
+
+
+def test_stop_loss_grid_enters_at_zero(spark):
+    r = {x.token_id: x for x in quant.sl_tp_grid(make(spark, up=[0, 0, 3], flat=[0, 0, 0], down=[5, 0]), (0.05,), (0.1,)).collect()}
+    assert (r["up"].trades, r["up"].wins, r["up"].mean_result) == (1, 1, pytest.approx(0.1))
+    assert (r["flat"].trades, r["flat"].wins, r["flat"].mean_result) == (1, 0, None)
+    assert r["down"].mean_result == pytest.approx(-0.05)
