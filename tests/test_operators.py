@@ -277,6 +277,31 @@ def test_labels_and_logs_are_read_from_json(spark, tmp_path):
     assert series.read_json(spark, str(tmp_path / "log"), make(spark, a=[1]).schema).count() == 2
 
 
+def test_returns_after_a_price_of_zero_are_infinite(spark):
+    s = make(spark, a=[2, 0, 4, 6], b=[1, 0, 0, 2])
+    got = {t: [r.ret for r in R.with_returns(s).where(F.col("token_id") == t).orderBy("seq").collect()] for t in "ab"}
+    assert got["a"] == [None, -1.0, math.inf, 0.5] and math.isnan(got["b"][2]) and got["b"][3] == math.inf
+    assert [r.ret for r in acf.safe_returns(s.where("token_id = 'a'")).orderBy("seq").collect()] == [None, -1.0, math.inf, 0.5]
+    assert all(math.isnan(r.acf) for r in acf.acf_lags(acf.safe_returns(s.where("token_id = 'a'")), 1).collect())
+    assert [r.label_15m for r in features.targets(s, (15,)).collect()] == [None] * 8
+    assert {r.return_1m for r in features.targets(s.where("token_id = 'a'"), (1,)).collect()} == {-1.0, math.inf, 0.5, None}
+    assert one(price.drawdown_global(s.where("token_id = 'a'"))).total_up_moves == 2
+
+
+def test_calmar_from_and_to_zero(spark):
+    got = {r.token_id: r for r in quant.calmar(make(spark, up=[0, 2, 1], down=[4, 2, 0])).collect()}
+    assert got["up"].max_drawdown == -0.5 and got["up"].calmar == pytest.approx(2 * (math.exp(50) - 1)) and got["down"].max_drawdown == -1 and got["down"].calmar == -1
+
+
+def test_correlation_with_an_infinite_return(spark):
+    from tickloom.operators import blocks
+
+    rng = np.random.default_rng(5)
+    rows = [(t, k, float("inf") if (t, k) == ("a", 30) else float(rng.normal())) for t in "abc" for k in range(40) if (t, k) != ("c", 30)]
+    got = {(r.token_a, r.token_b): (r.n, r.correlation) for r in blocks.pair_correlations(spark.createDataFrame(rows, "token_id string, at long, r double"), "at", "r").collect()}
+    assert got["a", "b"][0] == 40 and math.isnan(got["a", "b"][1]) and got["a", "c"][0] == 39 and abs(got["a", "c"][1]) < 0.5
+
+
 def test_stop_loss_grid_enters_at_zero(spark):
     r = {x.token_id: x for x in quant.sl_tp_grid(make(spark, up=[0, 0, 3], flat=[0, 0, 0], down=[5, 0]), (0.05,), (0.1,)).collect()}
     assert (r["up"].trades, r["up"].wins, r["up"].mean_result) == (1, 1, pytest.approx(0.1))
