@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +55,20 @@ def test_distances_of_whole_series(series):
     assert near == pytest.approx({k: v for k, v in want.items() if v <= 3.0}) and 0 < len(near) < len(want)
 
 
+def test_pairs_of_long_series_go_to_tasks_of_their_own(series, monkeypatch):
+    monkeypatch.setattr(dtw, "WORK", 1.0)
+    found = dtw.dtw_distances(series.where("token_id in ('t01', 't02', 't03', 't04')"), block=32)
+    parts = found.rdd.glom().map(len).collect()
+    assert sum(parts) == 6 and max(parts) == 1
+
+
+def test_time_of_a_long_pair():
+    x = np.random.default_rng(1).normal(size=20_000)
+    began = time.process_time()
+    assert dtw.warped(x, x[::-1], dtw.band_of(len(x), len(x))) > 0
+    assert time.process_time() - began < 2  # 3 s with new arrays for each diagonal
+
+
 def average_linkage(distance):
     """One merge at a time over all members: (keep, gone, height)."""
     names = sorted({t for p in distance for t in p})
