@@ -42,6 +42,22 @@ def test_all_runs_equal_separate_fits(spark, planted):
         assert np.allclose(cost.sum(), (weight * distance**2).sum(), rtol=1e-3) and np.allclose(far.sum(), (weight * distance).sum(), rtol=1e-3)
 
 
+def test_runs_of_very_many_steps_end(spark):
+    # points on a line: two centres that start at one end move by little at each step
+    x = np.cumsum(1.0 + np.arange(400) * 0.01)
+    points = spark.createDataFrame([(f"p{k:03}", "all", [float(v)]) for k, v in enumerate(x)], "token_id string, g string, x array<double>").coalesce(1).cache()
+    start = x[:12, None]
+    steps, centres = 0, start
+    while True:
+        k = np.abs(x[:, None] - centres[None, :, 0]).argmin(1)
+        new = np.array([[x[k == c].mean()] for c in range(len(centres))])
+        steps, moved, centres = steps + 1, np.abs(new - centres).max(), new
+        if moved <= 1e-4:
+            break
+    assert steps > 100
+    assert np.allclose(lloyd.fit(points, {("all", 0): start})["all", 0][0], centres)
+
+
 def test_poisson_weights_are_poisson_and_repeat():
     names = [f"n{k}" for k in range(20_000)]
     w = lloyd.poisson_weights(names, 3)
