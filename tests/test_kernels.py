@@ -96,3 +96,16 @@ def test_principal_components(spark):
         own = got[got.component == c]
         v = vectors[:, -c] * np.sign(vectors[np.abs(vectors[:, -c]).argmax(), -c])
         assert np.allclose(own.loading, v, atol=1e-6) and own.explained.iloc[0] == pytest.approx(values[-c] / 4)
+
+
+def test_kernels_get_prices_alone_and_ranges_of_bounded_size(spark, monkeypatch):
+    p = np.random.default_rng(8).integers(1, 30, 700).astype(float)
+    rows = [("a", START + datetime.timedelta(minutes=7 * (k // 2)), k, float(p[k])) for k in np.random.default_rng(9).permutation(700).tolist()]
+    s = spark.createDataFrame(rows, "token_id string, datetime timestamp, seq long, price double")
+    assert [tuple(r) for r in grouped._per_token(s, "n int, same boolean", lambda x: [(len(x), bool((x == p).all()))]).collect()] == [("a", 700, True)]
+    whole = {r.row: r.entropy for r in grouped.rolling_entropy(s, 60).collect()}
+    monkeypatch.setattr(grouped, "RANGE", 128)
+    cut = grouped.rolling_entropy(s, 60)
+    assert whole.keys() == set(range(60, 700)) and {r.row: r.entropy for r in cut.collect()} == whole
+    plan = cut._jdf.queryExecution().toString()
+    assert "_part" in plan and "FlatMapGroupsInArrow" in plan
