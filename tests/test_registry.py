@@ -6,6 +6,8 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from tickloom.plans import registry  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -42,3 +44,10 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     columns = [d[0] for d in theirs.description]
     assert sorted(ours.columns) == sorted(columns)
     assert canonical(tuple(r) for r in ours.select(columns).collect()) == canonical(theirs.fetchall())
+
+
+def test_six_digits_are_rounded_as_in_the_sql(spark):
+    # the double next to 4.1390625 lies below it: its text ends in a tie, the number does not
+    xs = [4.1390625, -4.1390625, 0.5000005, 2.0000005, 0.0078125, -0.0078125, 1e-9, -1e-9, 1e300, 1e305, float("inf"), float("-inf"), None]
+    ours = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x double").withColumn("x", registry.rounded(F.col("x"))).orderBy("k").collect()
+    assert [r.x for r in ours] == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6) + 0.0", [x]).fetchone()[0] for x in xs]
