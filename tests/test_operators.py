@@ -77,6 +77,23 @@ def test_staircase_is_cut_at_the_jump(spark):
     assert cleaning.cut_staircases(s).count() == 100
 
 
+def test_graduated_series_are_checked_in_one_pass(spark):
+    live = walk(100)
+    far = lambda times: live[:50] + [min(live) / times, *live[50:]]
+    s = make(spark, live=live, short=live[:59], flat=[100.0] * 130, dead=live + [5.0] * 100, gone=[float("inf")] * 60 + live[:50], wide=far(2e6), wider=far(2e7), widest=far(1e9), stairs=walk(100, scale=0.001) + [1000.0] * 55)
+    out = cleaning.graduated(s).cache()
+    everywhere = {"live": 100, "dead": 102, "stairs": 100}
+    assert {(r.horizon, r.token_id): r["count"] for r in out.groupBy("horizon", "token_id").count().collect()} == {
+        **{(h, t): n for h in cleaning.RATIO_LIMITS for t, n in everywhere.items()}, **{(h, "wide"): 101 for h in ("short_term", "medium_term")}, ("short_term", "wider"): 101,
+    }
+    for h in cleaning.RATIO_LIMITS:
+        assert out.where(F.col("horizon") == h).drop("horizon").exceptAll(cleaning.universal_checks(s, h)).isEmpty()
+        assert cleaning.universal_checks(s, h).exceptAll(out.where(F.col("horizon") == h).drop("horizon")).isEmpty()
+    out.unpersist()
+    plan = cleaning.graduated(s)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
+
+
 def test_gap_limit(spark):
     rows = [("a", START + dt.timedelta(minutes=m), m, float(m)) for m in [*range(10), *range(13, 20), *range(50, 60)]]
     s = spark.createDataFrame(rows, SCHEMA)
