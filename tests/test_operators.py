@@ -94,6 +94,40 @@ def test_graduated_series_are_checked_in_one_pass(spark):
     assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
 
 
+def test_quality_report_reads_the_series_once(spark):
+    s = make(spark, dead=walk(60) + [5.0] * 130, live=walk(190, 7), odd=[0.0, 1.0, 200.0, -1.0, None, 3.0])
+    plan = quality.quality_report(s)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1 and "Join" not in plan
+    report = quality.quality_report(s).cache()
+    for part in (quality.quality_score(s), quality.price_anomalies(s), quality.death_duration(s), quality.extreme_movements(s).drop("details")):
+        assert part.exceptAll(report.select(*part.columns)).isEmpty()
+    odd = one(report.where("token_id = 'odd'"))
+    assert (odd.n_rows, odd.n_times, odd.n_invalid, odd.zero_prices, odd.negative_prices, odd.tail_rows, odd.jumps) == (6, 6, 2, 1, 1, 2, 2)
+
+
+def test_exponential_means_of_many_tokens_in_one_batch(spark):
+    import pandas as pd
+
+    from tickloom.functions.ewm import with_ewm
+
+    tokens = {f"t{k}": [None if i % 5 == k else p for i, p in enumerate(walk(n, k))] for k, n in enumerate((1, 3, 40, 7, 2, 25))}
+    s = make(spark, **tokens)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for n in ("9", "10000"):
+        before = spark.conf.get(size)
+        spark.conf.set(size, n)
+        out = with_ewm(s.repartition(1), {"a": ("price", {"span": 12}), "b": ("a", {"alpha": 0.1, "adjust": False})})
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+        got = out.toPandas()
+        spark.conf.set(size, before)
+        assert len(got) == sum(map(len, tokens.values()))
+        for k, prices in tokens.items():
+            a = pd.Series(prices, dtype=float).ewm(span=12).mean()
+            mine = got[got.token_id == k].sort_values("seq")
+            np.testing.assert_array_equal(mine.a, a)
+            np.testing.assert_array_equal(mine.b, a.ewm(alpha=0.1, adjust=False).mean())
+
+
 def test_gap_limit(spark):
     rows = [("a", START + dt.timedelta(minutes=m), m, float(m)) for m in [*range(10), *range(13, 20), *range(50, 60)]]
     s = spark.createDataFrame(rows, SCHEMA)
