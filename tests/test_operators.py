@@ -128,6 +128,16 @@ def test_exponential_means_of_many_tokens_in_one_batch(spark):
             np.testing.assert_array_equal(mine.b, a.ewm(alpha=0.1, adjust=False).mean())
 
 
+def test_folds_of_one_series_are_laid_out_in_many_tasks(spark):
+    n, plan = 300, (40, 15, 20)
+    s = make(spark, a=range(n))
+    for how in ({}, {"buffer": 7}, {"buffer": 30, "horizon": 9}, {"sliding": True}, {"sliding": True, "buffer": 7, "most_folds": 5}, {"horizon": 290}):
+        out = learning.walk_forward(s, plan, **how).select("seq", "fold", "role", F.spark_partition_id().alias("task")).collect()
+        table = learning.fold_table(n - how.get("horizon", 0), *plan, buffer=how.get("buffer", 0), sliding=how.get("sliding", False))[: how.get("most_folds")]
+        assert sorted((r.fold, r.role, r.seq) for r in out) == sorted((k, role, i) for k, a, b, c, d in table for role, x, y in (("train", a, b), ("test", c, d)) for i in range(x, y))
+        assert not out or len({r.task for r in out}) == 4
+
+
 def test_gap_limit(spark):
     rows = [("a", START + dt.timedelta(minutes=m), m, float(m)) for m in [*range(10), *range(13, 20), *range(50, 60)]]
     s = spark.createDataFrame(rows, SCHEMA)
