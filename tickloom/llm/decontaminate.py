@@ -33,6 +33,8 @@ from tickloom.llm.textvec import plain, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK = 32
+#: Postings that are added up at once for the bound; a single window may have more.
+POSTINGS = 1 << 17
 
 
 class ItemIndex:
@@ -88,13 +90,30 @@ class ItemIndex:
         return {tuple(w[k : k + g]) for k in range(len(w) - g + 1)} if g else set()
 
     def hopeful(self, words: np.ndarray, window: np.ndarray, step_back: np.ndarray) -> np.ndarray:
-        """Windows whose bound reaches the threshold. window: that each word starts a half of; step_back: whether the one before has it too."""
+        """Windows whose bound reaches the threshold. window: that each word starts a half of; step_back: whether the one before has it too.
+
+        Windows rise with the words. Postings are laid out for as many windows at a time as have about POSTINGS of them."""
         if not len(self.rare) or not len(words):
             return np.zeros(0, np.int64)
         k = np.minimum(np.searchsorted(self.rare, words), len(self.rare) - 1)
         hit = np.flatnonzero(self.rare[k] == words)
         k, win, back = k[hit], window[hit], step_back[hit]
-        k, win = np.concatenate([k, k[back]]), np.concatenate([win, win[back] - 1])
+        if not len(win):
+            return np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(self.first[k + 1] - self.first[k])])
+        out, edge = [], int(win[0]) - 1
+        while (lo := int(np.searchsorted(win, edge))) < len(win):
+            edge = max(edge, int(win[lo]) - 1)
+            full = int(np.searchsorted(before, before[lo] + POSTINGS, "right")) - 1  # hits before this one have no more postings than that
+            stop = max(edge + 1, int(win[full]) - 1) if full < len(win) else int(win[-1]) + 1
+            own, both = int(np.searchsorted(win, stop)), int(np.searchsorted(win, stop + 1))
+            later = lo + np.flatnonzero(back[lo:both] & (win[lo:both] > edge))
+            out.append(self._over(np.concatenate([k[lo:own], k[later]]), np.concatenate([win[lo:own], win[later] - 1])))
+            edge = stop
+        return np.concatenate(out)
+
+    def _over(self, k: np.ndarray, win: np.ndarray) -> np.ndarray:
+        """Windows whose bound reaches the threshold, of those to which these hits (places of rare terms) belong."""
         n = self.first[k + 1] - self.first[k]
         at = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item = self.post_item[at]
@@ -261,5 +280,6 @@ def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs in which no test item is found; same columns. Rows are told apart by id and text, so another text of the same id stays."""
     key = unused(docs, "_leak_key")
     name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.hex(F.xxhash64(text_col)))
-    bad = find_leaks(docs.select(name.alias(key), F.col(text_col)), items, key, text_col, **how).select(F.col(key).alias(f"{key}_bad")).distinct()
+    found = find_leaks(docs.select(name.alias(key), F.col(text_col)), items, key, text_col, **how)
+    bad = written(found.select(F.col(key).alias(f"{key}_bad")).distinct(), "leaks-bad")  # its size is known now: where it is small, no text is shuffled
     return docs.withColumn(key, name).join(bad, F.col(key) == F.col(f"{key}_bad"), "left_anti").drop(key)

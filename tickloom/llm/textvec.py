@@ -10,6 +10,7 @@ _U = np.uint64
 _MULT = 0x9E3779B97F4A7C13  # odd and 3 modulo 8: has an inverse, and swapped letters stay apart
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _LONG_WORD = 64  # bytes; longer words are hashed by blake2b
+_RUN = 1 << 15  # bytes that are summed up at once; the powers, which a process keeps, reach over two runs
 _rng = np.random.Generator(np.random.PCG64(20240101))
 _LETTER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _rng.integers(0, 2, 256, dtype=np.uint64)
 _PLACE = _rng.integers(0, 1 << 62, 16, dtype=np.uint64) * _U(2) + _U(1)
@@ -55,25 +56,43 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, by its bytes and length alone; spans may overlap."""
-    power, inverse = _power(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LETTER[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    """64-bit hash of each span of bytes, by its bytes and length alone; spans may overlap and come in any order.
+
+    Sums run over spans that start in one run of _RUN bytes at a time, so that memory besides the result does not grow with the data."""
+    if (starts[1:] < starts[:-1]).any():
+        order = np.argsort(starts, kind="stable")
+        out = np.empty(len(starts), np.uint64)
+        out[order] = span_hashes(data, starts[order], ends[order])
+        return out
+    power, inverse = _power(2 * _RUN + 1)
+    out = np.zeros(len(starts), np.uint64)
+    total = np.zeros(2 * _RUN + 1, np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + _RUN + 1, _RUN))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if lo < hi:
+            a, b, e = int(starts[lo]), starts[lo:hi], ends[lo:hi]
+            z = min(int(e.max()), a + 2 * _RUN)
+            np.cumsum(_LETTER[data[a:z]] * power[: z - a], out=total[1 : z - a + 1])
+            out[lo:hi] = (total[np.minimum(e, z) - a] - total[b - a]) * inverse[b - a]
+            for k in np.flatnonzero(e > z).tolist():
+                out[lo + k] = _long_sum(data[b[k] : e[k]])
+    return mix(out + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+def _long_sum(data: np.ndarray) -> np.uint64:
+    """The sum of a span that is longer than a run."""
+    total = 0
+    for a in range(0, len(data), _RUN):
+        some = data[a : a + _RUN]
+        total += int((_LETTER[some] * _power(len(some))[0]).sum()) * pow(_MULT, a, 1 << 64)
+    return _U(total % (1 << 64))
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """64-bit hash of each word (A-Z taken as a-z if lower), index of each text's first word, and the words' spans."""
     starts, ends, first = word_spans(data, at)
-    if not len(starts):
-        return np.zeros(0, np.uint64), first, (starts, ends)
-    power, inverse = _power(len(data) + 1)
     letters = _LOWER[data] if lower else data
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LETTER[letters] * power[: len(data)], out=total[1:])
-    out = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    out = span_hashes(letters, starts, ends)
     for k in np.flatnonzero(ends - starts > _LONG_WORD):
         out[k] = int.from_bytes(hashlib.blake2b(letters[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     return out, first, (starts, ends)
