@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tickloom.llm import decontaminate, textvec
+from tickloom.llm import decontaminate, jaccard, textvec
 from tickloom.llm.common import utf8
 
 
@@ -77,3 +77,32 @@ def test_the_bound_lays_out_few_postings_at_once():
                 want.append(base[r] + w)
     assert got.tolist() == want and len(want) > 1
     assert took < 30  # 219 before
+
+
+def parts_by_rows(rows):
+    """The rows that jaccard._parts makes, set by set and shingle by shingle."""
+    for node, comp, tokens, met in rows:
+        for m in jaccard._bands(len(tokens)):
+            buckets = {}
+            for t in tokens:
+                buckets.setdefault(int(textvec.mix(np.array([t], np.uint64))[0]) % m, []).append(t)
+            for _, of in sorted(buckets.items()):
+                of.sort(key=lambda t: (met.get(t, 0), t))
+                part = np.array(of, np.uint64).astype(np.uint32).tobytes()
+                for t in of[: len(of) - jaccard._needed(len(of)) + 1]:
+                    if t in met:
+                        yield int(textvec.mix(np.array([t ^ m], np.uint64)).astype(np.int64)[0]), node, comp, len(tokens), part
+
+
+def test_parts_of_sets_are_made_in_bounded_batches():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 3, 40, 700, 2000)] + [np.unique(rng.integers(0, 1 << 64, 900, dtype=np.uint64)) for _ in range(150)]
+    met = [{t: int(rng.integers(2, 9)) for t in s.tolist() if rng.random() < 0.9} for s in sets]
+    listed = pa.array([[{"t": int(np.uint64(t).astype(np.int64)), "df": d} for t, d in m.items()] for m in met], pa.list_(pa.struct([("t", pa.int64()), ("df", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([k % 7 for k in range(len(sets))]), pa.array([s.tobytes() for s in sets], pa.binary()), listed], names=["node", "comp", "tokens", "met"])
+    some = lambda b: list(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True))
+    got = [r for b in jaccard._parts(iter([batch.slice(0, 3), batch.slice(3, 4), batch.slice(0, 0)])) for r in some(b)]
+    assert got == list(parts_by_rows([(k, k % 7, sets[k].tolist(), met[k]) for k in range(7)]))
+    took, sizes = peak(lambda: [b.num_rows for b in jaccard._parts(iter([batch]))])
+    assert max(sizes) < 2 * jaccard.ROWS and sum(sizes) > 8 * jaccard.ROWS
+    assert took < 5

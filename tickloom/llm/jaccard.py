@@ -44,6 +44,8 @@ MEETING = 3000
 #: Sets below this size are counted by all their shingles, larger ones by those with a lower half hash.
 WHOLE = 128
 _HALF = _U(1 << 63)
+#: Rows that are made for one Arrow batch.
+ROWS = 4096
 #: Shingles that one task gathers when shared shingles are counted; there are as many tasks as that takes.
 GATHERED = 2_000_000
 BITMAP = 1024
@@ -200,11 +202,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shi
     return texts.mapInArrow(work, "node bigint, least array<bigint>, tokens binary").dropDuplicates(["node"])
 
 
+def _rows(batch: pa.RecordBatch, most: int = 64):
+    """The rows of a batch as tuples; only so many at a time become Python values, since rows may be long."""
+    for k in range(0, batch.num_rows, most):
+        yield from zip(*(c.to_pylist() for c in batch.slice(k, most).columns), strict=True)
+
+
 def _grouped(batches, keys: int):
     """Runs of equal values in the first `keys` columns of sorted batches, each as lists of the other columns."""
     key, rows = None, None
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for row in _rows(b):
             if row[:keys] != key:
                 if rows:
                     yield key, rows
@@ -244,7 +252,7 @@ def _leader_links(batches):
     key, index, leaders = None, None, None
     for b in batches:
         links = []
-        for pivot, chunk, _, node, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for pivot, chunk, _, node, data in _rows(b):
             if (pivot, chunk) != key:
                 key, index, leaders = (pivot, chunk), _Sized(), []
             tokens = np.frombuffer(data, np.uint64).tolist()
@@ -296,35 +304,43 @@ def _parts(batches):
     """Rows (key, node, comp, n, bits, part) of each set: every bucket's part under each of its rarest few shingles, but for those that stand in one component only.
 
     Of a shingle in a part, 32 bits travel: a clash adds a candidate, no more."""
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+    made: list[list] = [[] for _ in kinds]
+
+    def batch():
+        out = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)], names=["key", "node", "comp", "n", "bits", "part"])
+        for x in made:
+            x.clear()
+        return out
+
     for b in batches:
-        keys, nodes, comps, sizes, maps, parts = [], [], [], [], [], []
-        for node, comp, data, met in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+        for k in range(b.num_rows):
+            row = b.slice(k, 1)
+            node, comp, data = (row.column(c)[0].as_py() for c in range(3))
+            shared, df = (x.to_numpy(zero_copy_only=False) for x in row.column(3).flatten().flatten())
             tokens = np.frombuffer(data, np.uint64)
             often = np.zeros(len(tokens), np.int64)
-            often[np.searchsorted(tokens, np.array([m["t"] for m in met], np.int64).view(np.uint64))] = [m["df"] for m in met]
+            often[np.searchsorted(tokens, shared.view(np.uint64))] = df
             bits = _bitmap(tokens)
             for m in _bands(len(tokens)):
                 bucket = (mix(tokens) % _U(m)).astype(np.int64)
                 order = np.lexsort((tokens, often, bucket))
                 cuts = np.searchsorted(bucket[order], np.arange(m + 1))
-                dealt, rare = tokens[order], often[order].tolist()
-                names = mix(dealt ^ _U(m)).astype(np.int64).tolist()
+                dealt, rare = tokens[order], often[order]
+                names = mix(dealt ^ _U(m)).astype(np.int64)
                 for p in range(m):
                     lo, hi = int(cuts[p]), int(cuts[p + 1])
                     size = hi - lo
                     if size:
                         part = dealt[lo:hi].astype(np.uint32).tobytes()
                         for j in range(lo, lo + size - _needed(size) + 1):
-                            if not rare[j]:
-                                continue
-                            keys.append(names[j])
-                            nodes.append(node)
-                            comps.append(comp)
-                            sizes.append(len(tokens))
-                            maps.append(bits)
-                            parts.append(part)
-        columns = [pa.array(x, pa.int64()) for x in (keys, nodes, comps, sizes)] + [pa.array(maps, pa.binary()), pa.array(parts, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "comp", "n", "bits", "part"])
+                            if rare[j]:
+                                for x, value in zip(made, (int(names[j]), node, comp, len(tokens), bits, part), strict=True):
+                                    x.append(value)
+                    if len(made[0]) >= ROWS:
+                        yield batch()
+    if made[0]:
+        yield batch()
 
 
 def _hopeful(rows: list[tuple]) -> list[np.ndarray]:
@@ -357,7 +373,7 @@ def _candidates(batches):
 def _spread(batches):
     """A row for each shingle of each set."""
     for b in batches:
-        for node, comp, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for node, comp, data in _rows(b):
             tokens = np.frombuffer(data, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), node)), pa.array(np.full(len(tokens), comp)), pa.array(tokens)], names=["node", "comp", "t"])
 
@@ -383,7 +399,7 @@ def _remaining_links(sets: DataFrame, roots: DataFrame) -> DataFrame:
     def check(batches):
         for b in batches:
             links = []
-            for x, y, s, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for x, y, s, t in _rows(b):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 if similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
                     links.append((x, y))
