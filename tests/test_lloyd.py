@@ -161,3 +161,13 @@ def test_spectrogram(waves):
 def test_mean_of_the_spectrogram_is_welchs(waves):
     rows = lambda df: {(r.token_id, r.rank): (round(r.period, 6), round(r.power, 9), r.period_class) for r in df.collect()}
     assert rows(spectral.mean_spectrum(waves, rows=300)) == rows(grouped.welch(waves))
+
+
+def test_rules_of_infinite_features(spark):
+    """Infinite values lie beyond all others, NaN and null at 0, in the fit as where the rules are applied."""
+    rows = [(f"t{k}", [float("inf"), 5.0, -3.0, float("-inf"), float("nan"), None][k % 6], ["up", "up", "down", "down", "none", "none"][k % 6]) for k in range(120)]
+    table = spark.createDataFrame(rows, "token_id string, a double, label string")
+    rules = learning.rules_table(learning.early_rules(table, ["a"], "label"), ["a"])
+    met = learning.apply_rules(table, rules).collect()
+    assert len(met) == 120 and all(r["class"] == r.label for r in met)
+    assert {(r.support, r.purity) for r in learning.rule_quality(table, rules, "label").collect()} == {(40, 1.0)}
