@@ -55,3 +55,13 @@ def test_threshold_reaches_the_recall(spark, recall):
     ones = sorted(s for s, y in scores if y)
     reach = lambda v: sum(s >= v for s in ones) / len(ones)
     assert reach(t) >= recall and all(reach(v) < recall for v in ones if v > t)
+
+
+def test_features_that_are_not_finite_are_judged(tokens):
+    """Infinite features (returns after a price of zero) keep their side of a split, and no token is left out."""
+    odd = tokens.withColumn("a", F.when((F.col("at") % 7 == 0) & (F.col("sprint") == 1), float("inf")).when(F.col("at") % 11 == 0, float("nan")).when((F.col("at") % 5 == 0) & (F.col("sprint") == 0), float("-inf")).otherwise(F.col("a")))
+    rows = staged.two_stage(odd, ["a", "b"], "sprint", "marathon", "at", **HOW).collect()
+    assert len(rows) == staged.time_folds(tokens, "at", 4).where("fold > 1").count() and all(r.score == r.score for r in rows)
+    score = {r.token_id: r.score for r in rows}
+    sides = {s: [score[r.token_id] for r in odd.where(F.col("a") == s).collect() if r.token_id in score] for s in (float("inf"), float("-inf"))}
+    assert min(sides[float("inf")]) > max(sides[float("-inf")])
