@@ -29,7 +29,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-NAMES = "drawdown_running price_stats pattern_class drawdown_global optimal_trade universal_timing outlier_winsor momentum_persistence log_returns directional_targets early_features".split()
+NAMES = "drawdown_running price_stats pattern_class drawdown_global optimal_trade universal_timing outlier_winsor momentum_persistence log_returns directional_targets early_features extreme_movements quality_report".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -44,4 +44,4 @@ def test_rows_are_those_of_the_sql(spark, odd, name):
 
 
 def test_last_signals_compare_stochastics_as_the_sql_makes_them(spark, tmp_path):
-    """A last price at the top twice over: 100
+    """A last
