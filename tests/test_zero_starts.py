@@ -29,7 +29,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-NAMES = "drawdown_running price_stats pattern_class drawdown_global optimal_trade universal_timing outlier_winsor momentum_persistence log_returns directional_targets early_features extreme_movements quality_report".split()
+NAMES = "drawdown_running price_stats pattern_class drawdown_global optimal_trade universal_timing outlier_winsor momentum_persistence log_returns directional_targets early_features extreme_movements quality_report last_signals order_imbalance".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -44,4 +44,20 @@ def test_rows_are_those_of_the_sql(spark, odd, name):
 
 
 def test_last_signals_compare_stochastics_as_the_sql_makes_them(spark, tmp_path):
-    """A last
+    """A last price at the top twice over: 100 or a bit more by the order of the operations, which decides between bullish and bearish."""
+    rng_rows, k = [], 0
+    for user in range(400):
+        top = [round(10 + (user * 7919 + j * 104729) % 9973 / 100, 2) for j in range(20)]
+        low = round(0.01 + user % 97 / 100, 2)
+        values = [*top[:17], *sorted(round(120 + x + user / 100, 2) for x in top[17:])]
+        values[9] = low
+        rng_rows += [(k + j, user, v) for j, v in enumerate(values)]
+        k += len(values)
+    start = datetime.datetime(2024, 1, 1)
+    table = pa.table({"event_id": [r[0] for r in rng_rows], "ts": pa.array([start + datetime.timedelta(seconds=r[0]) for r in rng_rows], pa.timestamp("us")), "user_id": [r[1] for r in rng_rows], "event_type": ["click"] * len(rng_rows), "value": [r[2] for r in rng_rows]})
+    pq.write_table(table, tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(registry.ORACLES["last_signals"]).fetchall()}
+    got = {r.token_id: (r.rsi_signal, r.bb_signal, r.stoch_signal) for r in registry.QUERIES["last_signals"](spark, str(tmp_path)).collect()}
+    assert got == want and len({v[2] for v in want.values()}) == 2
