@@ -29,7 +29,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-NAMES = "drawdown_running price_stats pattern_class drawdown_global optimal_trade universal_timing outlier_winsor momentum_persistence log_returns directional_targets early_features extreme_movements quality_report last_signals order_imbalance lifecycle_segments omega_ulcer liquidity pump_analysis".split()
+NAMES = "drawdown_running price_stats pattern_class drawdown_global optimal_trade universal_timing outlier_winsor momentum_persistence log_returns directional_targets early_features extreme_movements quality_report last_signals order_imbalance lifecycle_segments omega_ulcer liquidity pump_analysis normalised".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
