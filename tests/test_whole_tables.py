@@ -82,6 +82,22 @@ def test_rank_correlations_of_the_first_rows_and_of_empty_prices(spark):
     assert cross.kendall_pairs(s.withColumn("price", F.lit(None).cast("double"))).first().kendall is None
 
 
+@pytest.mark.parametrize("rows", [7, 60])
+def test_rank_correlations_range_by_range(spark, rows):
+    """Python gets ranges of some rows each; ties, a price that fills several ranges, and missing prices count as in a comparison of all rows."""
+    rng = np.random.default_rng(8)
+    n = 300
+    x, y, z = np.round(rng.normal(size=n), 1), np.where(rng.random(n) < 0.4, 1.0, rng.integers(0, 60, n)), rng.normal(size=n).cumsum()
+    drawn = {"a": x, "b": y, "c": np.where(rng.random(n) < 0.1, np.nan, z)}
+    s = spark.createDataFrame([(t, START + dt.timedelta(minutes=k), k, float(v)) for t, values in drawn.items() for k, v in enumerate(values)], "token_id string, datetime timestamp, seq long, price double")
+    got = {(r.token_a, r.token_b): (r.n, r.kendall) for r in cross.kendall_pairs(s, rows=rows).collect()}
+    up = np.triu(np.ones((n, n), bool), 1)
+    signs = {t: np.nan_to_num(np.sign(v[:, None] - v[None, :])) for t, v in drawn.items()}
+    for a, b in ("ab", "ac", "bc"):
+        p, q = signs[a][up], signs[b][up]
+        assert got[a, b] == (n, pytest.approx((p * q).sum() / np.sqrt(float((p != 0).sum()) * float((q != 0).sum()))))
+
+
 def test_timing_queries_read_240_rows(spark, tmp_path):
     long_walks(spark)[1].where("event_type = 'click'").write.parquet(str(tmp_path / "events.parquet"))
     moments = registry.QUERIES["entry_exit_moment"](spark, str(tmp_path))
