@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import blocks, cross
 
@@ -44,6 +45,15 @@ def test_pairs_of_many_tokens(values, block, chunk, significant):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
+def test_pairs_by_districts(values, monkeypatch):
+    """More blocks than districts, and more districts than by default: the same pairs, and a value is sent once for each district."""
+    want = by_numpy(values, 20)
+    for districts, held in ((3, 1 << 30), (1, 2_000)):
+        monkeypatch.setattr(blocks, "DISTRICTS", districts)
+        got = {(r.token_a, r.token_b): (r.n, r.correlation) for r in blocks.pair_correlations(values, "at", "r", 20, block=4, chunk=200, held=held).collect()}
+        assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
+
+
 def prices(spark, tokens, step, n, jitter=0):
     rng = random.Random(4)
     rows, price = [], dict.fromkeys(range(tokens), 5.0)
@@ -72,3 +82,10 @@ def test_choice_of_alignment(spark):
 
 def test_no_rows(spark):
     assert blocks.corr_blocks(spark.createDataFrame([], SHAPE)).collect() == [] and blocks.correlate(spark.createDataFrame([], SHAPE)).collect() == []
+
+
+def test_two_prices_of_zero_in_a_row_count_as_a_return(spark):
+    s = prices(spark, 3, 3600, 60).withColumn("price", F.when((F.col("token_id") == "t1") & F.col("seq").isin(20, 21, 22), 0.0).otherwise(F.col("price")))
+    got = {(r.token_a, r.token_b): r for r in blocks.corr_blocks(s, least=10).collect()}
+    assert {k: r.n for k, r in got.items()} == {("t0", "t1"): 59, ("t0", "t2"): 59, ("t1", "t2"): 59}
+    assert got["t0", "t1"].correlation != got["t0", "t1"].correlation and got["t0", "t1"].strength == "very_strong" and got["t0", "t2"].correlation > 0.9
