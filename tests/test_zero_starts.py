@@ -8,6 +8,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
+from tickloom.operators import acf, cross  # noqa: E402
 from tickloom.plans import registry  # noqa: E402
 
 KINDS = ("click", "view")
@@ -61,3 +62,18 @@ def test_last_signals_compare_stochastics_as_the_sql_makes_them(spark, tmp_path)
     want = {r[0]: r[1:] for r in con.execute(registry.ORACLES["last_signals"]).fetchall()}
     got = {r.token_id: (r.rsi_signal, r.bb_signal, r.stoch_signal) for r in registry.QUERIES["last_signals"](spark, str(tmp_path)).collect()}
     assert got == want and len({v[2] for v in want.values()}) == 2
+
+
+def test_early_features_of_a_series_from_zero(spark):
+    rows = [("a", datetime.datetime(2024, 1, 1, 0, k), k, p) for k, p in enumerate([0.0, 2.0, 1.0, 4.0])]
+    got = acf.features_15(spark.createDataFrame(rows, "token_id string, datetime timestamp, seq long, price double")).first()
+    assert got.max_drawdown != got.max_drawdown and got.price_change_ratio_5min == float("inf")
+
+
+def test_correlation_of_constant_windows_is_nan(spark):
+    """It ended the query before."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(t, start + datetime.timedelta(hours=k), k, 5.0 if t == "a" and k < 8 else float(k * k % 7)) for t in "ab" for k in range(12)]
+    got = cross.corr_rolling_pairs(spark.createDataFrame(rows, "token_id string, datetime timestamp, seq long, price double"), 60, 4).orderBy("bucket").collect()
+    values = [r.correlation for r in got]
+    assert values[:3] == [None] * 3 and all(v != v for v in values[3:8]) and values[11] == pytest.approx(1.0)
